@@ -89,8 +89,9 @@ def rounded(docs: DataFrame, stats: DataFrame) -> DataFrame:
     """docs (with _mix_key, _mix_size, _mix_units, target) and `copies`.
 
     Within a stratum, in order of falling size and then of id, a document gets an extra copy
-    where the running sum of rate fractions passes a whole number. The sum starts at that of
-    OFFSETS offsets which brings the stratum's tokens nearest to its target. It is put together
+    where the running sum of rate fractions passes a whole number. The sums of the larger and of
+    the smaller documents (half of the tokens each) start at those two of OFFSETS offsets which
+    bring the stratum's tokens nearest to its target. A running sum is put together
     from sums of sizes, of blocks of ids, and of the ids in a block, so no stratum is sorted as
     one. stats: the same rows without their other columns.
     """
@@ -98,16 +99,22 @@ def rounded(docs: DataFrame, stats: DataFrame) -> DataFrame:
     part, whole = F.col("_mix_units") % one, F.shiftright("_mix_units", UNIT_BITS)
     block = ["_mix_key", "_mix_size", "_mix_block"]
     passed = lambda at, n, first: F.shiftright(at + n + first, UNIT_BITS) - F.shiftright(at + first, UNIT_BITS)
-    by_block = stats.groupBy(*block).agg(F.sum(part).alias("_n"), F.sum(whole).alias("_whole"), F.max("target").alias("target"))
-    by_size = by_block.groupBy("_mix_key", "_mix_size").agg(F.sum("_n").alias("_n"), F.sum("_whole").alias("_whole"), F.max("target").alias("target"))
-    at_size = F.sum("_n").over(Window.partitionBy("_mix_key").orderBy(F.desc("_mix_size"))) - F.col("_n")
-    by_size = by_size.withColumn("_at_size", at_size)
+    sums = [F.sum("_n").alias("_n"), F.sum("_taken").alias("_taken"), F.sum("_mass").alias("_mass"), F.max("target").alias("target")]
+    by_block = stats.select(*block, part.alias("_n"), (F.col("_mix_size") * whole).alias("_taken"), F.col("_mix_size").alias("_mass"), "target").groupBy(*block).agg(*sums)
+    falling = Window.partitionBy("_mix_key").orderBy(F.desc("_mix_size"))
+    by_size = by_block.groupBy("_mix_key", "_mix_size").agg(*sums)
+    by_size = by_size.withColumn("_small", (F.sum("_mass").over(falling) - F.col("_mass")) * 2 >= F.sum("_mass").over(Window.partitionBy("_mix_key")))
+    by_size = by_size.withColumn("_at_size", F.sum("_n").over(Window.partitionBy("_mix_key", "_small").orderBy(F.desc("_mix_size"))) - F.col("_n"))
     trial = by_size.withColumn("_first", F.explode(F.array(*(F.lit(k * one // OFFSETS) for k in range(OFFSETS)))))
-    trial = trial.groupBy("_mix_key", "_first").agg(F.sum(F.col("_mix_size") * (F.col("_whole") + passed(F.col("_at_size"), F.col("_n"), F.col("_first")))).alias("_taken"), F.max("target").alias("target"))
-    first = trial.groupBy("_mix_key").agg(F.min_by("_first", F.struct(F.abs(F.col("_taken") - F.col("target")), "_first")).alias("_mix_first"))
+    trial = trial.groupBy("_mix_key", "_small", "_first").agg(F.sum(F.col("_taken") + F.col("_mix_size") * passed(F.col("_at_size"), F.col("_n"), F.col("_first"))).alias("_taken"), F.max("target").alias("target"))
+    small = trial.where("_small").select("_mix_key", F.col("_first").alias("_second"), F.col("_taken").alias("_rest"))
+    trial = trial.where("not _small").join(small, "_mix_key", "left")
+    gap = F.abs(F.col("_taken") + F.coalesce("_rest", F.lit(0)) - F.col("target"))
+    first = trial.groupBy("_mix_key").agg(F.min_by(F.struct("_first", "_second"), F.struct(gap, "_first", "_second")).alias("_mix_first"))
     by_block = by_block.withColumn("_at_block", F.sum("_n").over(Window.partitionBy("_mix_key", "_mix_size").orderBy("_mix_block")) - F.col("_n"))
-    starts = by_block.join(by_size.select("_mix_key", "_mix_size", "_at_size"), ["_mix_key", "_mix_size"]).join(first, "_mix_key")
-    starts = starts.select(*block, (F.col("_at_size") + F.col("_at_block") + F.col("_mix_first")).alias("_mix_at"))
+    starts = by_block.join(by_size.select("_mix_key", "_mix_size", "_at_size", "_small"), ["_mix_key", "_mix_size"]).join(first, "_mix_key")
+    offset = F.when(F.col("_small"), F.col("_mix_first._second")).otherwise(F.col("_mix_first._first"))
+    starts = starts.select(*block, (F.col("_at_size") + F.col("_at_block") + offset).alias("_mix_at"))
     run = F.sum(part).over(Window.partitionBy(*block).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
     out = docs.withColumn("_mix_run", run).join(starts, block)
     return out.withColumn("copies", (whole + passed(F.col("_mix_at") + F.col("_mix_run") - part, part, F.lit(0))).cast("int"))
