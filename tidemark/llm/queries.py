@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing
+from tidemark.llm import bpe, mixing
 from tidemark.llm.common import table
 
 
@@ -17,8 +17,25 @@ def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and decoded text, as digests."""
+    return bpe_digests(bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def bpe_digests(encoded: DataFrame) -> DataFrame:
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return encoded.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
+    "op2_bpe_round_trip": op2_bpe_round_trip,
 }
 
 ORACLE: dict[str, str] = {}
