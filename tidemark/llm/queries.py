@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, mixing
-from tidemark.llm.common import table
+from tidemark.llm import bpe, langid, mixing, mpeg
+from tidemark.llm.common import fold, table
 
 
 def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,9 +33,24 @@ def bpe_digests(encoded: DataFrame) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as an MPEG audio stream and read back."""
+    return mpeg.media_features(mpeg.store_texts(table(spark, sf_dir, "documents")))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learnt from three quarters of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    known = docs.where(fold(4) != 2).select("doc_id", "text", "lang")
+    found = langid.predict(docs.select("doc_id", "text"), langid.train(known))
+    return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_mpeg_media": op3_mpeg_media,
+    "op4_language_id": op4_language_id,
 }
 
 ORACLE: dict[str, str] = {}
