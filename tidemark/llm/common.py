@@ -64,7 +64,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, *, limit: int) -> D
     counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.coalesce(*[F.when(F.col("y") == y, F.lit(min(1.0, limit / max(n, 1)))) for y, n in counts.items()], F.lit(0.0)) if counts else F.lit(0.0)
     taken = marks.where((F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)) < share)
-    return docs.select("doc_id", "text").join(taken, "doc_id").select("doc_id", "text", "y")
+    # a table of that bound is safe to broadcast; texts are not shuffled
+    return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("doc_id", "text", "y")
 
 
 def texts(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

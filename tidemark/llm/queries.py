@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, mixing, mpeg
+from tidemark.llm import bpe, hilbert, langid, mixing, mpeg, quality, toxicity
 from tidemark.llm.common import fold, table
 
 
@@ -46,11 +46,38 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from the labels of two thirds of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(fold(3) != 1))
+    return verdicts(toxicity.score(docs, model), 0.7)
+
+
+def op6_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learnt from the labels of two thirds of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(fold(3) != 1))
+    return verdicts(quality.score(docs, model), 0.5)
+
+
+def verdicts(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards along the Hilbert curve, of counts at most one apart."""
+    out = hilbert.shard_documents(table(spark, sf_dir, "documents"), 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_mpeg_media": op3_mpeg_media,
     "op4_language_id": op4_language_id,
+    "op5_toxicity_ftrl": op5_toxicity_ftrl,
+    "op6_quality_gbt": op6_quality_gbt,
+    "op7_hilbert_shards": op7_hilbert_shards,
 }
 
 ORACLE: dict[str, str] = {}
