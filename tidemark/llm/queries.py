@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, hilbert, langid, mixing, mpeg, quality, toxicity
+from tidemark.llm import bpe, hilbert, langid, mixing, mpeg, neardup, quality, toxicity
 from tidemark.llm.common import fold, table
 
 
@@ -70,6 +70,12 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their SimHash and the component of near duplicates that they are in."""
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity_ftrl": op5_toxicity_ftrl,
     "op6_quality_gbt": op6_quality_gbt,
     "op7_hilbert_shards": op7_hilbert_shards,
+    "op9_simhash_golay": op9_simhash_golay,
 }
 
 ORACLE: dict[str, str] = {}
