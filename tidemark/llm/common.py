@@ -176,3 +176,14 @@ def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(values) + 1, np.result_type(values.dtype, np.int64) if values.dtype.kind != "f" else values.dtype)
     np.cumsum(values, out=sums[1:])
     return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def filtered(docs: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray], *, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, for which keep says True."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in texts(batches, column, limit):
+            if part.num_rows:
+                yield part.filter(pa.array(keep(part), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

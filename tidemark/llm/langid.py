@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SLICE_BYTES, mapped, mixed, written
+from tidemark.llm.common import SLICE_BYTES, filtered, mapped, mixed, written
 
 #: Labelled documents of each language that training takes, about (chosen by a hash of the id).
 SAMPLE_DOCS = 4000
@@ -208,3 +208,18 @@ def predict(docs: DataFrame, filters: Filters, *, key: str = "doc_id", unknown:
 
     kind = docs.schema[key].dataType.simpleString()
     return mapped(docs.select(key, "text"), predicted, f"{key} {kind}, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, filters: Filters, *, least: float = 0.0) -> DataFrame:
+    """The documents with a language: text with letters, of whose n-grams the predicted language
+    knows at least the part `least`."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    held: list[np.ndarray] = []
+
+    def keep(part: pa.RecordBatch) -> np.ndarray:
+        if not held:
+            held.append(_letters())
+        total, found = hits(shared.value, part.column("text").to_pylist(), held[0])
+        return (total > 0) & (found.max(axis=1, initial=0) >= least * total)
+
+    return filtered(docs, keep)

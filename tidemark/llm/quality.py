@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import labelled, mapped
+from tidemark.llm.common import filtered, labelled, mapped
 
 #: Labelled rows of each label that training takes, about (chosen by a hash of the id).
 SAMPLE_ROWS = 8000
@@ -161,3 +161,9 @@ def score(docs: DataFrame, forest: Forest, *, key: str = "doc_id") -> DataFrame:
 
     kind = docs.schema[key].dataType.simpleString()
     return mapped(docs.select(key, "text"), scored, f"{key} {kind}, score double")
+
+
+def accepted(docs: DataFrame, forest: Forest, *, least: float = 0.5) -> DataFrame:
+    """The documents that score at least `least`."""
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    return filtered(docs, lambda part: shared.value.scores(_matrix(part.column("text"))) >= least)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, hilbert, langid, mixing, mpeg, neardup, quality, toxicity
+from tidemark.llm import bpe, hilbert, langid, mixing, mpeg, neardup, quality, rules, toxicity, warc
 from tidemark.llm.common import fold, table
 
 
@@ -70,12 +70,23 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back through their index."""
+    return warc.read_records(warc.write_archives(table(spark, sf_dir, "pages")), payloads=False).drop("url")
+
+
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their SimHash and the component of near duplicates that they are in."""
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with base statistics and the verdict of a decision list learnt from labels."""
+    out, _ = rules.filtered(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -84,7 +95,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity_ftrl": op5_toxicity_ftrl,
     "op6_quality_gbt": op6_quality_gbt,
     "op7_hilbert_shards": op7_hilbert_shards,
+    "op8_warc_index": op8_warc_index,
     "op9_simhash_golay": op9_simhash_golay,
+    "op10_decision_list": op10_decision_list,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_warc_index": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        q AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+        r AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM q)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM r
+    """,
+}
