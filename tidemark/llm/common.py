@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import functools
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +13,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans.tables import shared_dir as shared_dir
+from tidemark.plans.tables import written as written
+
 # Functions sent to executors carry this package's code, so executors need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
@@ -24,26 +25,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 21
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or _named(spark)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def _named(spark: SparkSession) -> str | None:
-    return spark.sparkContext.getCheckpointDir()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -86,7 +86,7 @@ def shard_by_curve(df: DataFrame, codes: dict[str, Column], shards: int, *, dige
     # one row for each partition of the sort
     out = ordered.withColumn("_h_part", part).join(F.broadcast(starts), "_h_part").withColumn("_h_rank", F.col("_h_start") + place)
     out = out.withColumn("shard", F.call_function("div", F.col("_h_rank") * shards, F.lit(max(total, 1)).cast("long")).cast("int"))
-    first = -F.call_function("div", -(F.col("shard").cast("long") * total), F.lit(shards).cast("long"))
+    first = F.call_function("div", F.col("shard").cast("long") * total + (shards - 1), F.lit(shards).cast("long"))
     return out.withColumn("slot", F.col("_h_rank") - first).drop("_h_part", "_h_start", "_h_rank", "_h_at", "_h_digest")
 
 

@@ -142,6 +142,10 @@ def mix_sources(docs: DataFrame, *, cap: float = 3.0, weights: tuple[int, ...] =
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of docs."""
-    taken = mix_sources(docs, **options).where("copies > 0")
-    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mix itself: each document as often as it is taken, with the columns of docs, whatever
+    their names."""
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    aside = {f"_kept_{i}": c for i, c in enumerate(others)}
+    taken = mix_sources(docs.select("doc_id", "source", "text", *(F.col(f"`{c}`").alias(k) for k, c in aside.items())), **options).where("copies > 0")
+    names = {c: k for k, c in aside.items()}
+    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))

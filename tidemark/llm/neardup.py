@@ -244,7 +244,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     orphans = found.where("component_id is null").select("fp").distinct()
     if not orphans.head(1):
         return named.select(*docs.columns)
-    nameless = docs.where("doc_id is null").withColumn("_row", F.monotonically_increasing_id())
+    nameless = docs.where("doc_id is null").withColumn("_dedup_row", F.monotonically_increasing_id())
     nameless = written(nameless, "nameless")
-    marks = with_fingerprints(nameless, key="_row", **{k: v for k, v in options.items() if k == "words"}).join(orphans, "fp").groupBy("fp").agg(F.min("_row").alias("_row"))
-    return named.select(*docs.columns).unionByName(nameless.join(marks.select("_row"), "_row", "left_semi").select(*docs.columns))
+    marks = with_fingerprints(nameless, key="_dedup_row", **{k: v for k, v in options.items() if k == "words"}).join(orphans, "fp").groupBy("fp").agg(F.min("_dedup_row").alias("_dedup_row"))
+    return named.select(*docs.columns).unionByName(nameless.join(marks.select("_dedup_row"), "_dedup_row", "left_semi").select(*docs.columns))
