@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,18 +102,14 @@ def two_proportion_z(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     return F.when(spread > 0, (ratio(k1, n1) - ratio(k2, n2)) / spread)
 
 
-def two_sided_p(z: Column) -> Column:
-    """P(|Z| >= |z|) by a vectorised UDF: Spark has no erf."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
-    def p(values: pd.Series) -> pd.Series:
-        import math
+@F.pandas_udf("double")
+def _erfc_p(z: pd.Series) -> pd.Series:
+    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
 
-        return values.map(lambda v: None if v != v else math.erfc(abs(v) / math.sqrt(2)))
 
-    return p(z)
+def two_sided_p(z: Column) -> Column:
+    """P(|Z| >= |z|) by a vectorised UDF: Spark has no erf."""
+    return _erfc_p(z)
 
 
 def percentile_band(c: Column) -> Column:
