@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -102,7 +103,7 @@ def two_proportion_z(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     return F.when(spread > 0, (ratio(k1, n1) - ratio(k2, n2)) / spread)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _erfc_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
 
