@@ -148,6 +148,25 @@ indices AS (SELECT channel, index_name, round(avg(CASE WHEN inverted THEN 100 -
 """
 
 
+_POLARITY = """
+pol(metric, polarity) AS (VALUES ('negative_rate', 'risk_high'), ('weighted_negative_rate', 'risk_high'), ('reply_negative_rate', 'risk_high'), ('max_video_negative_rate', 'risk_high'), ('positive_rate', 'benefit_high'), ('comments_per_video', 'benefit_high'), ('commenters_per_video', 'benefit_high'), ('comments_per_1k_views', 'benefit_high'), ('repeat_commenter_share', 'benefit_high'), ('repeat_comment_share', 'benefit_high'), ('n_videos', 'scale'), ('n_comments', 'scale'), ('n_commenters', 'scale'), ('reply_share', 'mixed')),
+readings AS (
+  SELECT ranks.*, abs(percentile - 50) AS x, CASE WHEN polarity = 'scale' THEN 'context' WHEN polarity = 'risk_high' AND percentile >= 75 THEN 'risk' WHEN polarity = 'risk_high' AND percentile <= 25 THEN 'opportunity' WHEN polarity = 'benefit_high' AND percentile >= 75 THEN 'opportunity' WHEN polarity = 'benefit_high' AND percentile <= 25 THEN 'risk' WHEN polarity = 'mixed' AND (percentile >= 75 OR percentile <= 25) THEN 'watch' ELSE 'context' END AS reading
+  FROM ranks JOIN pol USING (metric))
+"""
+
+_VIDEO_EDGES = """
+busy AS (SELECT * FROM actor_videos WHERE video_id IN (SELECT video_id FROM actor_videos GROUP BY 1 HAVING count(*) >= 10)),
+edges AS (SELECT x.video_id AS a, y.video_id AS b, count(*) AS weight FROM busy x JOIN busy y ON x.actor_id = y.actor_id AND x.video_id < y.video_id GROUP BY 1, 2 HAVING count(*) >= 5),
+ends AS (SELECT a AS u, b AS v, weight FROM edges UNION ALL SELECT b, a, weight FROM edges),
+deg AS (SELECT u AS node, count(*) AS degree FROM ends GROUP BY 1)
+"""
+
+_QUEUE = """
+WITH q AS (SELECT o_custkey AS video_id, CASE o_orderstatus WHEN 'F' THEN 'graphed' WHEN 'O' THEN 'queued' ELSE 'failed' END AS status, CASE WHEN o_orderstatus = 'P' THEN 'Quota ' || o_orderpriority END AS last_error, o_orderdate AS updated_at FROM orders)
+"""
+
+
 def _continuity(n: int) -> str:
     return f"""
 blocks{n} AS (SELECT video_id, ntile({n}) OVER (ORDER BY published_at, video_id) - 1 AS block FROM videos),
@@ -315,6 +334,65 @@ SELECT count(*) AS n, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(
 SELECT theme, count(*) AS n_communities, round(max(r) - min(r), 6) AS spread FROM c WHERE n >= 150 AND theme <> 'other' GROUP BY 1 HAVING count(*) >= 2 ORDER BY spread DESC, theme LIMIT 6"""),
         "completion_report": """
 SELECT source, count(*) AS wanted, count(l.doc_id) AS done, count(*) - count(l.doc_id) AS remaining, round(count(l.doc_id) / count(*), 6) AS completion FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1""",
+        "channel_takeaways": _with(_METRICS, _POLARITY, body="""
+, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY channel ORDER BY x DESC, metric) AS INT) AS place FROM readings WHERE percentile <= 25 OR percentile >= 75)
+SELECT channel, place, metric, percentile, reading FROM r WHERE place <= 8"""),
+        "risk_opportunity": _with(_METRICS, _POLARITY, body="""
+, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY channel, reading ORDER BY x DESC, metric) AS INT) AS place FROM readings WHERE reading <> 'context')
+SELECT channel, reading, place, metric, percentile FROM r WHERE place <= 5"""),
+        "metric_positions": _with(_METRICS, body="""
+, d AS (SELECT metric, [min(value), round(quantile_cont(value, 0.1), 6), round(quantile_cont(value, 0.25), 6), round(quantile_cont(value, 0.5), 6), round(quantile_cont(value, 0.75), 6), round(quantile_cont(value, 0.9), 6), max(value)] AS q FROM metrics GROUP BY 1),
+e AS (SELECT m.*, q, [0, 10, 25, 50, 75, 90, 100] AS p, CASE WHEN value <= q[1] THEN 1 WHEN value <= q[2] THEN 2 WHEN value <= q[3] THEN 3 WHEN value <= q[4] THEN 4 WHEN value <= q[5] THEN 5 WHEN value <= q[6] THEN 6 WHEN value <= q[7] THEN 7 ELSE 8 END AS k FROM metrics m JOIN d USING (metric))
+SELECT channel, metric, value, round(CASE WHEN k = 1 THEN 0 WHEN k = 8 THEN 100 ELSE p[k - 1] + (p[k] - p[k - 1]) * coalesce((value - q[k - 1]) / nullif(q[k] - q[k - 1], 0), 0) END, 4) AS position, round((value - q[4]) / nullif(q[5] - q[3], 0), 4) AS iqr_distance, CASE WHEN value < q[3] THEN 'below_iqr' WHEN value > q[5] THEN 'above_iqr' ELSE 'inside_iqr' END AS part FROM e"""),
+        "engagement_table": _with(body="""
+SELECT video_id, title, coalesce(n, 0) AS n_comments, view_count, round(1000 * coalesce(n, 0) / nullif(view_count, 0), 6) AS per_1k_views FROM videos LEFT JOIN (SELECT video_id, count(*) AS n FROM all_comments GROUP BY 1) USING (video_id) ORDER BY per_1k_views DESC NULLS LAST, video_id LIMIT 12"""),
+        "risk_videos": _with(body=f"""
+, b AS (SELECT video_id, {_BLOCK} FROM all_comments GROUP BY 1)
+SELECT video_id, n, negative_rate, weighted_negative_rate FROM b WHERE n >= 25 OR (SELECT max(n) FROM b) < 25 ORDER BY weighted_negative_rate DESC, video_id LIMIT 6"""),
+        "theme_overview": _with(_THREADS, body=f"""
+, x AS (SELECT theme, count(*) AS n_comments, count(DISTINCT actor_id) AS n_commenters FROM comments JOIN videos USING (video_id) GROUP BY 1), y AS (SELECT theme, count(*) AS n_videos, CAST(sum(view_count) AS BIGINT) AS views FROM videos GROUP BY 1),
+z AS (SELECT theme, {_BLOCK} FROM (SELECT c.*, theme FROM all_comments c JOIN videos USING (video_id)) GROUP BY 1), c AS ({_conflict('theme').format(source='(SELECT t.*, theme FROM threads t JOIN videos USING (video_id))')})
+SELECT theme, n_videos, n_comments, n_commenters, negative_rate, positive_rate, conflict_rate_replied, conflict_score, views, round(1000 * n_comments / nullif(views, 0), 6) AS per_1k_views FROM y JOIN x USING (theme) JOIN z USING (theme) JOIN c USING (theme)"""),
+        "segment_profiles": _with(body=f"""
+, s AS (SELECT community, {_BLOCK}, count(DISTINCT actor_id) AS n_actors FROM in_community GROUP BY 1),
+g AS (SELECT community, theme, count(*) AS pairs FROM actor_videos JOIN actors USING (actor_id) JOIN videos USING (video_id) GROUP BY 1, 2),
+h AS (SELECT community, theme, round((pairs / sum(pairs) OVER (PARTITION BY community)) / (sum(pairs) OVER (PARTITION BY theme) / sum(pairs) OVER ()), 6) AS lift FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY lift DESC, theme) AS k FROM h),
+t AS (SELECT community, string_agg(theme, ';' ORDER BY k) AS top_labels FROM r WHERE k <= 3 GROUP BY 1)
+SELECT community, n, n_actors, round(n / n_actors, 6) AS comments_per_commenter, list_reverse_sort([{{n: n_negative, label: 'negative'}}, {{n: n_neutral, label: 'neutral'}}, {{n: n_positive, label: 'positive'}}])[1].label AS dominant, top_labels FROM s LEFT JOIN t USING (community)"""),
+        "likes_outliers": _with(body="""
+, m AS (SELECT video_id, view_count, coalesce(l, 0) AS likes, log10(view_count + 1) AS x, log10(coalesce(l, 0) + 1) AS y FROM videos LEFT JOIN (SELECT video_id, CAST(sum(like_count) AS BIGINT) AS l FROM all_comments GROUP BY 1) USING (video_id)),
+f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, quantile_cont(view_count, 0.1) AS p10 FROM m), r AS (SELECT m.*, p10, y - a - b * x AS r FROM m, f), s AS (SELECT sqrt(sum(r * r) / (count(*) - 2)) AS sd FROM r)
+SELECT video_id, view_count, likes, round(r / sd, 4) AS z, round(10 ** r, 4) AS lift FROM r, s WHERE view_count >= greatest(1000, p10) ORDER BY abs(round(r / sd, 4)) DESC, video_id LIMIT 8"""),
+        "shared_audience_edges": _with(_VIDEO_EDGES, body=" SELECT a, b, weight FROM edges"),
+        "video_cluster_summary": _with(_VIDEO_EDGES, body="""
+, vp AS (SELECT e.*, p.theme AS u_part, q.theme AS v_part FROM ends e JOIN videos p ON p.video_id = u JOIN videos q ON q.video_id = v),
+s AS (SELECT u_part AS part, count(DISTINCT u) AS n_nodes, count(*) FILTER (u_part = v_part AND u < v) AS internal_edges, count(*) FILTER (u_part <> v_part) AS external_edges,
+  CAST(coalesce(sum(weight) FILTER (u_part = v_part AND u < v), 0) AS BIGINT) AS internal_weight, CAST(coalesce(sum(weight) FILTER (u_part <> v_part), 0) AS BIGINT) AS cut, CAST(sum(weight) AS BIGINT) AS volume FROM vp GROUP BY 1)
+SELECT *, round(cut / nullif(least(volume, sum(volume) OVER () - volume), 0), 6) AS conductance FROM s"""),
+        "video_opportunities": _with(_VIDEO_EDGES, body="""
+, f AS (SELECT x.v AS a, y.v AS b, count(*) AS common, sum(CASE WHEN degree > 1 THEN 1 / ln(degree) ELSE 0 END) AS aa, sum(1 / degree) AS ra FROM ends x JOIN ends y ON x.u = y.u AND x.v < y.v JOIN deg ON node = x.u GROUP BY 1, 2),
+g AS (SELECT f.a, f.b, common, round(ln(1 + common) + 2 * (common / (p.degree + q.degree - common)) + aa + ra, 4) AS score FROM f JOIN deg p ON p.node = f.a JOIN deg q ON q.node = f.b WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.a = f.a AND e.b = f.b)),
+h AS (SELECT * FROM g ORDER BY score DESC, a, b LIMIT 100)
+SELECT a, b, common, score, CASE WHEN p.label <> q.label AND p.theme <> q.theme THEN 'cross_cluster_theme_bridge' WHEN p.label = q.label AND p.theme <> q.theme THEN 'within_cluster_theme_blend' WHEN p.label <> q.label AND p.theme = q.theme THEN 'same_theme_cross_cluster_bridge' ELSE 'underconnected_similar_audience' END AS kind FROM h JOIN videos p ON p.video_id = a JOIN videos q ON q.video_id = b"""),
+        "queue_status": _QUEUE + "SELECT status, count(*) AS n, count(DISTINCT video_id) AS n_videos, count(last_error) AS n_errors, max(updated_at) AS last_update FROM q GROUP BY 1",
+        "queue_after_reset": _QUEUE + """
+, r AS (SELECT video_id, status = 'failed' AND lower(last_error) LIKE '%quota%' AS again, status, last_error, updated_at FROM q)
+SELECT CASE WHEN again THEN 'queued' ELSE status END AS status, count(*) AS n, count(DISTINCT video_id) AS n_videos, count(last_error) FILTER (NOT again) AS n_errors, max(CASE WHEN again THEN TIMESTAMP '2002-01-01' ELSE updated_at END) AS last_update FROM r GROUP BY 1""",
+        "remaining_units": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality <> 0)",
+        "runtime_estimates": _with(body="""
+SELECT 'video' AS stage, count(*) AS units, CAST(60 + ceil(60 * count(*) / 40) AS BIGINT) AS low_seconds, CAST(60 + ceil(60 * count(*) / 20) AS BIGINT) AS high_seconds FROM videos
+UNION ALL SELECT 'sentiment', count(*), CAST(60 + ceil(60 * count(*) / 650) AS BIGINT), CAST(60 + ceil(60 * count(*) / 450) AS BIGINT) FROM all_comments"""),
+        "daily_topic_counts": "SELECT CAST(ts AS DATE) AS day, event_type AS topic, count(*) AS n_posts, round(sum(value), 2) AS engagement FROM events GROUP BY 1, 2",
+        "author_sessions": """
+WITH g AS (SELECT user_id AS author, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 3 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY author ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT author, min(ts) AS started_at, max(ts) + INTERVAL 3 HOUR AS ended_at, count(*) AS n_posts FROM r GROUP BY author, run""",
+        "sentiment_cube": _with(body="""
+SELECT community, theme, CAST(grouping(community, theme) AS INT) AS level, count(*) AS n, count(*) FILTER (label = 'negative') AS n_negative FROM (SELECT c.*, theme FROM in_community c JOIN videos USING (video_id)) GROUP BY CUBE (community, theme)"""),
+        "comment_gaps": _with(body="""
+, g AS (SELECT actor_id, CAST(ts AS DATE) - CAST(lag(ts) OVER (PARTITION BY actor_id ORDER BY ts) AS DATE) AS gap FROM all_comments)
+SELECT actor_id, count(gap) AS n_gaps, CAST(max(gap) AS INT) AS longest FROM g GROUP BY 1"""),
         "scalar_functions": """
 WITH e AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)
 SELECT event_id, (k % 3) * 3600 + k * 60 AS seconds, -1 AS bad, CASE k % 3 WHEN 0 THEN 'handle:name' WHEN 1 THEN 'channel:name' ELSE 'last:name' END || k AS channel, 'a ' || event_type AS text, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'other' END AS kind, k % 2 = 1 AS odd FROM e""",

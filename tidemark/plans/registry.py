@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fn
-from tidemark.operators import activity, aspects, cohort, events, graph, sentiment, themes, threads
+from tidemark.operators import activity, aspects, cohort, dashboard, events, graph, sentiment, state, themes, threads
 from tidemark.plans.tables import written
 from tidemark.sources.views import Views
+from tidemark.streaming import rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -374,3 +375,126 @@ def scalar_functions(v):
     iso = F.concat(F.lit("PT"), (F.col("k") % 3).cast("string"), F.lit("H"), F.col("k").cast("string"), F.lit("M"))
     url = F.concat(F.lit("https://x.test/"), F.when(F.col("k") % 3 == 0, "@").when(F.col("k") % 3 == 1, "channel/").otherwise(""), F.lit("Name"), F.col("k").cast("string"), F.lit("/?a=1"))
     return e.select("event_id", fn.duration_seconds(iso).alias("seconds"), fn.duration_seconds(F.concat(F.lit("P1D"), iso)).alias("bad"), fn.channel_key(url).alias("channel"), fn.normalized(F.concat(F.lit("  A  "), F.upper("event_type"))).alias("text"), fn.clamped(F.col("event_type"), ("click", "view"), "other").alias("kind"), fn.truthy(F.col("k") % 2).alias("odd"))
+
+
+@query
+def channel_takeaways(v):
+    return dashboard.takeaways(cohort.percentiles(_metrics(v)))
+
+
+@query
+def risk_opportunity(v):
+    return dashboard.risk_opportunity(cohort.percentiles(_metrics(v)))
+
+
+@query
+def metric_positions(v):
+    m = written(_metrics(v), "metrics")
+    return dashboard.metric_positions(m, cohort.distributions(m))
+
+
+@query
+def engagement_table(v):
+    return dashboard.engagement_table(activity.video_metrics(v.all_comments, v.videos))
+
+
+@query
+def risk_videos(v):
+    return dashboard.risk_videos(sentiment_by_video(v), least=25)
+
+
+@query
+def theme_overview(v):
+    return dashboard.theme_overview(theme_summary(v), sentiment_by_theme(v), theme_conflict(v), v.videos)
+
+
+@query
+def segment_profiles(v):
+    return dashboard.segment_profiles(community_sentiment(v), community_theme_affinity(v), "community", "theme")
+
+
+@query
+def likes_outliers(v):
+    return dashboard.likes_outliers(activity.video_metrics(v.all_comments, v.videos))
+
+
+@query
+def diagnostics(v):
+    return dashboard.diagnostics(commenter_tiers(v), continuity_sensitivity(v), network_summary(v), community_theme_affinity(v))
+
+
+def _video_edges(v):
+    """Videos by shared actors; the roles of the projection swapped."""
+    return graph.projection(v.actor_videos, "video_id", "actor_id", least_via=10, least_weight=5)
+
+
+@query
+def shared_audience_edges(v):
+    return _video_edges(v)
+
+
+@query
+def video_cluster_summary(v):
+    return graph.community_summary(_video_edges(v), v.videos.select(F.col("video_id").alias("node"), F.col("theme").alias("part")))
+
+
+@query
+def video_opportunities(v):
+    found = graph.link_opportunities(written(_video_edges(v), "edges"), top=100)
+    side = lambda x: v.videos.select(F.col("video_id").alias(x), F.col("theme").alias(f"{x}_theme"), F.col("label").alias(f"{x}_label"))
+    out = found.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.lit(1)).withColumn("same_theme", F.col("a_theme") == F.col("b_theme")).withColumn("same_cluster", F.col("a_label") == F.col("b_label"))
+    return out.select("a", "b", "common", "score", graph.opportunity_type().alias("kind"))
+
+
+def _queue(v):
+    """Orders as a work queue: their state, with an error text for some."""
+    status = F.when(F.col("o_orderstatus") == "F", "graphed").when(F.col("o_orderstatus") == "O", "queued").otherwise("failed")
+    return v.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("video_id"), status.alias("status"), F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("Quota "), F.col("o_orderpriority"))).alias("last_error"), F.col("o_orderdate").alias("updated_at"))
+
+
+@query
+def queue_status(v):
+    return state.queue_status(_queue(v))
+
+
+@query
+def queue_after_reset(v):
+    return state.queue_status(state.reset_stale(_queue(v), "2002-01-01 00:00:00"))
+
+
+@query
+def remaining_units(v):
+    done = v.table("labels").withColumn("parse_error", (F.col("quality") == 0).cast("string"))
+    return state.remaining(v.table("documents").select("doc_id", "source"), done, "doc_id", error="parse_error")
+
+
+@query
+def runtime_estimates(v):
+    counts = v.videos.agg(F.count("*").alias("units")).select(F.lit("video").alias("stage"), "units").unionByName(v.all_comments.agg(F.count("*").alias("units")).select(F.lit("sentiment").alias("stage"), "units"))
+    return state.runtime_estimates(counts)
+
+
+@query
+def daily_topic_counts(v):
+    return rates.daily_counts(v.posts)
+
+
+@query
+def author_sessions(v):
+    return rates.sessions(v.posts)
+
+
+@query
+def sentiment_cube(v):
+    """An extension: the measures over all subsets of (community, theme)."""
+    rows = _in_community(v).join(v.videos.select("video_id", "theme"), "video_id")
+    return rows.cube("community", "theme").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), F.count_if(F.col("label") == "negative").alias("n_negative"))
+
+
+@query
+def comment_gaps(v):
+    """An extension: days between an actor's comments, and the longest."""
+    from pyspark.sql import Window
+
+    gap = F.date_diff(F.to_date("ts"), F.to_date(F.lag("ts").over(Window.partitionBy("actor_id").orderBy("ts"))))
+    return v.all_comments.select("actor_id", gap.alias("gap")).groupBy("actor_id").agg(F.count("gap").alias("n_gaps"), F.max("gap").alias("longest"))
