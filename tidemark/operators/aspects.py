@@ -47,3 +47,27 @@ def top_negative(comments: DataFrame, *, k: int = 3) -> DataFrame:
     """The k most liked negative comments of each video."""
     order = Window.partitionBy("video_id").orderBy(F.desc("like_count"), "ts", "thread_id", "line", "actor_id")
     return comments.where("label = 'negative'").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("video_id", "place", "like_count", "ts", "thread_id", "line")
+
+
+SCOPES = ("negative", "positive", "keyword", "negative_or_keyword", "all")
+
+
+def comment_units(comments: DataFrame, scope: str, hit: str = "keyword_hit") -> DataFrame:
+    """The comments that a scope sends to be scored; comments: label and a boolean keyword hit."""
+    if scope not in SCOPES:
+        raise ValueError(f"unknown scope {scope!r}; one of {SCOPES}")
+    label, key = F.col("label"), F.col(hit)
+    keep = {"negative": label == "negative", "positive": label == "positive", "keyword": key, "negative_or_keyword": (label == "negative") | key, "all": F.lit(True)}[scope]
+    return comments.where(keep)
+
+
+def aspect_shares(rows: DataFrame, key: str, sentiment: str) -> DataFrame:
+    """Of each key's rows of a sentiment, the share of each aspect."""
+    out = rows.where(F.col("sentiment") == sentiment).groupBy(key, "aspect").agg(F.count("*").alias("n"))
+    return out.withColumn("share", places(ratio(F.col("n"), F.sum("n").over(Window.partitionBy(key)))))
+
+
+def actionable_share(rows: DataFrame, key: str) -> DataFrame:
+    """Of each key's negative rows, the share on aspects other than `other` and `unclear`."""
+    neg = rows.where("sentiment = 'negative'")
+    return neg.groupBy(key).agg(F.count("*").alias("n"), places(ratio(F.count_if(~F.col("aspect").isin("other", "unclear")), F.count("*"))).alias("actionable"))

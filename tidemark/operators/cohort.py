@@ -117,3 +117,14 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(order), F.desc("_new")))
     return both.withColumn("_place", place).where("_place = 1").drop("_place", "_new")
+
+
+def membership(cohort: DataFrame, configs: DataFrame) -> DataFrame:
+    """Cohort rows with the first config (by slug) whose id, handle or name key is the row's.
+    cohort: (candidate_id, url); configs: (slug, channel_id, handle, name)."""
+    from tidemark.functions.columns import channel_key
+
+    keys = configs.select("slug", F.explode(F.array(F.concat(F.lit("channel:"), F.lower("channel_id")), F.concat(F.lit("handle:"), F.lower(F.regexp_replace("handle", "^@", ""))), F.concat(F.lit("last:"), F.lower("name")))).alias("key")).where("key is not null")
+    first = keys.groupBy("key").agg(F.min("slug").alias("slug"))
+    out = cohort.withColumn("key", channel_key(F.col("url"))).join(first, "key", "left")
+    return out.withColumn("status", F.when(F.col("slug").isNull(), "missing_config").otherwise("ready"))

@@ -104,3 +104,32 @@ def diagnostics(tiers: DataFrame, sensitivity: DataFrame, network: DataFrame, af
     v = F.col("v")
     out = fact(top, "one_tier_dominates", v, v >= 80).unionByName(fact(span, "return_rate_is_stable", v, v <= 0.08)).unionByName(fact(lift, "themes_split_communities", v, v >= 1.2))
     return out.unionByName(fact(network, "communities_are_concentrated", F.col("hhi"), F.col("hhi") >= 0.25)).unionByName(fact(network, "graph_is_dense", F.col("density"), F.col("density") >= 0.1))
+
+
+def spotlight(metrics: DataFrame, spread: DataFrame, *, k: int = 3) -> DataFrame:
+    """Of each metric the k highest and lowest channels beside its median."""
+    high = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("value"), "channel"))
+    low = F.row_number().over(Window.partitionBy("metric").orderBy("value", "channel"))
+    name = lambda place: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(place) <= k, F.struct(place, "channel")))), lambda x: x["channel"]), ";")
+    out = metrics.withColumn("_high", high).withColumn("_low", low).groupBy("metric").agg(name("_high").alias("highest"), name("_low").alias("lowest"))
+    return out.join(spread.select("metric", "n", "median"), "metric")
+
+
+def story_cards(indices: DataFrame, *, high: float = 65, low: float = 35, k: int = 9) -> DataFrame:
+    """Per channel: cards for indices at the ends, by priority (60 for a risk, 50 for a strength,
+    and the distance from the middle); the first five are what to decide on."""
+    score = F.col("score")
+    risk = (F.col("index_name") == "risk_pressure") == (score >= high)
+    kind = F.when(risk, "risk").otherwise("strength")
+    cards = indices.where((score >= high) | (score <= low)).withColumn("kind", kind)
+    cards = cards.withColumn("priority", places(F.when(F.col("kind") == "risk", 60).otherwise(50) + F.abs(score - 50), 4))
+    place = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("priority"), "index_name"))
+    return cards.withColumn("place", place).where(F.col("place") <= k).select("channel", "place", "index_name", "kind", "priority", (F.col("place") <= 5).alias("decide"))
+
+
+def video_timeline(metrics: DataFrame, blocks: DataFrame, events: DataFrame) -> DataFrame:
+    """Videos in time with comments, views, negative rate, and the events of the week after."""
+    days = events.select("event_id", F.explode(F.sequence(F.date_sub("event_start", 7), F.col("event_start"))).alias("day"))
+    marked = days.groupBy("day").agg(F.array_join(F.array_sort(F.collect_set(F.col("event_id").cast("string"))), ";").alias("events"))
+    out = metrics.join(blocks.select("video_id", "negative_rate"), "video_id", "left").withColumn("day", F.to_date("published_at"))
+    return out.join(F.broadcast(marked), "day", "left").select("video_id", "day", "n_comments", "view_count", "negative_rate", "events")

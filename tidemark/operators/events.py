@@ -141,3 +141,52 @@ def impact_diagnostics(windows: DataFrame, audience: DataFrame) -> DataFrame:
     flags = {k: F.coalesce(v, F.lit(False)) for k, v in signals.items()}
     out = both.withColumns(flags)
     return out.select("event_id", *flags, sum((F.col(k).cast("int") for k in flags), F.lit(0)).alias("n_signals"), F.array_join(F.filter(F.array(*(F.when(F.col(k), F.lit(k)) for k in flags)), lambda x: x.isNotNull()), ";").alias("signals"))
+
+
+def cluster_topics(posts: DataFrame, clusters: DataFrame, *, hint_above: int = 0) -> DataFrame:
+    """(event_id, topic, votes): the topic of each cluster by weighted votes of its posts: 1 and
+    ln(1 + engagement), and 25 for a hint above hint_above. Topics that are weak signals lose to any other; ties go
+    by priority and then to the last name. clusters: (event_id, event_start, event_end)."""
+    days = clusters.select("event_id", F.explode(F.sequence("event_start", "event_end")).alias("day"))
+    vote = 1 + F.log1p(F.greatest(F.lit(0.0), F.col("engagement"))) + 25 * (F.coalesce("hint", F.lit(0)) > hint_above).cast("int")
+    votes = posts.drop("event_id").join(F.broadcast(days), "day").groupBy("event_id", "topic").agg(places(F.sum(vote), 4).alias("votes"))
+    priority = F.coalesce(F.element_at(F.create_map(*(x for k, p in TOPIC_PRIORITY.items() for x in (F.lit(k), F.lit(p)))), F.col("topic")), F.lit(0))
+    order = F.struct((~F.col("topic").isin(*LOW_SIGNAL_TOPICS)).cast("int"), "votes", priority, "topic")
+    return votes.groupBy("event_id").agg(F.max_by("topic", order).alias("topic"), F.max_by("votes", order).alias("votes"))
+
+
+def cluster_posts(posts: DataFrame, clusters: DataFrame, *, k: int = 5) -> DataFrame:
+    """Per cluster: posts, sources, and the k ids of greatest engagement, in order."""
+    days = clusters.select("event_id", F.explode(F.sequence("event_start", "event_end")).alias("day"))
+    held = posts.withColumnRenamed("event_id", "post_id").join(F.broadcast(days), "day")
+    place = F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("engagement"), "post_id"))
+    held = held.withColumn("_place", place)
+    top = F.transform(F.array_sort(F.collect_list(F.when(F.col("_place") <= k, F.struct("_place", "post_id")))), lambda x: x["post_id"].cast("string"))
+    return held.groupBy("event_id").agg(F.count("*").alias("n_posts"), F.countDistinct("source").alias("n_sources"), F.array_join(top, ";").alias("top_posts"))
+
+
+def conflict_windows(threads: DataFrame, events: DataFrame, *, baseline: int = 90, pre: int = 28, post: int = 28) -> DataFrame:
+    """Per event and window: replied threads, conflict threads, and conflicts by their rate.
+    threads: (ts, n_replies, conflict_thread)."""
+    held = in_windows(threads.where("n_replies > 0").select("ts", "conflict_thread"), events, baseline=baseline, pre=pre, post=post).where("window <> 'follow'")
+    out = held.groupBy("event_id", "window").agg(F.count("*").alias("n_replied"), F.count_if("conflict_thread").alias("n_conflict"))
+    return out.withColumn("conflict_score", places(F.col("n_conflict") * ratio(F.col("n_conflict"), F.col("n_replied"))))
+
+
+def newcomer_sentiment(comments: DataFrame, events: DataFrame, *, baseline: int = 90, pre: int = 28, post: int = 28) -> DataFrame:
+    """Per event: negative rates after it of actors first seen then and of the others, and the gap
+    in percentage points."""
+    first = comments.groupBy("actor_id").agg(F.min("ts").alias("_first"))
+    held = in_windows(comments.select("ts", "label", "actor_id"), events, baseline=baseline, pre=pre, post=post).where("window = 'post'")
+    held = held.join(first, "actor_id").join(F.broadcast(events.select("event_id", "event_start")), "event_id")
+    new, neg = F.to_date("_first") >= F.col("event_start"), F.col("label") == "negative"
+    out = held.groupBy("event_id").agg(F.count_if(new).alias("n_new"), F.count_if(~new).alias("n_old"), F.count_if(new & neg).alias("_a"), F.count_if(~new & neg).alias("_b"))
+    a, b = ratio(F.col("_a"), F.col("n_new")), ratio(F.col("_b"), F.col("n_old"))
+    return out.select("event_id", "n_new", "n_old", places(a).alias("new_negative_rate"), places(b).alias("old_negative_rate"), places(100 * (a - b)).alias("gap_pp"))
+
+
+def audience_summary(audience: DataFrame) -> DataFrame:
+    """One row: events whose share of new actors rose or fell significantly, and the mean change."""
+    pp = 100 * (F.col("post_new_share") - F.col("baseline_new_share"))
+    sure = F.abs("z") > 1.959964
+    return audience.where("z is not null").agg(F.count("*").alias("n_events"), F.count_if(sure & (pp > 0)).alias("n_up"), F.count_if(sure & (pp < 0)).alias("n_down"), places(F.avg(pp), 4).alias("mean_pp"))

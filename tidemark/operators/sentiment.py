@@ -59,3 +59,20 @@ def hotspots(comments: DataFrame, videos: DataFrame, *, least: int = 1) -> DataF
     """Videos by weighted negative rate, with their theme."""
     own = sentiment_by(comments, "video_id").where(F.col("n") >= least)
     return own.join(videos.select("video_id", "title", "theme"), "video_id").select("video_id", "title", "theme", "n", "negative_rate", "weighted_negative_rate")
+
+
+def source_row(comments: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """One row: comments in scope, those with a label, and the coverage."""
+    out = comments.join(labels.select(key).distinct().withColumn("_has", F.lit(1)), key, "left").agg(F.count("*").alias("n_scope"), F.count("_has").alias("n_labelled"))
+    return out.withColumn("coverage", places(ratio(F.col("n_labelled"), F.col("n_scope"))))
+
+
+def video_extremes(comments: DataFrame, *, least: int = 10, k: int = 5) -> DataFrame:
+    """The k videos of highest positive and of highest negative rate, of those with enough comments."""
+    own = sentiment_by(comments, "video_id").where(F.col("n") >= least).select("video_id", "n", "positive_rate", "negative_rate")
+    sides = []
+    for side in ("positive", "negative"):
+        place = F.row_number().over(Window.orderBy(F.desc(f"{side}_rate"), F.desc("n"), "video_id"))
+        best = own.orderBy(F.desc(f"{side}_rate"), F.desc("n"), "video_id").limit(k)
+        sides.append(best.select(F.lit(side).alias("side"), place.alias("place"), "video_id", "n", F.col(f"{side}_rate").alias("rate")))
+    return sides[0].unionByName(sides[1])

@@ -162,6 +162,11 @@ ends AS (SELECT a AS u, b AS v, weight FROM edges UNION ALL SELECT b, a, weight
 deg AS (SELECT u AS node, count(*) AS degree FROM ends GROUP BY 1)
 """
 
+_CLUSTERS = """
+WITH c(event_id, s, e) AS (VALUES (0, DATE '2024-01-01', DATE '2024-01-09'), (1, DATE '2024-01-10', DATE '2024-01-19'), (2, DATE '2024-01-20', DATE '2024-01-30')),
+p AS (SELECT event_id, CAST(ts AS DATE) AS day, event_type AS topic, value AS engagement, CASE WHEN user_id % 2 = 0 THEN 'forum_a' ELSE 'forum_b' END AS source, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)
+"""
+
 _QUEUE = """
 WITH q AS (SELECT o_custkey AS video_id, CASE o_orderstatus WHEN 'F' THEN 'graphed' WHEN 'O' THEN 'queued' ELSE 'failed' END AS status, CASE WHEN o_orderstatus = 'P' THEN 'Quota ' || o_orderpriority END AS last_error, o_orderdate AS updated_at FROM orders)
 """
@@ -393,6 +398,50 @@ SELECT community, theme, CAST(grouping(community, theme) AS INT) AS level, count
         "comment_gaps": _with(body="""
 , g AS (SELECT actor_id, CAST(ts AS DATE) - CAST(lag(ts) OVER (PARTITION BY actor_id ORDER BY ts) AS DATE) AS gap FROM all_comments)
 SELECT actor_id, count(gap) AS n_gaps, CAST(max(gap) AS INT) AS longest FROM g GROUP BY 1"""),
+        "cluster_topics": _CLUSTERS + """
+, w AS (SELECT c.event_id, topic, round(sum(1 + ln(1 + greatest(0, engagement)) + CASE WHEN k > 95 THEN 25 ELSE 0 END), 4) AS votes FROM p JOIN c ON p.day BETWEEN c.s AND c.e GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY votes DESC, topic DESC) AS i FROM w)
+SELECT event_id, topic, votes FROM r WHERE i = 1""",
+        "cluster_posts": _CLUSTERS + """
+, h AS (SELECT c.event_id, p.source, p.event_id AS post_id, row_number() OVER (PARTITION BY c.event_id ORDER BY engagement DESC, p.event_id) AS i FROM p JOIN c ON p.day BETWEEN c.s AND c.e)
+SELECT event_id, count(*) AS n_posts, count(DISTINCT source) AS n_sources, string_agg(CAST(post_id AS VARCHAR), ';' ORDER BY i) FILTER (i <= 5) AS top_posts FROM h GROUP BY 1""",
+        "conflict_windows": _with(_THREADS, body="""
+, happenings(event_id, s) AS (VALUES (0, DATE '1996-07-01'), (1, DATE '1997-10-01'), (2, DATE '1999-01-01'), (3, DATE '2000-04-01'), (4, DATE '2001-07-01')),
+f AS (SELECT thread_id, min(ts) AS ts FROM all_comments GROUP BY 1),
+h AS (SELECT event_id, conflict_thread, CASE WHEN ts < s - INTERVAL 28 DAY THEN 'baseline' WHEN ts < s THEN 'pre' ELSE 'post' END AS "window" FROM threads JOIN f USING (thread_id) JOIN happenings ON ts >= s - INTERVAL 118 DAY AND ts < s + INTERVAL 28 DAY WHERE n_replies > 0)
+SELECT event_id, "window", count(*) AS n_replied, count(*) FILTER (conflict_thread) AS n_conflict, round(count(*) FILTER (conflict_thread) * (count(*) FILTER (conflict_thread) / count(*)), 6) AS conflict_score FROM h GROUP BY 1, 2"""),
+        "newcomer_sentiment": _with(_EVENTS, body="""
+, f AS (SELECT actor_id, min(ts) AS first FROM all_comments GROUP BY 1),
+h AS (SELECT event_id, label, first >= s AS fresh FROM held JOIN f USING (actor_id) WHERE w = 'post'),
+g AS (SELECT event_id, count(*) FILTER (fresh) AS n_new, count(*) FILTER (NOT fresh) AS n_old, count(*) FILTER (fresh AND label = 'negative') / nullif(count(*) FILTER (fresh), 0) AS a, count(*) FILTER (NOT fresh AND label = 'negative') / nullif(count(*) FILTER (NOT fresh), 0) AS b FROM h GROUP BY 1)
+SELECT event_id, n_new, n_old, round(a, 6) AS new_negative_rate, round(b, 6) AS old_negative_rate, round(100 * (a - b), 6) AS gap_pp FROM g"""),
+        "audience_summary": _with(_EVENTS, _AUDIENCE, body="""
+, x AS (SELECT 100 * (post_new_share - baseline_new_share) AS pp, abs(z) > 1.959964 AS sure FROM audience WHERE z IS NOT NULL)
+SELECT count(*) AS n_events, count(*) FILTER (sure AND pp > 0) AS n_up, count(*) FILTER (sure AND pp < 0) AS n_down, round(avg(pp), 4) AS mean_pp FROM x"""),
+        "platform_aspect_shares": _with(_ASPECTS, body="""
+SELECT platform, aspect, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY platform), 6) AS share FROM aspect_rows WHERE sentiment = 'negative' GROUP BY 1, 2"""),
+        "negative_units": _with(body=" SELECT label, count(*) AS n, CAST(sum(like_count) AS BIGINT) AS likes FROM all_comments WHERE label = 'negative' OR like_count >= 45 GROUP BY 1"),
+        "metric_spotlight": _with(_METRICS, body="""
+, r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, channel) AS h, row_number() OVER (PARTITION BY metric ORDER BY value, channel) AS l FROM metrics)
+SELECT metric, string_agg(channel, ';' ORDER BY h) FILTER (h <= 3) AS highest, string_agg(channel, ';' ORDER BY l) FILTER (l <= 3) AS lowest, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median FROM r GROUP BY 1"""),
+        "story_cards": _with(_METRICS, body="""
+, k AS (SELECT *, CASE WHEN (index_name = 'risk_pressure') = (score >= 65) THEN 'risk' ELSE 'strength' END AS kind FROM indices WHERE score >= 65 OR score <= 35),
+q AS (SELECT *, round(CASE kind WHEN 'risk' THEN 60 ELSE 50 END + abs(score - 50), 4) AS priority FROM k),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY channel ORDER BY priority DESC, index_name) AS INT) AS place FROM q)
+SELECT channel, place, index_name, kind, priority, place <= 5 AS decide FROM r WHERE place <= 9"""),
+        "video_timeline": _with(body=f"""
+, happenings(event_id, s) AS (VALUES (0, DATE '1996-07-01'), (1, DATE '1997-10-01'), (2, DATE '1999-01-01'), (3, DATE '2000-04-01'), (4, DATE '2001-07-01')),
+n AS (SELECT video_id, count(*) AS n FROM comments GROUP BY 1), b AS (SELECT video_id, {_BLOCK} FROM all_comments GROUP BY 1),
+e AS (SELECT video_id, string_agg(CAST(event_id AS VARCHAR), ';' ORDER BY CAST(event_id AS VARCHAR)) AS events FROM videos JOIN happenings ON CAST(published_at AS DATE) BETWEEN s - 7 AND s GROUP BY 1)
+SELECT v.video_id, CAST(published_at AS DATE) AS day, coalesce(n.n, 0) AS n_comments, view_count, negative_rate, events FROM videos v LEFT JOIN n USING (video_id) LEFT JOIN b USING (video_id) LEFT JOIN e USING (video_id)"""),
+        "label_coverage": "SELECT count(*) AS n_scope, count(l.doc_id) AS n_labelled, round(count(l.doc_id) / count(*), 6) AS coverage FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)",
+        "video_extremes": _with(body=f"""
+, b AS (SELECT video_id, {_BLOCK} FROM all_comments GROUP BY 1 HAVING count(*) >= 10),
+r AS (SELECT video_id, n, positive_rate, negative_rate, CAST(row_number() OVER (ORDER BY positive_rate DESC, n DESC, video_id) AS INT) AS p, CAST(row_number() OVER (ORDER BY negative_rate DESC, n DESC, video_id) AS INT) AS q FROM b)
+SELECT 'positive' AS side, p AS place, video_id, n, positive_rate AS rate FROM r WHERE p <= 5 UNION ALL SELECT 'negative', q, video_id, n, negative_rate FROM r WHERE q <= 5"""),
+        "conversation_turns": """
+WITH c AS (SELECT conv_id, turn, role, CASE WHEN text IS NULL THEN NULL ELSE len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) END AS words FROM conversations)
+SELECT conv_id, count(*) AS n_turns, count(DISTINCT role) AS n_roles, CAST(coalesce(sum(words) FILTER (turn = 0), 0) AS BIGINT) AS parent_words, CAST(coalesce(sum(words) FILTER (turn > 0), 0) AS BIGINT) AS reply_words FROM c GROUP BY 1""",
         "scalar_functions": """
 WITH e AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)
 SELECT event_id, (k % 3) * 3600 + k * 60 AS seconds, -1 AS bad, CASE k % 3 WHEN 0 THEN 'handle:name' WHEN 1 THEN 'channel:name' ELSE 'last:name' END || k AS channel, 'a ' || event_type AS text, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'other' END AS kind, k % 2 = 1 AS odd FROM e""",

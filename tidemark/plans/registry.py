@@ -498,3 +498,81 @@ def comment_gaps(v):
 
     gap = F.date_diff(F.to_date("ts"), F.to_date(F.lag("ts").over(Window.partitionBy("actor_id").orderBy("ts"))))
     return v.all_comments.select("actor_id", gap.alias("gap")).groupBy("actor_id").agg(F.count("gap").alias("n_gaps"), F.max("gap").alias("longest"))
+
+
+def _clusters(v):
+    """Spans of days over the posts: thirds of a month."""
+    spans = ", ".join(f"({i}, date '{a}', date '{b}')" for i, (a, b) in enumerate((("2024-01-01", "2024-01-09"), ("2024-01-10", "2024-01-19"), ("2024-01-20", "2024-01-30"))))
+    return v.spark.sql(f"select * from values {spans} as t(event_id, event_start, event_end)")
+
+
+@query
+def cluster_topics(v):
+    return events.cluster_topics(v.posts, _clusters(v), hint_above=95)
+
+
+@query
+def cluster_posts(v):
+    return events.cluster_posts(v.posts, _clusters(v))
+
+
+@query
+def conflict_windows(v):
+    found = threads.thread_metrics(v.all_comments)
+    first = v.all_comments.groupBy("thread_id").agg(F.min("ts").alias("ts"))
+    return events.conflict_windows(found.join(first, "thread_id"), _events(v))
+
+
+@query
+def newcomer_sentiment(v):
+    return events.newcomer_sentiment(v.all_comments, _events(v))
+
+
+@query
+def audience_summary(v):
+    return events.audience_summary(events.audience_windows(v.all_comments, _events(v)))
+
+
+@query
+def platform_aspect_shares(v):
+    return aspects.aspect_shares(aspects.aspect_rows(_aspects(v)), "platform", "negative")
+
+
+@query
+def negative_units(v):
+    flagged = v.all_comments.withColumn("keyword_hit", F.col("like_count") >= 45)
+    return aspects.comment_units(flagged, "negative_or_keyword").groupBy("label").agg(F.count("*").alias("n"), F.sum("like_count").alias("likes"))
+
+
+@query
+def metric_spotlight(v):
+    m = written(_metrics(v), "metrics")
+    return dashboard.spotlight(m, cohort.distributions(m))
+
+
+@query
+def story_cards(v):
+    return dashboard.story_cards(cohort.composite_indices(cohort.percentiles(_metrics(v))))
+
+
+@query
+def video_timeline(v):
+    return dashboard.video_timeline(video_metrics(v), sentiment_by_video(v), _events(v))
+
+
+@query
+def label_coverage(v):
+    return sentiment.source_row(v.table("documents"), v.table("labels"), "doc_id")
+
+
+@query
+def video_extremes(v):
+    return sentiment.video_extremes(v.all_comments)
+
+
+@query
+def conversation_turns(v):
+    """Reply threads as conversations: turns, roles, and words of parents and replies."""
+    words = F.regexp_count("text", F.lit(r"\S+"))
+    c = v.table("conversations").withColumn("words", words)
+    return c.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.countDistinct("role").alias("n_roles"), F.coalesce(F.sum(F.when(F.col("turn") == 0, F.col("words"))), F.lit(0)).alias("parent_words"), F.coalesce(F.sum(F.when(F.col("turn") > 0, F.col("words"))), F.lit(0)).alias("reply_words"))
