@@ -33,6 +33,8 @@ from tidemark.llm.common import mapped, written
 ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
 #: Entries of a task's word table, each of some 300 bytes.
 TABLE_WORDS = 400_000
+#: Longer words are encoded each time, so that the table's size is bounded.
+KEPT_LETTERS = 200
 
 
 def load(path: str):
@@ -87,12 +89,15 @@ class Words(dict):
             ids = b"".join([parts.get(p) or self.piece(p) for p in LATIN_PIECES.findall(word.lower())])
         else:
             ids = array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = ids
+        if len(word) <= KEPT_LETTERS:
+            self[word] = ids
         return ids
 
     def piece(self, part: str) -> bytes:
         spelt = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-        self.parts[part] = ids = array("i", [t.id for t in self.model(spelt)]).tobytes()
+        ids = array("i", [t.id for t in self.model(spelt)]).tobytes()
+        if len(part) <= KEPT_LETTERS:
+            self.parts[part] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
