@@ -442,6 +442,15 @@ SELECT 'positive' AS side, p AS place, video_id, n, positive_rate AS rate FROM r
         "conversation_turns": """
 WITH c AS (SELECT conv_id, turn, role, CASE WHEN text IS NULL THEN NULL ELSE len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) END AS words FROM conversations)
 SELECT conv_id, count(*) AS n_turns, count(DISTINCT role) AS n_roles, CAST(coalesce(sum(words) FILTER (turn = 0), 0) AS BIGINT) AS parent_words, CAST(coalesce(sum(words) FILTER (turn > 0), 0) AS BIGINT) AS reply_words FROM c GROUP BY 1""",
+        "diagnostics": _with(_edges(3), *map(_continuity, (3, 4, 6, 8)), body="""
+, act AS (SELECT actor_id, count(DISTINCT video_id) AS nv FROM all_comments GROUP BY 1), t AS (SELECT nv, nv / (SELECT count(*) FROM videos) AS cov FROM act),
+tier AS (SELECT round(100 * (count(*) / sum(count(*)) OVER ()), 6) AS pct FROM t GROUP BY CASE WHEN nv <= 1 THEN 'one_time' WHEN cov >= 0.01 AND nv >= 3 THEN 'core' WHEN cov >= 0.005 THEN 'regular' ELSE 'returning' END),
+every AS (SELECT * FROM cont3 UNION ALL SELECT * FROM cont4 UNION ALL SELECT * FROM cont6 UNION ALL SELECT * FROM cont8), sens AS (SELECT round(sum(n_returned) / sum(n_base), 6) AS w FROM every GROUP BY n_windows),
+g AS (SELECT community, theme, count(*) AS pairs FROM actor_videos JOIN actors USING (actor_id) JOIN videos USING (video_id) GROUP BY 1, 2),
+l AS (SELECT round((pairs / sum(pairs) OVER (PARTITION BY community)) / (sum(pairs) OVER (PARTITION BY theme) / sum(pairs) OVER ()), 6) AS lift FROM g),
+n AS (SELECT count(*) AS n, sum(degree) / 2 AS m FROM deg JOIN actors ON node = actor_id), sh AS (SELECT count(*) / sum(count(*)) OVER () AS share FROM deg JOIN actors ON node = actor_id GROUP BY community),
+v(fact, value, least) AS (SELECT 'one_tier_dominates', max(pct), 80 FROM tier UNION ALL SELECT 'themes_split_communities', max(lift), 1.2 FROM l UNION ALL SELECT 'communities_are_concentrated', round(sum(share * share), 6), 0.25 FROM sh UNION ALL SELECT 'graph_is_dense', round(round(2 * m / (n * (n - 1)), 9), 6), 0.1 FROM n)
+SELECT fact, CAST(value AS DOUBLE) AS value, coalesce(value >= least, false) AS holds FROM v UNION ALL SELECT 'return_rate_is_stable', round(max(w) - min(w), 6), coalesce(max(w) - min(w) <= 0.08, false) FROM sens"""),
         "scalar_functions": """
 WITH e AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)
 SELECT event_id, (k % 3) * 3600 + k * 60 AS seconds, -1 AS bad, CASE k % 3 WHEN 0 THEN 'handle:name' WHEN 1 THEN 'channel:name' ELSE 'last:name' END || k AS channel, 'a ' || event_type AS text, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'other' END AS kind, k % 2 = 1 AS odd FROM e""",
