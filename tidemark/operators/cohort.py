@@ -39,9 +39,11 @@ def channel_metrics(comments: DataFrame, videos: DataFrame) -> DataFrame:
 
 
 def distributions(metrics: DataFrame) -> DataFrame:
-    """Per metric: n, mean, median, population deviation, extremes and quantiles (linear)."""
+    """Per metric: n, mean, median, population deviation, extremes and quantiles (linear).
+
+    Values have six places, so middles of two have seven: nine are kept."""
     q = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
-    return metrics.groupBy("metric").agg(F.count("*").alias("n"), places(F.avg("value")).alias("mean"), places(F.stddev_pop("value")).alias("sd"), F.min("value").alias("least"), F.max("value").alias("most"), *(places(F.percentile("value", p)).alias(k) for k, p in q.items()))
+    return metrics.groupBy("metric").agg(F.count("*").alias("n"), places(F.avg("value"), 9).alias("mean"), places(F.stddev_pop("value"), 9).alias("sd"), F.min("value").alias("least"), F.max("value").alias("most"), *(places(F.percentile("value", p), 9).alias(k) for k, p in q.items()))
 
 
 def percentiles(metrics: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def target_comparison(metrics: DataFrame, target: str) -> DataFrame:
     """The target's metrics against all channels: share at or below, distance from the median."""
     own = metrics.where(F.col("channel") == target).select("metric", F.col("value").alias("target"))
     out = metrics.join(F.broadcast(own), "metric").groupBy("metric", "target").agg((100 * F.avg((F.col("value") <= F.col("target")).cast("double"))).alias("p"), F.percentile("value", 0.5).alias("m"))
-    return out.select("metric", "target", places(F.col("p")).alias("percentile"), places(F.col("m")).alias("median"), places(F.col("target") - F.col("m")).alias("delta"), places(ratio(F.col("target"), F.col("m"))).alias("ratio"))
+    return out.select("metric", "target", places(F.col("p")).alias("percentile"), places(F.col("m"), 9).alias("median"), places(F.col("target") - F.col("m"), 9).alias("delta"), places(ratio(F.col("target"), F.col("m")), 9).alias("ratio"))
 
 
 def composite_indices(ranks: DataFrame) -> DataFrame:
@@ -90,7 +92,7 @@ def size_bands(sizes: DataFrame, metrics: DataFrame, *, bounds: tuple[int, ...]
     the sample deviation, 0 for one channel."""
     bands = F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("size"))
     held = sizes.select("channel", F.explode(bands).alias("at_least"))
-    return metrics.join(held, "channel").groupBy("at_least", "metric").agg(F.count("*").alias("n"), places(F.avg("value")).alias("mean"), places(F.coalesce(F.stddev_samp("value"), F.lit(0.0))).alias("sd"), places(F.percentile("value", 0.5)).alias("median"))
+    return metrics.join(held, "channel").groupBy("at_least", "metric").agg(F.count("*").alias("n"), places(F.avg("value"), 9).alias("mean"), places(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 9).alias("sd"), places(F.percentile("value", 0.5), 9).alias("median"))
 
 
 def loglog_regression(rows: DataFrame, x: str, y: str) -> DataFrame:

@@ -316,11 +316,11 @@ SELECT platform, aspect, day, n_negative, round(mean, 6) AS mean, round((n_negat
 SELECT video_id, CAST(k AS INT) AS place, like_count, ts, thread_id, line FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY like_count DESC, ts, thread_id, line, actor_id) AS k FROM all_comments WHERE label = 'negative') WHERE k <= 3"""),
         "channel_metrics": _with(_METRICS, body=" SELECT * FROM metrics"),
         "metric_distributions": _with(_METRICS, body="""
-SELECT metric, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, min(value) AS least, max(value) AS most, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.9), 6) AS p90 FROM metrics GROUP BY 1"""),
+SELECT metric, count(*) AS n, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS sd, min(value) AS least, max(value) AS most, round(quantile_cont(value, 0.1), 9) AS p10, round(quantile_cont(value, 0.25), 9) AS p25, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.75), 9) AS p75, round(quantile_cont(value, 0.9), 9) AS p90 FROM metrics GROUP BY 1"""),
         "metric_percentiles": _with(_METRICS, body=" SELECT *, CASE WHEN percentile >= 90 THEN 'very_high' WHEN percentile >= 75 THEN 'high' WHEN percentile <= 10 THEN 'very_low' WHEN percentile <= 25 THEN 'low' ELSE 'typical' END AS band FROM ranks"),
         "target_comparison": _with(_METRICS, body="""
 , o AS (SELECT metric, value AS target FROM metrics WHERE channel = 'NATION_7')
-SELECT metric, target, round(100 * avg(CASE WHEN value <= target THEN 1.0 ELSE 0.0 END), 6) AS percentile, round(quantile_cont(value, 0.5), 6) AS median, round(target - quantile_cont(value, 0.5), 6) AS delta, round(target / quantile_cont(value, 0.5), 6) AS ratio FROM metrics JOIN o USING (metric) GROUP BY 1, 2"""),
+SELECT metric, target, round(100 * avg(CASE WHEN value <= target THEN 1.0 ELSE 0.0 END), 6) AS percentile, round(quantile_cont(value, 0.5), 9) AS median, round(target - quantile_cont(value, 0.5), 9) AS delta, round(target / quantile_cont(value, 0.5), 9) AS ratio FROM metrics JOIN o USING (metric) GROUP BY 1, 2"""),
         "composite_indices": _with(_METRICS, body=" SELECT * FROM indices"),
         "channel_archetypes": _with(_METRICS, body="""
 , p AS (SELECT channel, coalesce(max(score) FILTER (index_name = 'engagement_conversion'), 0) AS e, coalesce(max(score) FILTER (index_name = 'audience_stickiness'), 0) AS s, coalesce(max(score) FILTER (index_name = 'conversation_quality'), 0) AS q, coalesce(max(score) FILTER (index_name = 'risk_pressure'), 0) AS r FROM indices GROUP BY 1)
@@ -330,7 +330,7 @@ SELECT channel, CASE WHEN e >= 65 AND r >= 65 THEN 1 WHEN e >= 65 AND s >= 60 AN
 SELECT metric, channel, value, 'top' AS board, t AS place FROM r WHERE t <= 5 UNION ALL SELECT metric, channel, value, 'bottom', b FROM r WHERE b <= 5"""),
         "size_bands": _with(_METRICS, body="""
 , b(at_least) AS (VALUES (0), (1000), (2000)), z AS (SELECT channel, value AS size FROM metrics WHERE metric = 'n_comments')
-SELECT at_least, metric, count(*) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd, round(quantile_cont(value, 0.5), 6) AS median FROM metrics JOIN z USING (channel) JOIN b ON size >= at_least GROUP BY 1, 2"""),
+SELECT at_least, metric, count(*) AS n, round(avg(value), 9) AS mean, round(coalesce(stddev_samp(value), 0), 9) AS sd, round(quantile_cont(value, 0.5), 9) AS median FROM metrics JOIN z USING (channel) JOIN b ON size >= at_least GROUP BY 1, 2"""),
         "loglog_regression": _with(body="""
 , m AS (SELECT log10(view_count + 1) AS x, log10(coalesce(l, 0) + 1) AS y FROM videos LEFT JOIN (SELECT video_id, sum(like_count) AS l FROM all_comments GROUP BY 1) USING (video_id))
 SELECT count(*) AS n, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 4) AS intercept, round(regr_r2(y, x), 6) AS r2 FROM m"""),
@@ -346,7 +346,7 @@ SELECT channel, place, metric, percentile, reading FROM r WHERE place <= 8"""),
 , r AS (SELECT *, CAST(row_number() OVER (PARTITION BY channel, reading ORDER BY x DESC, metric) AS INT) AS place FROM readings WHERE reading <> 'context')
 SELECT channel, reading, place, metric, percentile FROM r WHERE place <= 5"""),
         "metric_positions": _with(_METRICS, body="""
-, d AS (SELECT metric, [min(value), round(quantile_cont(value, 0.1), 6), round(quantile_cont(value, 0.25), 6), round(quantile_cont(value, 0.5), 6), round(quantile_cont(value, 0.75), 6), round(quantile_cont(value, 0.9), 6), max(value)] AS q FROM metrics GROUP BY 1),
+, d AS (SELECT metric, [min(value), round(quantile_cont(value, 0.1), 9), round(quantile_cont(value, 0.25), 9), round(quantile_cont(value, 0.5), 9), round(quantile_cont(value, 0.75), 9), round(quantile_cont(value, 0.9), 9), max(value)] AS q FROM metrics GROUP BY 1),
 e AS (SELECT m.*, q, [0, 10, 25, 50, 75, 90, 100] AS p, CASE WHEN value <= q[1] THEN 1 WHEN value <= q[2] THEN 2 WHEN value <= q[3] THEN 3 WHEN value <= q[4] THEN 4 WHEN value <= q[5] THEN 5 WHEN value <= q[6] THEN 6 WHEN value <= q[7] THEN 7 ELSE 8 END AS k FROM metrics m JOIN d USING (metric))
 SELECT channel, metric, value, round(CASE WHEN k = 1 THEN 0 WHEN k = 8 THEN 100 ELSE p[k - 1] + (p[k] - p[k - 1]) * coalesce((value - q[k - 1]) / nullif(q[k] - q[k - 1], 0), 0) END, 4) AS position, round((value - q[4]) / nullif(q[5] - q[3], 0), 4) AS iqr_distance, CASE WHEN value < q[3] THEN 'below_iqr' WHEN value > q[5] THEN 'above_iqr' ELSE 'inside_iqr' END AS part FROM e"""),
         "engagement_table": _with(body="""
@@ -423,7 +423,7 @@ SELECT platform, aspect, count(*) AS n, round(count(*) / sum(count(*)) OVER (PAR
         "negative_units": _with(body=" SELECT label, count(*) AS n, CAST(sum(like_count) AS BIGINT) AS likes FROM all_comments WHERE label = 'negative' OR like_count >= 45 GROUP BY 1"),
         "metric_spotlight": _with(_METRICS, body="""
 , r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, channel) AS h, row_number() OVER (PARTITION BY metric ORDER BY value, channel) AS l FROM metrics)
-SELECT metric, string_agg(channel, ';' ORDER BY h) FILTER (h <= 3) AS highest, string_agg(channel, ';' ORDER BY l) FILTER (l <= 3) AS lowest, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median FROM r GROUP BY 1"""),
+SELECT metric, string_agg(channel, ';' ORDER BY h) FILTER (h <= 3) AS highest, string_agg(channel, ';' ORDER BY l) FILTER (l <= 3) AS lowest, count(*) AS n, round(quantile_cont(value, 0.5), 9) AS median FROM r GROUP BY 1"""),
         "story_cards": _with(_METRICS, body="""
 , k AS (SELECT *, CASE WHEN (index_name = 'risk_pressure') = (score >= 65) THEN 'risk' ELSE 'strength' END AS kind FROM indices WHERE score >= 65 OR score <= 35),
 q AS (SELECT *, round(CASE kind WHEN 'risk' THEN 60 ELSE 50 END + abs(score - 50), 4) AS priority FROM k),
