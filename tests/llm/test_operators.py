@@ -49,6 +49,17 @@ def test_mixing(hard, none):
     assert mixing.mix_sources(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_mixing_keeps_sources_without_words(spark):
+    rows = [(1, None, "void"), (2, "", "void"), (3, " \n\t ", None), (4, "the house", "s"), (5, "", "s"), (6, "the river and the stone", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix_sources(docs).collect()}
+    assert sorted(got) == [r[0] for r in rows]
+    assert all((got[i].source_size, got[i].target, got[i]["size"], got[i].copies) == (0, 0, 0, 1) for i in (1, 2, 3))
+    assert {1, 2, 3} <= {r.doc_id for r in mixing.mixed_documents(docs).collect()}
+    bare = mixing.mix_sources(docs.where("doc_id <= 3")).collect()
+    assert sorted(r.doc_id for r in bare) == [1, 2, 3] and all(r.copies == 1 for r in bare)
+
+
 def test_balancing_two_margins(spark):
     cells = spark.createDataFrame([("a", "x", 100.0), ("a", "y", 50.0), ("b", "x", 30.0), ("b", "y", 80.0)], "k string, l string, _mix_mass double")
     first = spark.createDataFrame([("a", 120.0), ("b", 140.0)], "k string, target double")

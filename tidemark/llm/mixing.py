@@ -103,7 +103,9 @@ def rounded(docs: DataFrame, stats: DataFrame) -> DataFrame:
     by_block = stats.select(*block, part.alias("_n"), (F.col("_mix_size") * whole).alias("_taken"), F.col("_mix_size").alias("_mass"), "target").groupBy(*block).agg(*sums)
     falling = Window.partitionBy("_mix_key").orderBy(F.desc("_mix_size"))
     by_size = by_block.groupBy("_mix_key", "_mix_size").agg(*sums)
-    by_size = by_size.withColumn("_small", (F.sum("_mass").over(falling) - F.col("_mass")) * 2 >= F.sum("_mass").over(Window.partitionBy("_mix_key")))
+    total = F.sum("_mass").over(Window.partitionBy("_mix_key"))
+    # a stratum without words has no smaller half: its one size is the first
+    by_size = by_size.withColumn("_small", (total > 0) & ((F.sum("_mass").over(falling) - F.col("_mass")) * 2 >= total))
     by_size = by_size.withColumn("_at_size", F.sum("_n").over(Window.partitionBy("_mix_key", "_small").orderBy(F.desc("_mix_size"))) - F.col("_n"))
     trial = by_size.withColumn("_first", F.explode(F.array(*(F.lit(k * one // OFFSETS) for k in range(OFFSETS)))))
     trial = trial.groupBy("_mix_key", "_small", "_first").agg(F.sum(F.col("_taken") + F.col("_mix_size") * passed(F.col("_at_size"), F.col("_n"), F.col("_first"))).alias("_taken"), F.max("target").alias("target"))
