@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -10,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import bpe, hilbert, langid, mixing, mpeg, neardup, quality, queries, rules, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -306,6 +308,42 @@ def test_near_duplicates(hard, none):
     assert neardup.near_duplicates(none).count() == 0 and neardup.deduplicated(none).count() == 0
 
 
+def test_near_copies_against_all_pairs(spark, none):
+    """Components of near copies are those of brute-force Jaccard of five-word shingles."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(500)]
+    texts = [None, "", "a b", "a b", "a b c"]
+    for _ in range(12):
+        base = rng.choices(vocabulary, k=rng.randrange(20, 200))
+        texts.append(" ".join(base))
+        for _ in range(10):  # near copies on both sides of the bound, and chains of them
+            copy = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+            base = copy if rng.random() < 0.3 else base
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+
+    def brute_set(text):
+        w = (text or "").lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [brute_set(t) for t in texts]
+    root = list(range(len(texts)))
+    missed = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                missed += (brute_fingerprint(texts[i]) ^ brute_fingerprint(texts[j])).bit_count() > 3
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    assert missed > 20  # the three SimHash bits of op9 do not reach these
+    got = {r.doc_id: r.component_id for r in neardup.near_copies(docs).collect()}
+    assert got == dict(enumerate(root))
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == sorted(set(root))
+    assert neardup.near_copies(none).count() == 0 and neardup.deduplicated_copies(none).count() == 0
+
+
 def test_links_lose_no_component(spark):
     rng = np.random.default_rng(5)
     base = [int(x) for x in rng.integers(0, 1 << 63, 30)]

@@ -14,6 +14,10 @@ there a search over the ones not yet reached yields a spanning forest of the exa
 group of n near copies gives n - 1 rows, not n squared. Components come from the forests by
 repeated hooking to the smallest neighbour, in tables.
 
+Near copies (the pipeline's stage) are another relation: pairs of texts whose sets of 5-word shingles
+have a Jaccard similarity of at least 0.8, which differ in about 10 of 64 SimHash bits, beyond what
+Golay keys reach. Their candidates share a MinHash key; each is verified on the whole sets.
+
 Nulls: a null text has no words and fingerprint 0; documents of fingerprint 0 link like any
 others. A null id takes part and gets its component, of which it is the smallest only if all ids
 are null (then null). Repeated rows fall into one component. Extra columns are left out.
@@ -21,14 +25,14 @@ are null (then null). Repeated rows fall into one component. Extra columns are l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import mapped, written
@@ -37,26 +41,37 @@ from tidemark.llm.common import mapped, written
 RADIUS = 3
 WORDS = 3
 SEED = 42
+#: Near copies: words of a shingle, least Jaccard similarity, and keys (BANDS of ROWS minima each).
+#: A pair of similarity 0.8 shares no key with probability (1 - 0.8**5)**40, about 1e-7.
+COPY_WORDS = 5
+LEAST_ALIKE = 0.8
+BANDS, ROWS = 40, 5
+#: In keys of over FEW sets, pairs whose share of equal least bytes is further than SLACK below the
+#: least similarity are not compared; one of similarity 0.8 is lost so with about 1e-7 as well.
+FEW, SLACK = 16, 0.16
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, which generates the binary Golay code.
 GENERATOR = 0b101011100011
 
 
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each run of `words` words, or of the whole text if it has no more words."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined = b" ".join(parts)
+    if len(parts) > words:
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        starts = np.concatenate([[0], ends[: -words]])
+        return np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist())], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(joined, SEED)] if parts else [], np.uint64)
+
+
 def fingerprints(column: pa.Array, words: int = WORDS) -> np.ndarray:
     """SimHash of each text: bit i is set if it is set in over half of the shingles' XXH64."""
     out = np.zeros(len(column), np.uint64)
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    digest = xxhash.xxh64_intdigest
     for r, text in enumerate(column.to_pylist()):
-        parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not parts:
+        hashes = shingles(text, words)
+        if not len(hashes):
             continue
-        joined = b" ".join(parts)
-        if len(parts) > words:
-            ends = np.cumsum([len(p) + 1 for p in parts])
-            starts = np.concatenate([[0], ends[: -words]])
-            hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist())], np.uint64)
-        else:
-            hashes = np.array([digest(joined, SEED)], np.uint64)
         ones = np.zeros(64, np.int64)
         for at in range(0, len(hashes), 1 << 14):
             ones += np.unpackbits(hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -227,18 +242,136 @@ def components(edges: DataFrame, *, rounds: int = 100) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", words: int = WORDS) -> DataFrame:
     """(key, fp, component_id): component_id is the smallest key reachable over links."""
     found = written(with_fingerprints(docs, key=key, words=words), "fingerprints")
+    return _with_components(found, links, key)
+
+
+def _with_components(found: DataFrame, edges: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+    """found (key, fp) with component_id, given the links of the distinct fp."""
     groups = written(found.groupBy("fp").agg(F.min(key).alias("_least")), "distinct")
-    roots = written(components(links(groups)), "roots")
+    roots = written(components(edges(groups)), "roots")
     own = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = own.groupBy("root").agg(F.min("_least").alias("component_id"))
     by_fp = own.join(least, "root").select("fp", "component_id")
     return found.join(by_fp, "fp").select(key, "fp", "component_id")
 
 
+@lru_cache(maxsize=1)
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    draw = lambda: rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+    return draw(), draw() | np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One key for each band of a set, of the least values under ROWS hash functions; and a byte of
+    each of all those values."""
+    flip, times = _multipliers()
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1 << 10):
+        np.minimum(least, ((hashes[at : at + (1 << 10), None] ^ flip) * times).min(axis=0), out=least)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        out = (out ^ (row >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out, (least >> np.uint64(16)).astype(np.uint8)
+
+
+def with_sets(docs: DataFrame, *, key: str = "doc_id", words: int = COPY_WORDS) -> DataFrame:
+    """(key, fp, size, shingles, sketch, keys) of every whole text: its set of shingles in order as
+    bytes, a digest of that, and the set's least bytes and keys (none of an empty set)."""
+
+    def hashed(part: pa.RecordBatch) -> list:
+        sets = [np.unique(shingles(t, words)) for t in part.column("text").to_pylist()]
+        raw = [x.astype("<u8").tobytes() for x in sets]
+        fp = np.array([xxhash.xxh64_intdigest(x, SEED) for x in raw], np.uint64).view(np.int64)
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+        keys, least = zip(*(band_keys(x) if len(x) else none for x in sets))
+        return [part.column(key), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), pa.array(raw, pa.binary()), pa.array([x.tobytes() for x in least], pa.binary()), pa.array([x.view(np.int64) for x in keys], pa.list_(pa.int64()))]
+
+    kind = docs.schema[key].dataType.simpleString()
+    return mapped(docs.select(key, "text"), hashed, f"{key} {kind}, fp bigint, size int, shingles binary, sketch binary, keys array<bigint>")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of at least `least`; sets: (fp, shingles)."""
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("_x"), batch.column("_y")):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= least * (len(x) + len(y) - common) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda end, name: sets.select(F.col("fp").alias(end), F.col("shingles").alias(name))
+    return pairs.join(side("a", "_x"), "a").join(side("b", "_y"), "b").select("a", "b", "_x", "_y").mapInArrow(checked, "a bigint, b bigint")
+
+
+def copy_links(found: DataFrame, least: float = LEAST_ALIKE) -> DataFrame:
+    """(a, b): links of similarity `least` or more between sets that share a key, enough of them to
+    join every component. found: with_sets, written.
+
+    First every set is compared with the smallest of each of its keys; then, of each key, the sets
+    that those links have left in different components with each other. Of keys of over FEW sets only
+    pairs that share enough least bytes go on to the whole sets.
+    """
+    distinct = found.where("size > 0").select("fp", "size", "keys").dropDuplicates(["fp"])
+    keyed = distinct.select("fp", "size", F.explode("keys").alias("key"))
+    group = Window.partitionBy("key")
+    members = keyed.select("key", "fp", "size", F.count("*").over(group).alias("n"), F.min(F.struct("fp", "size")).over(group).alias("first"))
+    members = written(members.where("n > 1"), "members")
+    some = members.select("fp").distinct()
+    sets = written(found.select("fp", "shingles", "sketch").join(some, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    near = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
+    stars = members.where((F.col("first.fp") != F.col("fp")) & near(F.col("size"), F.col("first.size")))
+    stars = written(stars.select(F.col("first.fp").alias("a"), F.col("fp").alias("b")).distinct(), "stars")
+    linked = written(alike(stars, sets, least), "linked")
+    roots = written(components(linked), "roots").withColumnRenamed("node", "fp")
+    placed = members.select("key", "fp", "size", "n").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    split = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("key")
+    placed = written(placed.join(split, "key", "left_semi"), "placed")
+    few = placed.where(F.col("n") <= FEW)
+    left = few.select("key", F.col("fp").alias("a"), F.col("size").alias("_size"), F.col("root").alias("_root"))
+    right = few.select("key", F.col("fp").alias("b"), "size", "root")
+    on = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("_root") != F.col("root")) & near(F.col("_size"), F.col("size"))
+    many = placed.where(F.col("n") > FEW).select("key", "fp", "size", "root").join(sets.select("fp", "sketch"), "fp")
+
+    def close(group: pa.Table) -> pa.Table:
+        fp, size, root = (group.column(c).to_numpy() for c in ("fp", "size", "root"))
+        sketch = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in group.column("sketch")])
+        a, b = [], []
+        for i in range(len(fp) - 1):
+            j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (np.minimum(size[i + 1 :], size[i]) >= least * np.maximum(size[i + 1 :], size[i]) - 1e-9))
+            j = j[(sketch[j] == sketch[i]).sum(axis=1) >= (least - SLACK) * BANDS * ROWS]
+            a.append(np.minimum(fp[i], fp[j]))
+            b.append(np.maximum(fp[i], fp[j]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    pairs = left.join(right, on).select("a", "b").unionByName(many.groupBy("key").applyInArrow(close, "a bigint, b bigint"))
+    rest = written(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "rest")
+    return linked.unionByName(alike(rest, sets, least))
+
+
+def near_copies(docs: DataFrame, *, key: str = "doc_id", words: int = COPY_WORDS, least: float = LEAST_ALIKE) -> DataFrame:
+    """(key, fp, component_id) as near_duplicates, where fp is a digest of the set of shingles and
+    links are pairs of sets with a Jaccard similarity of at least `least`."""
+    found = written(with_sets(docs, key=key, words=words), "sets")
+    return _with_components(found.select(key, "fp"), lambda _: copy_links(found, least), key)
+
+
+def deduplicated_copies(docs: DataFrame, *, words: int = COPY_WORDS, least: float = LEAST_ALIKE) -> DataFrame:
+    """docs with one row of each component of near_copies, as deduplicated."""
+    return _one_of_each(docs, near_copies(docs, words=words, least=least), lambda df: with_sets(df, key="_dedup_row", words=words))
+
+
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each component: that of the smallest id. Rows without an id stay only
     where no row of their component has one, one for each fingerprint."""
-    found = near_duplicates(docs, **options)
+    return _one_of_each(docs, near_duplicates(docs, **options), lambda df: with_fingerprints(df, key="_dedup_row", **{k: v for k, v in options.items() if k == "words"}))
+
+
+def _one_of_each(docs: DataFrame, found: DataFrame, prints: Callable[[DataFrame], DataFrame]) -> DataFrame:
     kept = written(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     orphans = found.where("component_id is null").select("fp").distinct()
@@ -246,5 +379,5 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
         return named.select(*docs.columns)
     nameless = docs.where("doc_id is null").withColumn("_dedup_row", F.monotonically_increasing_id())
     nameless = written(nameless, "nameless")
-    marks = with_fingerprints(nameless, key="_dedup_row", **{k: v for k, v in options.items() if k == "words"}).join(orphans, "fp").groupBy("fp").agg(F.min("_dedup_row").alias("_dedup_row"))
+    marks = prints(nameless).join(orphans, "fp").groupBy("fp").agg(F.min("_dedup_row").alias("_dedup_row"))
     return named.select(*docs.columns).unionByName(nameless.join(marks.select("_dedup_row"), "_dedup_row", "left_semi").select(*docs.columns))
