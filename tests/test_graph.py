@@ -1,6 +1,7 @@
 import random
 
 from tidemark.operators import graph
+from tidemark.plans import registry
 
 
 def table(spark, edges):
@@ -49,3 +50,13 @@ def test_empty_graph(spark):
     none = table(spark, [])
     for f in (graph.connected_components, graph.core_numbers, graph.label_communities, graph.betweenness):
         assert f(none).collect() == []
+
+
+def test_registered_loops_run_on_the_edges_of_the_other_relations(spark, small, monkeypatch):
+    edges = []
+    for name in ("connected_components", "label_communities", "core_numbers", "betweenness"):
+        monkeypatch.setattr(graph, name, lambda found: edges.append(found))
+    for name in ("connected_components", "communities", "core_numbers", "betweenness"):
+        registry.QUERIES[name](spark, small)
+    want = set(registry.QUERIES["cocommenter_edges"](spark, small).collect())
+    assert len(edges) == 4 and want and all(set(e.collect()) == want for e in edges)

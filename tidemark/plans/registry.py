@@ -349,22 +349,22 @@ def completion_report(v):
 
 @query
 def connected_components(v):
-    return graph.connected_components(_sparse_edges(v))
+    return graph.connected_components(_edges(v))
 
 
 @query
 def communities(v):
-    return graph.label_communities(_sparse_edges(v))
+    return graph.label_communities(_edges(v))
 
 
 @query
 def core_numbers(v):
-    return graph.core_numbers(_sparse_edges(v))
+    return graph.core_numbers(_edges(v))
 
 
 @query
 def betweenness(v):
-    return graph.betweenness(_sparse_edges(v))
+    return graph.betweenness(_edges(v))
 
 
 @query
