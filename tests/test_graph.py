@@ -46,6 +46,13 @@ def test_betweenness(spark):
     assert [round(got[i], 6) for i in range(4)] == [0, 0.666667, 0.666667, 0]
 
 
+def test_betweenness_of_a_long_path(spark):
+    """Exact up to 128 nodes, as deep as the path is."""
+    n = 100
+    got = {r.node: r.betweenness for r in graph.betweenness(table(spark, [(i, i + 1, 1) for i in range(n - 1)])).collect()}
+    assert all(abs(got[i] - 2 * i * (n - 1 - i) / ((n - 1) * (n - 2))) < 1e-6 for i in range(n))
+
+
 def test_empty_graph(spark):
     none = table(spark, [])
     for f in (graph.connected_components, graph.core_numbers, graph.label_communities, graph.betweenness):

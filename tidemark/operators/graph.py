@@ -6,6 +6,8 @@ An edge table has (a, b, weight) with a < b. `both` has every edge in both direc
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,29 +190,32 @@ def core_numbers(edges: DataFrame, *, rounds: int = 100) -> DataFrame:
     return cores
 
 
-def betweenness(edges: DataFrame, *, pivots: int = 32, depth: int = 64) -> DataFrame:
+def betweenness(edges: DataFrame, *, pivots: int = 128) -> DataFrame:
     """(node, betweenness): shortest-path counts from `pivots` nodes chosen by hash (all nodes if
-    there are no more), searched level by level and summed back, normalised as for all pairs."""
+    there are no more), searched level by level to the last node and summed back, normalised as for
+    all pairs."""
     ends = written(both(edges).select("u", "v"), "ends")
     nodes = ends.select(F.col("u").alias("node")).distinct()
     n = nodes.count()
     k = min(pivots, n)
     start = nodes.orderBy(F.xxhash64("node", F.lit(42)), "node").limit(k)
-    seen = written(start.select(F.col("node").alias("pivot"), "node", F.lit(0).alias("level"), F.lit(1.0).alias("paths")), "seen")
-    for level in range(depth):
-        front = seen.where(F.col("level") == level).join(ends.withColumnRenamed("u", "node"), "node").groupBy("pivot", F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
-        fresh = written(front.join(seen.select("pivot", "node"), ["pivot", "node"], "left_anti").select("pivot", "node", F.lit(level + 1).alias("level"), "paths"), "front")
+    levels = [written(start.select(F.col("node").alias("pivot"), "node", F.lit(1.0).alias("paths")), "front")]
+    while True:
+        front = levels[-1].join(ends.withColumnRenamed("u", "node"), "node").groupBy("pivot", F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
+        for seen in levels[-2:]:  # neighbours of a level are in it or next to it
+            front = front.join(seen.select("pivot", "node"), ["pivot", "node"], "left_anti")
+        fresh = written(front.select("pivot", "node", "paths"), "front")
         if not fresh.limit(1).count():
             break
-        seen = written(seen.unionByName(fresh), "seen")
-    deepest = seen.agg(F.max("level")).first()[0] or 0
-    share = seen.where(F.col("level") == deepest).select("pivot", "node", F.lit(0.0).alias("delta"))
-    done = share
-    for level in range(deepest, 0, -1):
-        below = seen.where(F.col("level") == level).join(done, ["pivot", "node"]).select("pivot", F.col("node").alias("u"), F.col("paths").alias("_paths"), "delta")
-        above = seen.where(F.col("level") == level - 1).select("pivot", F.col("node").alias("v"), "paths")
-        given = below.join(ends, "u").join(above, ["pivot", "v"]).groupBy("pivot", F.col("v").alias("node")).agg(F.sum(F.col("paths") / F.col("_paths") * (1 + F.col("delta"))).alias("delta"))
-        own = seen.where(F.col("level") == level - 1).select("pivot", "node").join(given, ["pivot", "node"], "left").select("pivot", "node", F.coalesce("delta", F.lit(0.0)).alias("delta"))
-        done = written(done.unionByName(own), "delta")
+        levels.append(fresh)
+    below = levels[-1].select("pivot", "node", "paths", F.lit(0.0).alias("delta"))
+    deltas = [below]
+    for level in reversed(levels[:-1]):
+        lower = below.select("pivot", F.col("node").alias("u"), F.col("paths").alias("_paths"), "delta")
+        above = level.select("pivot", F.col("node").alias("v"), "paths")
+        given = lower.join(ends, "u").join(above, ["pivot", "v"]).groupBy("pivot", F.col("v").alias("node")).agg(F.sum(F.col("paths") / F.col("_paths") * (1 + F.col("delta"))).alias("delta"))
+        below = written(level.join(given, ["pivot", "node"], "left").select("pivot", "node", "paths", F.coalesce("delta", F.lit(0.0)).alias("delta")), "delta")
+        deltas.append(below)
+    done = reduce(DataFrame.unionByName, deltas)
     scale = n / k / ((n - 1) * (n - 2)) if n > 2 else 0.0
     return done.groupBy("node").agg(places(F.sum(F.when(F.col("pivot") != F.col("node"), F.col("delta")).otherwise(0.0)) * scale, 9).alias("betweenness"))
