@@ -35,6 +35,21 @@ def test_cores(spark):
     assert got == {**{i: 4 for i in (*range(5), *range(10, 15))}, 20: 1, 21: 1}
 
 
+def test_loops_of_a_long_path(spark):
+    """More rounds than a hundred for the cores; communities that only coarsening joins."""
+    path = table(spark, [(i, i + 1, 1) for i in range(209)])
+    assert {r.core for r in graph.core_numbers(path).collect()} == {1}
+    parts = graph.label_communities(path)
+    assert parts.count() == 210 and graph.modularity(path, parts).first()[0] > 0.8
+
+
+def test_communities_of_a_random_graph(spark):
+    rng = random.Random(3)
+    edges = sorted({(a, b, 1) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(6000)) if a < b and (a % 6 == b % 6 or rng.random() < 0.1)})
+    found, planted = graph.label_communities(table(spark, edges)), spark.createDataFrame([(i, i % 6) for i in range(300)], "node int, part int")
+    assert graph.modularity(table(spark, edges), found).first()[0] >= graph.modularity(table(spark, edges), planted).first()[0] - 0.01
+
+
 def test_communities(spark):
     got = {r.node: r.part for r in graph.label_communities(table(spark, two_cliques())).collect()}
     assert len({got[i] for i in range(5)}) == 1 and len({got[i] for i in range(10, 15)}) == 1 and got[0] != got[10]

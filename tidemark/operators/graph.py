@@ -142,41 +142,65 @@ def connected_components(edges: DataFrame, *, rounds: int = 100) -> DataFrame:
     return labels
 
 
-def label_communities(edges: DataFrame, *, rounds: int = 8) -> DataFrame:
-    """(node, part): deterministic communities by moves that gain modularity.
+def label_communities(edges: DataFrame) -> DataFrame:
+    """(node, part): deterministic communities by moves that gain modularity, and coarsening.
 
     In each round the nodes of one of two hash colours move to the neighbouring community of
-    greatest gain (ties: the smallest id) if that is above the gain of staying; rounds end when
-    neither colour moves. The colours keep neighbours from swapping for ever.
+    greatest gain (ties: the smallest id) if that is above the gain of staying, and then those of
+    the other; each round has its own colours, which keep neighbours from swapping for ever. When a
+    round gains no modularity, the communities become nodes and the moves start again, until
+    communities no longer join.
     """
     ends = written(both(edges), "ends")
-    strength = written(ends.groupBy(F.col("u").alias("node")).agg(F.sum("weight").alias("k")), "strength")
-    total = strength.agg(F.sum("k")).first()[0] or 1
+    parts = None
+    while True:
+        labels, gained = _moved(ends)
+        labels = labels.select("node", "part")
+        parts = labels if parts is None else written(parts.withColumnRenamed("part", "_part").join(labels.withColumnRenamed("node", "_part"), "_part").select("node", "part"), "parts")
+        if not gained:
+            return parts
+        side = lambda x: labels.select(F.col("node").alias(x), F.col("part").alias(f"_{x}"))
+        ends = written(ends.join(side("u"), "u").join(side("v"), "v").groupBy(F.col("_u").alias("u"), F.col("_v").alias("v")).agg(F.sum("weight").alias("weight")), "ends")
+
+
+def _moved(ends: DataFrame) -> tuple[DataFrame, bool]:
+    """(node, part, k) after rounds of moves from single nodes, and whether modularity was gained."""
+    strength = ends.groupBy(F.col("u").alias("node")).agg(F.sum("weight").alias("k"))
     labels = written(strength.select("node", F.col("node").alias("part"), "k"), "labels")
-    still = 0
-    for step in range(rounds * 2):
-        volume = labels.groupBy("part").agg(F.sum("k").alias("volume"))
-        links = ends.where("u <> v").join(labels.select(F.col("node").alias("v"), "part"), "v").groupBy(F.col("u").alias("node"), "part").agg(F.sum("weight").alias("w"))
-        own = labels.select("node", F.col("part").alias("_own"), "k")
-        stay = labels.select("node", "part", F.lit(0).cast("bigint").alias("w"))
-        scored = links.unionByName(stay).groupBy("node", "part").agg(F.max("w").alias("w")).join(volume, "part").join(own, "node")
-        gain = F.col("w") - F.col("k") * (F.col("volume") - F.when(F.col("part") == F.col("_own"), F.col("k")).otherwise(0)) / F.lit(float(total))
-        best = scored.withColumn("gain", F.round(gain, 9)).groupBy("node").agg(F.min_by("part", F.struct(-F.col("gain"), F.col("part") != F.col("_own"), F.col("part"))).alias("_best"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == step % 2
-        after = written(labels.join(best, "node").select("node", F.when(turn, F.col("_best")).otherwise(F.col("part")).alias("part"), "k", F.col("part").alias("_was")), "labels")
-        moved = after.where("part <> _was").limit(1).count()
-        labels = after.select("node", "part", "k")
-        still = 0 if moved else still + 1
-        if still == 2:
-            break
-    return labels.select("node", "part")
+    total = float(labels.agg(F.sum("k")).first()[0] or 1)
 
+    def quality(labels: DataFrame) -> float:
+        side = lambda x: labels.select(F.col("node").alias(x), F.col("part").alias(f"_{x}"))
+        inner = ends.join(side("u"), "u").join(side("v"), "v").where("_u = _v").agg(F.sum("weight")).first()[0] or 0
+        squares = labels.groupBy("part").agg(F.sum("k").alias("k")).agg(F.sum(F.pow(F.col("k") / total, F.lit(2)))).first()[0] or 0.0
+        return inner / total - squares
 
-def core_numbers(edges: DataFrame, *, rounds: int = 100) -> DataFrame:
+    first = best = quality(labels)
+    step = 0
+    while True:
+        after = labels
+        for colour in range(2):
+            volume = after.groupBy("part").agg(F.sum("k").alias("volume"))
+            links = ends.where("u <> v").join(after.select(F.col("node").alias("v"), "part"), "v").groupBy(F.col("u").alias("node"), "part").agg(F.sum("weight").alias("w"))
+            own = after.select("node", F.col("part").alias("_own"), "k")
+            stay = after.select("node", "part", F.lit(0).cast("bigint").alias("w"))
+            scored = links.unionByName(stay).groupBy("node", "part").agg(F.max("w").alias("w")).join(volume, "part").join(own, "node")
+            gain = F.col("w") - F.col("k") * (F.col("volume") - F.when(F.col("part") == F.col("_own"), F.col("k")).otherwise(0)) / F.lit(total)
+            choice = scored.withColumn("gain", F.round(gain, 9)).groupBy("node").agg(F.min_by("part", F.struct(-F.col("gain"), F.col("part") != F.col("_own"), F.col("part"))).alias("_best"))
+            turn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2)) == colour
+            after = written(after.join(choice, "node").select("node", F.when(turn, F.col("_best")).otherwise(F.col("part")).alias("part"), "k"), "labels")
+        step += 1
+        now = quality(after)
+        if now <= best + 1e-9:
+            return labels, best > first
+        labels, best = after, now
+
+
+def core_numbers(edges: DataFrame) -> DataFrame:
     """(node, core): each node's number falls to the h-index of its neighbours' until none does."""
     ends = written(both(edges).select("u", "v"), "ends")
     cores = written(ends.groupBy(F.col("u").alias("node")).agg(F.count("*").cast("int").alias("core")), "cores")
-    for _ in range(rounds):
+    while True:  # each round but the last lowers a number
         near = ends.join(cores.select(F.col("node").alias("v"), "core"), "v")
         # h-index from counts of neighbours by value: no neighbour list is gathered
         counts = near.groupBy(F.col("u").alias("node"), "core").agg(F.count("*").alias("n"))
@@ -186,8 +210,7 @@ def core_numbers(edges: DataFrame, *, rounds: int = 100) -> DataFrame:
         changed = after.where("core <> _was").limit(1).count()
         cores = after.select("node", "core")
         if not changed:
-            break
-    return cores
+            return cores
 
 
 def betweenness(edges: DataFrame, *, pivots: int = 128) -> DataFrame:
