@@ -9,16 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
+    """The folder that driver and executors share: the session's checkpoint folder.
+
+    Where none is set, a local master gets a folder of its own; a cluster must name one, since a
+    folder of one machine would lose rows.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, *, instead_of: DataFrame | None = None, compression: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder; `instead_of` names a written table that df was made
+    from and that nothing needs any more: its files go once df's are there."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    if instead_of is not None:
+        removed(instead_of)
+    return out
+
+
+def removed(table: DataFrame) -> None:
+    """Deletes the files of a table that `written` returned; other DataFrames stay as they are."""
+    if path := table.__dict__.get("_tidemark_path"):
+        at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
