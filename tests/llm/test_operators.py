@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -62,13 +63,62 @@ def test_mixing_keeps_sources_without_words(spark):
     assert sorted(r.doc_id for r in bare) == [1, 2, 3] and all(r.copies == 1 for r in bare)
 
 
-def test_balancing_two_margins(spark):
-    cells = spark.createDataFrame([("a", "x", 100.0), ("a", "y", 50.0), ("b", "x", 30.0), ("b", "y", 80.0)], "k string, l string, _mix_mass double")
-    first = spark.createDataFrame([("a", 120.0), ("b", 140.0)], "k string, target double")
-    second = spark.createDataFrame([("x", 160.0), ("y", 100.0)], "l string, target double")
-    got = mixing.balanced(cells, [("k", first), ("l", second)], cap=3.0).withColumn("t", F.col("_mix_mass") * F.col("_mix_rate"))
-    assert [r.t for r in got.groupBy("k").agg(F.sum("t").alias("t")).orderBy("k").collect()] == pytest.approx([120, 140], rel=1e-6)
-    assert [r.t for r in got.groupBy("l").agg(F.sum("t").alias("t")).orderBy("l").collect()] == pytest.approx([160, 100], rel=1e-6)
+def brute_balance(rows, goals, cap):
+    """Rates by gradient descent on the dual, a multiplier a constraint at a time, by bisection."""
+    at = {g: 0.0 for g in goals}
+    rate = lambda keys, size: min(cap, math.exp(min(50, size * sum(at.get(k, 0.0) for k in keys))))
+    for _ in range(400):
+        for g, goal in goals.items():
+            mine = [(k, s, n) for k, s, n in rows if g in k]
+            low, high = -3.0, 3.0
+            for _ in range(60):
+                at[g] = (low + high) / 2
+                low, high = (low, at[g]) if sum(n * s * rate(k, s) for k, s, n in mine) > goal else (at[g], high)
+    return [rate(k, s) for k, s, n in rows]
+
+
+def test_balancing_one_margin(spark):
+    """Rates are exp(multiplier * size) under the cap, and meet every target."""
+    rng = random.Random(2)
+    rows = [(f"k{i % 6}", rng.randrange(0, 3000), 1 + i % 3) for i in range(300)]
+    sums = collections.Counter()
+    for k, s, n in rows:
+        sums[k] += s * n
+    goals = {k: sums[k] * f for k, f in zip(sorted(sums), (0.0, 0.05, 0.6, 1.0, 2.9, 3.0))}
+    cells = spark.createDataFrame(rows, "_mix_key string, _mix_size long, _mix_count long")
+    targets = spark.createDataFrame(list(goals.items()), "_mix_key string, target double")
+    got = mixing.balanced(cells, [("_mix_key", targets)], cap=3.0).collect()
+    taken, slopes = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        taken[r._mix_key] += r._mix_rate * r._mix_size * r._mix_count
+        assert 0 <= r._mix_rate <= 3 and (r._mix_size > 0 or r._mix_rate == 1)
+        if 1e-300 < r._mix_rate < 3 and r._mix_size:
+            slopes[r._mix_key].append(math.log(r._mix_rate) / r._mix_size)
+    assert len(got) == len(rows)
+    assert all(taken[k] == pytest.approx(goals[k], rel=1e-8, abs=1e-6) for k in goals)
+    assert all(max(v) == pytest.approx(min(v), rel=1e-6, abs=1e-12) for v in slopes.values())
+
+
+def test_balancing_three_margins(spark):
+    rng = random.Random(3)
+    rows = [((f"a{rng.randrange(3)}", f"b{rng.randrange(2)}", f"c{rng.randrange(3)}"), rng.randrange(1, 40), rng.randrange(1, 4)) for _ in range(80)]
+    hidden = {"a0": 0.02, "a1": -0.03, "a2": 0.0, "b0": 0.01, "b1": -0.02, "c0": 0.015, "c1": 0.0, "c2": -0.01}
+    goals = collections.Counter()
+    for keys, size, n in rows:  # targets that can be met together
+        for k in keys:
+            goals[k] += n * size * min(3.0, math.exp(size * sum(hidden[k] for k in keys)))
+    cells = spark.createDataFrame([(*k, s, n) for k, s, n in rows], "a string, b string, c string, _mix_size long, _mix_count long")
+    margins = [(c, spark.createDataFrame([(k, v) for k, v in goals.items() if k[0] == c], f"{c} string, target double")) for c in "abc"]
+    got = collections.Counter()
+    want = collections.Counter()
+    for r in mixing.balanced(cells, margins, cap=3.0).collect():
+        got[r.a, r.b, r.c, r._mix_size, r._mix_count, round(r._mix_rate, 5)] += 1
+    for (keys, size, n), rate in zip(rows, brute_balance(rows, goals, 3.0)):
+        want[*keys, size, n, round(rate, 5)] += 1
+    assert got == want
+    margins[0] = ("a", spark.createDataFrame([("a0", 1e9), ("a1", 1.0), ("a2", 1.0)], "a string, target double"))
+    with pytest.raises(ArithmeticError):
+        mixing.balanced(cells, margins, cap=3.0, steps=8)
 
 
 def test_bpe(hard, none):
@@ -76,22 +126,41 @@ def test_bpe(hard, none):
     tok = bpe.load(path)
     got = bpe.encode_documents(hard.withColumn("k", F.monotonically_increasing_id()), path, key="k").collect()
     texts = {r.k: r.text for r in hard.withColumn("k", F.monotonically_increasing_id()).select("k", "text").collect()}
+    assert sorted(r.k for r in got) == sorted(texts)
     for r in got:
         ids = tok.encode(texts[r.k] or "", add_special_tokens=False).ids
         assert r.ids == ids and r.n_tokens == len(ids) and r.decoded == tok.decode(ids, skip_special_tokens=False)
-    few = hard.where("doc_id < 46 and doc_id > 30 or doc_id = 48")
-    joined = {r.doc_id: r.ids for r in bpe.encode_by_join(few, path).collect()}
-    tasked = bpe.encode_documents(few, path)
-    assert joined == {r.doc_id: r.ids for r in tasked.collect()}
-    assert {r.doc_id: r.decoded for r in bpe.decode_by_join(tasked, path).collect()} == {r.doc_id: r.decoded for r in tasked.collect()}
-    assert bpe.encode_documents(none, path).count() == 0 and bpe.encode_by_join(none, path).count() == 0
+    # null and repeated keys
+    assert collections.Counter(r.doc_id for r in bpe.encode_documents(hard, path).collect()) == collections.Counter(r.doc_id for r in hard.collect())
+    assert bpe.encode_documents(none, path).count() == 0
+
+
+def test_bpe_tables(spark, monkeypatch):
+    """Chunks of a few texts, one with more distinct words than two bytes can number."""
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 2000)
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(120)))) for i in range(200)]
+    rows.append((200, " ".join(f"x{i}y" for i in range(70_000))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    split = bpe.chunks(docs).cache()
+    assert split.select("chunk").distinct().count() > 10
+    words_ = split.where("word is not null")
+    assert words_.groupBy("chunk", "word").count().where("count > 1").count() == 0
+    path = queries.tokenizer_path()
+    assert bpe.word_table(words_, path).count() == words_.select("word").distinct().count()
+    tok = bpe.load(path)
+    want = {i: tok.encode(t, add_special_tokens=False).ids for i, t in rows}
+    got = bpe.encode_documents(docs, path).collect()
+    assert {r.doc_id: r.ids for r in got} == want and len(got) == len(rows)
+    assert all(r.decoded == tok.decode(r.ids, skip_special_tokens=False) for r in got)
 
 
 def test_bpe_splits_every_character_as_the_library_does():
-    words_ = bpe.Words(bpe.load(queries.tokenizer_path()))
+    tok = bpe.load(queries.tokenizer_path())
     for c in [*range(0x3000), *range(0xFE00, 0xFFFE), 0x1D400, 0x1F600]:
         text = f"Ab{chr(c)}cD's {chr(c)}{chr(c)}"
-        assert words_.encode(text).tolist() == words_.tokenizer.encode(text, add_special_tokens=False).ids, hex(c)
+        by_word = [i for w in bpe.split(text) for i in tok.encode(w, add_special_tokens=False).ids]
+        assert by_word == tok.encode(text, add_special_tokens=False).ids, hex(c)
 
 
 def test_mpeg(hard, none):

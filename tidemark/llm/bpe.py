@@ -1,40 +1,42 @@
-"""BPE encoding and decoding through tables of distinct words.
+"""BPE encoding and decoding through a table of distinct words.
 
-Texts are split at white space, which no token of the vocabularies used here crosses; each
-distinct word is encoded once, by the tokenizers library, into a table of ids; the words of a
-text, by position, are then looked up in the table and their ids put one after another. Decoding
-joins ids to pieces by a table of the vocabulary.
+Texts are split at white space, which no token of the vocabularies used here crosses, and every
+distinct word of the corpus is encoded once:
 
-Two forms give the same rows:
+1. Each task splits its texts in chunks and writes, for each chunk, its distinct words with their
+   numbers and its texts as arrays of these numbers, in order.
+2. The chunks' words are made distinct over the corpus; each is encoded once, by the tokenizers library,
+   and its ids are joined to the vocabulary's pieces, which decodes it.
+3. Ids and pieces are joined back to the chunks' words and meet the chunk's texts, sorted by chunk with
+   the words before the texts: a text's ids are those of its words, position by position.
 
-* `encode_by_join` keeps the table as a DataFrame: words are exploded, made distinct, encoded,
-  and joined back by (document, position). Every occurrence of a word crosses the network.
-* `encode_documents` keeps a table in each task. Its size is bounded by `words`: at that many it
-  is begun anew. Nothing crosses the network.
+So a word crosses the network once a chunk, not once an occurrence, and a frequent word is one row
+a chunk. Memory is bounded by a chunk: CHUNK_BYTES of text, or one text that is longer.
 
-Nulls and empty texts have no ids and decode to "". Rows are encoded one by one: repeated ids,
-extra columns and row order do not matter. Very long texts are whole.
+Nulls and empty texts have no ids and decode to "". Rows are encoded one by one: repeated rows, null
+and repeated keys, and row order do not matter; extra columns are left out, whatever their names.
+Very long texts are whole. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.llm.common import mapped, written
+from tidemark.llm.common import arrow_kind, mapped, texts, written
 
 #: White space of str.split() that may be part of a token; texts that hold such are encoded whole.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
-#: Entries of a task's word table, each of some 300 bytes.
-TABLE_WORDS = 400_000
-#: Longer words are encoded each time, so that the table's size is bounded.
-KEPT_LETTERS = 200
+#: Text of a chunk.
+CHUNK_BYTES = 8 << 20
+#: The place of a chunk's texts, behind all of its words.
+LAST = (1 << 31) - 1
 
 
 def load(path: str):
@@ -57,90 +59,56 @@ def split(text: str | None) -> list[str]:
     return [text] if ODD_SPACE.search(text) else text.split()
 
 
-#: Latin words, which can be split and lower-cased here exactly as the library does it.
-LATIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-#: The pre-tokenizer's pattern (a fixed value) on such words.
-LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\xff]+")
-
-
-def byte_letters() -> list[str]:
-    """The character that stands for each byte in byte-level vocabularies: itself if it is
-    printable, else the next one from 256 on."""
-    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
-
-
-class Words(dict):
-    """word -> its ids as bytes: the table of distinct words. An unknown word is encoded when
-    asked for, and words of Latin letters by way of a second table, of their pieces."""
-
-    def __init__(self, tokenizer, limit: int = TABLE_WORDS):
-        super().__init__()
-        self.tokenizer, self.limit, self.parts = tokenizer, limit, {}
-        self.model, self.letters = tokenizer.model.tokenize, byte_letters()
-        self.latin = '"Lowercase"' in (spec := tokenizer.to_str()) and '"</w>"' in spec
-        names = pieces_of(tokenizer)
-        self.pieces = np.array([names.get(i, "") for i in range(max(names) + 1)], object)
-
-    def __missing__(self, word: str) -> bytes:
-        if self.latin and LATIN.fullmatch(word) and "<|" not in word:
-            parts = self.parts
-            ids = b"".join([parts.get(p) or self.piece(p) for p in LATIN_PIECES.findall(word.lower())])
-        else:
-            ids = array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(word) <= KEPT_LETTERS:
-            self[word] = ids
-        return ids
-
-    def piece(self, part: str) -> bytes:
-        spelt = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-        ids = array("i", [t.id for t in self.model(spelt)]).tobytes()
-        if len(part) <= KEPT_LETTERS:
-            self.parts[part] = ids
-        return ids
-
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids of the whole text, in order."""
-        ids = np.frombuffer(b"".join([self[w] for w in split(text)]), np.int32)
-        if len(self) > self.limit:
-            self.clear()
-            self.parts.clear()
-        return ids
-
-    def decode(self, ids: np.ndarray) -> str:
-        return " ".join(self.pieces[ids].tolist())
-
-
-def encode_documents(docs: DataFrame, path: str, *, key: str = "doc_id", words: int = TABLE_WORDS) -> DataFrame:
-    """(key, n_tokens, ids, decoded) of every whole text; path: the vocabulary, on all machines."""
-    held: list[Words] = []
-
-    def encoded(part: pa.RecordBatch) -> list:
-        if not held:
-            held.append(Words(load(path), words))
-        found = [held[0].encode(t) for t in part.column("text").to_pylist()]
-        counts = np.array([len(ids) for ids in found], np.int64)
-        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        flat = np.concatenate(found)
-        return [part.column(key), counts, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), [held[0].decode(ids) for ids in found]]
-
+def chunks(docs: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """(chunk, at, word, key, codes): a row for each distinct word of a chunk, with its number `at`,
+    and one for each text, with the numbers of its words (2 bytes each, or 4 in a chunk of over
+    65,536 distinct words)."""
     kind = docs.schema[key].dataType.simpleString()
-    return mapped(docs.select(key, "text"), encoded, f"{key} {kind}, n_tokens bigint, ids array<int>, decoded string")
+
+    def rows(chunk: int, words: dict[str, int], keys: list, codes: list) -> Iterator[pa.RecordBatch]:
+        names = ["chunk", "at", "word", "key", "codes"]
+        if words:
+            n = len(words)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(words), pa.string()), pa.nulls(n, arrow_kind(kind)), pa.nulls(n, pa.binary())], names)
+        width = np.uint16 if len(words) <= 1 << 16 else np.uint32
+        packed = [np.array(c, width).tobytes() for c in codes]
+        n = len(keys)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.full(n, LAST, np.int32)), pa.nulls(n, pa.string()), pa.array(keys, arrow_kind(kind)), pa.array(packed, pa.binary())], names)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = TaskContext.get().partitionId() << 33, 0
+        words: dict[str, int] = {}
+        keys, codes = [], []
+        for part in texts(batches):
+            for k, text in zip(part.column(key).to_pylist(), part.column("text").to_pylist()):
+                number = words.setdefault
+                keys.append(k)
+                codes.append(np.array([number(w, len(words)) for w in split(text)], np.uint32))
+                held += len(text or "")
+                if held >= CHUNK_BYTES:
+                    yield from rows(chunk, words, keys, codes)
+                    chunk, held, words, keys, codes = chunk + 1, 0, {}, [], []
+        if keys:
+            yield from rows(chunk, words, keys, codes)
+
+    return docs.select(key, "text").mapInArrow(numbered, f"chunk bigint, at int, word string, key {kind}, codes binary")
 
 
 def word_table(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) from a DataFrame with `word`: every distinct word encoded once."""
+    """(word, ids, decoded) from a DataFrame with `word`: every distinct word encoded once, and decoded
+    by a join of its ids with the vocabulary."""
     held: list = []
 
     def encoded(part: pa.RecordBatch) -> list:
         if not held:
             held.append(load(path))
         found = part.column("word").to_pylist()
-        return [part.column("word"), [e.ids for e in held[0].encode_batch(found, add_special_tokens=False)]]
+        return [part.column("word"), [held[0].encode(w, add_special_tokens=False).ids for w in found]]
 
-    distinct = words.select("word").distinct()
-    return mapped(distinct, encoded, "word string, ids array<int>", column="word")
+    table = mapped(words.select("word").distinct(), encoded, "word string, ids array<int>", column="word")
+    # a number stands for the word, which may be long, while its ids are rows
+    table = written(table.withColumn("_n", F.monotonically_increasing_id()), "bpe-ids")
+    return table.join(decode_by_join(table, path, key="_n"), "_n").drop("_n")
 
 
 def decode_by_join(encoded: DataFrame, path: str, *, key: str = "doc_id") -> DataFrame:
@@ -149,19 +117,65 @@ def decode_by_join(encoded: DataFrame, path: str, *, key: str = "doc_id") -> Dat
     key must be unique. The vocabulary is broadcast: its size is fixed.
     """
     pieces = encoded.sparkSession.createDataFrame(sorted(pieces_of(load(path)).items()), "id int, piece string")
-    at = encoded.select(key, F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces), "id")
-    text = at.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("p")).select(key, F.concat_ws(" ", "p.piece").alias("decoded"))
+    at = encoded.select(key, F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces), "id", "left")
+    spelt = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("piece", F.lit("")).alias("piece"))))
+    text = at.groupBy(key).agg(spelt.alias("p")).select(key, F.concat_ws(" ", "p.piece").alias("decoded"))
     return encoded.select(key).join(text, key, "left").select(key, F.coalesce("decoded", F.lit("")).alias("decoded"))
 
 
-def encode_by_join(docs: DataFrame, path: str, *, key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, ids) of every whole text by joins alone; key must be unique and not null.
-
-    A frequent word is one row of the table and many of the other side, which AQE may split.
-    """
-    words = F.udf(split, T.ArrayType(T.StringType()), useArrow=True)
-    at = docs.select(key, F.posexplode(words("text")).alias("pos", "word"))
-    at = written(at, "bpe-words")
-    ids = at.join(written(word_table(at, path), "bpe-table"), "word").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("p"))
-    out = docs.select(key).join(ids.select(key, F.flatten("p.ids").alias("ids")), key, "left")
-    return out.select(key, F.size(F.coalesce("ids", F.array().cast("array<int>"))).cast("bigint").alias("n_tokens"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+def encode_documents(docs: DataFrame, path: str, *, key: str = "doc_id") -> DataFrame:
+    """(key, n_tokens, ids, decoded) of every whole text; path: the vocabulary, on all machines."""
+    kind = docs.schema[key].dataType.simpleString()
+    split_texts = written(chunks(docs, key=key), "bpe-chunks", compression="zstd")
+    named = split_texts.where("word is not null").select("chunk", "at", "word")
+    table = written(word_table(named, path), "bpe-table")
+    words = named.join(table, "word").select("chunk", "at", "ids", "decoded")
+    coded = split_texts.where("word is null").select("chunk", "at", "key", "codes")
+    return _assembled(words.unionByName(coded, allowMissingColumns=True), key, kind)
+
+
+def _assembled(rows: DataFrame, key: str, kind: str) -> DataFrame:
+    """Texts' ids and decoded texts from their words' (see the head of this module)."""
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, ids, spelt, table = None, [], [], None
+
+        def closed() -> tuple:
+            sizes = np.array([len(x) for x in ids], np.int64)
+            flat = np.concatenate([*ids, np.zeros(0, np.int32)])
+            return flat.astype(np.int32), np.concatenate([[0], np.cumsum(sizes)]), np.array([*spelt, ""], object)
+
+        def one(codes: np.ndarray) -> tuple[np.ndarray, str]:
+            flat, edges, names = table
+            sizes = edges[codes + 1] - edges[codes]
+            before = np.cumsum(sizes) - sizes
+            at = np.repeat(edges[codes] - before, sizes) + np.arange(int(sizes.sum()))
+            return flat[at], " ".join(names[codes[sizes > 0]].tolist())
+
+        def texts_of(part: pa.RecordBatch) -> pa.RecordBatch:
+            width = np.uint16 if len(spelt) <= 1 << 16 else np.uint32
+            found = [one(np.frombuffer(b, width).astype(np.int64)) for b in part.column("codes").to_pylist()]
+            counts = np.array([len(x) for x, _ in found], np.int64)
+            edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([x for x, _ in found])))
+            return pa.RecordBatch.from_arrays([part.column("key"), pa.array(counts), lists, pa.array([t for _, t in found], pa.string())], [key, "n_tokens", "ids", "decoded"])
+
+        for batch in batches:
+            edges = np.flatnonzero(np.diff(batch.column("chunk").to_numpy())) + 1
+            for start, end in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                run = batch.slice(start, end - start)
+                if run.num_rows and run.column("chunk")[0].as_py() != chunk:
+                    chunk, ids, spelt, table = run.column("chunk")[0].as_py(), [], [], None
+                n = int((run.column("at").to_numpy() != LAST).sum())
+                if n:
+                    lists = run.column("ids").slice(0, n)
+                    flat, own = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), lists.value_lengths().to_numpy(zero_copy_only=False)
+                    ids += np.split(flat, np.cumsum(own)[:-1])
+                    spelt += run.column("decoded").slice(0, n).to_pylist()
+                if n < run.num_rows:
+                    table = table or closed()
+                    for part in texts(iter([run.slice(n)]), "codes", 1 << 20):
+                        yield texts_of(part)
+
+    sorted_rows = rows.repartition("chunk").sortWithinPartitions("chunk", "at")
+    return sorted_rows.mapInArrow(put_together, f"{key} {kind}, n_tokens bigint, ids array<int>, decoded string")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import sys
 from collections.abc import Callable, Iterator
 
@@ -13,12 +12,22 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans.tables import removed as removed
 from tidemark.plans.tables import shared_dir as shared_dir
 from tidemark.plans.tables import written as written
 
-# Functions sent to executors carry this package's code, so executors need no copy of it.
+# Functions sent to executors carry this package's code, so executors need no copy of it. What goes by
+# reference all the same must not be in such code: functools caches, and classes in broadcast values.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
+
+class Memo(dict):
+    """A cache of one process: it travels empty."""
+
+    def __reduce__(self):
+        return Memo, ()
+
+
 #: Word characters of the contracts: all but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that vectorised code holds as arrays at a time (a longer text is held alone).
@@ -43,7 +52,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, *, limit: int) -> D
     """
     marks = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = F.coalesce(*[F.when(F.col("y") == y, F.lit(min(1.0, limit / max(n, 1)))) for y, n in counts.items()], F.lit(0.0)) if counts else F.lit(0.0)
+    shares = [F.when(F.col("y") == y, F.lit(min(1.0, limit / max(n, 1)))) for y, n in counts.items()]
+    share = F.coalesce(*shares, F.lit(0.0))
     taken = marks.where((F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)) < share)
     # a table of that bound is safe to broadcast; texts are not shuffled
     return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("doc_id", "text", "y")
@@ -79,15 +89,16 @@ def _as(values, kind: pa.DataType) -> pa.Array:
     return values if isinstance(values, pa.Array) and values.type == kind else values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
 
 
-@functools.cache
-def _arrow_kind(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}[name]
+def arrow_kind(name: str) -> pa.DataType:
+    """The Arrow type of a type that columns of this subpackage have."""
+    plain = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+    return pa.list_(plain[name[6:-1]]) if name.startswith("array<") else plain[name]
 
 
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
-    return pa.schema([(f.name, _arrow_kind(f.dataType.simpleString())) for f in StructType.fromDDL(ddl)])
+    return pa.schema([(f.name, arrow_kind(f.dataType.simpleString())) for f in StructType.fromDDL(ddl)])
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,11 +136,16 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-@functools.lru_cache(maxsize=2)
+_POWERS = Memo()
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE), np.full(n, _BACK)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    if n not in _POWERS:
+        up, down = np.full(n, _BASE), np.full(n, _BACK)
+        up[0] = down[0] = 1
+        _POWERS.clear()  # one size is enough: runs of texts are much alike
+        _POWERS[n] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    return _POWERS[n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

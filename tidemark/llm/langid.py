@@ -129,13 +129,14 @@ def ngram_counts(known: DataFrame) -> DataFrame:
 
 
 def train(known: DataFrame, *, docs_each: int = SAMPLE_DOCS) -> Filters:
-    """Filters from (doc_id, text, lang); rows without text or lang teach nothing."""
-    known = known.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    """Filters from (doc_id, text, lang); rows without text or lang teach nothing. The driver holds at
+    most 1 / LEAST n-grams of each length and language."""
+    known = known.select("doc_id", "text", "lang").where("lang is not null and text is not null")
+    sizes = written(known.groupBy("lang").agg(F.count("*").alias("_n")), "langid-sizes")
+    if not sizes.head(1):
         return Filters([], np.zeros((1, 1), np.uint64), np.zeros(0))
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, docs_each / n))) for k, n in sizes.items()])
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) / float(1 << 20) < share)
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) / float(1 << 20)
+    known = known.join(sizes, "lang").where(chance < docs_each / F.col("_n"))
     counts = written(ngram_counts(known.select("lang", "text")), "langid-ngrams")
     totals = counts.groupBy("lang", "n").agg(F.sum("hits").alias("all"))
     shares = counts.join(F.broadcast(totals), ["lang", "n"]).select("lang", "n", "code", (F.col("hits") / F.col("all")).alias("share"))
@@ -190,15 +191,16 @@ def hits(filters: Filters, texts: list[str | None], letters: np.ndarray) -> tupl
 def predict(docs: DataFrame, filters: Filters, *, key: str = "doc_id", unknown: str = "und") -> DataFrame:
     """(key, lang_pred, score): the score is the winner's part of all languages' hits, times the
     part of the text's n-grams that it knows, to the power of a quarter."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(filters))
     held: list[np.ndarray] = []
 
     def predicted(part: pa.RecordBatch) -> list:
         if not held:
             held.append(_letters())
-        total, found = hits(shared.value, part.column("text").to_pylist(), held[0])
-        names = np.array([*shared.value.languages, unknown], object)
-        if not shared.value.languages:
+        own = Filters(*shared.value)
+        total, found = hits(own, part.column("text").to_pylist(), held[0])
+        names = np.array([*own.languages, unknown], object)
+        if not own.languages:
             return [part.column(key), [unknown] * len(total), np.zeros(len(total))]
         best = np.argmax(found, axis=1)
         most = found[np.arange(len(best)), best]
@@ -213,13 +215,13 @@ def predict(docs: DataFrame, filters: Filters, *, key: str = "doc_id", unknown:
 def accepted(docs: DataFrame, filters: Filters, *, least: float = 0.0) -> DataFrame:
     """The documents with a language: text with letters, of whose n-grams the predicted language
     knows at least the part `least`."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(filters))
     held: list[np.ndarray] = []
 
     def keep(part: pa.RecordBatch) -> np.ndarray:
         if not held:
             held.append(_letters())
-        total, found = hits(shared.value, part.column("text").to_pylist(), held[0])
+        total, found = hits(Filters(*shared.value), part.column("text").to_pylist(), held[0])
         return (total > 0) & (found.max(axis=1, initial=0) >= least * total)
 
     return filtered(docs, keep)

@@ -23,7 +23,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import mapped
+from tidemark.llm.common import Memo, mapped
 
 # Fixed values of the MPEG audio standards: kilobits a second by (version is 1, layer), sampling
 # rates of MPEG-1 (halved for MPEG-2, quartered for MPEG-2.5), and samples in a frame.
@@ -76,7 +76,7 @@ class Header(NamedTuple):
         return (17 if self.mono else 32) if self.version == 1.0 else (9 if self.mono else 17)
 
 
-_seen: dict[bytes, Header | None] = {}
+_seen = Memo()
 
 
 def header(word: bytes) -> Header | None:

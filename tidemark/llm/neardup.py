@@ -18,24 +18,24 @@ Near copies (the pipeline's stage) are another relation: pairs of texts whose se
 have a Jaccard similarity of at least 0.8, which differ in about 10 of 64 SimHash bits, beyond what
 Golay keys reach. Their candidates share a MinHash key; each is verified on the whole sets.
 
-Nulls: a null text has no words and fingerprint 0; documents of fingerprint 0 link like any
-others. A null id takes part and gets its component, of which it is the smallest only if all ids
-are null (then null). Repeated rows fall into one component. Extra columns are left out.
+Nulls: a null text has no words and fingerprint 0, as an empty one; documents of fingerprint 0 link
+like any others. A null id takes part and gets its component, of which it is the smallest only if all
+ids are null (then null). Repeated rows fall into one component. Long texts are hashed whole. Empty
+tables give no rows. Extra columns are left out; `deduplicated` keeps them, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mapped, written
+from tidemark.llm.common import Memo, mapped, written
 
 #: Most differing bits of a link.
 RADIUS = 3
@@ -79,14 +79,18 @@ def fingerprints(column: pa.Array, words: int = WORDS) -> np.ndarray:
     return out
 
 
+def _digest() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
+
+
 def with_fingerprints(docs: DataFrame, *, key: str = "doc_id", words: int = WORDS) -> DataFrame:
-    """(key, fp) of every whole text; fp as a signed long."""
+    """(key, digest, fp) of every whole text; fp as a signed long, digest a hash of the text."""
 
     def hashed(part: pa.RecordBatch) -> list:
-        return [part.column(key), fingerprints(part.column("text"), words).view(np.int64)]
+        return [part.column(key), part.column("digest"), fingerprints(part.column("text"), words).view(np.int64)]
 
     kind = docs.schema[key].dataType.simpleString()
-    return mapped(docs.select(key, "text"), hashed, f"{key} {kind}, fp bigint")
+    return mapped(docs.select(key, _digest().alias("digest"), "text"), hashed, f"{key} {kind}, digest bigint, fp bigint")
 
 
 def _syndrome(v: np.ndarray) -> np.ndarray:
@@ -97,8 +101,16 @@ def _syndrome(v: np.ndarray) -> np.ndarray:
     return v
 
 
-@lru_cache(maxsize=1)
+_MADE = Memo()
+
+
 def _decoder() -> tuple[np.ndarray, np.ndarray]:
+    if "decoder" not in _MADE:
+        _MADE["decoder"] = _make_decoder()
+    return _MADE["decoder"]
+
+
+def _make_decoder() -> tuple[np.ndarray, np.ndarray]:
     """For each of the 2048 syndromes, the error patterns of weight up to 3 (the one there is)
     or, where it has weight 3, also the five of weight 4; and how many there are."""
     patterns = {w: np.array([sum(1 << b for b in c) for c in combinations(range(23), w)], np.int64) for w in (0, 1, 2, 3, 4)}
@@ -212,8 +224,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield out
 
     rows = distinct.select("fp").mapInArrow(keyed, "key bigint, fp bigint")
-    parts = distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return rows.repartition(int(parts), "key").sortWithinPartitions("key").mapInArrow(joined, "a bigint, b bigint").distinct()
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(joined, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame, *, rounds: int = 100) -> DataFrame:
@@ -221,7 +232,8 @@ def components(edges: DataFrame, *, rounds: int = 100) -> DataFrame:
 
     In each round every node hooks its larger neighbours, and then its smaller ones, to the
     smallest (large star, small star); rows never outnumber the edges. A hub's neighbours are
-    aggregated before they are shuffled. Rounds end when the edges are stars.
+    aggregated before they are shuffled. Rounds end when the edges are stars; their number grows with
+    the logarithm of the edges, and an error is raised if `rounds` are not enough.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = None
@@ -231,32 +243,46 @@ def components(edges: DataFrame, *, rounds: int = 100) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = written(small, "links")
+        edges = written(small, "links", instead_of=edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components are not complete after {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", words: int = WORDS) -> DataFrame:
     """(key, fp, component_id): component_id is the smallest key reachable over links."""
     found = written(with_fingerprints(docs, key=key, words=words), "fingerprints")
-    return _with_components(found, links, key)
+    return _labelled(found, _groups(found, links, key), key)
 
 
-def _with_components(found: DataFrame, edges: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
-    """found (key, fp) with component_id, given the links of the distinct fp."""
-    groups = written(found.groupBy("fp").agg(F.min(key).alias("_least")), "distinct")
+def _groups(found: DataFrame, edges: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+    """(fp, root, least): for each distinct fp its component and the smallest row, a struct that
+    sorts null keys last, of those with that fp. found: (key, digest, fp); edges: from distinct fp
+    to links."""
+    least = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "digest")).alias("least")
+    groups = written(found.groupBy("fp").agg(least), "distinct")
     roots = written(components(edges(groups)), "roots")
-    own = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = own.groupBy("root").agg(F.min("_least").alias("component_id"))
-    by_fp = own.join(least, "root").select("fp", "component_id")
-    return found.join(by_fp, "fp").select(key, "fp", "component_id")
+    own = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return own.select("fp", F.coalesce("root", "fp").alias("root"), "least")
+
+
+def _labelled(found: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    groups = written(groups, "groups")
+    least = groups.groupBy("root").agg(F.min("least").alias("least")).select("root", F.col("least.key").alias("component_id"))
+    return found.join(groups.join(least, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
-@lru_cache(maxsize=1)
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    if "multipliers" not in _MADE:
+        _MADE["multipliers"] = _draw_multipliers()
+    return _MADE["multipliers"]
+
+
+def _draw_multipliers() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
     draw = lambda: rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
     return draw(), draw() | np.uint64(1)
@@ -277,7 +303,7 @@ def band_keys(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_sets(docs: DataFrame, *, key: str = "doc_id", words: int = COPY_WORDS) -> DataFrame:
-    """(key, fp, size, shingles, sketch, keys) of every whole text: its set of shingles in order as
+    """(key, digest, fp, size, shingles, sketch, keys) of every whole text: its set of shingles in order as
     bytes, a digest of that, and the set's least bytes and keys (none of an empty set)."""
 
     def hashed(part: pa.RecordBatch) -> list:
@@ -286,10 +312,11 @@ def with_sets(docs: DataFrame, *, key: str = "doc_id", words: int = COPY_WORDS)
         fp = np.array([xxhash.xxh64_intdigest(x, SEED) for x in raw], np.uint64).view(np.int64)
         none = (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
         keys, least = zip(*(band_keys(x) if len(x) else none for x in sets))
-        return [part.column(key), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), pa.array(raw, pa.binary()), pa.array([x.tobytes() for x in least], pa.binary()), pa.array([x.view(np.int64) for x in keys], pa.list_(pa.int64()))]
+        return [part.column(key), part.column("digest"), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), pa.array(raw, pa.binary()), pa.array([x.tobytes() for x in least], pa.binary()), pa.array([x.view(np.int64) for x in keys], pa.list_(pa.int64()))]
 
     kind = docs.schema[key].dataType.simpleString()
-    return mapped(docs.select(key, "text"), hashed, f"{key} {kind}, fp bigint, size int, shingles binary, sketch binary, keys array<bigint>")
+    out = f"{key} {kind}, digest bigint, fp bigint, size int, shingles binary, sketch binary, keys array<bigint>"
+    return mapped(docs.select(key, _digest().alias("digest"), "text"), hashed, out)
 
 
 def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -357,27 +384,26 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", words: int = COPY_WORDS
     """(key, fp, component_id) as near_duplicates, where fp is a digest of the set of shingles and
     links are pairs of sets with a Jaccard similarity of at least `least`."""
     found = written(with_sets(docs, key=key, words=words), "sets")
-    return _with_components(found.select(key, "fp"), lambda _: copy_links(found, least), key)
+    return _labelled(found, _groups(found, lambda _: copy_links(found, least), key), key)
 
 
 def deduplicated_copies(docs: DataFrame, *, words: int = COPY_WORDS, least: float = LEAST_ALIKE) -> DataFrame:
     """docs with one row of each component of near_copies, as deduplicated."""
-    return _one_of_each(docs, near_copies(docs, words=words, least=least), lambda df: with_sets(df, key="_dedup_row", words=words))
+    found = written(with_sets(docs, words=words), "sets")
+    return _one_of_each(docs, _groups(found, lambda _: copy_links(found, least), "doc_id"))
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each component: that of the smallest id. Rows without an id stay only
-    where no row of their component has one, one for each fingerprint."""
-    return _one_of_each(docs, near_duplicates(docs, **options), lambda df: with_fingerprints(df, key="_dedup_row", **{k: v for k, v in options.items() if k == "words"}))
+def deduplicated(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
+    """docs with one row of each component: that of the smallest id, a null id last. Of rows that
+    share an id, the text's hash decides, then the hash of all columns."""
+    found = written(with_fingerprints(docs, words=words), "fingerprints")
+    return _one_of_each(docs, _groups(found, links, "doc_id"))
 
 
-def _one_of_each(docs: DataFrame, found: DataFrame, prints: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    kept = written(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    orphans = found.where("component_id is null").select("fp").distinct()
-    if not orphans.head(1):
-        return named.select(*docs.columns)
-    nameless = docs.where("doc_id is null").withColumn("_dedup_row", F.monotonically_increasing_id())
-    nameless = written(nameless, "nameless")
-    marks = prints(nameless).join(orphans, "fp").groupBy("fp").agg(F.min("_dedup_row").alias("_dedup_row"))
-    return named.select(*docs.columns).unionByName(nameless.join(marks.select("_dedup_row"), "_dedup_row", "left_semi").select(*docs.columns))
+def _one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    kept = groups.groupBy("root").agg(F.min("least").alias("least"))
+    kept = written(kept.select(F.col("least.key").alias("_kept_id"), F.col("least.digest").alias("_kept_digest")), "kept")
+    named = docs.withColumn("_digest", _digest())
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest"))
+    order = Window.partitionBy("doc_id", "_digest").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    return named.join(kept, same, "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1").select(*(F.col(f"`{c}`") for c in docs.columns))

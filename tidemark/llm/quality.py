@@ -154,10 +154,10 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows_ea
 
 def score(docs: DataFrame, forest: Forest, *, key: str = "doc_id") -> DataFrame:
     """(key, score) of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(forest))
 
     def scored(part: pa.RecordBatch) -> list:
-        return [part.column(key), shared.value.scores(_matrix(part.column("text")))]
+        return [part.column(key), Forest(*shared.value).scores(_matrix(part.column("text")))]
 
     kind = docs.schema[key].dataType.simpleString()
     return mapped(docs.select(key, "text"), scored, f"{key} {kind}, score double")
@@ -165,5 +165,5 @@ def score(docs: DataFrame, forest: Forest, *, key: str = "doc_id") -> DataFrame:
 
 def accepted(docs: DataFrame, forest: Forest, *, least: float = 0.5) -> DataFrame:
     """The documents that score at least `least`."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
-    return filtered(docs, lambda part: shared.value.scores(_matrix(part.column("text"))) >= least)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(forest))
+    return filtered(docs, lambda part: Forest(*shared.value).scores(_matrix(part.column("text"))) >= least)

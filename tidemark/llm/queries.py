@@ -13,7 +13,7 @@ from tidemark.llm.common import fold, table
 
 def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that an entropy-balanced mix of their sources takes."""
-    mix = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    mix = mixing.document_copies(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).alias("taken"))
 
 

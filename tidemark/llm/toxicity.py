@@ -139,10 +139,10 @@ def scores(column: pa.Array, weights: Weights) -> np.ndarray:
 
 def score(docs: DataFrame, weights: Weights, *, key: str = "doc_id") -> DataFrame:
     """(key, score) of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(weights))
 
     def scored(part: pa.RecordBatch) -> list:
-        return [part.column(key), scores(part.column("text"), shared.value)]
+        return [part.column(key), scores(part.column("text"), Weights(*shared.value))]
 
     kind = docs.schema[key].dataType.simpleString()
     return mapped(docs.select(key, "text"), scored, f"{key} {kind}, score double")
