@@ -142,17 +142,32 @@ def test_bpe_tables(spark, monkeypatch):
     rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(120)))) for i in range(200)]
     rows.append((200, " ".join(f"x{i}y" for i in range(70_000))))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    split = bpe.chunks(docs).cache()
-    assert split.select("chunk").distinct().count() > 10
-    words_ = split.where("word is not null")
-    assert words_.groupBy("chunk", "word").count().where("count > 1").count() == 0
+    found = bpe.chunk_words(docs, "doc_id").cache()
+    assert found.select("chunk").distinct().count() > 10
+    by_chunk, by_bucket = collections.Counter(), collections.defaultdict(set)
+    for r in found.collect():
+        for w in bpe.unpacked_words(r.words):
+            by_chunk[r.chunk, w] += 1
+            by_bucket[r.bucket].add(w)
+    # a word is in one bucket, and once in each chunk that has it
+    assert set(by_chunk.values()) == {1} and sum(map(len, by_bucket.values())) == len({w for _, t in rows for w in t.split()})
     path = queries.tokenizer_path()
-    assert bpe.word_table(words_, path).count() == words_.select("word").distinct().count()
     tok = bpe.load(path)
     want = {i: tok.encode(t, add_special_tokens=False).ids for i, t in rows}
-    got = bpe.encode_documents(docs, path).collect()
+    encoded = bpe.encode_documents(docs, path)
+    got = encoded.collect()
     assert {r.doc_id: r.ids for r in got} == want and len(got) == len(rows)
     assert all(r.decoded == tok.decode(r.ids, skip_special_tokens=False) for r in got)
+    joined = bpe.decode_by_join(encoded.where("doc_id < 200").select("doc_id", "ids"), path)
+    assert {r.doc_id: r.decoded for r in joined.collect()} == {r.doc_id: r.decoded for r in got if r.doc_id < 200}
+
+
+def test_bpe_refuses_rows_in_another_order(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    words_ = bpe.chunk_words
+    monkeypatch.setattr(bpe, "chunk_words", lambda d, k: words_(d.withColumn("text", F.lit("a b c e")), k))
+    with pytest.raises(Exception, match="another order"):
+        bpe.encode_documents(docs, queries.tokenizer_path()).collect()
 
 
 def test_bpe_splits_every_character_as_the_library_does():
@@ -318,6 +333,18 @@ def test_hilbert(spark, hard, none):
     assert hilbert.shard_documents(none, 7).count() == 0
 
 
+def test_hilbert_ranks_whole_strings(spark):
+    """Strings with a long common beginning keep bins of their own, in order, and a hot one its own."""
+    values = [f"https://example.test/{i:03d}" for i in range(16)]
+    rows = [(v, 10) for v in values for _ in range(4)] + [(values[5], 10)] * 40 + [(None, None)] * 3
+    df = spark.createDataFrame(rows, "source string, n long").repartition(3)
+    bins = dict(hilbert.string_bins(df, "source").collect())
+    order = [bins[v] for v in values]
+    assert sorted(bins) == values and order == sorted(order) and len(set(order)) == 16 and 1 <= order[0] <= order[-1] <= 31
+    got = hilbert.quantised(df, ["source", "n"]).groupBy("source", "n").count().collect()
+    assert {r.source for r in got} == {*order, 0} and {r.n for r in got if r.source == 0} == {0} and {r.n for r in got if r.source} == {1}
+
+
 def test_warc(spark):
     long, short = "<p>" + "long " * 40, "<p>tiny"
     rows = [(5, "http://a/", long), (3, "http://b/\r\nx", long), (9, None, long), (1, "u", short), (2, "u", short), (4, "u", None), (6, "u", ""), (None, "u", long), (None, None, "y" * 200), (None, None, "y" * 200), (7, "ü", "é😀" * 5000), (3, "http://b/", long)]
