@@ -46,8 +46,9 @@ SEED = 42
 COPY_WORDS = 5
 LEAST_ALIKE = 0.8
 BANDS, ROWS = 40, 5
-#: In keys of over FEW sets, pairs whose share of equal least bytes is further than SLACK below the
-#: least similarity are not compared; one of similarity 0.8 is lost so with about 1e-7 as well.
+#: Pairs whose share of equal least bytes is further than SLACK below the least similarity are not
+#: compared; one of similarity 0.8 is lost so with about 1e-7 as well. Keys of over FEW sets are
+#: searched as a group.
 FEW, SLACK = 16, 0.16
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, which generates the binary Golay code.
 GENERATOR = 0b101011100011
@@ -302,23 +303,53 @@ def band_keys(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, (least >> np.uint64(16)).astype(np.uint8)
 
 
-def with_sets(docs: DataFrame, *, key: str = "doc_id", words: int = COPY_WORDS) -> DataFrame:
-    """(key, digest, fp, size, shingles, sketch, keys) of every whole text: its set of shingles in order as
-    bytes, a digest of that, and the set's least bytes and keys (none of an empty set)."""
+def with_sketches(docs: DataFrame, *, key: str = "doc_id", words: int = COPY_WORDS) -> DataFrame:
+    """(key, digest, fp, size, sketch, keys) of every whole text: a digest and the size of its set of
+    shingles, and the set's least bytes and keys (none of an empty set)."""
 
     def hashed(part: pa.RecordBatch) -> list:
         sets = [np.unique(shingles(t, words)) for t in part.column("text").to_pylist()]
-        raw = [x.astype("<u8").tobytes() for x in sets]
-        fp = np.array([xxhash.xxh64_intdigest(x, SEED) for x in raw], np.uint64).view(np.int64)
+        fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
         none = (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
         keys, least = zip(*(band_keys(x) if len(x) else none for x in sets))
-        return [part.column(key), part.column("digest"), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), pa.array(raw, pa.binary()), pa.array([x.tobytes() for x in least], pa.binary()), pa.array([x.view(np.int64) for x in keys], pa.list_(pa.int64()))]
+        sizes = pa.array([len(x) for x in sets], pa.int32())
+        sketches = pa.array([x.tobytes() for x in least], pa.binary())
+        return [part.column(key), part.column("digest"), pa.array(fp), sizes, sketches, pa.array([x.view(np.int64) for x in keys], pa.list_(pa.int64()))]
 
     kind = docs.schema[key].dataType.simpleString()
-    out = f"{key} {kind}, digest bigint, fp bigint, size int, shingles binary, sketch binary, keys array<bigint>"
+    out = f"{key} {kind}, digest bigint, fp bigint, size int, sketch binary, keys array<bigint>"
     return mapped(docs.select(key, _digest().alias("digest"), "text"), hashed, out)
 
 
+def sets_of(docs: DataFrame, wanted: DataFrame, *, words: int = COPY_WORDS) -> DataFrame:
+    """(fp, shingles): the sets, as sorted bytes, of the distinct texts that wanted (fp, digest) names."""
+
+    def hashed(part: pa.RecordBatch) -> list:
+        sets = [np.unique(shingles(t, words)).astype("<u8").tobytes() for t in part.column("text").to_pylist()]
+        return [part.column("fp"), pa.array(sets, pa.binary())]
+
+    texts = docs.select(_digest().alias("digest"), "text").join(wanted, "digest").dropDuplicates(["fp"])
+    return mapped(texts.select("fp", "text"), hashed, "fp bigint, shingles binary")
+
+
+def _sides(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b) with the column of both ends as _x and _y; table: (fp, column)."""
+    side = lambda end, name: table.select(F.col("fp").alias(end), F.col(column).alias(name))
+    return pairs.join(side("a", "_x"), "a").join(side("b", "_y"), "b").select("a", "b", "_x", "_y")
+
+
+def likely(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose share of equal least bytes is no further than SLACK below `least`."""
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("_x", "_y"))
+            keep = (x == y).sum(axis=1) >= (least - SLACK) * BANDS * ROWS if batch.num_rows else []
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return _sides(pairs, sketches, "sketch").mapInArrow(checked, "a bigint, b bigint")
+
+
 def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of at least `least`; sets: (fp, shingles)."""
 
@@ -331,29 +362,35 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 keep.append(common >= least * (len(x) + len(y) - common) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda end, name: sets.select(F.col("fp").alias(end), F.col("shingles").alias(name))
-    return pairs.join(side("a", "_x"), "a").join(side("b", "_y"), "b").select("a", "b", "_x", "_y").mapInArrow(checked, "a bigint, b bigint")
+    return _sides(pairs, sets, "shingles").mapInArrow(checked, "a bigint, b bigint")
 
 
-def copy_links(found: DataFrame, least: float = LEAST_ALIKE) -> DataFrame:
+def copy_links(docs: DataFrame, found: DataFrame, least: float = LEAST_ALIKE, words: int = COPY_WORDS) -> DataFrame:
     """(a, b): links of similarity `least` or more between sets that share a key, enough of them to
-    join every component. found: with_sets, written.
+    join every component. found: with_sketches of docs, written.
 
     First every set is compared with the smallest of each of its keys; then, of each key, the sets
-    that those links have left in different components with each other. Of keys of over FEW sets only
-    pairs that share enough least bytes go on to the whole sets.
+    that those links have left in different components with each other. Pairs whose least bytes
+    say that they are far apart go no further; of the others the whole sets are made and compared.
     """
-    distinct = found.where("size > 0").select("fp", "size", "keys").dropDuplicates(["fp"])
+    distinct = found.where("size > 0").groupBy("fp").agg(F.min("digest").alias("digest"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    distinct = written(distinct, "sketches")
+    sketches = distinct.select("fp", "sketch")
     keyed = distinct.select("fp", "size", F.explode("keys").alias("key"))
     group = Window.partitionBy("key")
     members = keyed.select("key", "fp", "size", F.count("*").over(group).alias("n"), F.min(F.struct("fp", "size")).over(group).alias("first"))
     members = written(members.where("n > 1"), "members")
-    some = members.select("fp").distinct()
-    sets = written(found.select("fp", "shingles", "sketch").join(some, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
     near = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(likely(pairs, sketches, least), "likely")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        wanted = distinct.select("fp", "digest").join(ends, "fp", "left_semi")
+        return alike(pairs, written(sets_of(docs, wanted, words=words), "sets"), least)
+
     stars = members.where((F.col("first.fp") != F.col("fp")) & near(F.col("size"), F.col("first.size")))
     stars = written(stars.select(F.col("first.fp").alias("a"), F.col("fp").alias("b")).distinct(), "stars")
-    linked = written(alike(stars, sets, least), "linked")
+    linked = written(verified(stars), "linked")
     roots = written(components(linked), "roots").withColumnRenamed("node", "fp")
     placed = members.select("key", "fp", "size", "n").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     split = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("key")
@@ -362,7 +399,7 @@ def copy_links(found: DataFrame, least: float = LEAST_ALIKE) -> DataFrame:
     left = few.select("key", F.col("fp").alias("a"), F.col("size").alias("_size"), F.col("root").alias("_root"))
     right = few.select("key", F.col("fp").alias("b"), "size", "root")
     on = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("_root") != F.col("root")) & near(F.col("_size"), F.col("size"))
-    many = placed.where(F.col("n") > FEW).select("key", "fp", "size", "root").join(sets.select("fp", "sketch"), "fp")
+    many = placed.where(F.col("n") > FEW).select("key", "fp", "size", "root").join(sketches, "fp")
 
     def close(group: pa.Table) -> pa.Table:
         fp, size, root = (group.column(c).to_numpy() for c in ("fp", "size", "root"))
@@ -377,20 +414,20 @@ def copy_links(found: DataFrame, least: float = LEAST_ALIKE) -> DataFrame:
 
     pairs = left.join(right, on).select("a", "b").unionByName(many.groupBy("key").applyInArrow(close, "a bigint, b bigint"))
     rest = written(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    return linked.unionByName(alike(rest, sets, least))
+    return linked.unionByName(verified(rest))
 
 
 def near_copies(docs: DataFrame, *, key: str = "doc_id", words: int = COPY_WORDS, least: float = LEAST_ALIKE) -> DataFrame:
     """(key, fp, component_id) as near_duplicates, where fp is a digest of the set of shingles and
     links are pairs of sets with a Jaccard similarity of at least `least`."""
-    found = written(with_sets(docs, key=key, words=words), "sets")
-    return _labelled(found, _groups(found, lambda _: copy_links(found, least), key), key)
+    found = written(with_sketches(docs, key=key, words=words), "found")
+    return _labelled(found, _groups(found, lambda _: copy_links(docs, found, least, words), key), key)
 
 
 def deduplicated_copies(docs: DataFrame, *, words: int = COPY_WORDS, least: float = LEAST_ALIKE) -> DataFrame:
     """docs with one row of each component of near_copies, as deduplicated."""
-    found = written(with_sets(docs, words=words), "sets")
-    return _one_of_each(docs, _groups(found, lambda _: copy_links(found, least), "doc_id"))
+    found = written(with_sketches(docs, words=words), "found")
+    return _one_of_each(docs, _groups(found, lambda _: copy_links(docs, found, least, words), "doc_id"))
 
 
 def deduplicated(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
