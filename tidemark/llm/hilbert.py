@@ -1,6 +1,7 @@
 """Sharding along a Hilbert curve through metadata dimensions, by DataFrame functions alone.
 
-Each dimension is quantised to bins of about equal counts that keep its order; the bins are the
+Each dimension is quantised to bins of about equal counts that keep its order, numbers by quantiles
+and strings by the rank of the whole string among the distinct ones; the bins are the
 coordinates of a point, and rows are sorted by the point's index on the Hilbert curve, so that
 rows near each other on the curve are near in every dimension. Shards are runs of that order:
 each shard's files cover a small box of the metadata, and filters on any dimension skip most.
@@ -8,9 +9,10 @@ each shard's files cover a small box of the metadata, and filters on any dimensi
 The order is total up to rows that are alike: curve index, digest of the text, id. Rows are
 dealt by range of that whole key, so no value of a dimension, however frequent, meets in a task.
 
-Nulls are a bin of their own, before all values; a null text has 0 bytes. Ties are cut like any
-run: shards may split a group of equal rows. Empty tables give no rows. Clashing column names:
-columns named `_h_*` are ours and are dropped.
+Nulls are a bin of their own, before all values; a null text has 0 bytes. Long texts count by their
+bytes and are not moved. Ties are cut like any run: shards may split a group of equal rows. Repeated
+rows are rows of their own. Empty tables give no rows. Clashing column names: columns named `_h_*`
+are ours and are dropped; shard, slot and curve are replaced.
 """
 
 from __future__ import annotations
@@ -27,19 +29,47 @@ PARTITION_ROWS = 1 << 20
 _LOW = (1 << 33) - 1
 
 
-def string_code(column: str) -> Column:
-    """The first 7 bytes of a string as a long: keeps the order of strings up to those bytes."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+def string_bins(df: DataFrame, column: str, *, bits: int = BITS) -> DataFrame:
+    """(value, bin): the bin, from 1, of each distinct string by the number of rows before it.
+
+    Values are sorted by range of the whole string; their running sum is put together from
+    sums of partitions, of which there is one row each, so they never meet in one task.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    ordered = counts.repartitionByRange("value").sortWithinPartitions("value")
+    ordered = written(ordered.withColumn("at", F.monotonically_increasing_id()), "hilbert-values")
+    part = F.shiftright("at", 33).alias("part")
+    sums = ordered.groupBy(part).agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy())
+    starts = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"), total.alias("total"))
+    own = F.sum("n").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    # one row for each partition of the sort
+    out = ordered.withColumn("part", F.shiftright("at", 33)).withColumn("own", own).join(F.broadcast(starts), "part")
+    at = F.call_function("div", (F.col("start") + F.col("own")) * ((1 << bits) - 1), F.col("total"))
+    return out.select("value", (1 + at).cast("long").alias("bin"))
 
 
-def quantised(df: DataFrame, codes: list[str], *, bits: int = BITS) -> DataFrame:
-    """df with each code column replaced by its bin, 0 for null. The cuts are quantiles, one row
-    for all columns; a value as frequent as several bins takes one and leaves the others empty."""
+def number_bins(df: DataFrame, columns: list[str], *, bits: int = BITS) -> dict[str, Column]:
+    """The bin, from 1, of each long column. The cuts are quantiles, one row for all columns; a value
+    as frequent as several bins takes one and leaves the others empty."""
     bins = (1 << bits) - 1
-    marks = [k / bins for k in range(1, bins)]
-    cuts = df.agg(*(F.percentile_approx(c, F.array(*map(F.lit, marks)), 20_000).alias(c) for c in codes)).first()
-    edges = {c: ", ".join(f"{v}L" for v in sorted(set(cuts[c] or []))) for c in codes}
-    return df.withColumns({c: F.expr(f"if(`{c}` is null, 0L, 1L + size(filter(cast(array({edges[c]}) as array<bigint>), e -> e < `{c}`)))") for c in codes})
+    marks = F.array(*(F.lit(k / bins) for k in range(1, bins)))
+    cuts = df.agg(*(F.percentile_approx(c, marks, 20_000).alias(c) for c in columns)).first()
+    edges = {c: ", ".join(f"{v}L" for v in sorted(set(cuts[c] or []))) for c in columns}
+    return {c: F.expr(f"1L + size(filter(cast(array({edges[c]}) as array<bigint>), e -> e < `{c}`))") for c in columns}
+
+
+def quantised(df: DataFrame, columns: list[str], *, bits: int = BITS) -> DataFrame:
+    """df with each column, of longs or strings, replaced by its bin, 0 for null."""
+    kinds = {c: df.schema[c].dataType.simpleString() for c in columns}
+    numbers = [c for c in columns if kinds[c] != "string"]
+    bins = number_bins(df, numbers, bits=bits) if numbers else {}
+    out = df.withColumns({c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(b).cast("long") for c, b in bins.items()})
+    for c in columns:
+        if kinds[c] == "string":
+            values = written(string_bins(df, c, bits=bits), "hilbert-bins").withColumnsRenamed({"value": c, "bin": "_h_bin"})
+            out = out.join(values, c, "left").withColumn(c, F.coalesce("_h_bin", F.lit(0).cast("long"))).drop("_h_bin")
+    return out
 
 
 def hilbert_index(coordinates: list[str], bits: int) -> Column:
@@ -66,9 +96,9 @@ def hilbert_index(coordinates: list[str], bits: int) -> Column:
 def shard_by_curve(df: DataFrame, codes: dict[str, Column], shards: int, *, digest: Column, key: str = "doc_id", bits: int = BITS, partitions: int | None = None) -> DataFrame:
     """df with `shard`, of counts at most one apart, and `slot`, gapless from 0 in each shard.
 
-    codes: long columns that keep the order of the dimensions, by name. The sorted narrow rows are
-    written once, so that the counts of partitions, of which there is one row each, and the rows'
-    places in them come from the same order.
+    codes: the dimensions, longs or strings, by name. The sorted narrow rows are written once, so that
+    the counts of partitions, of which there is one row each, and the rows' places in them come
+    from the same order.
     """
     df = df.drop("shard", "slot", "curve", *(c for c in df.columns if c.startswith("_h_")))
     names = [f"_h_{c}" for c in codes]
@@ -93,6 +123,9 @@ def shard_by_curve(df: DataFrame, codes: dict[str, Column], shards: int, *, dige
 def shard_documents(docs: DataFrame, shards: int, *, bits: int = BITS) -> DataFrame:
     """(doc_id, size, text_crc32, curve, shard, slot): documents along source, language and size."""
     bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    narrow = docs.select("doc_id", (bytes_ + 16).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), string_code("source").alias("_source"), string_code("lang").alias("_lang"), F.xxhash64("text").alias("_digest"))
-    out = shard_by_curve(narrow, {"source": F.col("_source"), "lang": F.col("_lang"), "size": F.col("size")}, shards, digest=F.col("_digest"), bits=bits)
+    digest = F.xxhash64("text").alias("_digest")
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
+    narrow = docs.select("doc_id", (bytes_ + 16).alias("size"), crc, F.col("source").alias("_source"), F.col("lang").alias("_lang"), digest)
+    dimensions = {"source": F.col("_source"), "lang": F.col("_lang"), "size": F.col("size")}
+    out = shard_by_curve(narrow, dimensions, shards, digest=F.col("_digest"), bits=bits)
     return out.drop("_source", "_lang", "_digest")
