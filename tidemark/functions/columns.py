@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -103,14 +101,18 @@ def two_proportion_z(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     return F.when(spread > 0, (ratio(k1, n1) - ratio(k2, n2)) / spread)
 
 
-@F.pandas_udf(T.DoubleType())
-def _erfc_p(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
+# A Chebyshev fit of erfc with a relative error below 1.2e-7, from the highest power.
+ERFC_FIT = (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223)
 
 
 def two_sided_p(z: Column) -> Column:
-    """P(|Z| >= |z|) by a vectorised UDF: Spark has no erf."""
-    return _erfc_p(z)
+    """P(|Z| >= |z|) = erfc(|z| / sqrt(2)) from built-ins, as Spark has no erf."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.5 * x)
+    power = F.lit(ERFC_FIT[0])
+    for c in ERFC_FIT[1:]:
+        power = power * t + c
+    return t * F.exp(-x * x + power)
 
 
 def percentile_band(c: Column) -> Column:

@@ -132,4 +132,4 @@ def video_timeline(metrics: DataFrame, blocks: DataFrame, events: DataFrame) ->
     days = events.select("event_id", F.explode(F.sequence(F.date_sub("event_start", 7), F.col("event_start"))).alias("day"))
     marked = days.groupBy("day").agg(F.array_join(F.array_sort(F.collect_set(F.col("event_id").cast("string"))), ";").alias("events"))
     out = metrics.join(blocks.select("video_id", "negative_rate"), "video_id", "left").withColumn("day", F.to_date("published_at"))
-    return out.join(F.broadcast(marked), "day", "left").select("video_id", "day", "n_comments", "view_count", "negative_rate", "events")
+    return out.join(marked, "day", "left").select("video_id", "day", "n_comments", "view_count", "negative_rate", "events")

@@ -82,35 +82,6 @@ held AS (
 """
 
 
-def _z(k1: str, n1: str, k2: str, n2: str) -> str:
-    pooled = f"(({k1} + {k2}) / nullif({n1} + {n2}, 0))"
-    spread = f"sqrt({pooled} * (1 - {pooled}) * (1 / nullif({n1}, 0) + 1 / nullif({n2}, 0)))"
-    return f"CASE WHEN {spread} > 0 THEN ({k1} / {n1} - {k2} / {n2}) / {spread} END"
-
-
-_WINDOWS = f"""
-w0 AS (
-  SELECT event_id, {', '.join(f"count(*) FILTER (w = '{w}') AS {w}_n, count(*) FILTER (w = '{w}' AND label = 'negative') AS {w}_neg, sum(like_count + 1) FILTER (w = '{w}') AS {w}_w, coalesce(sum(like_count + 1) FILTER (w = '{w}' AND label = 'negative'), 0) AS {w}_wneg" for w in ('baseline', 'pre', 'post'))}
-  FROM held GROUP BY 1),
-windows AS (
-  SELECT event_id, {', '.join(f"coalesce({w}_n, 0) AS {w}_n, round({w}_neg / nullif({w}_n, 0), 6) AS {w}_negative_rate" for w in ('baseline', 'pre', 'post'))},
-    round(post_wneg / post_w, 6) AS post_weighted_negative_rate, round(100 * (post_neg / nullif(post_n, 0) - baseline_neg / nullif(baseline_n, 0)), 6) AS delta_pp,
-    round((post_n / 28) / nullif(baseline_n / 90, 0), 6) AS volume_lift, round((post_wneg / post_w) / nullif(post_neg / nullif(post_n, 0), 0), 6) AS amplification,
-    round({_z('post_neg', 'post_n', 'baseline_neg', 'baseline_n')}, 6) AS z
-  FROM happenings LEFT JOIN w0 USING (event_id))
-"""
-
-_AUDIENCE = f"""
-firsts AS (SELECT actor_id, min(ts) AS first FROM all_comments GROUP BY 1),
-seen AS (SELECT event_id, s, actor_id, bool_or(w = 'baseline') AS b, bool_or(w = 'post') AS p, bool_or(w = 'follow') AS f FROM held GROUP BY 1, 2, 3),
-flags AS (SELECT *, b AND first >= s - INTERVAL 118 DAY AND first < s - INTERVAL 28 DAY AS bn, p AND first >= s AND first < s + INTERVAL 28 DAY AS pn FROM seen JOIN firsts USING (actor_id)),
-a0 AS (SELECT event_id, count(*) FILTER (b) AS baseline_active, count(*) FILTER (p) AS post_active, count(*) FILTER (bn) AS baseline_new, count(*) FILTER (pn) AS post_new, count(*) FILTER (pn AND f) AS returned FROM flags GROUP BY 1),
-audience AS (
-  SELECT *, round(baseline_new / nullif(baseline_active, 0), 6) AS baseline_new_share, round(post_new / nullif(post_active, 0), 6) AS post_new_share, round(returned / nullif(post_new, 0), 6) AS newcomer_return_rate,
-    round({_z('post_new', 'post_active', 'baseline_new', 'baseline_active')}, 6) AS z
-  FROM a0)
-"""
-
 _ASPECTS = """
 units AS (
   SELECT concat_ws('-', thread_id, line, actor_id, video_id, ts) AS unit_id, ts, like_count, line, c.label, theme, CASE WHEN supplier_id % 2 = 0 THEN 'forum_a' ELSE 'forum_b' END AS platform,
@@ -162,10 +133,6 @@ ends AS (SELECT a AS u, b AS v, weight FROM edges UNION ALL SELECT b, a, weight
 deg AS (SELECT u AS node, count(*) AS degree FROM ends GROUP BY 1)
 """
 
-_CLUSTERS = """
-WITH c(event_id, s, e) AS (VALUES (0, DATE '2024-01-01', DATE '2024-01-09'), (1, DATE '2024-01-10', DATE '2024-01-19'), (2, DATE '2024-01-20', DATE '2024-01-30')),
-p AS (SELECT event_id, CAST(ts AS DATE) AS day, event_type AS topic, value AS engagement, CASE WHEN user_id % 2 = 0 THEN 'forum_a' ELSE 'forum_b' END AS source, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)
-"""
 
 _QUEUE = """
 WITH q AS (SELECT o_custkey AS video_id, CASE o_orderstatus WHEN 'F' THEN 'graphed' WHEN 'O' THEN 'queued' ELSE 'failed' END AS status, CASE WHEN o_orderstatus = 'P' THEN 'Quota ' || o_orderpriority END AS last_error, o_orderdate AS updated_at FROM orders)
@@ -200,8 +167,9 @@ SELECT coalesce(list_reverse_sort(f)[1].name, 'other') AS primary_theme, CASE WH
 
 def oracle() -> dict[str, str]:
     from tidemark.operators.sentiment import NEGATIVE_WORDS
+    from tidemark.plans import outside_sql
 
-    return {
+    return outside_sql.sql(_VIEWS, _THREADS) | {
         "video_metrics": _with(body="""
 SELECT v.video_id, title, theme, published_at, strftime(published_at, '%Y-%m') AS month, view_count, coalesce(n, 0) AS n_comments, coalesce(a, 0) AS n_commenters, coalesce(l, 0) AS likes, last AS last_comment_at
 FROM videos v LEFT JOIN (SELECT video_id, count(*) AS n, count(DISTINCT actor_id) AS a, CAST(sum(like_count) AS BIGINT) AS l, max(ts) AS last FROM comments GROUP BY 1) c USING (video_id)"""),
@@ -278,32 +246,6 @@ SELECT count(*) AS n_comments, count(*) FILTER (NOT is_top_level) AS n_replies,
   round(count(*) FILTER (NOT is_top_level AND label = 'negative') / nullif(count(*) FILTER (NOT is_top_level), 0), 6) AS reply_negative_rate FROM all_comments"""),
         "video_conflict": _with(_THREADS, body=_conflict("video_id").format(source="threads")),
         "theme_conflict": _with(_THREADS, body=_conflict("theme").format(source="(SELECT t.*, theme FROM threads t JOIN videos USING (video_id))")),
-        "external_daily": """
-WITH p AS (SELECT CAST(ts AS DATE) AS day, event_type AS topic, value, CASE WHEN user_id % 2 = 0 THEN 'forum_a' ELSE 'forum_b' END AS source, CAST(json_extract(props, '$.k') AS INT) AS k FROM events),
-m AS (SELECT day, topic, row_number() OVER (PARTITION BY day ORDER BY count(*) DESC, topic) AS r FROM p GROUP BY 1, 2)
-SELECT p.day, count(*) AS n_posts, round(sum(value), 2) AS engagement, string_agg(DISTINCT source, ';' ORDER BY source) AS sources, string_agg(DISTINCT p.topic, ';' ORDER BY p.topic) AS topics, CAST(sum(k) AS BIGINT) AS hints, any_value(m.topic) AS top_topic FROM p JOIN m ON m.day = p.day AND r = 1 GROUP BY 1""",
-        "event_clusters": """
-WITH d AS (SELECT event_type AS topic, CAST(ts AS DATE) AS day, count(*) AS n_posts FROM events WHERE CAST(json_extract(props, '$.k') AS INT) >= 60 GROUP BY 1, 2 HAVING count(*) >= 28),
-f AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY topic ORDER BY day) <= 1 THEN 0 ELSE 1 END AS fresh FROM d),
-r AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY topic ORDER BY day) AS BIGINT) AS run FROM f)
-SELECT topic, run, min(day) AS event_start, max(day) AS event_end, count(*) AS n_days, CAST(sum(n_posts) AS BIGINT) AS n_posts, max({n: n_posts, day: day}).day AS peak_day FROM r GROUP BY 1, 2""",
-        "event_windows": _with(_EVENTS, _WINDOWS, body=" SELECT * FROM windows"),
-        "audience_windows": _with(_EVENTS, _AUDIENCE, body=" SELECT * FROM audience"),
-        "impact_diagnostics": _with(_EVENTS, _WINDOWS, _AUDIENCE, body="""
-, x AS (SELECT w.event_id, coalesce(w.delta_pp >= 3 AND abs(w.z) > 1.959964, false) AS negative_rise, coalesce(abs(100 * (post_new_share - baseline_new_share)) >= 2 AND abs(a.z) > 1.959964, false) AS new_audience, coalesce(w.volume_lift >= 2, false) AS volume_lift FROM windows w LEFT JOIN audience a USING (event_id))
-SELECT *, CAST(negative_rise AS INT) + CAST(new_audience AS INT) + CAST(volume_lift AS INT) AS n_signals, concat_ws(';', CASE WHEN negative_rise THEN 'negative_rise' END, CASE WHEN new_audience THEN 'new_audience' END, CASE WHEN volume_lift THEN 'volume_lift' END) AS signals FROM x"""),
-        "half_life": _with(_EVENTS, body="""
-, base AS (SELECT event_id, count(*) FILTER (label = 'negative') / count(*) AS base FROM held WHERE w = 'baseline' GROUP BY 1),
-d AS (SELECT event_id, s, CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (label = 'negative') AS neg FROM held WHERE w = 'post' GROUP BY 1, 2, 3),
-r AS (SELECT *, sum(neg) OVER o / sum(n) OVER o AS rolling, row_number() OVER (PARTITION BY event_id ORDER BY day) AS i FROM d WINDOW o AS (PARTITION BY event_id ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
-e AS (SELECT event_id, sum(neg) / sum(n) AS early FROM r WHERE i <= 3 GROUP BY 1),
-l AS (SELECT event_id, early > base AS up, CASE WHEN early > base AND i > 3 AND rolling <= base + (early - base) / 2 THEN CAST(day - s AS INT) END AS low FROM r JOIN base USING (event_id) JOIN e USING (event_id))
-SELECT event_id, bool_or(up) AS lifted, coalesce(min(low), 28) AS half_life_days, min(low) IS NOT NULL AS observed FROM l GROUP BY 1"""),
-        "spillover": _with(_EVENTS, body="""
-, base AS (SELECT event_id, count(*) FILTER (label = 'negative') / count(*) AS base FROM held WHERE w = 'baseline' GROUP BY 1),
-o AS (SELECT event_id, s, video_id, count(*) FILTER (label = 'negative') / count(*) AS rate FROM held WHERE w = 'post' GROUP BY 1, 2, 3 HAVING count(*) >= 2),
-h AS (SELECT o.event_id, abs(CAST(published_at AS DATE) - s) <= 7 AS near FROM o JOIN base USING (event_id) JOIN videos USING (video_id) WHERE rate >= base + 0.05)
-SELECT event_id, count(near) AS n_affected, count(*) FILTER (near) AS n_near, count(*) FILTER (NOT near) AS n_other, round(count(*) FILTER (NOT near) / nullif(count(*) FILTER (near), 0), 6) AS spillover_ratio FROM happenings LEFT JOIN h USING (event_id) GROUP BY 1"""),
         "aspect_summary": _with(_ASPECTS, body="""
 , t AS (SELECT count(DISTINCT unit_id) AS u, count(DISTINCT unit_id) FILTER (sentiment = 'negative') AS g FROM aspect_rows),
 a AS (SELECT aspect, count(DISTINCT unit_id) AS n_units, count(DISTINCT unit_id) FILTER (sentiment = 'negative') AS n_negative, count(DISTINCT unit_id) FILTER (sentiment = 'positive') AS n_positive, round(coalesce(sum(like_count + 1) FILTER (sentiment = 'negative'), 0) / sum(like_count + 1), 6) AS weighted_negative_rate, round(avg(severity), 6) AS mean_severity FROM aspect_rows GROUP BY 1)
@@ -398,26 +340,6 @@ SELECT community, theme, CAST(grouping(community, theme) AS INT) AS level, count
         "comment_gaps": _with(body="""
 , g AS (SELECT actor_id, CAST(ts AS DATE) - CAST(lag(ts) OVER (PARTITION BY actor_id ORDER BY ts) AS DATE) AS gap FROM all_comments)
 SELECT actor_id, count(gap) AS n_gaps, CAST(max(gap) AS INT) AS longest FROM g GROUP BY 1"""),
-        "cluster_topics": _CLUSTERS + """
-, w AS (SELECT c.event_id, topic, round(sum(1 + ln(1 + greatest(0, engagement)) + CASE WHEN k > 95 THEN 25 ELSE 0 END), 4) AS votes FROM p JOIN c ON p.day BETWEEN c.s AND c.e GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY votes DESC, topic DESC) AS i FROM w)
-SELECT event_id, topic, votes FROM r WHERE i = 1""",
-        "cluster_posts": _CLUSTERS + """
-, h AS (SELECT c.event_id, p.source, p.event_id AS post_id, row_number() OVER (PARTITION BY c.event_id ORDER BY engagement DESC, p.event_id) AS i FROM p JOIN c ON p.day BETWEEN c.s AND c.e)
-SELECT event_id, count(*) AS n_posts, count(DISTINCT source) AS n_sources, string_agg(CAST(post_id AS VARCHAR), ';' ORDER BY i) FILTER (i <= 5) AS top_posts FROM h GROUP BY 1""",
-        "conflict_windows": _with(_THREADS, body="""
-, happenings(event_id, s) AS (VALUES (0, DATE '1996-07-01'), (1, DATE '1997-10-01'), (2, DATE '1999-01-01'), (3, DATE '2000-04-01'), (4, DATE '2001-07-01')),
-f AS (SELECT thread_id, min(ts) AS ts FROM all_comments GROUP BY 1),
-h AS (SELECT event_id, conflict_thread, CASE WHEN ts < s - INTERVAL 28 DAY THEN 'baseline' WHEN ts < s THEN 'pre' ELSE 'post' END AS "window" FROM threads JOIN f USING (thread_id) JOIN happenings ON ts >= s - INTERVAL 118 DAY AND ts < s + INTERVAL 28 DAY WHERE n_replies > 0)
-SELECT event_id, "window", count(*) AS n_replied, count(*) FILTER (conflict_thread) AS n_conflict, round(count(*) FILTER (conflict_thread) * (count(*) FILTER (conflict_thread) / count(*)), 6) AS conflict_score FROM h GROUP BY 1, 2"""),
-        "newcomer_sentiment": _with(_EVENTS, body="""
-, f AS (SELECT actor_id, min(ts) AS first FROM all_comments GROUP BY 1),
-h AS (SELECT event_id, label, first >= s AS fresh FROM held JOIN f USING (actor_id) WHERE w = 'post'),
-g AS (SELECT event_id, count(*) FILTER (fresh) AS n_new, count(*) FILTER (NOT fresh) AS n_old, count(*) FILTER (fresh AND label = 'negative') / nullif(count(*) FILTER (fresh), 0) AS a, count(*) FILTER (NOT fresh AND label = 'negative') / nullif(count(*) FILTER (NOT fresh), 0) AS b FROM h GROUP BY 1)
-SELECT event_id, n_new, n_old, round(a, 6) AS new_negative_rate, round(b, 6) AS old_negative_rate, round(100 * (a - b), 6) AS gap_pp FROM g"""),
-        "audience_summary": _with(_EVENTS, _AUDIENCE, body="""
-, x AS (SELECT 100 * (post_new_share - baseline_new_share) AS pp, abs(z) > 1.959964 AS sure FROM audience WHERE z IS NOT NULL)
-SELECT count(*) AS n_events, count(*) FILTER (sure AND pp > 0) AS n_up, count(*) FILTER (sure AND pp < 0) AS n_down, round(avg(pp), 4) AS mean_pp FROM x"""),
         "platform_aspect_shares": _with(_ASPECTS, body="""
 SELECT platform, aspect, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY platform), 6) AS share FROM aspect_rows WHERE sentiment = 'negative' GROUP BY 1, 2"""),
         "negative_units": _with(body=" SELECT label, count(*) AS n, CAST(sum(like_count) AS BIGINT) AS likes FROM all_comments WHERE label = 'negative' OR like_count >= 45 GROUP BY 1"),

@@ -216,13 +216,24 @@ def external_daily(v):
     return events.daily_posts(v.posts)
 
 
-def _candidates(v):
-    return events.candidate_days(v.posts.where("hint >= 60"), least=28)
+@query
+def candidate_days(v):
+    return events.candidate_days(events.daily_posts(v.posts))
 
 
 @query
 def event_clusters(v):
-    return events.event_clusters(_candidates(v), gap=1)
+    return events.event_clusters(v.posts)
+
+
+@query
+def merged_event_clusters(v):
+    return events.event_clusters(v.posts, events.Settings(merge_cross_topic=True))
+
+
+@query
+def external_summary(v):
+    return events.external_summary(v.posts, events.candidate_days(events.daily_posts(v.posts)), events.event_clusters(v.posts))
 
 
 def _events(v):
@@ -238,7 +249,7 @@ def event_windows(v):
 
 @query
 def audience_windows(v):
-    return events.audience_windows(v.all_comments, _events(v))
+    return events.audience_windows(v.comments, _events(v))
 
 
 @query
@@ -251,9 +262,29 @@ def spillover(v):
     return events.spillover(v.all_comments, _events(v), v.videos, least=2)
 
 
+def _threads_at(v):
+    first = v.all_comments.groupBy("thread_id").agg(F.min("ts").alias("ts"))
+    return threads.thread_metrics(v.all_comments).join(first, "thread_id")
+
+
+def _conflicts(v):
+    return events.conflict_windows(_threads_at(v), _events(v))
+
+
 @query
 def impact_diagnostics(v):
-    return events.impact_diagnostics(events.event_windows(v.all_comments, _events(v)), events.audience_windows(v.all_comments, _events(v)))
+    e = _events(v)
+    return events.impact_diagnostics(events.event_windows(v.all_comments, e), events.audience_windows(v.comments, e), events.newcomer_sentiment(v.comments, e), _conflicts(v), events.spillover(v.all_comments, e, v.videos, least=2))
+
+
+@query
+def event_conflict_lift(v):
+    return events.conflict_lift(_conflicts(v))
+
+
+@query
+def nearby_titles(v):
+    return events.nearby_titles(v.videos, _events(v))
 
 
 def _aspects(v):
@@ -508,29 +539,23 @@ def _clusters(v):
 
 @query
 def cluster_topics(v):
-    return events.cluster_topics(v.posts, _clusters(v), hint_above=95)
-
-
-@query
-def cluster_posts(v):
-    return events.cluster_posts(v.posts, _clusters(v))
+    days = _clusters(v).select("event_id", F.explode(F.sequence("event_start", "event_end")).alias("day"))
+    return events.topic_votes(v.posts.drop("event_id").join(days, "day"), "event_id")
 
 
 @query
 def conflict_windows(v):
-    found = threads.thread_metrics(v.all_comments)
-    first = v.all_comments.groupBy("thread_id").agg(F.min("ts").alias("ts"))
-    return events.conflict_windows(found.join(first, "thread_id"), _events(v))
+    return _conflicts(v)
 
 
 @query
 def newcomer_sentiment(v):
-    return events.newcomer_sentiment(v.all_comments, _events(v))
+    return events.newcomer_sentiment(v.comments, _events(v))
 
 
 @query
 def audience_summary(v):
-    return events.audience_summary(events.audience_windows(v.all_comments, _events(v)))
+    return events.audience_summary(events.audience_windows(v.comments, _events(v)))
 
 
 @query

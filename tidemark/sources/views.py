@@ -60,7 +60,14 @@ class Views:
 
     @cached_property
     def posts(self) -> DataFrame:
-        return self.table("events").select("event_id", "ts", F.to_date("ts").alias("day"), F.col("event_type").alias("topic"), F.col("value").alias("engagement"), F.when(F.col("user_id") % 2 == 0, "forum_a").otherwise("forum_b").alias("source"), F.col("user_id").alias("author"), F.get_json_object("props", "$.k").cast("int").alias("hint"))
+        """Enriched posts: a fifth have labels, one in a hundred each is irrelevant or noise, three
+        in a hundred are hints."""
+        k = F.get_json_object("props", "$.k").cast("int")
+        return self.table("events").select(
+            "event_id", F.col("event_id").cast("string").alias("post_uid"), "ts", F.to_date("ts").alias("day"), F.col("event_type").alias("topic"), F.concat_ws(" ", "event_type", "event_id").alias("title"), F.col("value").alias("engagement"),
+            F.when(F.col("user_id") % 2 == 0, "forum_a").otherwise("forum_b").alias("source"), F.col("user_id").alias("author"),
+            (k >= 97).alias("hint"), (F.col("user_id") % 5 == 0).alias("semantic"), (k != 0).alias("relevant"), (k == 1).alias("noise"),
+        )
 
     @cached_property
     def channels(self) -> DataFrame:
