@@ -10,7 +10,7 @@ from tidemark.plans.oracle import oracle  # noqa: E402
 from tidemark.plans.registry import QUERIES  # noqa: E402
 
 ORACLE = oracle()
-ITERATIVE = {"connected_components", "communities", "core_numbers", "betweenness"}
+ITERATIVE = {"communities"}
 
 
 def test_every_relation_has_sql_or_is_iterative():

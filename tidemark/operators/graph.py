@@ -15,16 +15,32 @@ from tidemark.functions.columns import places, ratio
 from tidemark.plans.tables import written
 
 
+#: Nodes of one `via` whose pairs one task makes with all of its nodes.
+SPLIT = 2000
+
+
+def _within(rows: DataFrame, via: str, *, split: int = SPLIT) -> DataFrame:
+    """rows (node, via, ...) joined with themselves: (via, a, b, ...) of all a < b of one via.
+
+    The left rows of a via of n nodes are dealt to n / split parts, and the right ones go to each, so
+    that a hot via is no task's alone.
+    """
+    sizes = rows.groupBy(via).agg(F.ceil(F.count("*") / split).cast("int").alias("_parts"))
+    dealt = rows.join(sizes, via)
+    left = dealt.withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")).drop("_parts").withColumnRenamed("node", "a")
+    right = dealt.select(via, F.col("node").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    return left.join(right, [via, "_part"]).where("a < b").drop("_part")
+
+
 def projection(pairs: DataFrame, node: str, via: str, *, least_via: int = 2, least_weight: int = 3) -> DataFrame:
     """(a, b, weight): nodes that share at least least_weight `via`, of nodes that have least_via.
 
     pairs must be distinct. Pairs are made within one `via` in one direction only and added up
-    before they are shuffled; `via` with very many nodes are what this costs, as in any projection.
+    before they are shuffled; a `via` of n nodes makes n * n / 2 pairs, as in any projection.
     """
     busy = pairs.groupBy(node).agg(F.count("*").alias("_n")).where(F.col("_n") >= least_via).select(node)
     kept = pairs.join(busy, node, "left_semi").select(F.col(node).alias("node"), via)
-    left, right = kept.withColumnRenamed("node", "a"), kept.withColumnRenamed("node", "b")
-    return left.join(right, via).where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least_weight)
+    return _within(kept, via).groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least_weight)
 
 
 def both(edges: DataFrame) -> DataFrame:
@@ -37,32 +53,50 @@ def partitioned(edges: DataFrame, partition: DataFrame) -> DataFrame:
     return both(edges).join(side("u"), "u").join(side("v"), "v")
 
 
-def node_metrics(edges: DataFrame, partition: DataFrame, betweenness: DataFrame | None = None) -> DataFrame:
-    """Degree, strength, participation over neighbour communities, cross share, bridge scores."""
+def node_metrics(edges: DataFrame, partition: DataFrame, cores: DataFrame, betweenness: DataFrame) -> DataFrame:
+    """Degree, strength, core, betweenness, neighbour communities, weights inside and across, participation
+    over neighbour communities, and the bridge scores (the structural one times 1 + betweenness)."""
     by_part = partitioned(edges, partition).groupBy("u", "u_part", "v_part").agg(F.sum("weight").alias("w"), F.count("*").alias("d"))
-    out = by_part.groupBy(F.col("u").alias("node"), F.col("u_part").alias("part")).agg(F.sum("d").alias("degree"), F.sum("w").alias("strength"), F.sum(F.col("w") * F.col("w")).alias("_squares"), F.sum(F.when(F.col("v_part") != F.col("u_part"), F.col("w")).otherwise(0)).alias("_cross"))
+    same = F.col("v_part") == F.col("u_part")
+    out = by_part.groupBy(F.col("u").alias("node"), F.col("u_part").alias("part")).agg(
+        F.sum("d").alias("degree"), F.sum("w").alias("strength"), F.sum(F.col("w") * F.col("w")).alias("_squares"), F.count("*").alias("n_parts"),
+        F.coalesce(F.sum(F.when(same, F.col("w"))), F.lit(0)).alias("same_weight"), F.coalesce(F.sum(F.when(~same, F.col("w"))), F.lit(0)).alias("cross_weight"),
+    )
     out = out.withColumn("participation", 1 - ratio(F.col("_squares"), F.col("strength") * F.col("strength"))).withColumn("bridge", F.col("strength") * F.col("participation"))
-    cross = ratio(F.col("_cross"), F.col("strength"))
-    if betweenness is not None:
-        out = out.join(betweenness, "node", "left").withColumn("structural_bridge", F.col("bridge") * (1 + F.coalesce("betweenness", F.lit(0.0))))
-    extra = [places(F.col("structural_bridge")).alias("structural_bridge")] if betweenness is not None else []
-    return out.select("node", "part", "degree", "strength", places(F.col("participation")).alias("participation"), places(cross).alias("cross_share"), places(F.col("bridge"), 4).alias("bridge"), *extra)
+    out = out.join(cores, "node", "left").join(betweenness, "node", "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
+    return out.select(
+        "node", "part", "degree", "strength", F.coalesce("core", F.lit(0)).alias("core"), "betweenness", "n_parts", "same_weight", "cross_weight", places(ratio(F.col("cross_weight"), F.col("strength"))).alias("cross_share"),
+        places(F.col("participation")).alias("participation"), places(F.col("bridge"), 4).alias("bridge"), places(F.col("bridge") * (1 + F.col("betweenness")), 4).alias("structural_bridge"),
+    )
 
 
-def top_nodes(metrics: DataFrame, k: int) -> DataFrame:
-    """The k best bridges; all for k <= 0."""
-    out = metrics.orderBy(F.desc_nulls_last("bridge"), F.desc("strength"), F.desc("degree"), "node")
+def _best(metrics: DataFrame, order: list[str], k: int) -> DataFrame:
+    out = metrics.orderBy(*(F.desc_nulls_last(c) for c in order), "node")
     return out.limit(k) if k > 0 else out
 
 
-def community_summary(edges: DataFrame, partition: DataFrame) -> DataFrame:
-    """Per community: nodes with an edge, inner and outer edges and weights, volume, conductance."""
+def bridge_nodes(metrics: DataFrame, k: int = 50) -> DataFrame:
+    """The k best bridges; all for k <= 0."""
+    return _best(metrics, ["structural_bridge", "bridge", "participation"], k)
+
+
+def top_nodes(metrics: DataFrame, k: int = 200) -> DataFrame:
+    """The k nodes of most structural weight; all for k <= 0."""
+    return _best(metrics, ["structural_bridge", "betweenness", "core", "strength"], k)
+
+
+def community_summary(edges: DataFrame, partition: DataFrame, cores: DataFrame) -> DataFrame:
+    """Per community: nodes with an edge, inner and outer edges and weights, volume, conductance, cores."""
     ends = partitioned(edges, partition)
     inner = F.col("u_part") == F.col("v_part")
     half = inner & (F.col("u") < F.col("v"))
-    out = ends.groupBy(F.col("u_part").alias("part")).agg(F.countDistinct("u").alias("n_nodes"), F.count_if(half).alias("internal_edges"), F.count_if(~inner).alias("external_edges"), F.coalesce(F.sum(F.when(half, F.col("weight"))), F.lit(0)).alias("internal_weight"), F.coalesce(F.sum(F.when(~inner, F.col("weight"))), F.lit(0)).alias("cut"), F.sum("weight").alias("volume"))
-    rest = F.sum("volume").over(Window.partitionBy()) - F.col("volume")
-    return out.withColumn("conductance", places(ratio(F.col("cut"), F.least(F.col("volume"), rest))))
+    weight = lambda c: F.coalesce(F.sum(F.when(c, F.col("weight"))), F.lit(0))
+    out = ends.groupBy(F.col("u_part").alias("part")).agg(F.count_if(half).alias("internal_edges"), F.count_if(~inner).alias("external_edges"), weight(half).alias("internal_weight"), weight(~inner).alias("cut"), F.sum("weight").alias("volume"))
+    own = cores.join(partition, "node").groupBy("part").agg(F.count("*").alias("n_nodes"), places(F.avg("core")).alias("mean_core"), F.max("core").alias("max_core"))
+    every = Window.partitionBy()  # one row a community
+    rest = F.sum("volume").over(every) - F.col("volume")
+    out = out.join(own, "part").withColumn("pct_nodes", places(100 * ratio(F.col("n_nodes"), F.sum("n_nodes").over(every))))
+    return out.withColumns({"inner_volume": 2 * F.col("internal_weight"), "conductance": places(ratio(F.col("cut"), F.least(F.col("volume"), rest)))})
 
 
 def modularity(edges: DataFrame, partition: DataFrame) -> DataFrame:
@@ -92,31 +126,41 @@ def attribute_assortativity(edges: DataFrame, partition: DataFrame) -> DataFrame
     return out.agg(places(ratio(e - a, 1 - a)).alias("attribute_assortativity"))
 
 
-def network_summary(edges: DataFrame, partition: DataFrame) -> DataFrame:
-    """One row: size, density, mean degrees, concentration of the communities."""
+def network_summary(edges: DataFrame, partition: DataFrame, cores: DataFrame) -> DataFrame:
+    """One row: size, density, mean degrees, concentration of the communities, modularity, cores and
+    assortativity."""
     d = degrees(edges).join(partition, "node")
     total = d.agg(F.count("*").alias("n_nodes"), (F.sum("degree") / 2).cast("bigint").alias("n_edges"), places(F.avg("degree")).alias("mean_degree"), places(F.avg("strength")).alias("mean_strength"))
-    shares = d.groupBy("part").agg(F.count("*").alias("n")).withColumn("share", ratio(F.col("n"), F.sum("n").over(Window.partitionBy()))).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "part")))
+    every = Window.partitionBy()  # one row a community
+    shares = d.groupBy("part").agg(F.count("*").alias("n")).withColumn("share", ratio(F.col("n"), F.sum("n").over(every)))
+    shares = shares.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "part")))
     spread = shares.agg(F.count("*").alias("n_communities"), F.sum(F.col("share") * F.col("share")).alias("hhi"), F.max("share").alias("top1_share"), F.sum(F.when(F.col("place") <= 3, F.col("share"))).alias("top3_share"))
-    out = total.crossJoin(spread)  # one row each
+    by_core = cores.groupBy("core").agg(F.count("*").alias("n"))
+    core = by_core.agg(F.max("core").alias("max_core"), places(ratio(F.max_by("n", "core"), F.sum("n"))).alias("max_core_share"), places(ratio(F.sum(F.col("core") * F.col("n")), F.sum("n"))).alias("mean_core"))
+    out = total
+    for one in (spread, modularity(edges, partition), core, degree_assortativity(edges), attribute_assortativity(edges, partition)):
+        out = out.crossJoin(one)  # one row each
     density = ratio(2 * F.col("n_edges"), F.col("n_nodes") * (F.col("n_nodes") - 1))
-    return out.select("n_nodes", "n_edges", places(density, 9).alias("density"), "mean_degree", "mean_strength", "n_communities", places(F.col("hhi")).alias("hhi"), places(ratio(F.lit(1), F.col("hhi"))).alias("effective_communities"), places(F.col("top1_share")).alias("top1_share"), places(F.col("top3_share")).alias("top3_share"))
+    return out.select(
+        "n_nodes", "n_edges", places(density, 9).alias("density"), "mean_degree", "mean_strength", "n_communities", "modularity", places(F.col("hhi")).alias("hhi"), places(ratio(F.lit(1), F.col("hhi"))).alias("effective_communities"),
+        places(F.col("top1_share")).alias("top1_share"), places(F.col("top3_share")).alias("top3_share"), "max_core", "max_core_share", "mean_core", "degree_assortativity", "attribute_assortativity",
+    )
 
 
 def link_opportunities(edges: DataFrame, *, top: int = 100) -> DataFrame:
     """Pairs without an edge that share neighbours, by ln(1 + common) + 2 Jaccard + Adamic-Adar +
     resource allocation. Candidates come from two-hop joins, never from all non-edges."""
-    ends = both(edges).select("u", "v")
     d = degrees(edges).select("node", "degree")
-    weighed = ends.join(d.withColumnRenamed("node", "u"), "u").select(F.col("u").alias("mid"), F.col("v").alias("end"), "degree")
-    left, right = weighed.select("mid", F.col("end").alias("a"), "degree"), weighed.select("mid", F.col("end").alias("b"))
+    ends = both(edges).select(F.col("u").alias("mid"), F.col("v").alias("node"))
+    weighed = ends.join(d.withColumnsRenamed({"node": "mid"}), "mid")
     aa = F.when(F.col("degree") > 1, 1 / F.log(F.col("degree").cast("double"))).otherwise(0.0)
-    found = left.join(right, "mid").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"), F.sum(aa).alias("aa"), F.sum(1 / F.col("degree")).alias("ra"))
+    found = _within(weighed, "mid").groupBy("a", "b").agg(F.count("*").alias("common"), F.sum(aa).alias("aa"), F.sum(1 / F.col("degree")).alias("ra"))
     found = found.join(edges.select("a", "b"), ["a", "b"], "left_anti")
     found = found.join(d.withColumnsRenamed({"node": "a", "degree": "da"}), "a").join(d.withColumnsRenamed({"node": "b", "degree": "db"}), "b")
     jaccard = ratio(F.col("common"), F.col("da") + F.col("db") - F.col("common"))
-    found = found.select("a", "b", "common", places(jaccard).alias("jaccard"), places(F.col("aa")).alias("adamic_adar"), places(F.col("ra")).alias("resource_allocation"), places(F.log(1.0 + F.col("common")) + 2 * jaccard + F.col("aa") + F.col("ra"), 4).alias("score"))
-    return found.orderBy(F.desc("score"), "a", "b").limit(top)
+    score = F.log(1.0 + F.col("common")) + 2 * jaccard + F.col("aa") + F.col("ra")
+    found = found.select("a", "b", "common", places(jaccard).alias("jaccard"), places(F.col("aa")).alias("adamic_adar"), places(F.col("ra")).alias("resource_allocation"), places(score, 4).alias("score"))
+    return found.orderBy(*(F.desc(c) for c in ("score", "adamic_adar", "resource_allocation", "jaccard")), "a", "b").limit(top)
 
 
 def opportunity_type(shared: str = "shared", theme: str = "same_theme", cluster: str = "same_cluster"):
@@ -125,21 +169,19 @@ def opportunity_type(shared: str = "shared", theme: str = "same_theme", cluster:
     return F.when((s == 0) & ~c, "latent_cross_cluster_bridge").when(~c & ~t, "cross_cluster_theme_bridge").when(c & ~t, "within_cluster_theme_blend").when(~c & t, "same_theme_cross_cluster_bridge").otherwise("underconnected_similar_audience")
 
 
-def connected_components(edges: DataFrame, *, rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, part): the smallest node of each component, by hooking to the smallest neighbour
-    and jumping to that one's, a written table a round."""
+    and jumping to that one's, a written table a round, until no label changes."""
     ends = written(both(edges).select("u", "v").distinct(), "ends")
     labels = written(ends.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("part")), "labels")
-    for _ in range(rounds):
+    while True:  # each round but the last lowers a label
         near = ends.join(labels.select(F.col("node").alias("v"), "part"), "v").groupBy(F.col("u").alias("node")).agg(F.min("part").alias("_near"))
         hooked = labels.join(near, "node", "left").select("node", F.least("part", F.coalesce("_near", "part")).alias("_new"), "part")
         jump = labels.select(F.col("node").alias("_new"), F.col("part").alias("_jump"))
-        after = written(hooked.join(jump, "_new", "left").select("node", F.least("_new", F.coalesce("_jump", "_new")).alias("part"), F.col("part").alias("_was")), "labels")
-        changed = after.where("part <> _was").limit(1).count()
-        labels = after.select("node", "part")
-        if not changed:
-            break
-    return labels
+        after = hooked.join(jump, "_new", "left").select("node", F.least("_new", F.coalesce("_jump", "_new")).alias("part"), F.col("part").alias("_was"))
+        labels = written(after, "labels", instead_of=labels)
+        if not labels.where("part <> _was").head(1):
+            return labels.select("node", "part")
 
 
 def label_communities(edges: DataFrame) -> DataFrame:
@@ -206,22 +248,21 @@ def core_numbers(edges: DataFrame) -> DataFrame:
         counts = near.groupBy(F.col("u").alias("node"), "core").agg(F.count("*").alias("n"))
         at_least = F.sum("n").over(Window.partitionBy("node").orderBy(F.desc("core")))
         h = counts.withColumn("_h", F.least(at_least, F.col("core"))).groupBy("node").agg(F.max("_h").cast("int").alias("_h"))
-        after = written(cores.join(h, "node").select("node", F.least("core", "_h").alias("core"), F.col("core").alias("_was")), "cores")
-        changed = after.where("core <> _was").limit(1).count()
-        cores = after.select("node", "core")
-        if not changed:
-            return cores
+        after = cores.select("node", "core").join(h, "node").select("node", F.least("core", "_h").alias("core"), F.col("core").alias("_was"))
+        cores = written(after, "cores", instead_of=cores)
+        if not cores.where("core <> _was").head(1):
+            return cores.select("node", "core")
 
 
 def betweenness(edges: DataFrame, *, pivots: int = 128) -> DataFrame:
-    """(node, betweenness): shortest-path counts from `pivots` nodes chosen by hash (all nodes if
+    """(node, betweenness): shortest-path counts from `pivots` nodes chosen by MD5 (all nodes if
     there are no more), searched level by level to the last node and summed back, normalised as for
     all pairs."""
     ends = written(both(edges).select("u", "v"), "ends")
-    nodes = ends.select(F.col("u").alias("node")).distinct()
+    nodes = written(ends.select(F.col("u").alias("node")).distinct(), "nodes")
     n = nodes.count()
     k = min(pivots, n)
-    start = nodes.orderBy(F.xxhash64("node", F.lit(42)), "node").limit(k)
+    start = nodes.orderBy(F.md5(F.col("node").cast("string")), "node").limit(k)
     levels = [written(start.select(F.col("node").alias("pivot"), "node", F.lit(1.0).alias("paths")), "front")]
     while True:
         front = levels[-1].join(ends.withColumnRenamed("u", "node"), "node").groupBy("pivot", F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
@@ -241,4 +282,5 @@ def betweenness(edges: DataFrame, *, pivots: int = 128) -> DataFrame:
         deltas.append(below)
     done = reduce(DataFrame.unionByName, deltas)
     scale = n / k / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    return done.groupBy("node").agg(places(F.sum(F.when(F.col("pivot") != F.col("node"), F.col("delta")).otherwise(0.0)) * scale, 9).alias("betweenness"))
+    given = done.groupBy("node").agg(F.sum(F.when(F.col("pivot") != F.col("node"), F.col("delta")).otherwise(0.0)).alias("_sum"))
+    return nodes.join(given, "node", "left").select("node", places(F.coalesce("_sum", F.lit(0.0)) * scale, 9).alias("betweenness"))

@@ -32,16 +32,10 @@ def _edges(least: int) -> str:
 kept AS (SELECT * FROM actor_videos WHERE actor_id IN (SELECT actor_id FROM actor_videos GROUP BY 1 HAVING count(*) >= 2)),
 edges AS (SELECT x.actor_id AS a, y.actor_id AS b, count(*) AS weight FROM kept x JOIN kept y ON x.video_id = y.video_id AND x.actor_id < y.actor_id GROUP BY 1, 2 HAVING count(*) >= {least}),
 ends AS (SELECT a AS u, b AS v, weight FROM edges UNION ALL SELECT b, a, weight FROM edges),
-deg AS (SELECT u AS node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS strength FROM ends GROUP BY 1),
-parts AS (SELECT e.*, p.community AS u_part, q.community AS v_part FROM ends e JOIN actors p ON p.actor_id = u JOIN actors q ON q.actor_id = v)
+deg AS (SELECT u AS node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS strength FROM ends GROUP BY 1)
 """
 
 
-_NODES = """
-by_part AS (SELECT u, u_part, v_part, sum(weight) AS w, count(*) AS d FROM parts GROUP BY ALL),
-node_raw AS (SELECT u AS node, u_part AS part, CAST(sum(d) AS BIGINT) AS degree, CAST(sum(w) AS BIGINT) AS strength, 1 - sum(w * w) / (sum(w) * sum(w)) AS p, coalesce(sum(w) FILTER (v_part <> u_part), 0) / sum(w) AS x FROM by_part GROUP BY 1, 2),
-nodes AS (SELECT node, part, degree, strength, round(p, 6) AS participation, round(x, 6) AS cross_share, round(strength * p, 4) AS bridge FROM node_raw)
-"""
 
 _THREADS = """
 t0 AS (
@@ -130,7 +124,7 @@ _VIDEO_EDGES = """
 busy AS (SELECT * FROM actor_videos WHERE video_id IN (SELECT video_id FROM actor_videos GROUP BY 1 HAVING count(*) >= 10)),
 edges AS (SELECT x.video_id AS a, y.video_id AS b, count(*) AS weight FROM busy x JOIN busy y ON x.actor_id = y.actor_id AND x.video_id < y.video_id GROUP BY 1, 2 HAVING count(*) >= 5),
 ends AS (SELECT a AS u, b AS v, weight FROM edges UNION ALL SELECT b, a, weight FROM edges),
-deg AS (SELECT u AS node, count(*) AS degree FROM ends GROUP BY 1)
+deg AS (SELECT u AS node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS strength FROM ends GROUP BY 1)
 """
 
 
@@ -167,9 +161,9 @@ SELECT coalesce(list_reverse_sort(f)[1].name, 'other') AS primary_theme, CASE WH
 
 def oracle() -> dict[str, str]:
     from tidemark.operators.sentiment import NEGATIVE_WORDS
-    from tidemark.plans import outside_sql
+    from tidemark.plans import graph_sql, outside_sql
 
-    return outside_sql.sql(_VIEWS, _THREADS) | {
+    return outside_sql.sql(_VIEWS, _THREADS) | graph_sql.sql(_VIEWS, _edges(3), _VIDEO_EDGES) | {
         "video_metrics": _with(body="""
 SELECT v.video_id, title, theme, published_at, strftime(published_at, '%Y-%m') AS month, view_count, coalesce(n, 0) AS n_comments, coalesce(a, 0) AS n_commenters, coalesce(l, 0) AS likes, last AS last_comment_at
 FROM videos v LEFT JOIN (SELECT video_id, count(*) AS n, count(DISTINCT actor_id) AS a, CAST(sum(like_count) AS BIGINT) AS l, max(ts) AS last FROM comments GROUP BY 1) c USING (video_id)"""),
@@ -216,30 +210,6 @@ SELECT community, theme, pairs, group_pairs, label_pairs, round(pairs / group_pa
 , g AS (SELECT community, theme, count(*) AS n FROM actor_videos JOIN actors USING (actor_id) JOIN videos USING (video_id) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, theme) AS k FROM g)
 SELECT community, string_agg(substr(theme, 1, 48) || ' (' || n || ')', '; ' ORDER BY k) AS top FROM r WHERE k <= 5 GROUP BY 1"""),
-        "cocommenter_edges": _with(_edges(3), body=" SELECT a, b, weight FROM edges"),
-        "node_metrics": _with(_edges(3), _NODES, body=" SELECT * FROM nodes"),
-        "bridge_actors": _with(_edges(3), _NODES, body=" SELECT * FROM nodes ORDER BY bridge DESC, strength DESC, degree DESC, node LIMIT 50"),
-        "community_summary": _with(_edges(3), body="""
-, s AS (SELECT u_part AS part, count(DISTINCT u) AS n_nodes, count(*) FILTER (u_part = v_part AND u < v) AS internal_edges, count(*) FILTER (u_part <> v_part) AS external_edges,
-  CAST(coalesce(sum(weight) FILTER (u_part = v_part AND u < v), 0) AS BIGINT) AS internal_weight, CAST(coalesce(sum(weight) FILTER (u_part <> v_part), 0) AS BIGINT) AS cut, CAST(sum(weight) AS BIGINT) AS volume FROM parts GROUP BY 1)
-SELECT *, round(cut / nullif(least(volume, sum(volume) OVER () - volume), 0), 6) AS conductance FROM s"""),
-        "network_summary": _with(_edges(3), body="""
-, d AS (SELECT deg.*, community FROM deg JOIN actors ON node = actor_id),
-t AS (SELECT count(*) AS n_nodes, CAST(sum(degree) / 2 AS BIGINT) AS n_edges, round(avg(degree), 6) AS mean_degree, round(avg(strength), 6) AS mean_strength FROM d),
-s AS (SELECT community, count(*) / sum(count(*)) OVER () AS share, row_number() OVER (ORDER BY count(*) DESC, community) AS k FROM d GROUP BY 1),
-x AS (SELECT count(*) AS n_communities, sum(share * share) AS h, max(share) AS m, sum(share) FILTER (k <= 3) AS t3 FROM s)
-SELECT n_nodes, n_edges, round(2 * n_edges / (n_nodes * (n_nodes - 1)), 9) AS density, mean_degree, mean_strength, n_communities, round(h, 6) AS hhi, round(1 / h, 6) AS effective_communities, round(m, 6) AS top1_share, round(t3, 6) AS top3_share FROM t, x"""),
-        "modularity": _with(_edges(3), body="""
-, p AS (SELECT u_part, coalesce(sum(weight) FILTER (u_part = v_part), 0) AS i, sum(weight) AS vol, sum(sum(weight)) OVER () AS t FROM parts GROUP BY 1)
-SELECT round(sum(i / t - (vol / t) ** 2), 6) AS modularity FROM p"""),
-        "degree_assortativity": _with(_edges(3), body=" SELECT round(corr(CAST(x.degree AS DOUBLE), CAST(y.degree AS DOUBLE)), 6) AS degree_assortativity FROM ends JOIN deg x ON x.node = u JOIN deg y ON y.node = v"),
-        "attribute_assortativity": _with(_edges(3), body="""
-, p AS (SELECT count(*) FILTER (u_part = v_part) AS e, count(*) AS a, sum(count(*)) OVER () AS t FROM parts GROUP BY u_part)
-SELECT round((sum(e / t) - sum((a / t) ** 2)) / (1 - sum((a / t) ** 2)), 6) AS attribute_assortativity FROM p"""),
-        "link_opportunities": _with(_edges(4), body="""
-, f AS (SELECT x.v AS a, y.v AS b, count(*) AS common, sum(CASE WHEN degree > 1 THEN 1 / ln(degree) ELSE 0 END) AS aa, sum(1 / degree) AS ra FROM ends x JOIN ends y ON x.u = y.u AND x.v < y.v JOIN deg ON node = x.u GROUP BY 1, 2),
-g AS (SELECT f.*, common / (p.degree + q.degree - common) AS j FROM f JOIN deg p ON p.node = f.a JOIN deg q ON q.node = f.b WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.a = f.a AND e.b = f.b))
-SELECT a, b, common, round(j, 6) AS jaccard, round(aa, 6) AS adamic_adar, round(ra, 6) AS resource_allocation, round(ln(1 + common) + 2 * j + aa + ra, 4) AS score FROM g ORDER BY score DESC, a, b LIMIT 100"""),
         "thread_metrics": _with(_THREADS, body=" SELECT thread_id, n, n_replies, n_actors, likes, parent_label, conflict_thread, strict_reply_conflict, pile_on, parent_opposition, negative_consensus, positive_consensus, round(tb, 6) AS thread_bipolarity, round(rb, 6) AS reply_bipolarity, round(intensity, 6) AS conflict_intensity FROM threads"),
         "reply_overview": _with(body="""
 SELECT count(*) AS n_comments, count(*) FILTER (NOT is_top_level) AS n_replies, count(DISTINCT thread_id) AS n_threads, count(DISTINCT thread_id) FILTER (NOT is_top_level) AS n_replied_threads, round(count(*) FILTER (NOT is_top_level) / count(*), 6) AS reply_share,
@@ -311,17 +281,6 @@ SELECT community, n, n_actors, round(n / n_actors, 6) AS comments_per_commenter,
 , m AS (SELECT video_id, view_count, coalesce(l, 0) AS likes, log10(view_count + 1) AS x, log10(coalesce(l, 0) + 1) AS y FROM videos LEFT JOIN (SELECT video_id, CAST(sum(like_count) AS BIGINT) AS l FROM all_comments GROUP BY 1) USING (video_id)),
 f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, quantile_cont(view_count, 0.1) AS p10 FROM m), r AS (SELECT m.*, p10, y - a - b * x AS r FROM m, f), s AS (SELECT sqrt(sum(r * r) / (count(*) - 2)) AS sd FROM r)
 SELECT video_id, view_count, likes, round(r / sd, 4) AS z, round(10 ** r, 4) AS lift FROM r, s WHERE view_count >= greatest(1000, p10) ORDER BY abs(round(r / sd, 4)) DESC, video_id LIMIT 8"""),
-        "shared_audience_edges": _with(_VIDEO_EDGES, body=" SELECT a, b, weight FROM edges"),
-        "video_cluster_summary": _with(_VIDEO_EDGES, body="""
-, vp AS (SELECT e.*, p.theme AS u_part, q.theme AS v_part FROM ends e JOIN videos p ON p.video_id = u JOIN videos q ON q.video_id = v),
-s AS (SELECT u_part AS part, count(DISTINCT u) AS n_nodes, count(*) FILTER (u_part = v_part AND u < v) AS internal_edges, count(*) FILTER (u_part <> v_part) AS external_edges,
-  CAST(coalesce(sum(weight) FILTER (u_part = v_part AND u < v), 0) AS BIGINT) AS internal_weight, CAST(coalesce(sum(weight) FILTER (u_part <> v_part), 0) AS BIGINT) AS cut, CAST(sum(weight) AS BIGINT) AS volume FROM vp GROUP BY 1)
-SELECT *, round(cut / nullif(least(volume, sum(volume) OVER () - volume), 0), 6) AS conductance FROM s"""),
-        "video_opportunities": _with(_VIDEO_EDGES, body="""
-, f AS (SELECT x.v AS a, y.v AS b, count(*) AS common, sum(CASE WHEN degree > 1 THEN 1 / ln(degree) ELSE 0 END) AS aa, sum(1 / degree) AS ra FROM ends x JOIN ends y ON x.u = y.u AND x.v < y.v JOIN deg ON node = x.u GROUP BY 1, 2),
-g AS (SELECT f.a, f.b, common, round(ln(1 + common) + 2 * (common / (p.degree + q.degree - common)) + aa + ra, 4) AS score FROM f JOIN deg p ON p.node = f.a JOIN deg q ON q.node = f.b WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.a = f.a AND e.b = f.b)),
-h AS (SELECT * FROM g ORDER BY score DESC, a, b LIMIT 100)
-SELECT a, b, common, score, CASE WHEN p.label <> q.label AND p.theme <> q.theme THEN 'cross_cluster_theme_bridge' WHEN p.label = q.label AND p.theme <> q.theme THEN 'within_cluster_theme_blend' WHEN p.label <> q.label AND p.theme = q.theme THEN 'same_theme_cross_cluster_bridge' ELSE 'underconnected_similar_audience' END AS kind FROM h JOIN videos p ON p.video_id = a JOIN videos q ON q.video_id = b"""),
         "queue_status": _QUEUE + "SELECT status, count(*) AS n, count(DISTINCT video_id) AS n_videos, count(last_error) AS n_errors, max(updated_at) AS last_update FROM q GROUP BY 1",
         "queue_after_reset": _QUEUE + """
 , r AS (SELECT video_id, status = 'failed' AND lower(last_error) LIKE '%quota%' AS again, status, last_error, updated_at FROM q)

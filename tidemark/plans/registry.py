@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fn
-from tidemark.operators import activity, aspects, cohort, dashboard, events, graph, sentiment, state, themes, threads
+from tidemark.operators import activity, aspects, clusters, cohort, dashboard, events, graph, sentiment, state, themes, threads
 from tidemark.plans.tables import written
 from tidemark.sources.views import Views
 from tidemark.streaming import rates
@@ -146,19 +146,39 @@ def cocommenter_edges(v):
     return _edges(v)
 
 
+def _written_edges(v):
+    return written(_edges(v), "edges")
+
+
+def _nodes(edges, partition):
+    return graph.node_metrics(edges, partition, graph.core_numbers(edges), graph.betweenness(edges))
+
+
 @query
 def node_metrics(v):
-    return graph.node_metrics(_edges(v), _partition(v))
+    return _nodes(_written_edges(v), _partition(v))
+
+
+@query
+def bridge_actors(v):
+    return graph.bridge_nodes(_nodes(_written_edges(v), _partition(v)))
+
+
+@query
+def network_actor_metrics(v):
+    return graph.top_nodes(_nodes(_written_edges(v), _partition(v)))
 
 
 @query
 def community_summary(v):
-    return graph.community_summary(_edges(v), _partition(v))
+    edges = _written_edges(v)
+    return graph.community_summary(edges, _partition(v), graph.core_numbers(edges))
 
 
 @query
 def network_summary(v):
-    return graph.network_summary(_edges(v), _partition(v))
+    edges = _written_edges(v)
+    return graph.network_summary(edges, _partition(v), graph.core_numbers(edges))
 
 
 @query
@@ -176,18 +196,9 @@ def attribute_assortativity(v):
     return graph.attribute_assortativity(_edges(v), _partition(v))
 
 
-def _sparse_edges(v):
-    return graph.projection(v.actor_videos, "actor_id", "video_id", least_weight=4)
-
-
 @query
 def link_opportunities(v):
-    return graph.link_opportunities(written(_sparse_edges(v), "edges"))
-
-
-@query
-def bridge_actors(v):
-    return graph.top_nodes(graph.node_metrics(_edges(v), _partition(v)), 50)
+    return graph.link_opportunities(_written_edges(v))
 
 
 @query
@@ -464,17 +475,58 @@ def shared_audience_edges(v):
     return _video_edges(v)
 
 
+def _video_partition(v):
+    return v.videos.select(F.col("video_id").alias("node"), F.col("label").alias("part"))
+
+
+def _video_labels(v):
+    """Two labels of each video."""
+    return v.videos.select("video_id", F.explode(F.array("theme", F.concat_ws(" ", F.lit("brand"), "label"))).alias("label"))
+
+
+def _clustered(v, edges):
+    nodes = graph.degrees(edges).select("node").join(_video_partition(v), "node")
+    return clusters.clustered_videos(nodes.withColumnsRenamed({"node": "video_id", "part": "cluster"}), v.videos, v.all_comments)
+
+
+@query
+def video_network_summary(v):
+    edges = written(_video_edges(v), "edges")
+    return graph.network_summary(edges, _video_partition(v), graph.core_numbers(edges))
+
+
+@query
+def video_network_metrics(v):
+    nodes = _nodes(written(_video_edges(v), "edges"), _video_partition(v))
+    return nodes.join(v.videos.select(F.col("video_id").alias("node"), "title", "published_at"), "node")
+
+
+@query
+def video_community_summary(v):
+    edges = written(_video_edges(v), "edges")
+    return graph.community_summary(edges, _video_partition(v), graph.core_numbers(edges))
+
+
+@query
+def video_clusters(v):
+    return _clustered(v, _video_edges(v))
+
+
 @query
 def video_cluster_summary(v):
-    return graph.community_summary(_video_edges(v), v.videos.select(F.col("video_id").alias("node"), F.col("theme").alias("part")))
+    return clusters.cluster_summary(written(_clustered(v, _video_edges(v)), "clusters"), v.all_comments, _video_labels(v))
+
+
+@query
+def video_cluster_theme_affinity(v):
+    return clusters.theme_affinity(written(_clustered(v, _video_edges(v)), "clusters"), _video_labels(v))
 
 
 @query
 def video_opportunities(v):
-    found = graph.link_opportunities(written(_video_edges(v), "edges"), top=100)
-    side = lambda x: v.videos.select(F.col("video_id").alias(x), F.col("theme").alias(f"{x}_theme"), F.col("label").alias(f"{x}_label"))
-    out = found.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.lit(1)).withColumn("same_theme", F.col("a_theme") == F.col("b_theme")).withColumn("same_cluster", F.col("a_label") == F.col("b_label"))
-    return out.select("a", "b", "common", "score", graph.opportunity_type().alias("kind"))
+    edges = written(_video_edges(v), "edges")
+    found = written(graph.link_opportunities(edges), "opportunities")
+    return clusters.described_opportunities(found, edges, _clustered(v, edges), v.actor_videos)
 
 
 def _queue(v):
