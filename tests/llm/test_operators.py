@@ -404,8 +404,12 @@ def test_near_duplicates(hard, none):
     assert neardup.near_duplicates(none).count() == 0 and neardup.deduplicated(none).count() == 0
 
 
-def test_near_copies_against_all_pairs(spark, none):
-    """Components of near copies are those of brute-force Jaccard of five-word shingles."""
+@pytest.mark.parametrize("few, block", [(16, 512), (2, 4)])
+def test_near_copies_against_all_pairs(spark, none, monkeypatch, few, block):
+    """Components of near copies are those of brute-force Jaccard of five-word shingles, whether keys are
+    searched pairwise or block against block."""
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "BLOCK_SETS", block)
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(500)]
     texts = [None, "", "a b", "a b", "a b c"]

@@ -48,8 +48,10 @@ LEAST_ALIKE = 0.8
 BANDS, ROWS = 40, 5
 #: Pairs whose share of equal least bytes is further than SLACK below the least similarity are not
 #: compared; one of similarity 0.8 is lost so with about 1e-7 as well. Keys of over FEW sets are
-#: searched as a group.
+#: searched in blocks of at most about BLOCK_SETS sets and BLOCK_SHINGLES shingles; the centre of such
+#: a key is found from SAMPLE of its sets (which decides how fast links are found, not which).
 FEW, SLACK = 16, 0.16
+BLOCK_SETS, BLOCK_SHINGLES, SAMPLE = 512, 1 << 20, 48
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, which generates the binary Golay code.
 GENERATOR = 0b101011100011
 
@@ -343,8 +345,9 @@ def likely(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("_x", "_y"))
-            keep = (x == y).sum(axis=1) >= (least - SLACK) * BANDS * ROWS if batch.num_rows else []
+            if not batch.num_rows:
+                continue
+            keep = (_bytes(batch, "_x") == _bytes(batch, "_y")).sum(axis=1) >= (least - SLACK) * BANDS * ROWS
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return _sides(pairs, sketches, "sketch").mapInArrow(checked, "a bigint, b bigint")
@@ -365,56 +368,136 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return _sides(pairs, sets, "shingles").mapInArrow(checked, "a bigint, b bigint")
 
 
+def _centres(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(key, centre): of each key the set whose sketch agrees most with what is commonest, byte by byte, in
+    the sketches of some of its sets. Near copies of one text gather around it, so that its star joins
+    most of them. large: (key, fp)."""
+    order = Window.partitionBy("key").orderBy(F.xxhash64("fp"), "fp")
+    some = large.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= SAMPLE).select("key", "fp").join(sketches, "fp")
+
+    def common(group: pa.Table) -> pa.Table:
+        x = np.stack([np.frombuffer(b, np.uint8) for b in group.column("sketch").to_pylist()])
+        votes = (x[:, None, :] == x[None, :, :]).sum(axis=1)
+        best = x[votes.argmax(axis=0), np.arange(x.shape[1])]
+        return pa.table({"key": pa.array(group.column("key").to_pylist()[:1], pa.int64()), "common": pa.array([best.tobytes()], pa.binary())})
+
+    commonest = some.groupBy("key").applyInArrow(common, "key bigint, common binary")
+
+    def agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = _bytes(batch, "sketch"), _bytes(batch, "common")
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("fp"), pa.array((x == y).sum(axis=1), pa.int64())], ["key", "fp", "same"])
+
+    near = large.join(sketches, "fp").join(commonest, "key").select("key", "fp", "sketch", "common").mapInArrow(agreed, "key bigint, fp bigint, same bigint")
+    return near.groupBy("key").agg(F.max_by("fp", F.struct("same", "fp")).alias("centre"))
+
+
+def _bytes(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+
+
+def _block_links(placed: DataFrame, sketches: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between sets of one key and different components, found block against block.
+
+    placed: (key, fp, size, root). A key's sets are dealt to blocks of a bounded number of sets and
+    shingles; each pair of blocks is a task's work, which compares sketches, then whole sets, and yields a
+    spanning forest of the links, not all pairs.
+    """
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("_blocks")
+    dealt = placed.join(placed.groupBy("key").agg(blocks), "key")
+    own = F.pmod(F.xxhash64("fp", F.lit(3)), F.col("_blocks")).cast("int")
+    dealt = dealt.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp", "size", "root")
+    rows = rows.join(sketches, "fp").join(sets, "fp")
+
+    def linked(group: pa.Table) -> pa.Table:
+        fp, size, root, block = (group.column(c).to_numpy() for c in ("fp", "size", "root", "block"))
+        sketch = np.stack([np.frombuffer(x, np.uint8) for x in group.column("sketch").to_pylist()])
+        shingles_of = [np.frombuffer(x, "<u8") for x in group.column("shingles").to_pylist()]
+        crossed = group.column("low")[0] != group.column("high")[0]
+        names, at = np.unique(root, return_inverse=True)
+        parent = list(range(len(names)))
+
+        def top(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        a, b = [], []
+        for i in range(len(fp) - 1):
+            j = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+            j = j[np.minimum(size[j], size[i]) >= least * np.maximum(size[j], size[i]) - 1e-9]
+            if crossed:
+                j = j[block[j] != block[i]]
+            same = (sketch[j] == sketch[i]).sum(axis=1)
+            for k in j[same >= (least - SLACK) * BANDS * ROWS].tolist():
+                x, y = top(at[i]), top(at[k])
+                if x == y:
+                    continue
+                shared = len(np.intersect1d(shingles_of[i], shingles_of[k], assume_unique=True))
+                if shared >= least * (len(shingles_of[i]) + len(shingles_of[k]) - shared) - 1e-9:
+                    parent[max(x, y)] = min(x, y)
+                    a.append(fp[i])
+                    b.append(fp[k])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("key", "low", "high").applyInArrow(linked, "a bigint, b bigint")
+
+
 def copy_links(docs: DataFrame, found: DataFrame, least: float = LEAST_ALIKE, words: int = COPY_WORDS) -> DataFrame:
     """(a, b): links of similarity `least` or more between sets that share a key, enough of them to
     join every component. found: with_sketches of docs, written.
 
-    First every set is compared with the smallest of each of its keys; then, of each key, the sets
-    that those links have left in different components with each other. Pairs whose least bytes
-    say that they are far apart go no further; of the others the whole sets are made and compared.
+    First every set is compared with a centre of each of its keys; then, of each key, the sets that those
+    links have left in different components with each other: pairwise in keys of at most FEW sets, block
+    against block in the others. Pairs whose least bytes say that they are far apart go no further; of
+    the others the whole sets are made and compared.
     """
     distinct = found.where("size > 0").groupBy("fp").agg(F.min("digest").alias("digest"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     distinct = written(distinct, "sketches")
     sketches = distinct.select("fp", "sketch")
     keyed = distinct.select("fp", "size", F.explode("keys").alias("key"))
     group = Window.partitionBy("key")
-    members = keyed.select("key", "fp", "size", F.count("*").over(group).alias("n"), F.min(F.struct("fp", "size")).over(group).alias("first"))
+    members = keyed.select("key", "fp", "size", F.count("*").over(group).alias("n"), F.min("fp").over(group).alias("centre"))
     members = written(members.where("n > 1"), "members")
     near = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
 
+    def sets_for(rows: DataFrame) -> DataFrame:
+        wanted = distinct.select("fp", "digest").join(rows.select("fp").distinct(), "fp", "left_semi")
+        return written(sets_of(docs, wanted, words=words), "sets")
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(likely(pairs, sketches, least), "likely")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        wanted = distinct.select("fp", "digest").join(ends, "fp", "left_semi")
-        return alike(pairs, written(sets_of(docs, wanted, words=words), "sets"), least)
-
-    stars = members.where((F.col("first.fp") != F.col("fp")) & near(F.col("size"), F.col("first.size")))
-    stars = written(stars.select(F.col("first.fp").alias("a"), F.col("fp").alias("b")).distinct(), "stars")
-    linked = written(verified(stars), "linked")
-    roots = written(components(linked), "roots").withColumnRenamed("node", "fp")
-    placed = members.select("key", "fp", "size", "n").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    split = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("key")
-    placed = written(placed.join(split, "key", "left_semi"), "placed")
-    few = placed.where(F.col("n") <= FEW)
-    left = few.select("key", F.col("fp").alias("a"), F.col("size").alias("_size"), F.col("root").alias("_root"))
-    right = few.select("key", F.col("fp").alias("b"), "size", "root")
+        return written(alike(pairs, sets_for(pairs.select(F.explode(F.array("a", "b")).alias("fp"))), least), "linked")
+
+    def placed(links: DataFrame) -> DataFrame:
+        """Members, with their components, of the keys that hold several."""
+        roots = written(components(links), "roots").withColumnRenamed("node", "fp")
+        out = members.select("key", "fp", "size", "n").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        split = out.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("key")
+        return written(out.join(split, "key", "left_semi"), "placed")
+
+    few, many = F.col("n") <= FEW, F.col("n") > FEW
+    centres = written(_centres(members.where(many).select("key", "fp"), sketches), "centres")
+    sizes = distinct.select(F.col("fp").alias("centre"), F.col("size").alias("_size"))
+    stars = members.where(few).select("fp", "size", "centre").unionByName(members.where(many).drop("centre").join(centres, "key").select("fp", "size", "centre"))
+    stars = stars.where("fp <> centre").distinct().join(sizes, "centre").where(near(F.col("size"), F.col("_size")))
+    stars = written(stars.select(F.least("centre", "fp").alias("a"), F.greatest("centre", "fp").alias("b")).distinct(), "stars")
+    links = verified(stars)
+
+    rows = placed(links).where(few)
+    left = rows.select("key", F.col("fp").alias("a"), F.col("size").alias("_size"), F.col("root").alias("_root"))
+    right = rows.select("key", F.col("fp").alias("b"), "size", "root")
     on = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("_root") != F.col("root")) & near(F.col("_size"), F.col("size"))
-    many = placed.where(F.col("n") > FEW).select("key", "fp", "size", "root").join(sketches, "fp")
+    pairs = left.join(right, on).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(pairs))
 
-    def close(group: pa.Table) -> pa.Table:
-        fp, size, root = (group.column(c).to_numpy() for c in ("fp", "size", "root"))
-        sketch = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in group.column("sketch")])
-        a, b = [], []
-        for i in range(len(fp) - 1):
-            j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (np.minimum(size[i + 1 :], size[i]) >= least * np.maximum(size[i + 1 :], size[i]) - 1e-9))
-            j = j[(sketch[j] == sketch[i]).sum(axis=1) >= (least - SLACK) * BANDS * ROWS]
-            a.append(np.minimum(fp[i], fp[j]))
-            b.append(np.maximum(fp[i], fp[j]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-
-    pairs = left.join(right, on).select("a", "b").unionByName(many.groupBy("key").applyInArrow(close, "a bigint, b bigint"))
-    rest = written(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    return linked.unionByName(verified(rest))
+    rows = placed(links).where(many).drop("n")
+    if rows.head(1):
+        links = links.unionByName(written(_block_links(rows, sketches, sets_for(rows), least), "linked"))
+    return links
 
 
 def near_copies(docs: DataFrame, *, key: str = "doc_id", words: int = COPY_WORDS, least: float = LEAST_ALIKE) -> DataFrame:
