@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import places, ratio
+from tidemark.plans.tables import numbered
 
 TIERS = ("core", "regular", "returning", "one_time")
 
@@ -34,7 +33,7 @@ def commenter_activity(comments: DataFrame, actors: DataFrame) -> DataFrame:
 def with_tiers(activity: DataFrame, videos: DataFrame, *, core: float = 0.05, regular: float = 0.02, core_videos: int = 3) -> DataFrame:
     """activity with coverage of all videos and the tier; the first rule that holds decides."""
     total = videos.agg(F.count("*").alias("_total"))
-    out = activity.crossJoin(F.broadcast(total)).withColumn("coverage", ratio(F.col("n_videos"), F.col("_total"))).drop("_total")
+    out = activity.crossJoin(total).withColumn("coverage", ratio(F.col("n_videos"), F.col("_total"))).drop("_total")
     tier = F.when(F.col("n_videos") <= 1, "one_time").when((F.col("coverage") >= core) & (F.col("n_videos") >= core_videos), "core").when(F.col("coverage") >= regular, "regular").otherwise("returning")
     return out.withColumn("tier", tier)
 
@@ -45,32 +44,53 @@ def commenter_tiers(tiered: DataFrame) -> DataFrame:
     return out.select("tier", "n_commenters", places(F.col("mean_comments")).alias("mean_comments"), "median_videos", "comments", "likes", places(100 * ratio(F.col("n_commenters"), F.sum("n_commenters").over(everyone))).alias("pct_commenters"))
 
 
-def continuity(actor_videos: DataFrame, videos: DataFrame, windows: int = 4) -> DataFrame:
-    """Videos by publication in `windows` blocks of near-equal count; actors of each block, and
-    those of them who are in the next."""
-    order = Window.orderBy(F.col("published_at").asc_nulls_last(), "video_id")  # one row a video
-    block = videos.select("video_id", (F.ntile(windows).over(order) - 1).alias("block"))
-    seen = actor_videos.join(block, "video_id").select("actor_id", "block").distinct()
-    later = seen.select("actor_id", (F.col("block") - 1).alias("block"), F.lit(1).alias("_back"))
-    out = seen.join(later, ["actor_id", "block"], "left").groupBy("block").agg(F.count("*").alias("n_base"), F.count("_back").alias("n_returned"))
-    return out.where(F.col("block") < windows - 1).select(F.lit(windows).alias("n_windows"), "block", "n_base", "n_returned", places(ratio(F.col("n_returned"), F.col("n_base"))).alias("return_rate"))
-
-
-def continuity_sensitivity(actor_videos: DataFrame, videos: DataFrame, options: tuple[int, ...] = (3, 4, 6, 8)) -> DataFrame:
-    every = reduce(DataFrame.unionByName, (continuity(actor_videos, videos, n) for n in options))
+def placed(videos: DataFrame, *by: str) -> DataFrame:
+    """(by, video_id, i, n): the place of each video in order of publication (of each `by`), and how many."""
+    order = [F.col("published_at").asc_nulls_last(), F.col("video_id")]
+    if not by:
+        return numbered(videos.select("video_id", "published_at"), *order, name="i").select("video_id", "i", F.col("_rows").alias("n"))
+    i = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    return videos.select(*by, "video_id", i.alias("i"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
+
+
+def continuity(actor_videos: DataFrame, videos: DataFrame, windows: int | tuple[int, ...] = 4, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """Videos by publication in blocks of near-equal count, for each number of windows; actors of each
+    block, and those of them who are in the next. Facts are read once for all numbers of windows."""
+    options = (windows,) if isinstance(windows, int) else windows
+    held = placed(videos, *by).withColumn("n_windows", F.explode(F.array(*map(F.lit, options))))
+    size, more = F.call_function("div", F.col("n"), F.col("n_windows").cast("long")), F.col("n") % F.col("n_windows")
+    # the first `more` blocks have one video more than the others
+    cut = more * (size + 1)
+    late = more + F.call_function("div", F.col("i") - cut, F.greatest(size, F.lit(1).cast("long")))
+    block = F.when(F.col("i") < cut, F.call_function("div", F.col("i").cast("long"), size + 1)).otherwise(late).cast("int")
+    seen = actor_videos.join(held.select(*by, "video_id", "n_windows", block.alias("block")), [*by, "video_id"]).select(*by, "n_windows", "block", "actor_id").distinct()
+    # a pair of blocks is one group: an actor of the block, and the same actor of the next
+    both = seen.select(*by, "n_windows", "actor_id", F.explode(F.array(F.struct("block", F.lit(True).alias("base")), F.struct((F.col("block") - 1).alias("block"), F.lit(False).alias("base")))).alias("x"))
+    one = both.groupBy(*by, "n_windows", "x.block", "actor_id").agg(F.max("x.base").alias("base"), F.max(~F.col("x.base")).alias("next"))
+    out = one.where((F.col("block") >= 0) & (F.col("block") < F.col("n_windows") - 1)).groupBy(*by, "n_windows", "block").agg(F.count_if("base").alias("n_base"), F.count_if(F.col("base") & F.col("next")).alias("n_returned"))
+    return out.where("n_base > 0").select(*by, "n_windows", "block", "n_base", "n_returned", places(ratio(F.col("n_returned"), F.col("n_base"))).alias("return_rate"))
+
+
+def parse_windows(text: str, *, least: int = 2) -> tuple[int, ...]:
+    """Window counts of a text like `3,4;6`: whole numbers of at least `least`, each once, in order."""
+    found = [int(x) for x in text.replace(";", ",").split(",") if x.strip().isdigit()]
+    return tuple(sorted({n for n in found if n >= least}))
+
+
+def continuity_sensitivity(actor_videos: DataFrame, videos: DataFrame, options: tuple[int, ...] = (3, 4, 6, 8), *, by: tuple[str, ...] = ()) -> DataFrame:
+    every = continuity(actor_videos, videos, options, by=by)
     rate = ratio(F.col("n_returned"), F.col("n_base"))
-    out = every.groupBy("n_windows").agg(ratio(F.sum("n_returned"), F.sum("n_base")).alias("weighted"), F.percentile(rate, 0.5).alias("median"), F.min(rate).alias("least"), F.max(rate).alias("most"))
-    return out.select("n_windows", *(places(F.col(c)).alias(f"{c}_return_rate") for c in ("weighted", "median", "least", "most")))
+    out = every.groupBy(*by, "n_windows").agg(F.count("*").alias("n_transitions"), F.sum("n_base").alias("n_base"), ratio(F.sum("n_returned"), F.sum("n_base")).alias("weighted"), F.percentile(rate, 0.5).alias("median"), F.min(rate).alias("least"), F.max(rate).alias("most"))
+    return out.select(*by, "n_windows", "n_transitions", "n_base", *(places(F.col(c)).alias(f"{c}_return_rate") for c in ("weighted", "median", "least", "most")))
 
 
-def rolling_retention(actor_videos: DataFrame, videos: DataFrame, *, pre: int = 50, post: int = 50, step: int = 25) -> DataFrame:
+def rolling_retention(actor_videos: DataFrame, videos: DataFrame, *, pre: int = 50, post: int = 50, step: int = 25, by: tuple[str, ...] = ()) -> DataFrame:
     """At each cutoff: actors of the `pre` videos from there, of the `post` videos after those, and
     of both. Each video is sent to the cutoffs that hold it, so that there is no range join."""
-    place = F.row_number().over(Window.orderBy(F.col("published_at").asc_nulls_last(), "video_id")) - 1
-    placed = videos.select("video_id", place.alias("i")).withColumn("last", F.max("i").over(Window.partitionBy()) + 1 - pre - post)
+    held = placed(videos, *by).withColumn("last", F.col("n") - pre - post)
     first = F.greatest(F.lit(0), F.ceil((F.col("i") - (pre + post) + 1) / step)).cast("int")
-    held = placed.where("last >= 0").withColumn("k", F.explode(F.sequence(first, F.greatest(first, F.floor(F.least("i", "last") / step).cast("int"))))).withColumn("cutoff", F.col("k") * step)
-    held = held.where("cutoff <= i and cutoff <= last and i < cutoff + %d" % (pre + post)).select("video_id", "cutoff", (F.col("i") < F.col("cutoff") + pre).alias("base"))
-    seen = actor_videos.join(held, "video_id").groupBy("cutoff", "actor_id").agg(F.max("base").alias("base"), F.max(~F.col("base")).alias("future"))
-    out = seen.groupBy("cutoff").agg(F.count_if("base").alias("n_base"), F.count_if("future").alias("n_future"), F.count_if(F.col("base") & F.col("future")).alias("n_returned"))
-    return out.select("cutoff", "n_base", "n_future", "n_returned", places(ratio(F.col("n_returned"), F.col("n_base"))).alias("return_rate"))
+    held = held.where("last >= 0").withColumn("k", F.explode(F.sequence(first, F.greatest(first, F.floor(F.least("i", "last") / step).cast("int"))))).withColumn("cutoff", F.col("k") * step)
+    held = held.where("cutoff <= i and cutoff <= last and i < cutoff + %d" % (pre + post)).select(*by, "video_id", "cutoff", (F.col("i") < F.col("cutoff") + pre).alias("base"))
+    seen = actor_videos.join(held, [*by, "video_id"]).groupBy(*by, "cutoff", "actor_id").agg(F.max("base").alias("base"), F.max(~F.col("base")).alias("future"))
+    out = seen.groupBy(*by, "cutoff").agg(F.count_if("base").alias("n_base"), F.count_if("future").alias("n_future"), F.count_if(F.col("base") & F.col("future")).alias("n_returned"))
+    return out.select(*by, "cutoff", "n_base", "n_future", "n_returned", places(ratio(F.col("n_returned"), F.col("n_base"))).alias("return_rate"))

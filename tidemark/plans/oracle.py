@@ -37,45 +37,54 @@ deg AS (SELECT u AS node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS str
 
 
 
-_THREADS = """
-t0 AS (
-  SELECT thread_id, min(video_id) AS video_id, count(*) AS n, count(*) FILTER (NOT is_top_level) AS n_replies, count(DISTINCT actor_id) AS n_actors,
-         CAST(sum(like_count) AS BIGINT) AS likes, CAST(sum(like_count + 1) AS BIGINT) AS weight,
+def _threads(source: str = "all_comments", *by: str, name: str = "threads") -> str:
+    """CTEs of the threads (of each `by`) of a source of comments; the last is called `name`."""
+    keys = "".join(f"{k}, " for k in by)
+    count = ", ".join(str(i + 1) for i in range(len(by) + 1))
+    return f"""
+{name}0 AS (
+  SELECT {keys}thread_id, min(video_id) AS video_id, count(*) AS n, count(*) FILTER (NOT is_top_level) AS n_replies, count(DISTINCT actor_id) AS n_actors, count(DISTINCT actor_id) FILTER (NOT is_top_level) AS n_reply_actors,
+         CAST(sum(like_count) AS BIGINT) AS likes, CAST(sum(like_count + 1) AS BIGINT) AS weight, CAST(coalesce(sum(like_count + 1) FILTER (NOT is_top_level), 0) AS BIGINT) AS reply_weight, min(ts) AS first_at, max(ts) AS last_at,
          count(*) FILTER (label = 'positive') AS n_pos, count(*) FILTER (label = 'negative') AS n_neg,
          count(*) FILTER (NOT is_top_level AND label = 'positive') AS r_pos, count(*) FILTER (NOT is_top_level AND label = 'negative') AS r_neg,
-         min({ts: ts, line: line, label: label}) FILTER (is_top_level) AS parent
-  FROM all_comments GROUP BY 1),
-t1 AS (SELECT *, parent.label AS parent_label, n_pos / n AS pos, n_neg / n AS neg, CASE WHEN n_replies > 0 THEN r_pos / n_replies ELSE 0 END AS rpos, CASE WHEN n_replies > 0 THEN r_neg / n_replies ELSE 0 END AS rneg FROM t0),
-t2 AS (
-  SELECT *, 4 * pos * neg AS tb, 4 * rpos * rneg AS rb,
+         coalesce(sum(like_count + 1) FILTER (label = 'positive'), 0) AS w_pos, coalesce(sum(like_count + 1) FILTER (label = 'negative'), 0) AS w_neg,
+         min({{ts: ts, line: line, label: label}}) FILTER (is_top_level) AS parent
+  FROM {source} GROUP BY {count}),
+{name}1 AS (SELECT *, parent.label AS parent_label, n_pos / n AS pos, n_neg / n AS neg, CASE WHEN n_replies > 0 THEN r_pos / n_replies ELSE 0 END AS rpos, CASE WHEN n_replies > 0 THEN r_neg / n_replies ELSE 0 END AS rneg FROM {name}0),
+{name}2 AS (
+  SELECT *, 4 * pos * neg AS tb, 4 * rpos * rneg AS rb, 4 * (w_pos / weight) * (w_neg / weight) AS wb,
     n_replies > 0 AND ((pos >= 0.15 AND neg >= 0.15) OR (rpos >= 0.15 AND rneg >= 0.15)) AS conflict_thread,
     n_replies >= 2 AND r_pos >= 1 AND r_neg >= 1 AS strict_reply_conflict, n_replies >= 3 AND rneg >= 0.6 AND rpos < 0.15 AS pile_on,
     coalesce(parent_label = 'positive', false) AND rneg >= 0.25 OR coalesce(parent_label = 'negative', false) AND rpos >= 0.25 OR coalesce(parent_label = 'neutral', false) AND rpos >= 0.15 AND rneg >= 0.15 AS parent_opposition,
     n_replies > 0 AND neg >= 0.5 AND pos < 0.1 AS negative_consensus, n_replies > 0 AND pos >= 0.5 AND neg < 0.1 AS positive_consensus
-  FROM t1),
-threads AS (SELECT *, CASE WHEN conflict_thread THEN greatest(tb, rb) ELSE 0 END AS intensity FROM t2)
+  FROM {name}1),
+{name} AS (
+  SELECT *, CASE WHEN conflict_thread THEN greatest(tb, rb) ELSE 0 END AS intensity, CASE WHEN conflict_thread THEN n_replies ELSE 0 END AS conflict_replies, CASE WHEN conflict_thread THEN reply_weight ELSE 0 END AS conflict_reply_weight FROM {name}2)
 """
 
 
+_THREADS = _threads()
+
+
 def _conflict(key: str) -> str:
     replied = "CASE WHEN count(*) FILTER (n_replies > 0) > 0 THEN {} / count(*) FILTER (n_replies > 0) ELSE 0 END"
     clash, against = "count(*) FILTER (conflict_thread)", "count(*) FILTER (parent_opposition)"
+    over = lambda a, b: f"CASE WHEN sum({b}) <> 0 THEN sum({a}) / sum({b}) ELSE 0 END"
+    share, heavy = over("conflict_replies", "n_replies"), over("conflict_reply_weight", "reply_weight")
     return f"""
-SELECT {key}, count(*) AS n_threads, count(*) FILTER (n_replies > 0) AS n_replied, {clash} AS n_conflict, count(*) FILTER (strict_reply_conflict) AS n_strict, count(*) FILTER (pile_on) AS n_pile_on, {against} AS n_opposition,
-  round(max(tb), 6) AS max_bipolarity, round(avg(tb), 6) AS mean_bipolarity, round(coalesce(sum(weight) FILTER (conflict_thread), 0) / sum(weight), 6) AS weighted_conflict_share,
-  round({clash} / count(*), 6) AS conflict_rate, round({replied.format(clash)}, 6) AS conflict_rate_replied,
-  round({clash} * {replied.format(clash)}, 6) AS conflict_score, round({against} * {replied.format(against)}, 6) AS opposition_score
-FROM {{source}} GROUP BY 1"""
+SELECT {key}, count(*) AS n_threads, count(*) FILTER (n_replies > 0) AS n_replied, CAST(sum(n_replies) AS BIGINT) AS n_replies, {clash} AS n_conflict, count(*) FILTER (strict_reply_conflict) AS n_strict, count(*) FILTER (pile_on) AS n_pile_on, {against} AS n_opposition,
+  round(max(tb), 6) AS max_bipolarity, round(avg(tb), 6) AS mean_bipolarity, round(max(rb), 6) AS max_reply_bipolarity, round(coalesce(avg(rb) FILTER (n_replies > 0), 0), 6) AS mean_reply_bipolarity,
+  round({clash} / count(*), 6) AS conflict_rate, round({replied.format(clash)}, 6) AS conflict_rate_replied, round(sum(intensity), 6) AS intensity,
+  CAST(sum(conflict_replies) AS BIGINT) AS conflict_replies, round({share}, 6) AS conflict_reply_share, CAST(sum(conflict_reply_weight) AS BIGINT) AS conflict_reply_weight, round({heavy}, 6) AS weighted_conflict_share,
+  round({over('intensity * n_replies', 'n_replies')}, 6) AS reply_intensity, round({over('intensity * reply_weight', 'reply_weight')}, 6) AS weighted_intensity,
+  round({clash} * {replied.format(clash)}, 6) AS conflict_score, round({clash} * {share}, 6) AS reply_conflict_score, round({clash} * {heavy}, 6) AS weighted_conflict_score, round({against} * {replied.format(clash)}, 6) AS opposition_score
+FROM {{source}} GROUP BY ALL"""
 
 
 _EVENTS = """
-happenings(event_id, s) AS (VALUES (0, DATE '1996-07-01'), (1, DATE '1997-10-01'), (2, DATE '1999-01-01'), (3, DATE '2000-04-01'), (4, DATE '2001-07-01')),
-held AS (
-  SELECT c.*, h.event_id, h.s, CASE WHEN c.ts < h.s - INTERVAL 28 DAY THEN 'baseline' WHEN c.ts < h.s THEN 'pre' WHEN c.ts < h.s + INTERVAL 28 DAY THEN 'post' ELSE 'follow' END AS w
-  FROM all_comments c JOIN happenings h ON c.ts >= h.s - INTERVAL 118 DAY AND c.ts < h.s + INTERVAL 56 DAY)
+happenings(event_id, s) AS (VALUES (0, DATE '1996-07-01'), (1, DATE '1997-10-01'), (2, DATE '1999-01-01'), (3, DATE '2000-04-01'), (4, DATE '2001-07-01'))
 """
 
-
 _ASPECTS = """
 units AS (
   SELECT concat_ws('-', thread_id, line, actor_id, video_id, ts) AS unit_id, ts, like_count, line, c.label, theme, CASE WHEN supplier_id % 2 = 0 THEN 'forum_a' ELSE 'forum_b' END AS platform,
@@ -180,7 +189,7 @@ SELECT tier, count(*) AS n_commenters, round(avg(nc), 6) AS mean_comments, CAST(
         "continuity_w4": _with(_continuity(4), body=" SELECT *, round(n_returned / n_base, 6) AS return_rate FROM cont4"),
         "continuity_sensitivity": _with(*map(_continuity, (3, 4, 6, 8)), body="""
 , every AS (SELECT * FROM cont3 UNION ALL SELECT * FROM cont4 UNION ALL SELECT * FROM cont6 UNION ALL SELECT * FROM cont8)
-SELECT n_windows, round(sum(n_returned) / sum(n_base), 6) AS weighted_return_rate, round(quantile_cont(n_returned / n_base, 0.5), 6) AS median_return_rate, round(min(n_returned / n_base), 6) AS least_return_rate, round(max(n_returned / n_base), 6) AS most_return_rate FROM every GROUP BY 1"""),
+SELECT n_windows, count(*) AS n_transitions, CAST(sum(n_base) AS BIGINT) AS n_base, round(sum(n_returned) / sum(n_base), 6) AS weighted_return_rate, round(quantile_cont(n_returned / n_base, 0.5), 6) AS median_return_rate, round(min(n_returned / n_base), 6) AS least_return_rate, round(max(n_returned / n_base), 6) AS most_return_rate FROM every GROUP BY 1"""),
         "rolling_retention": _with(body="""
 , placed AS (SELECT video_id, row_number() OVER (ORDER BY published_at, video_id) - 1 AS i, count(*) OVER () AS n FROM videos),
 cutoffs AS (SELECT unnest(generate_series(0, (SELECT max(n) FROM placed) - 100, 25)) AS cutoff),
@@ -210,11 +219,17 @@ SELECT community, theme, pairs, group_pairs, label_pairs, round(pairs / group_pa
 , g AS (SELECT community, theme, count(*) AS n FROM actor_videos JOIN actors USING (actor_id) JOIN videos USING (video_id) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, theme) AS k FROM g)
 SELECT community, string_agg(substr(theme, 1, 48) || ' (' || n || ')', '; ' ORDER BY k) AS top FROM r WHERE k <= 5 GROUP BY 1"""),
-        "thread_metrics": _with(_THREADS, body=" SELECT thread_id, n, n_replies, n_actors, likes, parent_label, conflict_thread, strict_reply_conflict, pile_on, parent_opposition, negative_consensus, positive_consensus, round(tb, 6) AS thread_bipolarity, round(rb, 6) AS reply_bipolarity, round(intensity, 6) AS conflict_intensity FROM threads"),
+        "thread_metrics": _with(_THREADS, body="""
+SELECT thread_id, video_id, n, n_replies, n_actors, n_reply_actors, likes, first_at, last_at, parent_label, conflict_replies, conflict_reply_weight, conflict_thread, strict_reply_conflict, pile_on, parent_opposition, negative_consensus, positive_consensus,
+  round(tb, 6) AS thread_bipolarity, round(rb, 6) AS reply_bipolarity, round(wb, 6) AS weighted_bipolarity, round(intensity, 6) AS conflict_intensity, round(intensity * n_replies, 6) AS reply_intensity, round(intensity * reply_weight, 6) AS weighted_intensity FROM threads"""),
         "reply_overview": _with(body="""
-SELECT count(*) AS n_comments, count(*) FILTER (NOT is_top_level) AS n_replies, count(DISTINCT thread_id) AS n_threads, count(DISTINCT thread_id) FILTER (NOT is_top_level) AS n_replied_threads, round(count(*) FILTER (NOT is_top_level) / count(*), 6) AS reply_share,
+SELECT count(*) AS n_comments, count(*) FILTER (is_top_level) AS n_top_level, count(*) FILTER (NOT is_top_level) AS n_replies, count(DISTINCT thread_id) AS n_threads, count(DISTINCT thread_id) FILTER (NOT is_top_level) AS n_replied_threads, count(DISTINCT actor_id) AS n_commenters, count(DISTINCT actor_id) FILTER (NOT is_top_level) AS n_reply_commenters,
+  round(count(*) FILTER (NOT is_top_level) / count(*), 6) AS reply_share, round(count(DISTINCT thread_id) FILTER (NOT is_top_level) / count(DISTINCT thread_id), 6) AS replied_thread_share,
   round(count(*) FILTER (NOT is_top_level AND label = 'negative') / nullif(count(*) FILTER (NOT is_top_level), 0), 6) AS reply_negative_rate FROM all_comments"""),
-        "video_conflict": _with(_THREADS, body=_conflict("video_id").format(source="threads")),
+        "video_conflict": _with(_THREADS, body=f"""
+, c AS ({_conflict("video_id").format(source="threads")}),
+r AS (SELECT video_id, count(*) AS n_scored_replies, {', '.join(f"round(count(*) FILTER (label = '{x}') / count(*), 6) AS reply_{x}_rate, round(coalesce(sum(like_count + 1) FILTER (label = '{x}'), 0) / sum(like_count + 1), 6) AS reply_weighted_{x}_rate" for x in ('negative', 'positive'))} FROM all_comments WHERE NOT is_top_level GROUP BY 1)
+SELECT c.*, coalesce(n_scored_replies, 0) AS n_scored_replies, {', '.join(f"coalesce({x}, 0) AS {x}" for x in ('reply_negative_rate', 'reply_weighted_negative_rate', 'reply_positive_rate', 'reply_weighted_positive_rate'))}, theme, title, published_at, view_count FROM c LEFT JOIN r USING (video_id) LEFT JOIN videos USING (video_id)"""),
         "theme_conflict": _with(_THREADS, body=_conflict("theme").format(source="(SELECT t.*, theme FROM threads t JOIN videos USING (video_id))")),
         "aspect_summary": _with(_ASPECTS, body="""
 , t AS (SELECT count(DISTINCT unit_id) AS u, count(DISTINCT unit_id) FILTER (sentiment = 'negative') AS g FROM aspect_rows),

@@ -219,7 +219,7 @@ def theme_conflict(v):
 
 @query
 def video_conflict(v):
-    return threads.conflict_by(threads.thread_metrics(v.all_comments), "video_id")
+    return threads.video_conflict(threads.thread_metrics(v.all_comments), v.all_comments, v.videos)
 
 
 @query
@@ -274,8 +274,7 @@ def spillover(v):
 
 
 def _threads_at(v):
-    first = v.all_comments.groupBy("thread_id").agg(F.min("ts").alias("ts"))
-    return threads.thread_metrics(v.all_comments).join(first, "thread_id")
+    return threads.thread_metrics(v.all_comments).withColumnRenamed("first_at", "ts")
 
 
 def _conflicts(v):

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,3 +42,20 @@ def removed(table: DataFrame) -> None:
     if path := table.__dict__.get("_tidemark_path"):
         at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def numbered(df: DataFrame, *order: Column | str, name: str) -> DataFrame:
+    """df with `name`: the rows' places from 0 in the given total order, and `_rows`, how many there are.
+
+    Rows are sorted by range; a place is put together from the place in the range and the sizes of the
+    ranges before it, of which there is one row each. So no task sorts all rows.
+    """
+    at = F.monotonically_increasing_id()
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), "numbered")
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    starts = sizes.select("_part", before.alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_rows"))
+    out = rows.withColumn("_part", part).join(F.broadcast(starts), "_part")  # one row for each range
+    place = F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return out.withColumn(name, place).drop("_part", "_start", "_at")
