@@ -7,35 +7,18 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import percentile_band, places, ratio
 
-# Component metrics of each index; a minus inverts the percentile.
+# Component metrics of each index (a minus inverts the percentile), how a high score is
+# read, and the metrics that have leaderboards.
 INDICES = {
     "engagement_conversion": ["comments_per_1k_views", "comments_per_video", "commenters_per_video"],
-    "audience_stickiness": ["repeat_commenter_share", "repeat_comment_share"],
-    "conversation_quality": ["positive_rate", "-negative_rate", "-weighted_negative_rate", "-reply_negative_rate"],
-    "risk_pressure": ["negative_rate", "weighted_negative_rate", "max_video_negative_rate"],
+    "audience_stickiness": ["high_mid_tier_commenter_share", "high_mid_tier_comment_share", "continuity_return_rate_w4", "rolling_return_rate_latest"],
+    "conversation_quality": ["positive_rate", "-negative_rate", "-like_weighted_negative_rate", "-reply_negative_rate"],
+    "risk_pressure": ["negative_rate", "like_weighted_negative_rate", "max_video_like_weighted_negative_rate", "max_video_like_weighted_conflict_score"],
+    "community_concentration": ["largest_community_share", "top3_community_share", "community_hhi"],
+    "content_portfolio_linkage": ["video_network_density", "video_network_modularity", "top_bridge_participation_mean"],
 }
-
-
-def channel_metrics(comments: DataFrame, videos: DataFrame) -> DataFrame:
-    """(channel, metric, value) from all comments with a channel; a video is a channel's if it has
-    comments there."""
-    c = comments.join(videos.select("video_id", "view_count"), "video_id")
-    neg, reply = F.col("label") == "negative", ~F.col("is_top_level")
-    by_actor = c.groupBy("channel", "actor_id").agg(F.count("*").alias("n"))
-    actors = by_actor.groupBy("channel").agg(F.count("*").alias("n_commenters"), F.count_if(F.col("n") > 1).alias("_repeat"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("_repeat_comments"))
-    by_video = c.groupBy("channel", "video_id").agg(F.count("*").alias("n"), ratio(F.count_if(neg), F.count("*")).alias("rate"), F.first("view_count").alias("views"))
-    per_video = by_video.groupBy("channel").agg(F.count("*").alias("n_videos"), F.sum("views").alias("views"), F.max("rate").alias("max_video_negative_rate"))
-    w = F.col("like_count") + 1
-    own = c.groupBy("channel").agg(F.count("*").alias("n_comments"), ratio(F.count_if(neg), F.count("*")).alias("negative_rate"), ratio(F.count_if(F.col("label") == "positive"), F.count("*")).alias("positive_rate"), ratio(F.sum(F.when(neg, w).otherwise(0)), F.sum(w)).alias("weighted_negative_rate"), ratio(F.count_if(reply), F.count("*")).alias("reply_share"), ratio(F.count_if(reply & neg), F.count_if(reply)).alias("reply_negative_rate"))
-    wide = own.join(actors, "channel").join(per_video, "channel")
-    metrics: dict[str, Column] = {
-        "n_videos": F.col("n_videos"), "n_comments": F.col("n_comments"), "n_commenters": F.col("n_commenters"),
-        "comments_per_video": ratio(F.col("n_comments"), F.col("n_videos")), "commenters_per_video": ratio(F.col("n_commenters"), F.col("n_videos")), "comments_per_1k_views": ratio(1000 * F.col("n_comments"), F.col("views")),
-        "repeat_commenter_share": ratio(F.col("_repeat"), F.col("n_commenters")), "repeat_comment_share": ratio(F.col("_repeat_comments"), F.col("n_comments")),
-        **{k: F.col(k) for k in ("negative_rate", "positive_rate", "weighted_negative_rate", "reply_share", "reply_negative_rate", "max_video_negative_rate")},
-    }
-    pairs = F.array(*(F.struct(F.lit(k).alias("metric"), places(v.cast("double")).alias("value")) for k, v in metrics.items()))
-    return wide.select("channel", F.explode(pairs).alias("m")).select("channel", "m.*").where("value is not null")
+INDEX_POLARITY = {"risk_pressure": "risk_high", "community_concentration": "mixed_high", "content_portfolio_linkage": "mixed_high"}
+LEADERBOARD_METRICS = ("comments_per_1k_views", "high_mid_tier_commenter_share", "continuity_return_rate_w4", "community_hhi", "negative_rate", "like_weighted_negative_rate", "reply_share_all_comments", "max_video_like_weighted_conflict_score")
 
 
 def distributions(metrics: DataFrame) -> DataFrame:
@@ -69,17 +52,35 @@ def composite_indices(ranks: DataFrame) -> DataFrame:
     return ranks.join(F.broadcast(table), "metric").groupBy("channel", "index_name").agg(places(F.avg(score), 4).alias("score"), F.count("*").alias("n_components"))
 
 
+def score_band(score: Column) -> Column:
+    """Which fifth or so of the scale a score lies in (bounds are fixed values)."""
+    return F.when(score.isNull(), "unknown").when(score >= 80, "very_high").when(score >= 65, "high").when(score >= 40, "middle").when(score >= 25, "low").otherwise("very_low")
+
+
+def index_hints(indices: DataFrame) -> DataFrame:
+    """Scores with their band, the index's polarity, and whether its high or its low reading applies."""
+    known = F.create_map(*(F.lit(x) for kv in INDEX_POLARITY.items() for x in kv))
+    polarity = F.coalesce(F.try_element_at(known, F.col("index_name")), F.lit("benefit_high"))
+    hint = F.when(F.col("score") >= 65, "high").when(F.col("score") <= 35, "low").otherwise("middle")
+    return indices.withColumns({"band": score_band(F.col("score")), "polarity": polarity, "hint": hint})
+
+
 def archetypes(indices: DataFrame) -> DataFrame:
-    """(channel, archetype): the first rule over the indices that holds; missing ones count 0."""
+    """(channel, archetype): the first rule over the six indices that holds (their bounds are fixed values);
+    missing indices count 0."""
     at = lambda k: F.coalesce(F.max(F.when(F.col("index_name") == k, F.col("score"))), F.lit(0.0)).alias(k)
-    wide = indices.groupBy("channel").agg(*(at(k) for k in ("engagement_conversion", "audience_stickiness", "conversation_quality", "risk_pressure", "community_concentration", "content_portfolio_linkage")))
-    e, s, q, r, c, li = (F.col(k) for k in ("engagement_conversion", "audience_stickiness", "conversation_quality", "risk_pressure", "community_concentration", "content_portfolio_linkage"))
-    rule = F.when((e >= 65) & (r >= 65), 1).when((e >= 65) & (s >= 60) & (r < 60), 2).when((s >= 65) & (c >= 65), 3).when((li >= 65) & (e >= 50), 4).when((q >= 65) & (e < 45), 5).when((e < 40) & (s < 40), 6).otherwise(7)
+    wide = indices.groupBy("channel").agg(*(at(k) for k in INDICES))
+    e, s, q, r, c, li = (F.col(k) for k in INDICES)
+    rule = (
+        F.when((e >= 65) & (r >= 65), "high_engagement_high_risk").when((e >= 65) & (s >= 60) & (r < 60), "steady_discussion").when((s >= 65) & (c >= 65), "core_circle")
+        .when((li >= 65) & (e >= 50), "expandable_portfolio").when((q >= 65) & (e < 45), "quiet_potential").when((e < 40) & (s < 40), "low_participation").otherwise("balanced")
+    )
     return wide.select("channel", rule.alias("archetype"))
 
 
 def leaderboards(metrics: DataFrame, *, k: int = 5) -> DataFrame:
-    """The k best and k worst channels of each metric with their places."""
+    """The k best and k worst channels of each leaderboard metric with their places."""
+    metrics = metrics.where(F.col("metric").isin(*LEADERBOARD_METRICS))
     top = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("value"), "channel"))
     low = F.row_number().over(Window.partitionBy("metric").orderBy("value", "channel"))
     out = metrics.withColumn("top", top).withColumn("low", low).where((F.col("top") <= k) | (F.col("low") <= k))

@@ -6,23 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import places, ratio
-
-# Which end of a metric is good news.
-POLARITY = {
-    "negative_rate": "risk_high", "weighted_negative_rate": "risk_high", "reply_negative_rate": "risk_high", "max_video_negative_rate": "risk_high",
-    "positive_rate": "benefit_high", "comments_per_video": "benefit_high", "commenters_per_video": "benefit_high", "comments_per_1k_views": "benefit_high", "repeat_commenter_share": "benefit_high", "repeat_comment_share": "benefit_high",
-    "n_videos": "scale", "n_comments": "scale", "n_commenters": "scale", "reply_share": "mixed",
-}
-
+from tidemark.operators.channels import metric_group, metric_polarity, metric_unit
 
 def with_polarity(ranks: DataFrame) -> DataFrame:
-    table = ranks.sparkSession.createDataFrame(sorted(POLARITY.items()), "metric string, polarity string")
-    out = ranks.join(F.broadcast(table), "metric", "left").withColumn("polarity", F.coalesce("polarity", F.lit("mixed")))
+    """ranks with the metric's polarity and what its percentile means: risk, opportunity, watch, context."""
+    out = ranks.withColumn("polarity", metric_polarity(F.col("metric")))
     p, high, low = F.col("polarity"), F.col("percentile") >= 75, F.col("percentile") <= 25
-    reading = F.when(p == "scale", "context").when((p == "risk_high") & high, "risk").when((p == "risk_high") & low, "opportunity").when((p == "benefit_high") & high, "opportunity").when((p == "benefit_high") & low, "risk").when((p == "mixed") & (high | low), "watch").otherwise("context")
+    outer = p.isin("concentration_high", "mixed_high") & (high | low)
+    reading = F.when((p == "risk_high") & high, "risk").when((p == "risk_high") & low, "opportunity").when((p == "benefit_high") & high, "opportunity").when((p == "benefit_high") & low, "risk").when(outer, "watch").otherwise("context")
     return out.withColumn("reading", reading)
 
 
+def metric_catalogue(spread: DataFrame) -> DataFrame:
+    """Every metric with its group, unit, polarity and distribution."""
+    m = F.col("metric")
+    return spread.withColumns({"metric_group": metric_group(m), "unit": metric_unit(m), "polarity": metric_polarity(m), "iqr": places(F.col("p75") - F.col("p25"), 9)})
+
+
 def takeaways(ranks: DataFrame, *, k: int = 8) -> DataFrame:
     """Per channel the k metrics furthest from the middle, of those in the outer quarters."""
     out = with_polarity(ranks).where("percentile <= 25 or percentile >= 75").withColumn("extremeness", F.abs(F.col("percentile") - 50))
@@ -32,7 +32,7 @@ def takeaways(ranks: DataFrame, *, k: int = 8) -> DataFrame:
 
 def risk_opportunity(ranks: DataFrame, *, k: int = 5) -> DataFrame:
     """Per channel and reading the k most extreme metrics."""
-    out = with_polarity(ranks).where("reading <> 'context'").withColumn("extremeness", F.abs(F.col("percentile") - 50))
+    out = with_polarity(ranks).withColumn("extremeness", F.abs(F.col("percentile") - 50))
     place = F.row_number().over(Window.partitionBy("channel", "reading").orderBy(F.desc("extremeness"), "metric"))
     return out.withColumn("place", place).where(F.col("place") <= k).select("channel", "reading", "place", "metric", "percentile")
 
@@ -49,7 +49,7 @@ def value_percentile(value: Column, points: list[tuple[float, Column]]) -> Colum
 def metric_positions(metrics: DataFrame, spread: DataFrame) -> DataFrame:
     """Each value against its metric's distribution: percentile by interpolation, distance from the
     median in interquartile ranges, and which part of the box it lies in."""
-    d = metrics.join(F.broadcast(spread.select("metric", "least", "p10", "p25", "median", "p75", "p90", "most")), "metric")
+    d = metrics.join(spread.select("metric", "least", "p10", "p25", "median", "p75", "p90", "most"), "metric")
     points = [(0.0, F.col("least")), (10.0, F.col("p10")), (25.0, F.col("p25")), (50.0, F.col("median")), (75.0, F.col("p75")), (90.0, F.col("p90")), (100.0, F.col("most"))]
     v = F.col("value")
     part = F.when(v < F.col("p25"), "below_iqr").when(v > F.col("p75"), "above_iqr").otherwise("inside_iqr")

