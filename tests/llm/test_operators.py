@@ -404,7 +404,7 @@ def test_near_duplicates(hard, none):
     assert neardup.near_duplicates(none).count() == 0 and neardup.deduplicated(none).count() == 0
 
 
-@pytest.mark.parametrize("few, block", [(16, 512), (2, 4)])
+@pytest.mark.parametrize("few, block", [(16, 2048), (2, 4), (1, 1)])
 def test_near_copies_against_all_pairs(spark, none, monkeypatch, few, block):
     """Components of near copies are those of brute-force Jaccard of five-word shingles, whether keys are
     searched pairwise or block against block."""

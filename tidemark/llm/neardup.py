@@ -51,7 +51,7 @@ BANDS, ROWS = 40, 5
 #: searched in blocks of at most about BLOCK_SETS sets and BLOCK_SHINGLES shingles; the centre of such
 #: a key is found from SAMPLE of its sets (which decides how fast links are found, not which).
 FEW, SLACK = 16, 0.16
-BLOCK_SETS, BLOCK_SHINGLES, SAMPLE = 512, 1 << 20, 48
+BLOCK_SETS, BLOCK_SHINGLES, SAMPLE = 2048, 1 << 20, 48
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, which generates the binary Golay code.
 GENERATOR = 0b101011100011
 
@@ -399,24 +399,25 @@ def _bytes(batch: pa.RecordBatch, column: str) -> np.ndarray:
 
 
 def _block_links(placed: DataFrame, sketches: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b): links between sets of one key and different components, found block against block.
+    """(a, b): links between sets of one key and different components, found block by block.
 
     placed: (key, fp, size, root). A key's sets are dealt to blocks of a bounded number of sets and
-    shingles; each pair of blocks is a task's work, which compares sketches, then whole sets, and yields a
-    spanning forest of the links, not all pairs.
+    shingles. Those of its largest component need not be compared with each other and stay in one block;
+    the others visit all blocks of the key. A block is a task's work, which compares sketches, then
+    whole sets, and yields a spanning forest of the links, not all pairs.
     """
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("_blocks")
-    dealt = placed.join(placed.groupBy("key").agg(blocks), "key")
-    own = F.pmod(F.xxhash64("fp", F.lit(3)), F.col("_blocks")).cast("int")
-    dealt = dealt.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp", "size", "root")
-    rows = rows.join(sketches, "fp").join(sets, "fp")
+    by_root = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SETS, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    by_key = by_root.groupBy("key").agg(blocks.alias("_blocks"), F.max_by("root", F.struct("n", "root")).alias("_base"))
+    dealt = placed.join(by_key, "key").withColumn("home", F.pmod(F.xxhash64("fp", F.lit(3)), F.col("_blocks")).cast("int")).withColumn("base", F.col("root") == F.col("_base"))
+    visits = F.when(F.col("base"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    rows = dealt.join(sketches, "fp").join(sets, "fp").select("key", F.explode(visits).alias("block"), "home", "base", "fp", "size", "root", "sketch", "shingles")
 
     def linked(group: pa.Table) -> pa.Table:
-        fp, size, root, block = (group.column(c).to_numpy() for c in ("fp", "size", "root", "block"))
+        fp, size, root, home = (group.column(c).to_numpy() for c in ("fp", "size", "root", "home"))
+        base, here = group.column("base").to_numpy(zero_copy_only=False), home == group.column("block").to_numpy()
         sketch = np.stack([np.frombuffer(x, np.uint8) for x in group.column("sketch").to_pylist()])
         shingles_of = [np.frombuffer(x, "<u8") for x in group.column("shingles").to_pylist()]
-        crossed = group.column("low")[0] != group.column("high")[0]
         names, at = np.unique(root, return_inverse=True)
         parent = list(range(len(names)))
 
@@ -426,11 +427,10 @@ def _block_links(placed: DataFrame, sketches: DataFrame, sets: DataFrame, least:
             return i
 
         a, b = [], []
-        for i in range(len(fp) - 1):
-            j = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-            j = j[np.minimum(size[j], size[i]) >= least * np.maximum(size[j], size[i]) - 1e-9]
-            if crossed:
-                j = j[block[j] != block[i]]
+        for i in np.flatnonzero(~base).tolist():
+            # two visitors are compared where the one of the smaller number is at home
+            meets = base | (fp[i] < fp) if here[i] else base
+            j = np.flatnonzero(meets & (root != root[i]) & (np.minimum(size, size[i]) >= least * np.maximum(size, size[i]) - 1e-9))
             same = (sketch[j] == sketch[i]).sum(axis=1)
             for k in j[same >= (least - SLACK) * BANDS * ROWS].tolist():
                 x, y = top(at[i]), top(at[k])
@@ -443,7 +443,7 @@ def _block_links(placed: DataFrame, sketches: DataFrame, sets: DataFrame, least:
                     b.append(fp[k])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("key", "low", "high").applyInArrow(linked, "a bigint, b bigint")
+    return rows.groupBy("key", "block").applyInArrow(linked, "a bigint, b bigint")
 
 
 def copy_links(docs: DataFrame, found: DataFrame, least: float = LEAST_ALIKE, words: int = COPY_WORDS) -> DataFrame:
