@@ -87,13 +87,13 @@ happenings(event_id, s) AS (VALUES (0, DATE '1996-07-01'), (1, DATE '1997-10-01'
 
 _ASPECTS = """
 units AS (
-  SELECT concat_ws('-', thread_id, line, actor_id, video_id, ts) AS unit_id, ts, like_count, line, c.label, theme, CASE WHEN supplier_id % 2 = 0 THEN 'forum_a' ELSE 'forum_b' END AS platform,
-         CASE WHEN month(ts) <= 6 THEN 'first' ELSE 'second' END AS half
+  SELECT concat_ws('-', thread_id, line, actor_id, video_id, ts) AS unit_id, ts, like_count, line, c.label, theme, video_id, actor_id, CASE WHEN supplier_id % 2 = 0 THEN 'forum_a' ELSE 'forum_b' END AS platform,
+         CASE WHEN month(ts) <= 6 THEN 'first' WHEN month(ts) = 12 THEN 'unclear' ELSE 'second' END AS half
   FROM all_comments c JOIN videos USING (video_id)),
 aspect_rows AS (
-  SELECT unit_id, ts, like_count, platform, theme AS aspect, label AS sentiment, CAST(line % 4 AS DOUBLE) AS severity FROM units
-  UNION ALL SELECT unit_id, ts, like_count, platform, half, 'unclear', NULL FROM units),
-daily AS (SELECT platform, CAST(ts AS DATE) AS day, aspect, count(DISTINCT unit_id) AS n_units, count(*) FILTER (sentiment = 'negative') AS n_negative, CAST(sum(like_count + 1) AS BIGINT) AS weight FROM aspect_rows GROUP BY 1, 2, 3)
+  SELECT unit_id, ts, like_count, platform, video_id, theme AS aspect, CASE WHEN line = 7 THEN 'mixed' ELSE label END AS sentiment, CAST(line % 4 AS DOUBLE) AS severity FROM units
+  UNION ALL SELECT unit_id, ts, like_count, platform, video_id, half, 'unclear', 0 FROM units),
+judged AS (SELECT u.*, CASE WHEN month(ts) % 5 <> 0 THEN theme ELSE 'other' END AS aspect FROM units u)
 """
 
 
@@ -138,6 +138,43 @@ WITH d AS (SELECT lower(coalesce(text, '')) AS t FROM documents), f AS (SELECT l
 SELECT coalesce(list_reverse_sort(f)[1].name, 'other') AS primary_theme, CASE WHEN len(f) > 0 THEN array_to_string(list_transform(f, lambda x: x.name), ';') ELSE 'other' END AS theme_labels, count(*) AS n FROM f GROUP BY 1, 2"""
 
 
+def _aspect_summary() -> str:
+    def side(name: str, x: str) -> str:
+        label = f"'{name}'"
+        return f"""round(n_{name} / n_units, 6) AS {name}_rate, round((n_{name} / n_units) / nullif((SELECT avg(CASE WHEN label = {label} THEN 1.0 ELSE 0 END) FROM units), 0), 6) AS {name}_lift, round(n_{name} / {x}_units, 6) AS {name}_share, round(w_{x} / w, 6) AS weighted_{name}_rate,
+  round(n_{name} / full_n, 6) AS {name}_prevalence, round((n_{name} / full_n) / nullif(full_{x}, 0), 6) AS {name}_prevalence_lift"""
+
+    return f"""
+, f AS (SELECT *, sentiment IN ('negative', 'mixed') AS neg, sentiment IN ('positive', 'mixed') AS pos, like_count + 1 AS heavy FROM aspect_rows),
+t AS (SELECT count(DISTINCT unit_id) AS all_units, greatest(count(DISTINCT unit_id) FILTER (neg), 1) AS neg_units, greatest(count(DISTINCT unit_id) FILTER (pos), 1) AS pos_units FROM f),
+e AS (SELECT count(*) AS full_n, avg(CASE WHEN label = 'negative' THEN 1.0 ELSE 0 END) AS full_neg, avg(CASE WHEN label = 'positive' THEN 1.0 ELSE 0 END) AS full_pos FROM all_comments),
+a AS (SELECT aspect, count(DISTINCT unit_id) AS n_units, count(DISTINCT unit_id) FILTER (neg) AS n_negative, count(DISTINCT unit_id) FILTER (pos) AS n_positive, sum(heavy) AS w, coalesce(sum(heavy) FILTER (neg), 0) AS w_neg, coalesce(sum(heavy) FILTER (pos), 0) AS w_pos, avg(severity) AS sev FROM f WHERE aspect <> 'unclear' GROUP BY 1)
+SELECT aspect, n_units, n_negative, n_positive, round(n_units / all_units, 6) AS mention_rate, round(sev, 6) AS mean_severity, {side('negative', 'neg')}, {side('positive', 'pos')} FROM a, t, e"""
+
+
+def _aspect_daily(platform: str) -> str:
+    return f"SELECT {platform}CAST(ts AS DATE) AS day, aspect, count(DISTINCT unit_id) AS n_units, count(*) FILTER (sentiment IN ('negative', 'mixed')) AS n_negative, count(*) FILTER (sentiment IN ('positive', 'mixed')) AS n_positive, round(avg(severity), 6) AS mean_severity, CAST(sum(like_count + 1) AS BIGINT) AS weight FROM aspect_rows WHERE aspect <> 'unclear' GROUP BY ALL"
+
+
+def _shares(rows: str, key: str) -> str:
+    return f" SELECT {key}, aspect, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY {key}) AS BIGINT) AS total, round(count(*) / sum(count(*)) OVER (PARTITION BY {key}), 6) AS share FROM {rows} GROUP BY 1, 2"
+
+
+def _scored_units() -> str:
+    from tidemark.operators.aspects import ASPECT_KEYWORDS
+
+    tests = ", ".join("CASE WHEN " + " OR ".join(f"contains(t, '{w}')" for w in words) + f" THEN '{aspect}' END" for aspect, words in ASPECT_KEYWORDS.items())
+    return f"""
+WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS label FROM documents LEFT JOIN labels USING (doc_id)),
+h AS (SELECT doc_id, label, concat_ws(';', {tests}) AS aspect_keyword_hits FROM d)
+SELECT * FROM h WHERE label = 'negative' OR aspect_keyword_hits <> ''"""
+
+
+def _external_units() -> str:
+    return """
+SELECT CAST(event_id AS VARCHAR) AS unit_id, 'external_post' AS source_type, CASE WHEN user_id % 2 = 0 THEN 'forum_a' ELSE 'forum_b' END AS source, CAST(NULL AS BIGINT) AS video_id, ts, value AS like_count, '' AS label, event_type || ' ' || event_id AS text FROM events"""
+
+
 def _metrics() -> str:
     from tidemark.plans import channels_sql as c
 
@@ -210,14 +247,19 @@ SELECT count(*) AS n_comments, count(*) FILTER (is_top_level) AS n_top_level, co
 r AS (SELECT video_id, count(*) AS n_scored_replies, {', '.join(f"round(count(*) FILTER (label = '{x}') / count(*), 6) AS reply_{x}_rate, round(coalesce(sum(like_count + 1) FILTER (label = '{x}'), 0) / sum(like_count + 1), 6) AS reply_weighted_{x}_rate" for x in ('negative', 'positive'))} FROM all_comments WHERE NOT is_top_level GROUP BY 1)
 SELECT c.*, coalesce(n_scored_replies, 0) AS n_scored_replies, {', '.join(f"coalesce({x}, 0) AS {x}" for x in ('reply_negative_rate', 'reply_weighted_negative_rate', 'reply_positive_rate', 'reply_weighted_positive_rate'))}, theme, title, published_at, view_count FROM c LEFT JOIN r USING (video_id) LEFT JOIN videos USING (video_id)"""),
         "theme_conflict": _with(_THREADS, body=_conflict("theme").format(source="(SELECT t.*, theme FROM threads t JOIN videos USING (video_id))")),
-        "aspect_summary": _with(_ASPECTS, body="""
-, t AS (SELECT count(DISTINCT unit_id) AS u, count(DISTINCT unit_id) FILTER (sentiment = 'negative') AS g FROM aspect_rows),
-a AS (SELECT aspect, count(DISTINCT unit_id) AS n_units, count(DISTINCT unit_id) FILTER (sentiment = 'negative') AS n_negative, count(DISTINCT unit_id) FILTER (sentiment = 'positive') AS n_positive, round(coalesce(sum(like_count + 1) FILTER (sentiment = 'negative'), 0) / sum(like_count + 1), 6) AS weighted_negative_rate, round(avg(severity), 6) AS mean_severity FROM aspect_rows GROUP BY 1)
-SELECT a.*, round(n_negative / n_units, 6) AS negative_rate, round(n_units / u, 6) AS unit_share, round((n_negative / n_units) / (g / u), 6) AS negative_lift FROM a, t"""),
-        "aspect_daily": _with(_ASPECTS, body=" SELECT * FROM daily"),
-        "aspect_anomalies": _with(_ASPECTS, body="""
-, m AS (SELECT *, avg(n_negative) OVER w AS mean, stddev_pop(n_negative) OVER w AS sd FROM daily WINDOW w AS (PARTITION BY platform, aspect))
-SELECT platform, aspect, day, n_negative, round(mean, 6) AS mean, round((n_negative - mean) / nullif(sd, 0), 6) AS z FROM m WHERE n_negative >= greatest(mean + 2 * sd, 3)"""),
+        "aspect_summary": _with(_ASPECTS, body=_aspect_summary()),
+        "aspect_daily": _with(_ASPECTS, body=f" SELECT * FROM ({_aspect_daily('platform, ')})"),
+        "aspect_days": _with(_ASPECTS, body=f" SELECT * FROM ({_aspect_daily('')})"),
+        "aspect_anomalies": _with(_ASPECTS, body=f"""
+, d AS ({_aspect_daily('platform, ')}), m AS (SELECT *, avg(n_negative) OVER g AS m, stddev_pop(n_negative) OVER g AS s FROM d WINDOW g AS (PARTITION BY platform, aspect))
+SELECT platform, aspect, day, n_negative, round(m, 6) AS mean, round(s, 6) AS sd, round((n_negative - m) / nullif(s, 0), 6) AS z, round(greatest(m + 2 * s, 3), 6) AS threshold FROM m WHERE n_negative >= greatest(m + 2 * s, 3)"""),
+        "video_aspect_shares": _with(_ASPECTS, body=_shares("judged WHERE label = 'negative'", "video_id")),
+        "community_aspect_shares": _with(_ASPECTS, body=_shares("judged JOIN actors USING (actor_id) WHERE label = 'negative'", "community")),
+        "positive_aspect_shares": _with(_ASPECTS, body=" SELECT aspect, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM judged WHERE label = 'positive' GROUP BY 1"),
+        "platform_aspect_shares": _with(_ASPECTS, body=_shares("aspect_rows WHERE sentiment = 'negative'", "platform")),
+        "video_actionable_share": _with(_ASPECTS, body=" SELECT video_id, count(*) AS n, round(count(*) FILTER (aspect NOT IN ('other', 'unclear')) / count(*), 6) AS actionable FROM aspect_rows WHERE sentiment = 'negative' GROUP BY 1"),
+        "scored_units": _scored_units(),
+        "external_units": _external_units(),
         "top_negative_comments": _with(body="""
 SELECT video_id, CAST(k AS INT) AS place, like_count, ts, thread_id, line FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY like_count DESC, ts, thread_id, line, actor_id) AS k FROM all_comments WHERE label = 'negative') WHERE k <= 3"""),
         "channel_metrics": _with(_metrics(), body=" SELECT * FROM metrics"),
@@ -305,9 +347,6 @@ SELECT community, theme, CAST(grouping(community, theme) AS INT) AS level, count
         "comment_gaps": _with(body="""
 , g AS (SELECT actor_id, CAST(ts AS DATE) - CAST(lag(ts) OVER (PARTITION BY actor_id ORDER BY ts) AS DATE) AS gap FROM all_comments)
 SELECT actor_id, count(gap) AS n_gaps, CAST(max(gap) AS INT) AS longest FROM g GROUP BY 1"""),
-        "platform_aspect_shares": _with(_ASPECTS, body="""
-SELECT platform, aspect, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY platform), 6) AS share FROM aspect_rows WHERE sentiment = 'negative' GROUP BY 1, 2"""),
-        "negative_units": _with(body=" SELECT label, count(*) AS n, CAST(sum(like_count) AS BIGINT) AS likes FROM all_comments WHERE label = 'negative' OR like_count >= 45 GROUP BY 1"),
         "metric_spotlight": _with(_metrics(), body="""
 , r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, channel) AS h, row_number() OVER (PARTITION BY metric ORDER BY value, channel) AS l FROM metrics)
 SELECT metric, string_agg(channel, ';' ORDER BY h) FILTER (h <= 3) AS highest, string_agg(channel, ';' ORDER BY l) FILTER (l <= 3) AS lowest, count(*) AS n, round(quantile_cont(value, 0.5), 9) AS median FROM r GROUP BY 1"""),

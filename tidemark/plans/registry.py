@@ -316,16 +316,19 @@ def _aspects(v):
     """Units with list columns, as the labelling stage writes them: the theme of the video and the
     half of the year as aspects, with the comment's sentiment and its line as severity."""
     units = v.all_comments.join(v.videos.select("video_id", "theme"), "video_id")
-    half = F.when(F.month("ts") <= 6, "first").otherwise("second")
+    half = F.when(F.month("ts") <= 6, "first").when(F.month("ts") == 12, "unclear").otherwise("second")
+    theme = lambda value: F.concat(F.col("theme"), F.lit("="), value)
     return units.select(
-        F.concat_ws("-", "thread_id", "line", "actor_id", "video_id", "ts").alias("unit_id"), "ts", "like_count", F.when(F.col("supplier_id") % 2 == 0, "forum_a").otherwise("forum_b").alias("platform"),
-        F.concat_ws(";", "theme", half).alias("aspect_labels"), F.concat(F.col("theme"), F.lit("="), F.col("label")).alias("aspect_sentiments"), F.concat(F.col("theme"), F.lit("=9;"), F.col("theme"), F.lit("="), F.col("line") % 4).alias("aspect_severities"),
+        F.xxhash64("thread_id", "line", "actor_id", "video_id", "ts").alias("unit_id"), "ts", "like_count", "label", "video_id", "actor_id", F.when(F.col("supplier_id") % 2 == 0, "forum_a").otherwise("forum_b").alias("platform"), F.col("theme").alias("primary_aspect"),
+        F.concat_ws(";", "theme", half).alias("aspect_labels"), theme(F.when(F.col("line") == 7, "mixed").otherwise(F.col("label"))).alias("aspect_sentiments"), F.concat(theme(F.lit("9;")), theme((F.col("line") % 4).cast("string"))).alias("aspect_severities"),
+        theme((F.col("line") / 8).cast("string")).alias("aspect_confidences"),
     )
 
 
 @query
 def aspect_summary(v):
-    return aspects.aspect_summary(aspects.aspect_rows(_aspects(v)))
+    units = _aspects(v)
+    return aspects.aspect_summary(aspects.aspect_rows(units), units, v.all_comments)
 
 
 @query
@@ -333,11 +336,42 @@ def aspect_daily(v):
     return aspects.aspect_daily(aspects.aspect_rows(_aspects(v)), "platform")
 
 
+@query
+def aspect_days(v):
+    return aspects.aspect_daily(aspects.aspect_rows(_aspects(v)))
+
+
 @query
 def aspect_anomalies(v):
     return aspects.aspect_anomalies(aspects.aspect_daily(aspects.aspect_rows(_aspects(v)), "platform"), "platform")
 
 
+def _judged(v, sentiment):
+    """Comments with the primary aspect of their unit, which four in five have."""
+    units = _aspects(v)
+    return aspects.labelled_aspects(units.drop("primary_aspect"), units.where("month(ts) % 5 <> 0").select("unit_id", "primary_aspect"), sentiment)
+
+
+@query
+def video_aspect_shares(v):
+    return aspects.aspect_shares(_judged(v, "negative"), "video_id")
+
+
+@query
+def community_aspect_shares(v):
+    return aspects.aspect_shares(_judged(v, "negative").join(v.actors.select("actor_id", "community"), "actor_id"), "community")
+
+
+@query
+def positive_aspect_shares(v):
+    return aspects.aspect_shares(_judged(v, "positive"))
+
+
+@query
+def video_actionable_share(v):
+    return aspects.actionable_share(aspects.aspect_rows(_aspects(v)), "video_id")
+
+
 @query
 def top_negative_comments(v):
     return aspects.top_negative(v.all_comments)
@@ -642,13 +676,23 @@ def audience_summary(v):
 
 @query
 def platform_aspect_shares(v):
-    return aspects.aspect_shares(aspects.aspect_rows(_aspects(v)), "platform", "negative")
+    return aspects.aspect_shares(aspects.aspect_rows(_aspects(v)).where("sentiment = 'negative'"), "platform")
+
+
+def _texts(v):
+    """Documents as comments with a label."""
+    docs = v.table("documents").join(v.table("labels"), "doc_id", "left")
+    return docs.select("doc_id", "text", "source", F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral").alias("label"))
+
+
+@query
+def scored_units(v):
+    return aspects.comment_units(_texts(v), "negative_or_keyword").select("doc_id", "label", "aspect_keyword_hits")
 
 
 @query
-def negative_units(v):
-    flagged = v.all_comments.withColumn("keyword_hit", F.col("like_count") >= 45)
-    return aspects.comment_units(flagged, "negative_or_keyword").groupBy("label").agg(F.count("*").alias("n"), F.sum("like_count").alias("likes"))
+def external_units(v):
+    return aspects.external_units(v.posts)
 
 
 @query
