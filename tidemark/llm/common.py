@@ -43,10 +43,15 @@ def fold(n: int, key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, *, limit: int) -> DataFrame:
-    """(text, y) of documents that labels marks 0 or 1, at most about `limit` rows of each label.
+#: Text of the labelled rows of each label that training takes, about.
+SAMPLE_BYTES = 64 << 20
 
-    The bound is kept by a hash of the id, so that reruns take the same rows. Labels of 2
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, *, limit: int, size: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, y) of documents that labels marks 0 or 1, at most about `limit` rows and `size`
+    bytes of text of each label.
+
+    The bounds are kept by a hash of the id, so that reruns take the same rows. Labels of other
     values, null ids and null labels are left out; a label that repeats counts once; ids
     marked both ways take the larger label.
     """
@@ -54,9 +59,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, *, limit: int) -> D
     counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     shares = [F.when(F.col("y") == y, F.lit(min(1.0, limit / max(n, 1)))) for y, n in counts.items()]
     share = F.coalesce(*shares, F.lit(0.0))
-    taken = marks.where((F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)) < share)
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
     # a table of that bound is safe to broadcast; texts are not shuffled
-    return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("doc_id", "text", "y")
+    with_texts = lambda part: docs.select("doc_id", "text").join(F.broadcast(marks.where(chance < part)), "doc_id").select("doc_id", "text", "y")
+    sizes = {r["y"]: r["n"] for r in with_texts(share).groupBy("y").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    if any((n or 0) > size for n in sizes.values()):
+        less = [F.when(F.col("y") == y, F.lit(min(1.0, size / max(n or 0, 1)))) for y, n in sizes.items()]
+        share = share * F.coalesce(*less, F.lit(1.0))
+    return with_texts(share)
 
 
 def texts(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,10 @@ for every frame. Bytes between frames are skipped and counted.
 The writer makes Layer III streams whose frames carry given bytes as their main data, so that
 any payload can be stored and read back losslessly.
 
-Nulls: a null value is read as no bytes. Bytes without a frame give zero frames and duration 0.
+Nulls: a null value is read as no bytes, a null text is stored as an empty one. Bytes without a frame
+give zero frames and duration 0. Long texts are stored whole, in as many frames as they need. Equal
+texts have equal streams; repeated rows are rows of their own. Empty tables give no rows. Extra columns
+are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -273,7 +276,7 @@ def store_texts(docs: DataFrame, *, key: str = "doc_id") -> DataFrame:
     return mapped(docs.select(key, "text"), stored, f"{key} {kind}, n_bytes bigint, media binary")
 
 
-FEATURES_SCHEMA = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+FEATURES_SCHEMA = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, seek_offsets array<bigint>"
 
 
 def media_features(media: DataFrame, *, key: str = "doc_id") -> DataFrame:
@@ -287,7 +290,7 @@ def media_features(media: DataFrame, *, key: str = "doc_id") -> DataFrame:
                 raise ValueError(f"stored stream is damaged: {audio.wrong} checksums, {audio.skipped} bytes skipped")
             body = payload_of(audio)
             feature = f"mpeg1/3;frames={len(audio.offsets)};samples={audio.samples};seconds={audio.duration};crc={audio.checked - audio.wrong}/{audio.checked};seek={audio.offsets[0]}-{audio.offsets[-1]};table={audio.table['kind']}:{audio.table['bytes']}"
-            rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+            rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, audio.offsets))
         return [part.column(key), part.column("n_bytes"), *map(list, zip(*rows, strict=True))]
 
     kind = media.schema[key].dataType.simpleString()

@@ -6,7 +6,8 @@ forest is flattened into arrays and scored by stepping all documents down all tr
 
 Nulls and empty texts have statistics of 0 and get a score like any other. Without labelled rows
 of both kinds every score is the share of label 1 (0.5 without any). Repeated rows are scored
-alike. Long texts are whole.
+alike. Long texts are whole. Empty tables give no rows. Extra columns are left out by `score` and kept
+by `accepted`, whatever their names.
 """
 
 from __future__ import annotations

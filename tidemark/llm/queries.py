@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, hilbert, langid, mixing, mpeg, neardup, quality, rules, toxicity, warc
-from tidemark.llm.common import fold, table
+from tidemark.llm.common import fold, table, written
 
 
 def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,8 @@ def bpe_digests(encoded: DataFrame) -> DataFrame:
 
 def op3_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as an MPEG audio stream and read back."""
-    return mpeg.media_features(mpeg.store_texts(table(spark, sf_dir, "documents")))
+    stored = written(mpeg.store_texts(table(spark, sf_dir, "documents")), "media")
+    return mpeg.media_features(stored)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

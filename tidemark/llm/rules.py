@@ -6,7 +6,9 @@ conjunctions by sequential covering: a rule gets the literal that leaves it the
 then pruned back on rows that did not grow it, and what it covers is taken out before the next. Every step is one aggregation over the labelled rows, of
 which the driver sees counts for each feature and bin. The list is a Spark conditional expression.
 
-Nulls: a null text has no words and statistics 0. Labels other than 0 and 1, null ids and null
+Nulls: a null text has no words and statistics 0, as an empty one. Long texts are counted whole. Rows
+that are tied at a threshold fall on its lower side. Repeated rows are rows of their own; empty tables
+give no rows and an empty list. Labels other than 0 and 1, null ids and null
 labels teach nothing; an id labelled both ways counts as 1. Without labelled rows of both kinds
 the list is empty and keeps everything. Columns of docs named like statistics are replaced.
 """

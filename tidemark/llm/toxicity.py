@@ -1,6 +1,6 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A document's features are the hashes of its lower-cased words, their stems (the first 4, 5 and 6
+A document's features are the hashes of its lower-cased words, their stems (the first 4 to 8
 bytes), its word pairs, and the pairs that skip one word, each counted once. Training follows
 each coordinate at its own rate and keeps a weight at 0 until its gradients sum to more than the
 L1 strength, so that few weights remain; those are broadcast. Scoring hashes whole texts with
@@ -9,6 +9,7 @@ array operations and looks the hashes up among the kept weights.
 Nulls and empty texts have the bias as their only feature. Without labelled rows of both kinds
 every score is the share of label 1 (0 without any). Repeated rows are scored alike; a text
 that is repeated in the labelled rows counts as often as it is labelled. Long texts are whole.
+Empty tables give no rows. Extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from tidemark.llm.common import Hashes, labelled, mapped, mixed, raw, spans, tex
 SAMPLE_ROWS = 8000
 #: Buckets of the hash.
 BUCKETS = 1 << 22
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
+#: The L1 strength for the root of the rows of the rarer label, and the most that it may be.
+L1_SLOPE, MOST_L1 = 0.55, 10.0
 #: Characters that belong to no word: ASCII but letters and digits.
 GAPS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -67,7 +70,7 @@ def _distinct(at: np.ndarray, rows: np.ndarray, count: int) -> list[np.ndarray]:
 class Ftrl:
     """FTRL-proximal with per-coordinate learning rates."""
 
-    def __init__(self, *, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1):
+    def __init__(self, *, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
 
@@ -94,8 +97,8 @@ class Ftrl:
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows_each: int = SAMPLE_ROWS, epochs: int = 5) -> Weights:
     """Weights from the labelled documents, at most about rows_each of each label.
 
-    The bounded sample meets in one task, sorted by a hash of the id; only the kept weights
-    (index, weight) come to the driver.
+    The sample, bounded in rows and in bytes, meets in one task, sorted by a hash of the id; only the
+    kept weights (index, weight) come to the driver.
     """
     sample = labelled(docs, labels, label, limit=rows_each)
 
@@ -107,8 +110,10 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows_each
             rows += _distinct(*features(part.column("text")), part.num_rows)
             marks += part.column("y").to_pylist()
             ids += part.column("doc_id").to_pylist()
-        model, y = Ftrl(), np.array(marks)
+        y = np.array(marks)
         share = float(np.mean(y)) if len(y) else 0.0
+        # the noise that L1 must hold down grows with the root of the rows of the rarer label
+        model = Ftrl(l1=min(MOST_L1, L1_SLOPE * np.sqrt(len(y) * min(share, 1 - share))))
         if 0 < share < 1:
             order = np.lexsort((y, mixed(np.array(ids, np.int64).view(np.uint64))))
             for _ in range(epochs):

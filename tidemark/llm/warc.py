@@ -11,7 +11,8 @@ at once. Response payloads are hashed again and held against their digests.
 Archives are written and read by pyarrow's file systems in the shared folder, so a cluster's
 folder may be on any store that these reach. Nulls: a null html is an empty payload, a null url
 an empty target; of equal payloads whose ids are all null each is a response. Rows that repeat
-the smallest id with its payload are responses as well. Extra columns are left out.
+the smallest id with its payload are responses as well. Long payloads are records like any others. Empty
+tables give no archives and no rows. Extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
