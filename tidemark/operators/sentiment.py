@@ -14,27 +14,47 @@ EVENT_NEGATIVE_WORDS = ["失望", "難看", "爛", "討厭", "尷尬", "尬", "
 EVENT_POSITIVE_WORDS = ["好看", "喜歡", "支持", "精彩", "感動", "讚", "推薦", "love", "great"]
 
 
+SCORES = ("score_neg", "score_neu", "score_pos", "confidence")
+
+
 def block(weight: Column | None = None) -> list[Column]:
-    """Aggregates of a group of labelled comments; a comment weighs its likes and one."""
+    """Aggregates of a group of labelled comments: counts, weights and rates of the labels, mean scores, and
+    replies; a comment weighs its likes and one. Null scores do not count."""
     w = F.col("like_count") + 1 if weight is None else weight
     is_ = lambda label: F.col("label") == label
     of = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0))
     return [
         F.count("*").alias("n"), *(F.count_if(is_(x)).alias(f"n_{x}") for x in ("negative", "neutral", "positive")), F.count_if(~F.col("is_top_level")).alias("n_replies"), F.sum(w).alias("weight"),
-        *(places(ratio(F.count_if(is_(x)), F.count("*"))).alias(f"{x}_rate") for x in ("negative", "positive")), *(places(ratio(of(is_(x)), F.sum(w))).alias(f"weighted_{x}_rate") for x in ("negative", "positive")),
-        places(ratio(F.count_if(is_("positive")) - F.count_if(is_("negative")), F.count("*"))).alias("net_rate"), places(F.avg("like_count")).alias("mean_likes"),
+        *(of(is_(x)).alias(f"{x}_weight") for x in ("negative", "positive")), *(places(ratio(F.count_if(is_(x)), F.count("*"))).alias(f"{x}_rate") for x in ("negative", "neutral", "positive")),
+        *(places(ratio(of(is_(x)), F.sum(w))).alias(f"weighted_{x}_rate") for x in ("negative", "positive")), *(places(F.avg(c)).alias(f"mean_{c}") for c in SCORES),
+        places(ratio(F.count_if(~F.col("is_top_level")), F.count("*"))).alias("reply_share"), places(ratio(F.count_if(is_("positive")) - F.count_if(is_("negative")), F.count("*"))).alias("net_rate"), places(F.avg("like_count")).alias("mean_likes"),
     ]
 
 
+def prefixed(rows: DataFrame, prefix: str, *keys: str) -> DataFrame:
+    """rows whose columns but the keys begin with the prefix."""
+    return rows.select(*keys, *(F.col(c).alias(f"{prefix}_{c}") for c in rows.columns if c not in keys))
+
+
+def labelled_or_keyword(comments: DataFrame, labels: DataFrame | None, key: str, text: str = "text") -> DataFrame:
+    """Comments with the labels and scores of a model if there are any rows of them (those without one go),
+    else by words alone; `sentiment_source` says which."""
+    if labels is not None and labels.head(1):
+        return comments.join(labels, key).withColumn("sentiment_source", F.lit("model"))
+    return keyword_sentiment(comments, text).withColumn("sentiment_source", F.lit("keyword_proxy"))
+
+
 def sentiment_by(comments: DataFrame, *keys: str, distinct: tuple[str, ...] = ()) -> DataFrame:
     """The block over keys (a null key is a group), with distinct counts where asked for."""
     return comments.groupBy(*keys).agg(*block(), *(F.countDistinct(c).alias(f"n_{c.removesuffix('_id')}s") for c in distinct))
 
 
 def sentiment_summary(comments: DataFrame) -> DataFrame:
-    everything = Window.partitionBy()
-    out = comments.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("like_count") + 1).alias("weight"), F.count_if(~F.col("is_top_level")).alias("n_replies"))
-    return out.select("label", "n", places(ratio(F.col("n"), F.sum("n").over(everything))).alias("share"), places(ratio(F.col("weight"), F.sum("weight").over(everything))).alias("weight_share"), places(ratio(F.col("n_replies"), F.col("n"))).alias("reply_share"))
+    """Per label: comments, weight, their shares, mean scores and replies."""
+    everything = Window.partitionBy()  # one row a label
+    out = comments.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("like_count") + 1).alias("weight"), F.count_if(~F.col("is_top_level")).alias("n_replies"), *(places(F.avg(c)).alias(f"mean_{c}") for c in SCORES))
+    share = lambda c: places(ratio(F.col(c), F.sum(c).over(everything)))
+    return out.select("label", "n", share("n").alias("share"), share("weight").alias("weight_share"), "n_replies", places(ratio(F.col("n_replies"), F.col("n"))).alias("reply_share"), *(f"mean_{c}" for c in SCORES))
 
 
 def keyword_sentiment(docs: DataFrame, text: str = "text") -> DataFrame:

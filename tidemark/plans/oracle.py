@@ -6,7 +6,8 @@ _VIEWS = """
 all_comments AS (
   SELECT l_orderkey AS thread_id, l_linenumber AS line, l_partkey AS video_id, o_custkey AS actor_id, l_suppkey AS supplier_id,
          l_linenumber = 1 AS is_top_level, CAST(trunc(l_quantity) AS BIGINT) AS like_count, l_shipdate AS ts,
-         CASE l_returnflag WHEN 'R' THEN 'negative' WHEN 'A' THEN 'positive' ELSE 'neutral' END AS label
+         CASE l_returnflag WHEN 'R' THEN 'negative' WHEN 'A' THEN 'positive' ELSE 'neutral' END AS label,
+         l_discount * 5 AS score_neg, l_tax * 5 AS score_pos, 1 - l_discount * 5 AS score_neu, CASE WHEN l_linenumber <> 5 THEN l_linenumber / 8 END AS confidence
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 comments AS (SELECT * FROM all_comments WHERE is_top_level),
 videos AS (
@@ -17,12 +18,13 @@ actor_videos AS (SELECT DISTINCT actor_id, video_id FROM all_comments),
 in_community AS (SELECT c.*, community FROM all_comments c JOIN actors USING (actor_id))
 """
 
-_BLOCK = """
+_MEANS = ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in ("score_neg", "score_neu", "score_pos", "confidence"))
+_BLOCK = f"""
   count(*) AS n, count(*) FILTER (label = 'negative') AS n_negative, count(*) FILTER (label = 'neutral') AS n_neutral, count(*) FILTER (label = 'positive') AS n_positive,
-  count(*) FILTER (NOT is_top_level) AS n_replies, CAST(sum(like_count + 1) AS BIGINT) AS weight,
-  round(count(*) FILTER (label = 'negative') / count(*), 6) AS negative_rate, round(count(*) FILTER (label = 'positive') / count(*), 6) AS positive_rate,
+  count(*) FILTER (NOT is_top_level) AS n_replies, CAST(sum(like_count + 1) AS BIGINT) AS weight, CAST(coalesce(sum(like_count + 1) FILTER (label = 'negative'), 0) AS BIGINT) AS negative_weight, CAST(coalesce(sum(like_count + 1) FILTER (label = 'positive'), 0) AS BIGINT) AS positive_weight,
+  round(count(*) FILTER (label = 'negative') / count(*), 6) AS negative_rate, round(count(*) FILTER (label = 'neutral') / count(*), 6) AS neutral_rate, round(count(*) FILTER (label = 'positive') / count(*), 6) AS positive_rate,
   round(coalesce(sum(like_count + 1) FILTER (label = 'negative'), 0) / sum(like_count + 1), 6) AS weighted_negative_rate,
-  round(coalesce(sum(like_count + 1) FILTER (label = 'positive'), 0) / sum(like_count + 1), 6) AS weighted_positive_rate,
+  round(coalesce(sum(like_count + 1) FILTER (label = 'positive'), 0) / sum(like_count + 1), 6) AS weighted_positive_rate, {_MEANS}, round(count(*) FILTER (NOT is_top_level) / count(*), 6) AS reply_share,
   round((count(*) FILTER (label = 'positive') - count(*) FILTER (label = 'negative')) / count(*), 6) AS net_rate, round(avg(like_count), 6) AS mean_likes
 """
 
@@ -175,6 +177,12 @@ def _external_units() -> str:
 SELECT CAST(event_id AS VARCHAR) AS unit_id, 'external_post' AS source_type, CASE WHEN user_id % 2 = 0 THEN 'forum_a' ELSE 'forum_b' END AS source, CAST(NULL AS BIGINT) AS video_id, ts, value AS like_count, '' AS label, event_type || ' ' || event_id AS text FROM events"""
 
 
+def _prefixed(table: str, prefix: str) -> str:
+    import re
+
+    return ", ".join(f"{table}.{c} AS {prefix}_{c}" for c in re.findall(r" AS (\w+)(?=,|\s*$|\n)", _BLOCK))
+
+
 def _metrics() -> str:
     from tidemark.plans import channels_sql as c
 
@@ -185,7 +193,7 @@ def _metrics() -> str:
 
 
 def oracle() -> dict[str, str]:
-    from tidemark.operators.sentiment import NEGATIVE_WORDS
+    from tidemark.operators.sentiment import EVENT_NEGATIVE_WORDS, EVENT_POSITIVE_WORDS, NEGATIVE_WORDS
     from tidemark.plans import channels_sql, graph_sql, outside_sql
 
     return outside_sql.sql(_VIEWS, _THREADS) | graph_sql.sql(_VIEWS, _edges(3), _VIDEO_EDGES) | {
@@ -211,8 +219,16 @@ SELECT n_windows, count(*) AS n_transitions, CAST(sum(n_base) AS BIGINT) AS n_ba
 cutoffs AS (SELECT unnest(generate_series(0, (SELECT max(n) FROM placed) - 100, 25)) AS cutoff),
 held AS (SELECT cutoff, actor_id, bool_or(i < cutoff + 50) AS base, bool_or(i >= cutoff + 50) AS future FROM cutoffs JOIN placed ON i >= cutoff AND i < cutoff + 100 JOIN actor_videos USING (video_id) GROUP BY 1, 2)
 SELECT CAST(cutoff AS INT) AS cutoff, count(*) FILTER (base) AS n_base, count(*) FILTER (future) AS n_future, count(*) FILTER (base AND future) AS n_returned, round(count(*) FILTER (base AND future) / nullif(count(*) FILTER (base), 0), 6) AS return_rate FROM held GROUP BY 1"""),
-        "sentiment_summary": _with(body="""
-SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(sum(like_count + 1) / sum(sum(like_count + 1)) OVER (), 6) AS weight_share, round(count(*) FILTER (NOT is_top_level) / count(*), 6) AS reply_share FROM all_comments GROUP BY 1"""),
+        "sentiment_summary": _with(body=f"""
+SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(sum(like_count + 1) / sum(sum(like_count + 1)) OVER (), 6) AS weight_share, count(*) FILTER (NOT is_top_level) AS n_replies, round(count(*) FILTER (NOT is_top_level) / count(*), 6) AS reply_share, {_MEANS} FROM all_comments GROUP BY 1"""),
+        "reply_sentiment": _with(body=f" SELECT CASE WHEN is_top_level THEN 'top_level' ELSE 'reply' END AS is_top_level_label, {_BLOCK} FROM all_comments GROUP BY 1"),
+        "thread_sentiment": _with(body=f"""
+, a AS (SELECT thread_id, {_BLOCK} FROM all_comments GROUP BY 1), r AS (SELECT thread_id, {_BLOCK} FROM all_comments WHERE NOT is_top_level GROUP BY 1)
+SELECT a.thread_id, {_prefixed('a', 'all')}, {_prefixed('r', 'reply')} FROM a LEFT JOIN r USING (thread_id)"""),
+        "video_cluster_sentiment": _with(body=f" SELECT video_cluster, {_BLOCK}, count(DISTINCT actor_id) AS n_actors, count(DISTINCT video_id) AS n_videos FROM (SELECT c.*, v.label AS video_cluster FROM all_comments c JOIN videos v USING (video_id)) GROUP BY 1"),
+        "document_sentiment": "SELECT doc_id, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS label, toxic * 0.9::DOUBLE AS score_neg, 'model' AS sentiment_source FROM documents JOIN labels USING (doc_id)",
+        "document_sentiment_by_words": f"SELECT doc_id, CASE WHEN {_lexicon(NEGATIVE_WORDS)} THEN 'negative' ELSE 'neutral' END AS label, CASE WHEN {_lexicon(NEGATIVE_WORDS)} THEN 0.8::DOUBLE ELSE 0.1::DOUBLE END AS score_neg, 'keyword_proxy' AS sentiment_source FROM documents",
+        "event_keyword_sentiment": f"SELECT lang, CASE WHEN {_lexicon(EVENT_NEGATIVE_WORDS)} THEN 'negative' WHEN {_lexicon(EVENT_POSITIVE_WORDS)} THEN 'positive' ELSE 'neutral' END AS label, count(*) AS n FROM documents GROUP BY 1, 2",
         "sentiment_by_video": _with(body=f" SELECT video_id, {_BLOCK} FROM all_comments GROUP BY 1"),
         "sentiment_by_theme": _with(body=f" SELECT theme, {_BLOCK} FROM (SELECT c.*, theme FROM all_comments c LEFT JOIN videos USING (video_id)) GROUP BY 1"),
         "community_sentiment": _with(body=f" SELECT community, {_BLOCK}, count(DISTINCT actor_id) AS n_actors, count(DISTINCT video_id) AS n_videos FROM in_community GROUP BY 1"),

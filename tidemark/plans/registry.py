@@ -99,6 +99,46 @@ def community_theme_sentiment(v):
     return sentiment.sentiment_by(_in_community(v).join(v.videos.select("video_id", "theme"), "video_id"), "community", "theme", distinct=("actor_id",))
 
 
+@query
+def reply_sentiment(v):
+    flag = F.when(F.col("is_top_level"), "top_level").otherwise("reply")
+    return sentiment.sentiment_by(v.all_comments.withColumn("is_top_level_label", flag), "is_top_level_label")
+
+
+@query
+def thread_sentiment(v):
+    every = sentiment.prefixed(sentiment.sentiment_by(v.all_comments, "thread_id"), "all", "thread_id")
+    replies = sentiment.prefixed(sentiment.sentiment_by(v.all_comments.where("not is_top_level"), "thread_id"), "reply", "thread_id")
+    return every.join(replies, "thread_id", "left")
+
+
+@query
+def video_cluster_sentiment(v):
+    clusters_ = v.videos.select("video_id", F.col("label").alias("video_cluster"))
+    return sentiment.sentiment_by(v.all_comments.join(clusters_, "video_id"), "video_cluster", distinct=("actor_id", "video_id"))
+
+
+def _judgements(v):
+    """Labels of a model for the documents that have them."""
+    label = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
+    return v.table("labels").select("doc_id", label.alias("label"), (F.col("toxic") * 0.9).alias("score_neg"))
+
+
+@query
+def document_sentiment(v):
+    return sentiment.labelled_or_keyword(v.table("documents").select("doc_id", "text"), _judgements(v), "doc_id").select("doc_id", "label", "score_neg", "sentiment_source")
+
+
+@query
+def document_sentiment_by_words(v):
+    return sentiment.labelled_or_keyword(v.table("documents").select("doc_id", "text"), None, "doc_id").select("doc_id", "label", "score_neg", "sentiment_source")
+
+
+@query
+def event_keyword_sentiment(v):
+    return sentiment.event_keyword_sentiment(v.table("documents")).groupBy("lang", "label").agg(F.count("*").alias("n"))
+
+
 @query
 def keyword_sentiment(v):
     return sentiment.keyword_summary(v.table("documents"))

@@ -37,6 +37,7 @@ class Views:
             F.col("l_orderkey").alias("thread_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("video_id"), F.col("o_custkey").alias("actor_id"), F.col("l_suppkey").alias("supplier_id"),
             (F.col("l_linenumber") == 1).alias("is_top_level"), F.col("l_quantity").cast("bigint").alias("like_count"), F.col("l_shipdate").alias("ts"),
             F.when(F.col("l_returnflag") == "R", "negative").when(F.col("l_returnflag") == "A", "positive").otherwise("neutral").alias("label"),
+            (F.col("l_discount") * 5).alias("score_neg"), (F.col("l_tax") * 5).alias("score_pos"), (1 - F.col("l_discount") * 5).alias("score_neu"), F.when(F.col("l_linenumber") != 5, F.col("l_linenumber") / 8).alias("confidence"),
         )
 
     @cached_property
