@@ -94,3 +94,9 @@ def rolling_retention(actor_videos: DataFrame, videos: DataFrame, *, pre: int =
     seen = actor_videos.join(held, [*by, "video_id"]).groupBy(*by, "cutoff", "actor_id").agg(F.max("base").alias("base"), F.max(~F.col("base")).alias("future"))
     out = seen.groupBy(*by, "cutoff").agg(F.count_if("base").alias("n_base"), F.count_if("future").alias("n_future"), F.count_if(F.col("base") & F.col("future")).alias("n_returned"))
     return out.select(*by, "cutoff", "n_base", "n_future", "n_returned", places(ratio(F.col("n_returned"), F.col("n_base"))).alias("return_rate"))
+
+
+def with_profiles(rows: DataFrame, activity: DataFrame, *, key: str = "node") -> DataFrame:
+    """rows with what is known of their actors: name, comments, videos, likes."""
+    own = activity.select(F.col("actor_id").alias(key), "name", "n_comments", "n_videos", "likes")
+    return rows.join(own, key, "left")

@@ -65,3 +65,68 @@ def top_text(df: DataFrame, group: str, label: Column, value: str, k: int = 5) -
     shown = F.concat(F.substring(label.cast("string"), 1, 48), F.lit(" ("), F.col(value).cast("string"), F.lit(")"))
     ranked = df.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(value), label))).where(F.col("_place") <= k)
     return ranked.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", shown.alias("t")))), lambda x: x["t"]), "; ").alias("top"))
+
+
+THEMES = tuple(name for name, _ in THEME_RULES)
+
+
+def clean_theme(c: Column) -> Column:
+    """The theme if it is one of the known, else `other`."""
+    own = F.trim(c)
+    return F.when(own.isin(*THEMES), own).otherwise("other")
+
+
+def clean_theme_labels(c: Column) -> Column:
+    """A list at `;`, `,` or `|` as known themes, first of equals, `;`-joined; `other` for none."""
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), "[;,|]"), lambda x: F.trim(x))
+    known = F.array_distinct(F.filter(parts, lambda x: x.isin(*THEMES)))
+    return F.when(F.size(known) > 0, F.array_join(known, ";")).otherwise("other")
+
+
+# What absent columns of the model's labels stand for.
+LABEL_DEFAULTS = {"secondary_themes": "", "format": "unclear", "setting": "unknown", "audience_intent": "unknown", "entities": "", "theme_reason": ""}
+
+
+def model_themes(labels: DataFrame, videos: DataFrame, *, order: str) -> DataFrame:
+    """The model's labels of known videos, the last by `order` of each: themes cleaned, absent columns filled.
+    Without theme_labels they are made of the primary and the secondary themes."""
+    place = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc(order)))
+    out = labels.withColumn("_place", place).where("_place = 1").join(videos.select("video_id"), "video_id", "left_semi")
+    out = out.withColumns({c: F.lit(v) for c, v in LABEL_DEFAULTS.items() if c not in out.columns})
+    primary = F.col("primary_theme") if "primary_theme" in labels.columns else F.lit("other")
+    listed = F.col("theme_labels") if "theme_labels" in labels.columns else F.concat_ws(";", primary, "secondary_themes")
+    out = out.withColumns({"primary_theme": clean_theme(F.coalesce(primary, F.lit("other"))), "theme_labels": clean_theme_labels(listed)})
+    return out.withColumn("theme_source", F.lit("model")).select("video_id", "primary_theme", "theme_labels", "theme_source", *LABEL_DEFAULTS)
+
+
+def label_videos(videos: DataFrame, text: Column, labels: DataFrame | None = None, *, order: str = "seq") -> DataFrame:
+    """Every video with its themes: the model's where it has a label, else those of words in its text."""
+    by_words = classified(videos.withColumn("_text", F.lower(text)), F.col("_text")).withColumn("theme_source", F.lit("keyword")).withColumns({c: F.lit(v) for c, v in LABEL_DEFAULTS.items()})
+    names = ["video_id", "primary_theme", "theme_labels", "theme_source", *LABEL_DEFAULTS]
+    out = by_words.select(*names)
+    if labels is not None:
+        model = model_themes(labels, videos, order=order)
+        out = out.join(model.select("video_id"), "video_id", "left_anti").unionByName(model)
+    return out.withColumn("n_theme_labels", F.size(F.split("theme_labels", ";")))
+
+
+def theme_sources(labelled: DataFrame) -> DataFrame:
+    return labelled.groupBy("theme_source").agg(F.count("*").alias("n_videos"))
+
+
+def community_profiles(comments: DataFrame, videos: DataFrame, summary: DataFrame, *, k: int = 5) -> DataFrame:
+    """Per community: commenters, comments, videos, the k themes and videos of most commenters as text, and its
+    nodes of the graph. comments: with community; summary: (part, n_nodes, pct_nodes)."""
+    c = comments.join(videos.select("video_id", "title", "theme"), "video_id", "left")
+    out = c.groupBy("community").agg(F.countDistinct("actor_id").alias("n_commenters"), F.count("*").alias("n_comments"), F.countDistinct("video_id").alias("n_videos"))
+
+    def top(*label: str) -> DataFrame:
+        counts = c.groupBy("community", *label).agg(F.count("*").alias("n_comments"), F.countDistinct("actor_id").alias("n"))
+        place = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("n"), F.desc("n_comments"), *label))
+        shown = F.concat(F.substring(F.col(label[-1]), 1, 48), F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
+        best = counts.withColumn("_place", place).where(F.col("_place") <= k)
+        items = F.array_sort(F.collect_list(F.struct("_place", shown.alias("t"))))
+        return best.groupBy("community").agg(F.array_join(items["t"], "; ").alias(f"top_{label[-1]}s"))
+
+    nodes = summary.select(F.col("part").alias("community"), "n_nodes", "pct_nodes")
+    return out.join(top("theme"), "community", "left").join(top("video_id", "title"), "community", "left").join(nodes, "community", "left")

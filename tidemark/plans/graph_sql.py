@@ -115,6 +115,16 @@ def sql(views: str, edges: str, video_edges: str) -> dict[str, str]:
         "network_actor_metrics": actor(*node_parts, body=f" SELECT * FROM nodes {top}"),
         "community_summary": actor(PARTS, CORES, SUMMARY, body=" SELECT * FROM summary"),
         "network_summary": actor(*net_parts, body=" SELECT * FROM network"),
+        "bridge_profiles": actor(*node_parts, body=f"""
+, b AS (SELECT node, part, bridge FROM nodes {bridges}), n AS (SELECT actor_id AS node, count(*) AS n_comments, count(DISTINCT video_id) AS n_videos, CAST(sum(like_count) AS BIGINT) AS likes FROM all_comments GROUP BY 1)
+SELECT b.*, name, n_comments, n_videos, likes FROM b LEFT JOIN n USING (node) LEFT JOIN actors ON actor_id = node"""),
+        "community_profiles": actor(PARTS, CORES, SUMMARY, body=f"""
+, c AS (SELECT i.*, title, theme FROM in_community i LEFT JOIN videos USING (video_id)),
+o AS (SELECT community, count(DISTINCT actor_id) AS n_commenters, count(*) AS n_comments, count(DISTINCT video_id) AS n_videos FROM c GROUP BY 1),
+t AS (SELECT community, theme, count(DISTINCT actor_id) AS n, row_number() OVER (PARTITION BY community ORDER BY count(DISTINCT actor_id) DESC, count(*) DESC, theme) AS i FROM c GROUP BY 1, 2),
+v AS (SELECT community, video_id, title, count(DISTINCT actor_id) AS n, row_number() OVER (PARTITION BY community ORDER BY count(DISTINCT actor_id) DESC, count(*) DESC, video_id, title) AS i FROM c GROUP BY 1, 2, 3),
+tt AS (SELECT community, string_agg(substr(theme, 1, 48) || ' (' || n || ')', '; ' ORDER BY i) AS top_themes FROM t WHERE i <= 5 GROUP BY 1), vv AS (SELECT community, string_agg(substr(title, 1, 48) || ' (' || n || ')', '; ' ORDER BY i) AS top_titles FROM v WHERE i <= 5 GROUP BY 1)
+SELECT o.*, top_themes, top_titles, n_nodes, pct_nodes FROM o LEFT JOIN tt USING (community) LEFT JOIN vv USING (community) LEFT JOIN summary ON part = community"""),
         "modularity": actor(PARTS, MODULARITY, body=" SELECT modularity FROM modular"),
         "attribute_assortativity": actor(PARTS, MODULARITY, body=" SELECT attribute_assortativity FROM modular"),
         "degree_assortativity": actor(PARTS, MODULARITY, body=" SELECT degree_assortativity FROM mixing"),

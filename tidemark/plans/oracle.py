@@ -183,6 +183,31 @@ def _prefixed(table: str, prefix: str) -> str:
     return ", ".join(f"{table}.{c} AS {prefix}_{c}" for c in re.findall(r" AS (\w+)(?=,|\s*$|\n)", _BLOCK))
 
 
+def _label_videos() -> str:
+    """Every video's themes: model labels where there are any, else words of title and theme."""
+    from tidemark.operators.themes import THEME_RULES
+
+    names = [name for name, _ in THEME_RULES]
+    known = ", ".join(f"'{n}'" for n in names)
+    listed = ", ".join(f"'{n}'" for n in (*names[:6], "no_such_theme", " food_culture "))
+    hits = ", ".join("{n: " + " + ".join(f"CAST(contains(t, '{w}') AS INT)" for w in words) + f", o: {-i}, name: '{name}'}}" for i, (name, words) in enumerate(THEME_RULES))
+    at = lambda n: f"[{listed}][({n}) % 8 + 1]"
+    k = "p_partkey"
+    return f"""
+, raw AS (
+  SELECT {k} AS video_id, 1 AS seq, {at(k)} AS p, [{at(k)}, {at(k + ' + 1')}, {at(k)}] AS l, 'talk' AS format FROM part WHERE {k} % 3 <> 0
+  UNION ALL SELECT {k}, 2, {at(k + ' + 3')}, [{at(k + ' + 6')}], 'vlog' FROM part WHERE {k} % 5 = 0),
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seq DESC) AS i FROM raw) WHERE i = 1 AND video_id IN (SELECT video_id FROM videos)),
+kept AS (SELECT *, list_filter(list_transform(l, lambda x: trim(x)), lambda x: x IN ({known})) AS good FROM latest),
+uniq AS (SELECT *, list_filter(good, lambda x, i: list_position(good, x) = i) AS u FROM kept),
+model AS (SELECT video_id, CASE WHEN trim(p) IN ({known}) THEN trim(p) ELSE 'other' END AS primary_theme, CASE WHEN len(u) > 0 THEN array_to_string(u, ';') ELSE 'other' END AS theme_labels, 'model' AS theme_source, format FROM uniq),
+words AS (SELECT video_id, list_filter([{hits}], lambda x: x.n > 0) AS f FROM (SELECT video_id, lower(concat_ws(' ', title, theme)) AS t FROM videos) WHERE video_id NOT IN (SELECT video_id FROM model)),
+themed AS (
+  SELECT * FROM model UNION ALL
+  SELECT video_id, coalesce(list_reverse_sort(f)[1].name, 'other'), CASE WHEN len(f) > 0 THEN array_to_string(list_transform(f, lambda x: x.name), ';') ELSE 'other' END, 'keyword', 'unclear' FROM words),
+labelled AS (SELECT *, '' AS secondary_themes, 'unknown' AS setting, 'unknown' AS audience_intent, '' AS entities, '' AS theme_reason, CAST(len(string_split(theme_labels, ';')) AS INT) AS n_theme_labels FROM themed)"""
+
+
 def _metrics() -> str:
     from tidemark.plans import channels_sql as c
 
@@ -353,6 +378,13 @@ SELECT CASE WHEN again THEN 'queued' ELSE status END AS status, count(*) AS n, c
         "runtime_estimates": _with(body="""
 SELECT 'video' AS stage, count(*) AS units, CAST(60 + ceil(60 * count(*) / 40) AS BIGINT) AS low_seconds, CAST(60 + ceil(60 * count(*) / 20) AS BIGINT) AS high_seconds FROM videos
 UNION ALL SELECT 'sentiment', count(*), CAST(60 + ceil(60 * count(*) / 650) AS BIGINT), CAST(60 + ceil(60 * count(*) / 450) AS BIGINT) FROM all_comments"""),
+        "video_theme_labels": _with(body=_label_videos() + " SELECT * FROM labelled"),
+        "theme_source_summary": _with(body=_label_videos() + " SELECT theme_source, count(*) AS n_videos FROM labelled GROUP BY 1"),
+        "sliding_topic_counts": """
+WITH w AS (SELECT event_type AS topic, date_trunc('day', ts) + to_hours(2 * CAST(floor(hour(ts) / 2) AS BIGINT)) AS last, ts FROM events),
+s AS (SELECT topic, last - to_hours(2 * k) AS started_at FROM w, range(3) t(k))
+SELECT started_at, started_at + INTERVAL 6 HOUR AS ended_at, topic, count(*) AS n_posts FROM s GROUP BY ALL""",
+        "posts_followed": "SELECT a.user_id AS author, a.ts AS first_at, a.event_id AS first_id, b.ts AS second_at, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR",
         "daily_topic_counts": "SELECT CAST(ts AS DATE) AS day, event_type AS topic, count(*) AS n_posts, round(sum(value), 2) AS engagement FROM events GROUP BY 1, 2",
         "author_sessions": """
 WITH g AS (SELECT user_id AS author, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 3 HOUR THEN 0 ELSE 1 END AS fresh FROM events),

@@ -155,6 +155,43 @@ def theme_labels_long(v):
     return themes.labels_long(listed, "labels", "video_id")
 
 
+def _model_labels(v):
+    """Labels of a model for two in three videos: some twice, some of unknown themes."""
+    p = v.table("part")
+    k = F.col("p_partkey")
+    names = F.array(*(F.lit(x) for x in (*themes.THEMES[:6], "no_such_theme", " food_culture ")))
+    at = lambda n: F.element_at(names, (F.pmod(n, F.lit(8)) + 1).cast("int"))
+    first = p.where(k % 3 != 0).select(k.alias("video_id"), F.lit(1).alias("seq"), at(k).alias("primary_theme"), F.concat_ws("|", at(k), at(k + 1), at(k)).alias("theme_labels"), F.lit("talk").alias("format"))
+    again = p.where(k % 5 == 0).select(k.alias("video_id"), F.lit(2).alias("seq"), at(k + 3).alias("primary_theme"), at(k + 6).alias("theme_labels"), F.lit("vlog").alias("format"))
+    return first.unionByName(again)
+
+
+def _labelled_videos(v):
+    return themes.label_videos(v.videos, F.concat_ws(" ", "title", "theme"), _model_labels(v))
+
+
+@query
+def video_theme_labels(v):
+    return _labelled_videos(v)
+
+
+@query
+def theme_source_summary(v):
+    return themes.theme_sources(_labelled_videos(v))
+
+
+@query
+def community_profiles(v):
+    summary = graph.community_summary(_written_edges(v), _partition(v), _cores(v))
+    return themes.community_profiles(_in_community(v), v.videos, summary)
+
+
+@query
+def bridge_profiles(v):
+    best = graph.bridge_nodes(_nodes(v)).select("node", "part", "bridge")
+    return activity.with_profiles(best, activity.commenter_activity(v.all_comments, v.actors))
+
+
 @query
 def theme_rules(v):
     found = themes.classified(v.table("documents").select("doc_id", "text"), F.col("text"))
@@ -671,6 +708,16 @@ def author_sessions(v):
     return rates.sessions(v.posts)
 
 
+@query
+def sliding_topic_counts(v):
+    return rates.sliding_counts(v.posts)
+
+
+@query
+def posts_followed(v):
+    return rates.followed_by(v.posts, v.posts, within="6 hours")
+
+
 @query
 def sentiment_cube(v):
     """An extension: the measures over all subsets of (community, theme)."""

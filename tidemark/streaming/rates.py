@@ -43,3 +43,29 @@ def upsert_sink(path: str, key: str, order: str):
         upsert(old, batch, key, order).write.mode("overwrite").parquet(f"{path}/{epoch}")
 
     return put
+
+
+def sliding_counts(posts: DataFrame, *, size: str = "6 hours", step: str = "2 hours", late: str = "2 days") -> DataFrame:
+    """Posts of each topic in windows that overlap: a post counts in each that holds it."""
+    seen = watermarked(posts, late)
+    out = seen.groupBy(F.window("ts", size, step), "topic").agg(F.count("*").alias("n_posts"))
+    return out.select(F.col("window.start").alias("started_at"), F.col("window.end").alias("ended_at"), "topic", "n_posts")
+
+
+def followed_by(first: DataFrame, second: DataFrame, *, within: str = "1 hour", late: str = "2 days") -> DataFrame:
+    """Pairs of posts of one author, the second up to `within` after the first: an interval join. On streams
+    both sides have watermarks, so that state older than the interval goes."""
+    a = watermarked(first, late).select(F.col("author").alias("author"), F.col("ts").alias("first_at"), F.col("event_id").alias("first_id"))
+    b = watermarked(second, late).select(F.col("author").alias("_author"), F.col("ts").alias("second_at"), F.col("event_id").alias("second_id"))
+    on = (F.col("author") == F.col("_author")) & (F.col("second_at") > F.col("first_at")) & (F.col("second_at") <= F.col("first_at") + F.expr(f"interval {within}"))
+    return a.join(b, on).drop("_author")
+
+
+def append_sink(path: str):
+    """A foreachBatch function that appends each batch to a history, once: a batch that is run again
+    replaces what it wrote."""
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    return put
