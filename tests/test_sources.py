@@ -45,10 +45,14 @@ def test_post_dates(spark):
     rows = spark.createDataFrame([("時間 Sun Jan 14 12:34:56 2024\nx",), ("at 24/01/14 12:34 x",), ("24/13/40 12:34",), (None,)], "t string").select(loaders.header_date(F.col("t")).alias("h"), loaders.short_date(F.col("t")).alias("s")).collect()
     assert rows[0].h == datetime.datetime(2024, 1, 14, 12, 34, 56) and rows[1].s == datetime.datetime(2024, 1, 14, 12, 34)
     assert rows[2].s is None and rows[3].h is None and rows[1].h is None
-    day = datetime.date
-    posts = spark.createDataFrame([("b", 1, None, None, day(2019, 5, 1)), ("b", 2, 12, 31, None), ("b", 3, None, None, day(2020, 2, 1)), ("b", 4, 2, 29, None), ("c", 1, 1, 1, None)], "board string, id long, month int, day int, known date")
-    got = {(r.board, r.id): r.date for r in loaders.year_from_neighbours(posts).collect()}
-    assert got == {("b", 1): day(2019, 5, 1), ("b", 2): day(2019, 12, 31), ("b", 3): day(2020, 2, 1), ("b", 4): day(2020, 2, 29), ("c", 1): None}
+    at = datetime.datetime
+    text = spark.createDataFrame([("12 月 31 日 09:05",), ("none",)], "t string").select(loaders.undated(F.col("t")).alias("u")).collect()
+    assert tuple(text[0].u) == (12, 31, 9, 5) and text[1].u is None
+    posts = [(1, at(2019, 5, 1), None), (2, None, (12, 31, 9, 5)), (3, at(2020, 2, 1), None), (4, None, (2, 29, 0, 0)), (5, None, None), (9, None, (1, 1, 0, 0)), (10, at(2018, 6, 1), None)]
+    df = spark.createDataFrame(posts, "id long, ts timestamp, parts struct<month: int, day: int, hour: int, minute: int>").repartition(3)
+    got = {r.id: (r.ts, r.date_quality) for r in loaders.with_inferred_dates(df).collect()}
+    # ids 4 and 9 have no year between their bounds: the nearest to any dated post
+    assert got == {1: (at(2019, 5, 1), "explicit"), 2: (at(2019, 12, 31, 9, 5), "inferred"), 3: (at(2020, 2, 1), "explicit"), 4: (at(2020, 2, 29), "inferred"), 5: (None, "explicit"), 9: (at(2020, 1, 1), "inferred"), 10: (at(2018, 6, 1), "explicit")}
 
 
 def test_posts(spark):

@@ -51,6 +51,45 @@ def first_line(c: Column, size: int = 200) -> Column:
     return F.substring(F.try_element_at(lines, F.lit(1)), 1, size)
 
 
+def compact(c: Column, size: int) -> Column:
+    """White space collapsed, cut to size with an ellipsis."""
+    text = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    return F.when(F.length(text) > size, F.concat(F.rtrim(F.substring(text, 1, size - 1)), F.lit("…"))).otherwise(text)
+
+
+def ranked_items(c: Column) -> Column:
+    """`label (n); label` as an array of (label, count); a label without a number has none."""
+    items = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
+    tail = lambda x: F.regexp_extract(x, r"\(([^()]*)\)$", 1)
+    label = lambda x: F.when(x.rlike(r"\([^()]*\)$"), F.trim(F.regexp_replace(x, r"\([^()]*\)$", ""))).otherwise(x)
+    return F.transform(items, lambda x: F.struct(label(x).alias("label"), F.replace(tail(x), F.lit(","), F.lit("")).try_cast("double").alias("count")))
+
+
+def shown_number(c: Column) -> Column:
+    return F.when(c.isNull(), "-").otherwise(F.format_number(c, 0))
+
+
+def shown_decimal(c: Column) -> Column:
+    return F.when(c.isNull(), "-").otherwise(F.format_string("%.3f", c.cast("double")))
+
+
+def shown_rate(c: Column) -> Column:
+    """A rate as a percentage; values beyond 1 are percentages already."""
+    return F.when(c.isNull(), "-").otherwise(F.format_string("%.1f%%", F.when(F.abs(c) <= 1, c * 100).otherwise(c).cast("double")))
+
+
+def shown_duration(seconds: Column) -> Column:
+    """Seconds as `40s`, `12m` or `2h 05m`."""
+    s = F.greatest(seconds.cast("double"), F.lit(0.0))
+    minutes = F.round(s / 60).cast("bigint")
+    hours = F.format_string("%dh %02dm", F.floor(minutes / 60).cast("bigint"), minutes % 60)
+    return F.when(s < 60, F.format_string("%.0fs", s)).when(s < 5400, F.format_string("%dm", minutes)).otherwise(hours)
+
+
+def shown_range(low: Column, high: Column) -> Column:
+    return F.when(high <= 0, "0m").when(F.abs(high - low) < 1, shown_duration(high)).otherwise(F.concat(shown_duration(low), F.lit(" to "), shown_duration(high)))
+
+
 def truthy(c: Column, words: tuple[str, ...] = ("true", "1", "yes")) -> Column:
     return F.coalesce(F.lower(F.trim(c.cast("string"))).isin(*words), F.lit(False))
 
@@ -117,3 +156,8 @@ def two_sided_p(z: Column) -> Column:
 
 def percentile_band(c: Column) -> Column:
     return F.when(c.isNull(), "unknown").when(c >= 90, "very_high").when(c >= 75, "high").when(c <= 10, "very_low").when(c <= 25, "low").otherwise("typical")
+
+
+def rank_band(percentile: Column, names: tuple[str, str, str] = ("low", "middle", "high")) -> Column:
+    """Which third of the cohort a percentile lies in; the middle for none."""
+    return F.when(percentile >= 66.7, names[2]).when(percentile.isNull() | (percentile >= 33.3), names[1]).otherwise(names[0])

@@ -7,12 +7,14 @@ the scan. Text that does not parse becomes null, never an error.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import duration_seconds
+from tidemark.functions.columns import channel_key, duration_seconds, first_line
+from tidemark.plans.tables import written
 
 
 @dataclass(frozen=True)
@@ -61,10 +63,50 @@ def _scalar(value: str):
     return value
 
 
+def text_list(value) -> list[str]:
+    """A list, or a text cut at `;` or `,`, as trimmed texts without blanks."""
+    parts = value if isinstance(value, (list, tuple)) else re.split("[;,]", str(value or ""))
+    return [t for t in (str(p).strip() for p in parts) if t]
+
+
+SOURCES = ("forum_a", "forum_b")
+
+
+@dataclass(frozen=True)
+class Config:
+    """A typed configuration: the scope of a report, thresholds by name, outside sources."""
+
+    project_name: str
+    scope: Scope
+    analysis: dict
+    run_slug: str
+    sources: tuple[str, ...]
+    aliases: tuple[str, ...]
+
+
+def load_config(text: str) -> Config:
+    """A configuration from its text; fails without a project name or a channel, on numbers that are none,
+    and on unknown sources."""
+    raw = parse_config(text)
+    if not raw.get("project_name") or not (raw.get("channel_id") or raw.get("channel_handle") or raw.get("channel_url")):
+        raise ValueError("a configuration needs project_name and one of channel_id, channel_handle, channel_url")
+    optional = lambda k: (str(raw[k]).strip() or None) if raw.get(k) not in (None, "") else None
+    analysis = raw.get("analysis") or {}
+    wrong = sorted(k for k, v in analysis.items() if not isinstance(v, (int, float, str)) or isinstance(v, bool))
+    if wrong:
+        raise ValueError(f"thresholds that are no values: {wrong}")
+    outside = raw.get("external_analysis") or {}
+    sources = tuple(text_list(outside.get("sources") or SOURCES[0]))
+    if unknown := sorted(set(sources) - set(SOURCES)):
+        raise ValueError(f"unknown sources {unknown}; known are {SOURCES}")
+    channel = str(raw.get("channel_id") or raw.get("channel_handle") or raw.get("channel_url"))
+    scope = Scope(channel, optional("date_start"), optional("date_end"), bool(raw.get("include_replies")), raw.get("exclude_shorts") is not False, int(raw.get("short_threshold_seconds") or 180))
+    named = slug(str((raw.get("outputs") or {}).get("run_slug") or raw["project_name"]))
+    return Config(str(raw["project_name"]), scope, analysis, named, sources, tuple(channel_aliases(*text_list(outside.get("channel_aliases")), raw.get("channel_handle"))))
+
+
 def slug(text: str) -> str:
     """Lower case, runs of other than letters and digits as one hyphen."""
-    import re
-
     return re.sub(r"[^a-z0-9]+", "-", text.lower()).strip("-")
 
 
@@ -125,34 +167,125 @@ def header_date(text: Column) -> Column:
     return F.try_to_timestamp(F.concat_ws(" ", at(4), at(1), F.lpad(at(2), 2, "0"), at(3)), F.lit("yyyy MMM dd HH:mm:ss"))
 
 
-def year_from_neighbours(posts: DataFrame, *, first: int = 2018, last: int = 2027) -> DataFrame:
-    """(id, date) of posts (id bigint, month, day, known date or null): the year for which the date
-    lies between those of the nearest lower and higher ids that are dated, else the one nearest to
-    either; undated neighbourhoods give null."""
-    # one pass in order of ids within ranges: bounds from the last and next dated row
-    order = Window.partitionBy("board").orderBy("id")
-    low = F.last("known", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    high = F.first("known", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    bound = posts.withColumn("low", low).withColumn("high", high)
-    years = F.filter(F.transform(F.sequence(F.lit(first), F.lit(last)), lambda y: F.try_make_timestamp(y, F.col("month"), F.col("day"), F.lit(0), F.lit(0), F.lit(0)).cast("date")), lambda d: d.isNotNull())
-    inside = F.filter(years, lambda d: (F.col("low").isNull() | (d >= F.col("low"))) & (F.col("high").isNull() | (d <= F.col("high"))))
-    gap = lambda d: F.least(F.abs(F.date_diff(d, F.col("low"))), F.abs(F.date_diff(d, F.col("high"))))
-    nearest = F.array_min(F.transform(years, lambda d: F.struct(gap(d).alias("gap"), d.alias("date"))))["date"]
-    anchored = F.col("low").isNotNull() | F.col("high").isNotNull()
-    both = F.col("low").isNotNull() & F.col("high").isNotNull()
-    date = F.when(F.col("known").isNotNull(), F.col("known")).when(both & (F.size(inside) > 0), F.element_at(inside, 1)).when(anchored, nearest)
-    return bound.select("board", "id", date.alias("date"))
+def undated(text: Column) -> Column:
+    """(month, day, hour, minute) of `M 月 D 日 HH:MM` in a text; null without one."""
+    at = lambda i: F.nullif(F.regexp_extract(text, r"(\d{1,2}) 月 (\d{1,2}) 日 (\d{1,2}):(\d{2})", i), F.lit("")).cast("int")
+    return F.when(at(1).isNotNull(), F.struct(at(1).alias("month"), at(2).alias("day"), at(3).alias("hour"), at(4).alias("minute")))
+
+
+def with_inferred_dates(posts: DataFrame, *, first: int = 2018, last: int = 2027) -> DataFrame:
+    """posts (id bigint, ts or null, parts: what `undated` finds) with ts filled: the first year for which the
+    date lies between the latest date of lower ids and the earliest of higher ids; if there is none, the
+    year nearest to any dated post. Posts without parts stay undated.
+
+    Ids are sorted by range; bounds are put together from those in a range and those of the ranges
+    before and after it, of which there is one row each.
+    """
+    rows = written(posts.repartitionByRange("id").sortWithinPartitions("id").withColumn("_part", F.spark_partition_id()), "posts")
+    ranges = rows.groupBy("_part").agg(F.max("ts").alias("_max"), F.min("ts").alias("_min"))
+    order = Window.orderBy("_part")  # one row for each range
+    ranges = ranges.select("_part", F.max("_max").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_min").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    own = Window.partitionBy("_part").orderBy("id")
+    rows = rows.withColumns({"_low": F.max("ts").over(own.rangeBetween(Window.unboundedPreceding, -1)), "_high": F.min("ts").over(own.rangeBetween(1, Window.unboundedFollowing))})
+    days = posts.agg(F.collect_set(F.to_date("ts")).alias("_days"))  # one row, at most the days of the calendar
+    rows = rows.join(ranges, "_part").crossJoin(days)
+    low, high = F.greatest("_low", "_before"), F.least("_high", "_after")
+    years = F.sequence(F.lit(first), F.lit(last))
+    dates = F.filter(F.transform(years, lambda y: F.try_make_timestamp(y, F.col("parts.month"), F.col("parts.day"), F.col("parts.hour"), F.col("parts.minute"), F.lit(0))), lambda t: t.isNotNull())
+    inside = F.filter(dates, lambda t: (low.isNull() | (t >= low)) & (high.isNull() | (t <= high)))
+    gap = lambda t: F.array_min(F.transform("_days", lambda d: F.abs(F.date_diff(F.to_date(t), d))))
+    nearest = F.array_min(F.transform(dates, lambda t: F.struct(gap(t).alias("gap"), t.alias("t"))))["t"]
+    found = F.when(F.size(inside) > 0, F.try_element_at(inside, F.lit(1))).when(F.size("_days") > 0, nearest)
+    inferred = F.col("ts").isNull() & F.col("parts").isNotNull()
+    out = rows.withColumns({"ts": F.when(inferred, found).otherwise(F.col("ts")), "date_quality": F.when(inferred, "inferred").otherwise("explicit")})
+    return out.select(*posts.columns, "date_quality")
+
+
+POST_SCHEMA = "post_uid string, source string, post_id string, ts timestamp, date_quality string, day date, title string, url string, text string, engagement bigint"
+
+
+def empty_posts(spark) -> DataFrame:
+    return spark.createDataFrame([], POST_SCHEMA)
+
+
+def source_mismatch(manifest: dict, channel_id: str) -> str:
+    """What is wrong if the outside sources were gathered for another channel; empty if nothing is."""
+    found = str((manifest.get("metadata") or {}).get("channel_id") or "").strip()
+    wanted = channel_id.strip()
+    return f"sources belong to channel {found}, not to {wanted}" if found and wanted and found != wanted else ""
 
 
 def load_posts(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Posts of two forums (see FIXTURES.md) as one relation: uid, source, ts, day, title, text,
-    engagement; undated posts go, of equal uids the last stays."""
+    """Posts of two forums (see FIXTURES.md) as one relation; undated posts go, of equal uids the last stays.
+    Posts of the second forum whose year is not written take it from their neighbours by id."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    uid = lambda source, *ids: F.concat(F.lit(f"{source}:"), F.coalesce(*(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in ids)))
-    a = first.select(uid("forum_a", "url", "title").alias("post_uid"), F.lit("forum_a").alias("source"), header_date(F.col("body")).alias("ts"), text("title").alias("title"), text("body").alias("text"), (F.coalesce("comment_count", F.lit(0)) + F.coalesce("pushes", F.lit(0)) + F.coalesce("boos", F.lit(0))).cast("bigint").alias("engagement"))
-    b = second.select(uid("forum_b", "id", "url", "title").alias("post_uid"), F.lit("forum_b").alias("source"), short_date(F.col("created_at")).alias("ts"), text("title").alias("title"), text("content").alias("text"), (F.coalesce("like_count", F.lit(0)) + F.coalesce("comment_count", F.lit(0))).cast("bigint").alias("engagement"))
-    dated = a.unionByName(b).where("ts is not null").withColumn("day", F.to_date("ts"))
-    return keep_last(dated, "post_uid", "ts")
+    key = lambda *ids: F.coalesce(*(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in ids))
+    number = lambda c: F.coalesce(F.expr(f"try_cast({c} as bigint)"), F.lit(0))
+    a = first.select(F.lit("forum_a").alias("source"), key("url", "title").alias("post_id"), header_date(F.col("body")).alias("ts"), F.lit("explicit").alias("date_quality"), text("title").alias("title"), F.col("url"), F.concat_ws("\n", "title", "body").alias("text"), (number("comment_count") + number("pushes") + number("boos")).alias("engagement"))
+    title = F.coalesce(F.nullif(text("title"), F.lit("")), first_line(F.col("content")), F.lit(""))
+    b = second.select("*", title.alias("_title"), F.trim(F.concat_ws("\n", title, text("content"))).alias("text"))
+    b = b.select(F.expr("try_cast(id as bigint)").alias("id"), key("id", "url", "title").alias("post_id"), F.coalesce(short_date(F.col("created_at")), short_date(F.col("text"))).alias("ts"), undated(F.col("text")).alias("parts"), F.col("_title").alias("title"), F.col("url"), "text", (number("like_count") + number("comment_count")).alias("engagement"))
+    b = with_inferred_dates(b).select(F.lit("forum_b").alias("source"), "post_id", "ts", "date_quality", "title", "url", "text", "engagement")
+    dated = a.unionByName(b).where("ts is not null").withColumns({"post_uid": F.concat_ws(":", "source", "post_id"), "day": F.to_date("ts")})
+    return keep_last(dated, "post_uid", "ts").select(*(x.split()[0] for x in POST_SCHEMA.split(", ")))
+
+
+def channel_aliases(*names: str | None) -> list[str]:
+    """Names that a post may call the channel by: trimmed, without @, first of equals."""
+    out: dict[str, str] = {}
+    for name in names:
+        text = (name or "").strip()
+        if text:
+            out.setdefault(" ".join(text.lower().lstrip("@").split()), text.lstrip("@"))
+    return [v for k, v in out.items() if k]
+
+
+def load_cohort(rows: DataFrame, *, status: str, wanted: str = "O") -> DataFrame:
+    """Cohort rows of the wanted status with the key of their URL; fails without the columns it needs."""
+    missing = {"candidate_id", "channel_name", "url", status} - set(rows.columns)
+    if missing:
+        raise ValueError(f"cohort relation lacks {sorted(missing)}")
+    return rows.where(F.trim(status) == wanted).withColumn("key", channel_key(F.col("url")))
+
+
+def page(rows: DataFrame, limit: int, *, least: int = 1, most: int = 5000) -> tuple[DataFrame, int]:
+    """The first rows, their number clamped, and how many there are."""
+    return rows.limit(max(least, min(most, limit))), rows.count()
+
+
+def write_outputs(frames: dict[str, DataFrame], folder: str) -> list[str]:
+    """Each relation as a CSV folder of its name; the paths in order."""
+    paths = []
+    for name, df in frames.items():
+        write_csv(df, f"{folder}/{name}.csv")
+        paths.append(f"{folder}/{name}.csv")
+    return paths
+
+
+def report_payload(frames: dict[str, DataFrame], *, rows: int = 20) -> dict[str, list[dict]]:
+    """The first rows of each relation as plain values: what a report shows, never whole relations."""
+    import math
+
+    plain = lambda x: None if isinstance(x, float) and not math.isfinite(x) else x.isoformat() if hasattr(x, "isoformat") else x
+    return {name: [{k: plain(x) for k, x in r.asDict().items()} for r in df.limit(rows).collect()] for name, df in frames.items()}
+
+
+def read_reports(spark, pattern: str) -> DataFrame:
+    """Many JSON reports as one relation, each with the path that it came from."""
+    return spark.read.option("multiLine", "true").json(pattern).withColumn("path", F.input_file_name())
+
+
+def sha256_of(path: str) -> str:
+    import hashlib
+
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def verify_checksum(path: str, wanted: str | None) -> None:
+    """Fails if a file's SHA-256 is not the wanted one (nothing is wanted: nothing to check)."""
+    if wanted and (found := sha256_of(path)) != wanted.strip().lower():
+        raise ValueError(f"{path} has checksum {found}, not {wanted}")
 
 
 def aliased(posts: DataFrame, aliases: list[str]) -> DataFrame:
