@@ -70,12 +70,12 @@ def shown_number(c: Column) -> Column:
 
 
 def shown_decimal(c: Column) -> Column:
-    return F.when(c.isNull(), "-").otherwise(F.format_string("%.3f", c.cast("double")))
+    return F.when(c.isNull(), "-").otherwise(F.format_string("%.3f", F.round(c.cast("double"), 3)))
 
 
 def shown_rate(c: Column) -> Column:
-    """A rate as a percentage; values beyond 1 are percentages already."""
-    return F.when(c.isNull(), "-").otherwise(F.format_string("%.1f%%", F.when(F.abs(c) <= 1, c * 100).otherwise(c).cast("double")))
+    """A rate as a percentage; values beyond 1 are percentages already. Halves are rounded up."""
+    return F.when(c.isNull(), "-").otherwise(F.format_string("%.1f%%", F.round(F.when(F.abs(c) <= 1, c * 100).otherwise(c).cast("double"), 1)))
 
 
 def shown_duration(seconds: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import places, ratio
+from tidemark.functions.columns import places, ratio, shown_rate
 from tidemark.operators.channels import metric_group, metric_polarity, metric_unit
 
 def with_polarity(ranks: DataFrame) -> DataFrame:
@@ -133,3 +133,84 @@ def video_timeline(metrics: DataFrame, blocks: DataFrame, events: DataFrame) ->
     marked = days.groupBy("day").agg(F.array_join(F.array_sort(F.collect_set(F.col("event_id").cast("string"))), ";").alias("events"))
     out = metrics.join(blocks.select("video_id", "negative_rate"), "video_id", "left").withColumn("day", F.to_date("published_at"))
     return out.join(marked, "day", "left").select("video_id", "day", "n_comments", "view_count", "negative_rate", "events")
+
+
+# The lenses of an analysis and the indices that each looks at.
+LENSES = {
+    "executive": ("engagement_conversion", "audience_stickiness", "conversation_quality", "risk_pressure"),
+    "audience": ("engagement_conversion", "audience_stickiness", "community_concentration"),
+    "content": ("content_portfolio_linkage", "engagement_conversion", "audience_stickiness"),
+}
+
+
+def sentiment_profile(blocks: DataFrame, *keys: str) -> DataFrame:
+    """Rates of a block with the dominant label (ties: negative, neutral, positive) and how it reads."""
+    neg, neu, pos = (F.col(f"{x}_rate") for x in ("negative", "neutral", "positive"))
+    dominant = F.when((neg >= neu) & (neg >= pos), "negative").when(neu >= pos, "neutral").otherwise("positive")
+    reading = F.when((F.col("dominant") == "positive") & (neg < 0.1), "mostly_positive").when(F.col("dominant") == "positive", "positive_but_watch_negative").when(F.col("dominant") == "neutral", "mostly_neutral").otherwise("negative_high")
+    out = blocks.withColumn("dominant", dominant).withColumn("sentiment_reading", reading)
+    return out.select(*keys, "dominant", "sentiment_reading", "negative_rate", "neutral_rate", "positive_rate", "weighted_negative_rate", "weighted_positive_rate")
+
+
+def shared_audience_reading(conductance: Column) -> Column:
+    return F.when(conductance.isNull(), "unknown").when(conductance < 0.4, "tight").when(conductance < 0.7, "bridging").otherwise("loose")
+
+
+def video_cluster_profiles(summary: DataFrame, structure: DataFrame, blocks: DataFrame, affinity: DataFrame, *, k: int = 4) -> DataFrame:
+    """Per cluster: its summary, sentiment, the k labels of greatest lift (then of most videos), and how its
+    audience is shared with others. structure: community_summary of the video graph."""
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("lift"), F.desc("n_videos"), "label"))
+    best = affinity.withColumn("_place", place).where(F.col("_place") <= k)
+    items = F.array_sort(F.collect_list(F.struct("_place", "label")))
+    over = best.groupBy("cluster").agg(F.array_join(items["label"], "; ").alias("over_indexed"))
+    shared = structure.select(F.col("part").alias("cluster"), "internal_edges", "external_edges", "conductance", shared_audience_reading(F.col("conductance")).alias("shared_audience"))
+    mood = sentiment_profile(blocks.withColumnRenamed("video_cluster", "cluster"), "cluster")
+    return summary.join(shared, "cluster", "left").join(mood, "cluster", "left").join(over, "cluster", "left")
+
+
+def negative_sources(blocks: DataFrame, key: str, *, least: int = 50, k: int = 3) -> DataFrame:
+    """The k groups of highest weighted negative rate, of those with enough comments."""
+    place = F.row_number().over(Window.orderBy(F.desc("weighted_negative_rate"), F.desc("n"), key))  # of k rows
+    best = blocks.where(F.col("n") >= least).orderBy(F.desc("weighted_negative_rate"), F.desc("n"), key).limit(k)
+    return best.select(place.alias("place"), key, "n", "negative_rate", "weighted_negative_rate", shown_rate(F.col("negative_rate")).alias("shown"))
+
+
+def analysis_lenses(indices: DataFrame) -> DataFrame:
+    """Per channel and lens: the mean of its indices that there are, and how many."""
+    rows = [(lens, i) for lens, names in LENSES.items() for i in names]
+    table = indices.sparkSession.createDataFrame(rows, "lens string, index_name string")
+    return indices.join(F.broadcast(table), "index_name").groupBy("channel", "lens").agg(places(F.avg("score"), 4).alias("score"), F.count("*").alias("n_indices"))
+
+
+def channel_documents(metrics: DataFrame, ranks: DataFrame, indices: DataFrame, archetypes: DataFrame, cards: DataFrame) -> DataFrame:
+    """One document a channel: its metrics as a map, archetype, best and worst index, readings, and what to
+    decide on first. Documents are rows; `to_json` makes them text where a sink wants that."""
+    own = metrics.groupBy("channel").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
+    best = indices.groupBy("channel").agg(F.max_by("index_name", F.struct("score", "index_name")).alias("best_index"), F.min_by("index_name", F.struct("score", "index_name")).alias("worst_index"))
+    kinds = ("risk", "opportunity", "watch", "context")
+    readings = with_polarity(ranks).groupBy("channel").agg(*(F.count_if(F.col("reading") == x).alias(f"n_{x}") for x in kinds))
+    queue = F.array_sort(F.collect_list(F.when(F.col("decide"), F.struct("place", "index_name"))))
+    decide = cards.groupBy("channel").agg(F.array_join(queue["index_name"], ";").alias("decision_queue"))
+    return own.join(archetypes, "channel", "left").join(best, "channel", "left").join(readings, "channel", "left").join(decide, "channel", "left")
+
+
+def baseline_summary(metrics: DataFrame, ranks: DataFrame) -> DataFrame:
+    """One row: channels, metrics and rows of the cohort, and the totals of its videos and comments."""
+    total = lambda m: F.coalesce(F.sum(F.when(F.col("metric") == m, F.col("value"))), F.lit(0.0)).cast("bigint")
+    out = metrics.agg(F.countDistinct("channel").alias("n_channels"), F.countDistinct("metric").alias("n_metrics"), F.count("*").alias("n_values"), total("n_videos_in_scope").alias("videos"), total("all_comments").alias("comments"), total("top_level_commenters").alias("commenters"))
+    return out.crossJoin(ranks.agg(F.count("*").alias("n_percentiles")))  # one row each
+
+
+def channel_rows(rows: DataFrame, *, channel_id: str = "", slug: str = "", title: str = "") -> DataFrame:
+    """Rows of one channel: by its id, by a run folder that ends in its slug, or by its title."""
+    tests = []
+    if channel_id and "channel_id" in rows.columns:
+        tests.append(F.col("channel_id").cast("string") == channel_id)
+    if slug and "run_dir" in rows.columns:
+        tests.append((F.col("run_dir") == f"runs/{slug}") | F.col("run_dir").endswith(f"/{slug}"))
+    if title and "run_channel_title" in rows.columns:
+        tests.append(F.col("run_channel_title") == title)
+    keep = F.lit(False)
+    for t in tests:
+        keep = keep | F.coalesce(t, F.lit(False))
+    return rows.where(keep)

@@ -93,6 +93,10 @@ v_top AS (SELECT cluster, string_agg(substr(title, 1, 48) || ' (' || n_commenter
 """
 
 
+_RATES = ", ".join(f"round(count(*) FILTER (c.label = '{x}') / count(*), 6) AS {x}_rate" for x in ("negative", "neutral", "positive"))
+_RATES += ", " + ", ".join(f"round(coalesce(sum(like_count + 1) FILTER (c.label = '{x}'), 0) / sum(like_count + 1), 6) AS weighted_{x}_rate" for x in ("negative", "positive"))
+
+
 def sql(views: str, edges: str, video_edges: str) -> dict[str, str]:
     """SQL by query name. views, edges, video_edges: CTEs that the facts and the two graphs begin with."""
 
@@ -139,6 +143,16 @@ SELECT o.*, top_themes, top_titles, n_nodes, pct_nodes FROM o LEFT JOIN tt USING
 , x AS (SELECT cluster, label, count(DISTINCT video_id) AS n_videos FROM clustered JOIN clabels USING (video_id) GROUP BY 1, 2),
 y AS (SELECT cluster, count(*) AS cluster_videos FROM clustered GROUP BY 1), z AS (SELECT label, count(*) AS label_videos FROM clustered JOIN clabels USING (video_id) GROUP BY 1), t AS (SELECT count(*) AS n FROM clustered)
 SELECT cluster, label, n_videos, cluster_videos, label_videos, round(n_videos / cluster_videos, 6) AS cluster_share, round(label_videos / n, 6) AS overall_share, round((n_videos / cluster_videos) / (label_videos / n), 6) AS lift FROM x JOIN y USING (cluster) JOIN z USING (label), t"""),
+        "video_cluster_profiles": video(CLUSTERS, CLUSTER_SUMMARY, PARTS, CORES, SUMMARY, body="""
+, x AS (SELECT cluster, label, count(DISTINCT video_id) AS n_videos FROM clustered JOIN clabels USING (video_id) GROUP BY 1, 2),
+y AS (SELECT cluster, count(*) AS cv FROM clustered GROUP BY 1), z AS (SELECT label, count(*) AS lv FROM clustered JOIN clabels USING (video_id) GROUP BY 1), t AS (SELECT count(*) AS n FROM clustered),
+lifts AS (SELECT cluster, label, row_number() OVER (PARTITION BY cluster ORDER BY round((n_videos / cv) / (lv / n), 6) DESC, n_videos DESC, label) AS i FROM x JOIN y USING (cluster) JOIN z USING (label), t),
+o AS (SELECT cluster, string_agg(label, '; ' ORDER BY i) AS over_indexed FROM lifts WHERE i <= 4 GROUP BY 1),
+rates AS (SELECT v.label AS cluster, {rates} FROM all_comments c JOIN videos v USING (video_id) GROUP BY 1),
+mood AS (SELECT *, CASE WHEN negative_rate >= neutral_rate AND negative_rate >= positive_rate THEN 'negative' WHEN neutral_rate >= positive_rate THEN 'neutral' ELSE 'positive' END AS dominant FROM rates)
+SELECT s.*, n_commenters, top_labels, top_videos, internal_edges, external_edges, conductance, CASE WHEN conductance IS NULL THEN 'unknown' WHEN conductance < 0.4 THEN 'tight' WHEN conductance < 0.7 THEN 'bridging' ELSE 'loose' END AS shared_audience,
+  dominant, CASE WHEN dominant = 'positive' AND negative_rate < 0.1 THEN 'mostly_positive' WHEN dominant = 'positive' THEN 'positive_but_watch_negative' WHEN dominant = 'neutral' THEN 'mostly_neutral' ELSE 'negative_high' END AS sentiment_reading, negative_rate, neutral_rate, positive_rate, weighted_negative_rate, weighted_positive_rate, over_indexed
+FROM c_own s LEFT JOIN c_actors USING (cluster) LEFT JOIN c_top USING (cluster) LEFT JOIN v_top USING (cluster) LEFT JOIN summary p ON p.part = s.cluster LEFT JOIN mood USING (cluster) LEFT JOIN o USING (cluster)""".replace("{rates}", _RATES)),
         "video_opportunities": video(LINKS, CLUSTERS, body="""
 , shared AS (SELECT l.a, l.b, count(*) AS shared FROM links l JOIN actor_videos x ON x.video_id = l.a JOIN actor_videos y ON y.video_id = l.b AND y.actor_id = x.actor_id GROUP BY 1, 2),
 mids AS (SELECT l.a, l.b, x.v AS mid, coalesce(n_commenters, 0) AS n, coalesce(title, CAST(x.v AS VARCHAR)) AS t FROM links l JOIN ends x ON x.u = l.a JOIN ends y ON y.u = l.b AND y.v = x.v JOIN clustered ON video_id = x.v),

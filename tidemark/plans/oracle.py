@@ -208,6 +208,11 @@ themed AS (
 labelled AS (SELECT *, '' AS secondary_themes, 'unknown' AS setting, 'unknown' AS audience_intent, '' AS entities, '' AS theme_reason, CAST(len(string_split(theme_labels, ';')) AS INT) AS n_theme_labels FROM themed)"""
 
 
+def _duration(s: str) -> str:
+    minutes = f"CAST(round({s} / 60) AS BIGINT)"
+    return f"CASE WHEN {s} < 60 THEN printf('%.0fs', {s}) WHEN {s} < 5400 THEN printf('%dm', {minutes}) ELSE printf('%dh %02dm', {minutes} // 60, {minutes} % 60) END"
+
+
 def _metrics() -> str:
     from tidemark.plans import channels_sql as c
 
@@ -346,6 +351,35 @@ SELECT channel, place, metric, percentile, reading FROM r WHERE place <= 8"""),
         "risk_opportunity": _with(_metrics(), channels_sql.POLARITY, body="""
 , r AS (SELECT *, CAST(row_number() OVER (PARTITION BY channel, reading ORDER BY x DESC, metric) AS INT) AS place FROM readings)
 SELECT channel, reading, place, metric, percentile FROM r WHERE place <= 5"""),
+        "analysis_lenses": _with(_metrics(), body="""
+, l(lens, index_name) AS (VALUES ('executive', 'engagement_conversion'), ('executive', 'audience_stickiness'), ('executive', 'conversation_quality'), ('executive', 'risk_pressure'), ('audience', 'engagement_conversion'), ('audience', 'audience_stickiness'), ('audience', 'community_concentration'),
+  ('content', 'content_portfolio_linkage'), ('content', 'engagement_conversion'), ('content', 'audience_stickiness'))
+SELECT channel, lens, round(avg(score), 4) AS score, count(*) AS n_indices FROM indices JOIN l USING (index_name) GROUP BY 1, 2"""),
+        "baseline_summary": _with(_metrics(), body="""
+SELECT count(DISTINCT channel) AS n_channels, count(DISTINCT metric) AS n_metrics, count(*) AS n_values, CAST(sum(value) FILTER (metric = 'n_videos_in_scope') AS BIGINT) AS videos, CAST(sum(value) FILTER (metric = 'all_comments') AS BIGINT) AS comments, CAST(sum(value) FILTER (metric = 'top_level_commenters') AS BIGINT) AS commenters, (SELECT count(*) FROM ranks) AS n_percentiles FROM metrics"""),
+        "shown_metrics": _with(_metrics(), body="""
+SELECT channel, metric, format('{:,.0f}', value + 0.0) AS number, printf('%.3f', round(value, 3) + 0.0) AS decimal, printf('%.1f%%', round(CASE WHEN abs(value) <= 1 THEN value * 100 ELSE value END, 1) + 0.0) AS rate, CASE WHEN percentile >= 66.7 THEN 'high' WHEN percentile >= 33.3 THEN 'middle' ELSE 'low' END AS third FROM ranks"""),
+        "channel_documents": _with(_metrics(), channels_sql.POLARITY, body="""
+, own AS (SELECT channel, CAST(count(*) AS INT) AS n_metrics FROM metrics GROUP BY 1),
+b AS (SELECT channel, arg_max(index_name, {s: score, i: index_name}) AS best_index, arg_min(index_name, {s: score, i: index_name}) AS worst_index FROM indices GROUP BY 1),
+r AS (SELECT channel, count(*) FILTER (reading = 'risk') AS n_risk, count(*) FILTER (reading = 'opportunity') AS n_opportunity, count(*) FILTER (reading = 'watch') AS n_watch, count(*) FILTER (reading = 'context') AS n_context FROM readings GROUP BY 1),
+k AS (SELECT channel, index_name, CASE WHEN (index_name = 'risk_pressure') = (score >= 65) THEN 60 ELSE 50 END + abs(score - 50) AS p FROM indices WHERE score >= 65 OR score <= 35),
+q AS (SELECT channel, string_agg(index_name, ';' ORDER BY i) AS decision_queue FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY round(p, 4) DESC, index_name) AS i FROM k) WHERE i <= 5 GROUP BY 1),
+w AS (PIVOT indices ON index_name IN ('engagement_conversion', 'audience_stickiness', 'conversation_quality', 'risk_pressure', 'community_concentration', 'content_portfolio_linkage') USING max(score) GROUP BY channel),
+z AS (SELECT channel, coalesce(engagement_conversion, 0) AS e, coalesce(audience_stickiness, 0) AS s, coalesce(conversation_quality, 0) AS q, coalesce(risk_pressure, 0) AS r, coalesce(community_concentration, 0) AS c, coalesce(content_portfolio_linkage, 0) AS l FROM w),
+a AS (SELECT channel, CASE WHEN e >= 65 AND r >= 65 THEN 'high_engagement_high_risk' WHEN e >= 65 AND s >= 60 AND r < 60 THEN 'steady_discussion' WHEN s >= 65 AND c >= 65 THEN 'core_circle' WHEN l >= 65 AND e >= 50 THEN 'expandable_portfolio'
+  WHEN q >= 65 AND e < 45 THEN 'quiet_potential' WHEN e < 40 AND s < 40 THEN 'low_participation' ELSE 'balanced' END AS archetype FROM z)
+SELECT * FROM own LEFT JOIN a USING (channel) LEFT JOIN b USING (channel) LEFT JOIN r USING (channel) LEFT JOIN q USING (channel)"""),
+        "community_mood": _with(body=f"""
+, b AS (SELECT community, {_BLOCK} FROM in_community GROUP BY 1), d AS (SELECT *, CASE WHEN negative_rate >= neutral_rate AND negative_rate >= positive_rate THEN 'negative' WHEN neutral_rate >= positive_rate THEN 'neutral' ELSE 'positive' END AS dominant FROM b)
+SELECT community, dominant, CASE WHEN dominant = 'positive' AND negative_rate < 0.1 THEN 'mostly_positive' WHEN dominant = 'positive' THEN 'positive_but_watch_negative' WHEN dominant = 'neutral' THEN 'mostly_neutral' ELSE 'negative_high' END AS sentiment_reading, negative_rate, neutral_rate, positive_rate, weighted_negative_rate, weighted_positive_rate FROM d"""),
+        "negative_sources": _with(body=f"""
+, b AS (SELECT theme, {_BLOCK} FROM (SELECT c.*, theme FROM all_comments c LEFT JOIN videos USING (video_id)) GROUP BY 1), r AS (SELECT *, CAST(row_number() OVER (ORDER BY weighted_negative_rate DESC, n DESC, theme) AS INT) AS place FROM b WHERE n >= 50)
+SELECT place, theme, n, negative_rate, weighted_negative_rate, printf('%.1f%%', negative_rate * 100) AS shown FROM r WHERE place <= 3"""),
+        "ranked_theme_items": _with(body="""
+, g AS (SELECT community, theme, count(*) AS n FROM actor_videos JOIN actors USING (actor_id) JOIN videos USING (video_id) GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY community ORDER BY n DESC, theme) AS INT) - 1 AS place FROM g)
+SELECT community, place, theme AS label, CAST(n AS DOUBLE) AS count FROM r WHERE place < 5"""),
         "metric_positions": _with(_metrics(), body="""
 , d AS (SELECT metric, [min(value), round(quantile_cont(value, 0.1), 9), round(quantile_cont(value, 0.25), 9), round(quantile_cont(value, 0.5), 9), round(quantile_cont(value, 0.75), 9), round(quantile_cont(value, 0.9), 9), max(value)] AS q FROM metrics GROUP BY 1),
 e AS (SELECT m.*, q, [0, 10, 25, 50, 75, 90, 100] AS p, CASE WHEN value <= q[1] THEN 1 WHEN value <= q[2] THEN 2 WHEN value <= q[3] THEN 3 WHEN value <= q[4] THEN 4 WHEN value <= q[5] THEN 5 WHEN value <= q[6] THEN 6 WHEN value <= q[7] THEN 7 ELSE 8 END AS k FROM metrics m JOIN d USING (metric))
@@ -378,6 +412,9 @@ SELECT CASE WHEN again THEN 'queued' ELSE status END AS status, count(*) AS n, c
         "runtime_estimates": _with(body="""
 SELECT 'video' AS stage, count(*) AS units, CAST(60 + ceil(60 * count(*) / 40) AS BIGINT) AS low_seconds, CAST(60 + ceil(60 * count(*) / 20) AS BIGINT) AS high_seconds FROM videos
 UNION ALL SELECT 'sentiment', count(*), CAST(60 + ceil(60 * count(*) / 650) AS BIGINT), CAST(60 + ceil(60 * count(*) / 450) AS BIGINT) FROM all_comments"""),
+        "shown_estimates": _with(body=f"""
+, u AS (SELECT 'video' AS stage, 60 + ceil(60 * count(*) / 40) AS low, 60 + ceil(60 * count(*) / 20) AS high FROM videos UNION ALL SELECT 'sentiment', 60 + ceil(60 * count(*) / 650), 60 + ceil(60 * count(*) / 450) FROM all_comments)
+SELECT stage, CASE WHEN abs(high - low) < 1 THEN {_duration('high')} ELSE {_duration('low')} || ' to ' || {_duration('high')} END AS shown FROM u"""),
         "video_theme_labels": _with(body=_label_videos() + " SELECT * FROM labelled"),
         "theme_source_summary": _with(body=_label_videos() + " SELECT theme_source, count(*) AS n_videos FROM labelled GROUP BY 1"),
         "sliding_topic_counts": """

@@ -670,6 +670,63 @@ def video_opportunities(v):
     return clusters.described_opportunities(found, edges, _clustered(v, edges), v.actor_videos)
 
 
+@query
+def video_cluster_profiles(v):
+    structure = graph.community_summary(_video_edges(v), _video_partition(v), _video_cores(v))
+    return dashboard.video_cluster_profiles(video_cluster_summary(v), structure, video_cluster_sentiment(v), video_cluster_theme_affinity(v))
+
+
+@query
+def community_mood(v):
+    return dashboard.sentiment_profile(community_sentiment(v), "community")
+
+
+@query
+def negative_sources(v):
+    return dashboard.negative_sources(sentiment_by_theme(v), "theme")
+
+
+def _indices(v):
+    return cohort.composite_indices(cohort.percentiles(_metrics(v)))
+
+
+@query
+def analysis_lenses(v):
+    return dashboard.analysis_lenses(_indices(v))
+
+
+@query
+def channel_documents(v):
+    ranks, indices = cohort.percentiles(_metrics(v)), _indices(v)
+    out = dashboard.channel_documents(_metrics(v), ranks, indices, cohort.archetypes(indices), dashboard.story_cards(indices))
+    return out.withColumn("n_metrics", F.size("metrics")).drop("metrics")
+
+
+@query
+def baseline_summary(v):
+    return dashboard.baseline_summary(_metrics(v), cohort.percentiles(_metrics(v)))
+
+
+@query
+def shown_metrics(v):
+    """Metrics as dashboards write them, and which third of the cohort they lie in."""
+    r = cohort.percentiles(_metrics(v))
+    return r.select("channel", "metric", fn.shown_number(F.col("value")).alias("number"), fn.shown_decimal(F.col("value")).alias("decimal"), fn.shown_rate(F.col("value")).alias("rate"), fn.rank_band(F.col("percentile")).alias("third"))
+
+
+@query
+def shown_estimates(v):
+    out = runtime_estimates(v)
+    return out.select("stage", fn.shown_range(F.col("low_seconds"), F.col("high_seconds")).alias("shown"))
+
+
+@query
+def ranked_theme_items(v):
+    """The top-themes text of each community taken apart again."""
+    items = fn.ranked_items(F.col("top"))
+    return community_top_themes(v).select("community", F.posexplode(items).alias("place", "item")).select("community", "place", "item.label", "item.count")
+
+
 def _queue(v):
     """Orders as a work queue: their state, with an error text for some."""
     status = F.when(F.col("o_orderstatus") == "F", "graphed").when(F.col("o_orderstatus") == "O", "queued").otherwise("failed")
