@@ -67,8 +67,10 @@ def aspect_rows(units: DataFrame) -> DataFrame:
     return out.drop(*(f"_{k}" for k in lists), *lists.values(), "aspect_labels")
 
 
-NEGATIVE, POSITIVE = F.col("sentiment").isin("negative", "mixed"), F.col("sentiment").isin("positive", "mixed")
-_WEIGHT = F.coalesce(F.col("like_count"), F.lit(0)) + 1
+def _sides() -> tuple[Column, Column, Column]:
+    """Whether a row is negative, or positive, and what it weighs."""
+    side = lambda x: F.col("sentiment").isin(x, "mixed")
+    return side("negative"), side("positive"), F.coalesce(F.col("like_count"), F.lit(0)) + 1
 
 
 def aspect_summary(rows: DataFrame, units: DataFrame, full: DataFrame) -> DataFrame:
@@ -78,9 +80,10 @@ def aspect_summary(rows: DataFrame, units: DataFrame, full: DataFrame) -> DataFr
 
     Rows are added up by unit and aspect first; distinct units are then plain counts.
     """
+    negative, positive, weight = _sides()
     flag = lambda c: F.max(c.cast("int"))
-    heavy = lambda c: F.sum(F.when(c, _WEIGHT).otherwise(0))
-    one = rows.groupBy("unit_id", "aspect").agg(flag(NEGATIVE).alias("neg"), flag(POSITIVE).alias("pos"), F.sum(_WEIGHT).alias("w"), heavy(NEGATIVE).alias("wneg"), heavy(POSITIVE).alias("wpos"), F.sum("severity").alias("sev"), F.count("*").alias("n"))
+    heavy = lambda c: F.sum(F.when(c, weight).otherwise(0))
+    one = rows.groupBy("unit_id", "aspect").agg(flag(negative).alias("neg"), flag(positive).alias("pos"), F.sum(weight).alias("w"), heavy(negative).alias("wneg"), heavy(positive).alias("wpos"), F.sum("severity").alias("sev"), F.count("*").alias("n"))
     by_unit = one.groupBy("unit_id").agg(F.max("neg").alias("neg"), F.max("pos").alias("pos"))
     total = by_unit.agg(F.count("*").alias("_units"), F.greatest(F.sum("neg"), F.lit(1)).alias("_neg"), F.greatest(F.sum("pos"), F.lit(1)).alias("_pos"))
     share = lambda x: F.avg((F.col("label") == x).cast("double"))
@@ -101,8 +104,9 @@ def aspect_summary(rows: DataFrame, units: DataFrame, full: DataFrame) -> DataFr
 
 def aspect_daily(rows: DataFrame, *platform: str) -> DataFrame:
     """Per day and aspect (of each platform): distinct units, negative and positive rows, severity, weight."""
+    negative, positive, weight = _sides()
     one = rows.where("aspect <> 'unclear' and ts is not null").groupBy(*platform, F.to_date("ts").alias("day"), "aspect", "unit_id")
-    one = one.agg(F.count_if(NEGATIVE).alias("neg"), F.count_if(POSITIVE).alias("pos"), F.sum("severity").alias("sev"), F.count("*").alias("n"), F.sum(_WEIGHT).alias("w"))
+    one = one.agg(F.count_if(negative).alias("neg"), F.count_if(positive).alias("pos"), F.sum("severity").alias("sev"), F.count("*").alias("n"), F.sum(weight).alias("w"))
     out = one.groupBy(*platform, "day", "aspect").agg(F.count("*").alias("n_units"), F.sum("neg").alias("n_negative"), F.sum("pos").alias("n_positive"), places(ratio(F.sum("sev"), F.sum("n"))).alias("mean_severity"), F.sum("w").alias("weight"))
     return out
 

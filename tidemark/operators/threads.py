@@ -8,21 +8,21 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import places, ratio, ratio0
 
 
-REPLY = ~F.col("is_top_level")
+REPLY = "not is_top_level"
 _RATES = ("positive", "negative")
 
 
 def thread_metrics(comments: DataFrame, *by: str) -> DataFrame:
     """Per thread (of each `by`): counts and rates over all comments and over replies, plain and weighted by
     likes, the parent's label, flags, and what conflicts weigh. Rates over nothing are 0."""
-    is_ = lambda x: F.col("label") == x
+    is_, reply = lambda x: F.col("label") == x, F.expr(REPLY)
     w = F.col("like_count") + 1
     heavy = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0))
     parent = F.min(F.when(F.col("is_top_level"), F.struct("ts", "line", "label")))
     out = comments.groupBy(*by, "thread_id").agg(
-        F.min("video_id").alias("video_id"), F.count("*").alias("n"), F.count_if(REPLY).alias("n_replies"), F.countDistinct("actor_id").alias("n_actors"), F.countDistinct(F.when(REPLY, F.col("actor_id"))).alias("n_reply_actors"),
-        F.sum("like_count").alias("likes"), F.sum(w).alias("weight"), heavy(REPLY).alias("reply_weight"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"),
-        *(F.count_if(is_(x)).alias(f"n_{x[:3]}") for x in _RATES), *(F.count_if(REPLY & is_(x)).alias(f"r_{x[:3]}") for x in _RATES), *(heavy(is_(x)).alias(f"w_{x[:3]}") for x in _RATES), parent["label"].alias("parent_label"),
+        F.min("video_id").alias("video_id"), F.count("*").alias("n"), F.count_if(F.expr(REPLY)).alias("n_replies"), F.countDistinct("actor_id").alias("n_actors"), F.countDistinct(F.when(reply, F.col("actor_id"))).alias("n_reply_actors"),
+        F.sum("like_count").alias("likes"), F.sum(w).alias("weight"), heavy(reply).alias("reply_weight"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"),
+        *(F.count_if(is_(x)).alias(f"n_{x[:3]}") for x in _RATES), *(F.count_if(reply & is_(x)).alias(f"r_{x[:3]}") for x in _RATES), *(heavy(is_(x)).alias(f"w_{x[:3]}") for x in _RATES), parent["label"].alias("parent_label"),
     )
     pos, neg = ratio0(F.col("n_pos"), F.col("n")), ratio0(F.col("n_neg"), F.col("n"))
     rpos, rneg = ratio0(F.col("r_pos"), F.col("n_replies")), ratio0(F.col("r_neg"), F.col("n_replies"))
@@ -53,9 +53,9 @@ def thread_report(threads: DataFrame) -> DataFrame:
 
 def reply_overview(comments: DataFrame, *by: str) -> DataFrame:
     """One row (of each `by`): comments, replies, threads, who replies, and shares of them."""
-    by_thread = comments.groupBy(*by, "thread_id").agg(F.count("*").alias("n"), F.count_if(REPLY).alias("r"), F.count_if(REPLY & (F.col("label") == "negative")).alias("g"))
+    by_thread = comments.groupBy(*by, "thread_id").agg(F.count("*").alias("n"), F.count_if(F.expr(REPLY)).alias("r"), F.count_if(F.expr(REPLY) & (F.col("label") == "negative")).alias("g"))
     sums = by_thread.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_comments"), F.coalesce(F.sum("r"), F.lit(0)).alias("n_replies"), F.count("*").alias("n_threads"), F.count_if(F.col("r") > 0).alias("n_replied_threads"), F.sum("g").alias("_g"))
-    by_actor = comments.groupBy(*by, "actor_id").agg(F.count_if(REPLY).alias("r"))
+    by_actor = comments.groupBy(*by, "actor_id").agg(F.count_if(F.expr(REPLY)).alias("r"))
     actors = by_actor.groupBy(*by).agg(F.count("actor_id").alias("n_commenters"), F.count_if(F.col("r") > 0).alias("n_reply_commenters"))
     out = sums.join(actors, list(by)) if by else sums.crossJoin(actors)  # one row each
     share = {"reply_share": ratio(F.col("n_replies"), F.col("n_comments")), "replied_thread_share": ratio(F.col("n_replied_threads"), F.col("n_threads")), "reply_negative_rate": ratio(F.col("_g"), F.col("n_replies"))}
