@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import graph
 from tidemark.plans import registry
 
@@ -68,6 +70,26 @@ def test_betweenness_of_a_long_path(spark):
     assert all(abs(got[i] - 2 * i * (n - 1 - i) / ((n - 1) * (n - 2))) < 1e-6 for i in range(n))
 
 
+def test_projection_of_hot_keys(spark, monkeypatch):
+    """A key's pairs are the same in however many parts they are made."""
+    rng = random.Random(8)
+    pairs = sorted({(rng.randrange(60), "hot" if rng.random() < 0.4 else f"v{rng.randrange(20)}") for _ in range(600)})
+    df = spark.createDataFrame(pairs, "n int, v string")
+    whole = {tuple(r) for r in graph.projection(df, "n", "v", least_weight=2).collect()}
+    real = graph._within
+    monkeypatch.setattr(graph, "_within", lambda rows, via: real(rows, via, split=7))
+    assert whole and {tuple(r) for r in graph.projection(df, "n", "v", least_weight=2).collect()} == whole
+
+
+def test_places_of_rows(spark):
+    from tidemark.plans.tables import numbered
+
+    df = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(50)).alias("k"), "id").repartition(7)
+    got = [(r.place, r.k, r.id, r._rows) for r in numbered(df, "k", "id", name="place").collect()]
+    assert sorted((k, i) for _, k, i, _ in got) == [(k, i) for _, k, i, _ in sorted(got)] and sorted(p for p, *_ in got) == list(range(1000)) and {n for *_, n in got} == {1000}
+    assert numbered(df.limit(0), "k", "id", name="place").count() == 0
+
+
 def test_empty_graph(spark):
     none = table(spark, [])
     for f in (graph.connected_components, graph.core_numbers, graph.label_communities, graph.betweenness):
@@ -76,8 +98,9 @@ def test_empty_graph(spark):
 
 def test_registered_loops_run_on_the_edges_of_the_other_relations(spark, small, monkeypatch):
     edges = []
+    monkeypatch.setattr(registry, "_SHARED", {})
     for name in ("connected_components", "label_communities", "core_numbers", "betweenness"):
-        monkeypatch.setattr(graph, name, lambda found: edges.append(found))
+        monkeypatch.setattr(graph, name, lambda found: edges.append(found) or found)
     for name in ("connected_components", "communities", "core_numbers", "betweenness"):
         registry.QUERIES[name](spark, small)
     want = set(registry.QUERIES["cocommenter_edges"](spark, small).collect())
