@@ -20,8 +20,10 @@ def hard_rows():
     rows = [(i, prose(EN, 60, i), "en", f"s{i % 3}", 10, *extra) for i in range(20)]
     rows += [(i, prose(DE, 60, i), "de", f"s{i % 3}", 10, *extra) for i in range(20, 40)]
     rows += [rows[0], rows[0], (40, rows[1][1], "en", "s0", 1, *extra), (41, rows[1][1].replace("water", "Water", 1), "en", None, 1, *extra)]
-    rows += [(42, None, "en", "s0", None, *extra), (43, "", "en", "s1", 0, *extra), (44, "  \n\t ", None, "s2", 4, *extra), (45, "12 34 !! 56", None, None, 9, *extra), (None, "the house", None, None, None, *extra), (None, None, None, None, None, *extra)]
-    rows += [(46, prose(EN, 60_000, 99), "en", "s0", None, *extra), (47, "x" * 300_000, "en", "s1", None, *extra), (48, "Σίσυφος <|endoftext|> é́ \x1c 日本語 😀", None, "ü", 5, *extra)]
+    rows += [(42, None, "en", "s0", None, *extra), (43, "", "en", "s1", 0, *extra), (44, "  \n\t ", None, "s2", 4, *extra),
+        (45, "12 34 !! 56", None, None, 9, *extra), (None, "the house", None, None, None, *extra), (None, None, None, None, None, *extra)]
+    rows += [(46, prose(EN, 60_000, 99), "en", "s0", None, *extra), (47, "x" * 300_000, "en", "s1", None, *extra),
+        (48, "Σίσυφος <|endoftext|> é́ \x1c 日本語 😀", None, "ü", 5, *extra)]
     return rows
 
 

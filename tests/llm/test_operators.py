@@ -347,7 +347,8 @@ def test_hilbert_ranks_whole_strings(spark):
 
 def test_warc(spark):
     long, short = "<p>" + "long " * 40, "<p>tiny"
-    rows = [(5, "http://a/", long), (3, "http://b/\r\nx", long), (9, None, long), (1, "u", short), (2, "u", short), (4, "u", None), (6, "u", ""), (None, "u", long), (None, None, "y" * 200), (None, None, "y" * 200), (7, "ü", "é😀" * 5000), (3, "http://b/", long)]
+    rows = [(5, "http://a/", long), (3, "http://b/\r\nx", long), (9, None, long), (1, "u", short), (2, "u", short), (4, "u", None),
+        (6, "u", ""), (None, "u", long), (None, None, "y" * 200), (None, None, "y" * 200), (7, "ü", "é😀" * 5000), (3, "http://b/", long)]
     pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, offset int, digest string").repartition(3)
     index = warc.write_archives(pages)
     got = warc.read_records(index).collect()
@@ -356,7 +357,9 @@ def test_warc(spark):
         if r.record_type == "response":
             assert r.payload_digest == hashlib.sha256(bytes(r.payload)).hexdigest() and r.payload_bytes == len(r.payload)
     kinds = collections.Counter((r.page_id, r.record_type, r.refers_to) for r in got)
-    assert kinds == collections.Counter([(5, "revisit", 3), (3, "response", None), (3, "response", None), (9, "revisit", 3), (1, "response", None), (2, "response", None), (4, "response", None), (6, "response", None), (None, "revisit", 3), (None, "response", None), (None, "response", None), (7, "response", None)])
+    assert kinds == collections.Counter([(5, "revisit", 3), (3, "response", None), (3, "response", None), (9, "revisit", 3),
+        (1, "response", None), (2, "response", None), (4, "response", None), (6, "response", None), (None, "revisit", 3),
+        (None, "response", None), (None, "response", None), (7, "response", None)])
     one = warc.read_records(index.where("page_id = 7")).collect()
     assert len(one) == 1 and bytes(one[0].payload).decode() == "é😀" * 5000
     assert warc.read_records(warc.write_archives(pages.where("page_id > 100"))).count() == 0
@@ -481,7 +484,8 @@ def brute_statistics(text):
 
 def test_statistics(spark, hard, none):
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    odd = spark.createDataFrame([(1, "a b c a b c\nx\nx\n \n \n#|é é", 3), (2, "a b a b a b a", 3), (3, "a b c d\r\na b c d", 3), (4, "w", 3), (5, "a a a a", 3)], "doc_id long, text string, n_words int")
+    odd = spark.createDataFrame([(1, "a b c a b c\nx\nx\n \n \n#|é é", 3), (2, "a b a b a b a", 3), (3, "a b c d\r\na b c d", 3),
+        (4, "w", 3), (5, "a a a a", 3)], "doc_id long, text string, n_words int")
     for df in (hard, odd):
         got = collections.Counter(tuple(r) for r in rules.text_statistics(df.select("doc_id", "text")).select("doc_id", *columns).collect())
         assert got == collections.Counter((r.doc_id, *brute_statistics(r.text)) for r in df.collect())
@@ -490,7 +494,8 @@ def test_statistics(spark, hard, none):
 
 def test_decision_list(spark, hard, none, marks):
     good = [(i, " ".join(f"word{i * 7 % 41 + k}" for k in range(60 + i % 9))) for i in range(200)]
-    bad = [(1000 + i, " ".join(f"w{i}x{k} ##" for k in range(60))) for i in range(60)] + [(2000 + i, "!! ".join(f"CAPS{i}Y{k}" for k in range(70))) for i in range(60)]
+    bad = [(1000 + i, " ".join(f"w{i}x{k} ##" for k in range(60))) for i in range(60)] + [(2000 + i,
+        "!! ".join(f"CAPS{i}Y{k}" for k in range(70))) for i in range(60)]
     docs = spark.createDataFrame(good + bad, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad], "doc_id long, quality int")
     out, found = rules.filtered(docs, labels)

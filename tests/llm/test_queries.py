@@ -11,14 +11,17 @@ from tidemark.llm import queries
 COLUMNS = {
     "op1_entropy_mix": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
     "op2_bpe_round_trip": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
-    "op3_mpeg_media": {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"},
+    "op3_mpeg_media": {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string",
+    "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"},
     "op4_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
     "op5_toxicity_ftrl": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op6_quality_gbt": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
-    "op7_hilbert_shards": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+    "op7_hilbert_shards": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint",
+    "grown_shard": "int"},
     "op8_warc_index": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
     "op9_simhash_golay": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
-    "op10_decision_list": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op10_decision_list": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint",
+    "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
 }
 FOLDS = {"op4_language_id": (4, 2), "op5_toxicity_ftrl": (3, 1), "op6_quality_gbt": (3, 1)}
 LEAST = {"op5_toxicity_ftrl": 0.7, "op6_quality_gbt": 0.5}

@@ -152,7 +152,8 @@ def chunk_words(docs: DataFrame, key: str) -> DataFrame:
         for c in chunks(batches, key):
             if c.buckets:
                 found = [packed_words(words) for words in c.buckets.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c.buckets), pa.int32()), pa.array([c.number] * len(found), pa.int64()), pa.array(found, pa.binary())], ["bucket", "chunk", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c.buckets), pa.int32()), pa.array([c.number] * len(found), pa.int64()),
+                    pa.array(found, pa.binary())], ["bucket", "chunk", "words"])
 
     return docs.select(key, "text").mapInArrow(rows, "bucket int, chunk bigint, words binary")
 
@@ -171,7 +172,8 @@ def chunk_texts(docs: DataFrame, key: str) -> DataFrame:
                 keys.append(c.keys[a:b])
                 data.append(packed(sizes[a:b]) + packed(np.concatenate(c.codes[a:b])))
             at = np.arange(len(data), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([c.number] * len(data), pa.int64()), pa.array(at), pa.array(keys, pa.list_(arrow_kind(kind))), pa.array(data, pa.binary())], ["chunk", "at", "keys", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([c.number] * len(data), pa.int64()), pa.array(at),
+                pa.array(keys, pa.list_(arrow_kind(kind))), pa.array(data, pa.binary())], ["chunk", "at", "keys", "data"])
 
     return docs.select(key, "text").mapInArrow(rows, f"chunk bigint, at int, keys array<{kind}>, data binary")
 
@@ -218,7 +220,8 @@ def encode_documents(docs: DataFrame, path: str, *, key: str = "doc_id") -> Data
         bounds = total[np.concatenate([[0], ends])]
         decoded = [" ".join(spelt[c[n > 0]].tolist()) for c, n in zip(np.split(codes, ends[:-1]), np.split(own, ends[:-1]))]
         lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found, pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(keys, arrow_kind(kind)), pa.array(np.diff(bounds)), lists, pa.array(decoded, pa.string())], [key, "n_tokens", "ids", "decoded"])
+        return pa.RecordBatch.from_arrays([pa.array(keys, arrow_kind(kind)), pa.array(np.diff(bounds)), lists,
+            pa.array(decoded, pa.string())], [key, "n_tokens", "ids", "decoded"])
 
     def put_together(ids: pa.Table, rows: pa.Table) -> pa.Table:
         if not rows.num_rows:

@@ -93,7 +93,8 @@ def hilbert_index(coordinates: list[str], bits: int) -> Column:
     return F.expr(let("u", undone, let("g", gray, let("w", turn, digits))))
 
 
-def shard_by_curve(df: DataFrame, codes: dict[str, Column], shards: int, *, digest: Column, key: str = "doc_id", bits: int = BITS, partitions: int | None = None) -> DataFrame:
+def shard_by_curve(df: DataFrame, codes: dict[str, Column], shards: int, *, digest: Column, key: str = "doc_id", bits: int = BITS,
+        partitions: int | None = None) -> DataFrame:
     """df with `shard`, of counts at most one apart, and `slot`, gapless from 0 in each shard.
 
     codes: the dimensions, longs or strings, by name. The sorted narrow rows are written once, so that

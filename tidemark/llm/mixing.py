@@ -115,13 +115,15 @@ def _balanced_by_key(cells: DataFrame, key: str, targets: DataFrame, *, cap: flo
         if not sums.where("_open").head(1):
             break
         above = F.col("_g") > F.col("_t")
-        sums = sums.withColumns({"_low": F.when(above, F.col("_low")).otherwise(F.col("_lambda")), "_high": F.when(above, F.col("_lambda")).otherwise(F.col("_high"))})
+        sums = sums.withColumns({"_low": F.when(above, F.col("_low")).otherwise(F.col("_lambda")),
+            "_high": F.when(above, F.col("_lambda")).otherwise(F.col("_high"))})
         newton = F.col("_lambda") + F.log(F.col("_t") / F.col("_g")) * F.col("_g") / F.col("_h")
         middle = (F.col("_low") + F.col("_high")) / 2
         inside = (F.col("_g") > 0) & (F.col("_h") > 0) & (newton > F.col("_low")) & (newton < F.col("_high"))
         moved = F.when(~F.col("_open"), F.col("_lambda")).when(inside, newton).otherwise(middle)
         # bounds of a key that has converged stay where they are: together, so that it is not looked at again
-        state = written(sums.select(key, "_t", *(F.when(F.col("_open"), F.col(c)).otherwise(F.col("_lambda")).alias(c) for c in ("_low", "_high")), moved.alias("_lambda")), "mix-state", instead_of=state)
+        state = written(sums.select(key, "_t", *(F.when(F.col("_open"), F.col(c)).otherwise(F.col("_lambda")).alias(c) for c in ("_low",
+            "_high")), moved.alias("_lambda")), "mix-state", instead_of=state)
     else:
         raise ArithmeticError(f"targets are not met after {steps} Newton steps")
     rate = F.least(F.lit(float(cap)), F.exp(F.col("_lambda") * size))
@@ -247,7 +249,8 @@ def _copies(stats: DataFrame, cap: float, weights: tuple[int, ...]) -> DataFrame
     placed = written(_systematic(stats.join(units, ["_mix_key", "_mix_size"])), "mix-copies")
     moves = written(_fillers(placed), "mix-moves")
     copies = F.col("copies") + F.coalesce("_mix_move", F.lit(0))
-    return placed.join(moves, "_mix_row", "left").select("doc_id", "_mix_row", F.col("_mix_size").alias("size"), "source_size", "target", copies.cast("int").alias("copies"))
+    return placed.join(moves, "_mix_row", "left").select("doc_id", "_mix_row", F.col("_mix_size").alias("size"), "source_size", "target",
+        copies.cast("int").alias("copies"))
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -255,7 +258,8 @@ def _narrow(docs: DataFrame) -> DataFrame:
     dealt to blocks by their text."""
     tie = F.xxhash64("text")
     block = F.coalesce(F.floor(F.col("doc_id") / BLOCK), -1 - F.pmod(tie, F.lit(1 << 20)))
-    return written(docs.select("doc_id", "_mix_row", _key("source").alias("_mix_key"), word_count().alias("_mix_size"), tie.alias("_mix_tie"), block.alias("_mix_block")), "mix-rows")
+    return written(docs.select("doc_id", "_mix_row", _key("source").alias("_mix_key"), word_count().alias("_mix_size"),
+        tie.alias("_mix_tie"), block.alias("_mix_block")), "mix-rows")
 
 
 def document_copies(docs: DataFrame, *, cap: float = 3.0, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:

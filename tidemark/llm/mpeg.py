@@ -179,7 +179,8 @@ def read(data: bytes | None) -> Audio:
     while at + 4 <= end:
         h = header(data[at : at + 4])
         same = h and (h.version, h.layer, h.rate)
-        follows = h and at + h.size <= end and (at + h.size == end or kind == same and bool(offsets) and offsets[-1] + sizes[-1] == at or (n := header(data[at + h.size : at + h.size + 4])) is not None and (n.version, n.layer, n.rate) == same)
+        follows = h and at + h.size <= end and (at + h.size == end or kind == same and bool(offsets) and offsets[-1] + sizes[-1] == at or (n := header(data[at + h.size : at + h.size + 4])) is not None and (n.version,
+            n.layer, n.rate) == same)
         if not follows or kind and kind != same:
             to = data.find(b"\xff", at + 1, end)
             to = end if to < 0 else to
@@ -236,7 +237,8 @@ def write(payload: bytes) -> bytes:
     table = b"Xing" + struct.pack(">III", 7, len(sound), size) + toc
     tag = _text_frame(b"TSSE", b"tidemark") + _text_frame(b"TXXX", b"payload\0%d" % len(payload))
     n = len(tag)
-    return b"ID3\x04\0\0" + bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127]) + tag + _frame(64, table) + b"".join(sound) + b"TAG" + bytes(124) + b"\xff"
+    return b"ID3\x04\0\0" + bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127]) + tag + _frame(64,
+        table) + b"".join(sound) + b"TAG" + bytes(124) + b"\xff"
 
 
 def payload_of(audio: Audio) -> bytes:
@@ -258,7 +260,8 @@ def read_column(df: DataFrame, *, column: str = "media", key: str = "doc_id") ->
 
     def parsed(part: pa.RecordBatch) -> list:
         found = [read(b) for b in part.column(column).to_pylist()]
-        rows = [(a.duration.numerator, a.duration.denominator, len(a.offsets), a.samples, a.skipped, a.checked, a.wrong, a.table.get("kind"), a.table.get("frames"), a.table.get("bytes"), [f"{k}={v}" for k, v in sorted(a.tags.items())], a.offsets) for a in found]
+        rows = [(a.duration.numerator, a.duration.denominator, len(a.offsets), a.samples, a.skipped, a.checked, a.wrong,
+            a.table.get("kind"), a.table.get("frames"), a.table.get("bytes"), [f"{k}={v}" for k, v in sorted(a.tags.items())], a.offsets) for a in found]
         return [part.column(key), *map(list, zip(*rows, strict=True))]
 
     kind = df.schema[key].dataType.simpleString()
@@ -290,7 +293,8 @@ def media_features(media: DataFrame, *, key: str = "doc_id") -> DataFrame:
                 raise ValueError(f"stored stream is damaged: {audio.wrong} checksums, {audio.skipped} bytes skipped")
             body = payload_of(audio)
             feature = f"mpeg1/3;frames={len(audio.offsets)};samples={audio.samples};seconds={audio.duration};crc={audio.checked - audio.wrong}/{audio.checked};seek={audio.offsets[0]}-{audio.offsets[-1]};table={audio.table['kind']}:{audio.table['bytes']}"
-            rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, audio.offsets))
+            rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(data), hashlib.sha256(data).hexdigest(),
+                feature, audio.offsets))
         return [part.column(key), part.column("n_bytes"), *map(list, zip(*rows, strict=True))]
 
     kind = media.schema[key].dataType.simpleString()

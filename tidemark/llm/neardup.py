@@ -77,7 +77,8 @@ def fingerprints(column: pa.Array, words: int = WORDS) -> np.ndarray:
             continue
         ones = np.zeros(64, np.int64)
         for at in range(0, len(hashes), 1 << 14):
-            ones += np.unpackbits(hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            ones += np.unpackbits(hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1,
+                bitorder="little").sum(axis=0, dtype=np.int64)
         out[r] = weights[ones * 2 > len(hashes)].sum()
     return out
 
@@ -245,7 +246,8 @@ def components(edges: DataFrame, *, rounds: int = 100) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")),
+            F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         edges = written(small, "links", instead_of=edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
@@ -253,7 +255,8 @@ def components(edges: DataFrame, *, rounds: int = 100) -> DataFrame:
         mark = now
     else:
         raise RuntimeError(f"components are not complete after {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"),
+        F.col("v").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", words: int = WORDS) -> DataFrame:
@@ -409,9 +412,11 @@ def _block_links(placed: DataFrame, sketches: DataFrame, sets: DataFrame, least:
     by_root = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SETS, F.sum("size") / BLOCK_SHINGLES)).cast("int")
     by_key = by_root.groupBy("key").agg(blocks.alias("_blocks"), F.max_by("root", F.struct("n", "root")).alias("_base"))
-    dealt = placed.join(by_key, "key").withColumn("home", F.pmod(F.xxhash64("fp", F.lit(3)), F.col("_blocks")).cast("int")).withColumn("base", F.col("root") == F.col("_base"))
+    dealt = placed.join(by_key, "key").withColumn("home", F.pmod(F.xxhash64("fp", F.lit(3)),
+        F.col("_blocks")).cast("int")).withColumn("base", F.col("root") == F.col("_base"))
     visits = F.when(F.col("base"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    rows = dealt.join(sketches, "fp").join(sets, "fp").select("key", F.explode(visits).alias("block"), "home", "base", "fp", "size", "root", "sketch", "shingles")
+    rows = dealt.join(sketches, "fp").join(sets, "fp").select("key", F.explode(visits).alias("block"), "home", "base", "fp", "size", "root",
+        "sketch", "shingles")
 
     def linked(group: pa.Table) -> pa.Table:
         fp, size, root, home = (group.column(c).to_numpy() for c in ("fp", "size", "root", "home"))
@@ -455,7 +460,8 @@ def copy_links(docs: DataFrame, found: DataFrame, least: float = LEAST_ALIKE, wo
     against block in the others. Pairs whose least bytes say that they are far apart go no further; of
     the others the whole sets are made and compared.
     """
-    distinct = found.where("size > 0").groupBy("fp").agg(F.min("digest").alias("digest"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    distinct = found.where("size > 0").groupBy("fp").agg(F.min("digest").alias("digest"), F.first("size").alias("size"),
+        F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     distinct = written(distinct, "sketches")
     sketches = distinct.select("fp", "sketch")
     keyed = distinct.select("fp", "size", F.explode("keys").alias("key"))
@@ -482,7 +488,8 @@ def copy_links(docs: DataFrame, found: DataFrame, least: float = LEAST_ALIKE, wo
     few, many = F.col("n") <= FEW, F.col("n") > FEW
     centres = written(_centres(members.where(many).select("key", "fp"), sketches), "centres")
     sizes = distinct.select(F.col("fp").alias("centre"), F.col("size").alias("_size"))
-    stars = members.where(few).select("fp", "size", "centre").unionByName(members.where(many).drop("centre").join(centres, "key").select("fp", "size", "centre"))
+    stars = members.where(few).select("fp", "size", "centre").unionByName(members.where(many).drop("centre").join(centres,
+        "key").select("fp", "size", "centre"))
     stars = stars.where("fp <> centre").distinct().join(sizes, "centre").where(near(F.col("size"), F.col("_size")))
     stars = written(stars.select(F.least("centre", "fp").alias("a"), F.greatest("centre", "fp").alias("b")).distinct(), "stars")
     links = verified(stars)
@@ -526,4 +533,5 @@ def _one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     named = docs.withColumn("_digest", _digest())
     same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest"))
     order = Window.partitionBy("doc_id", "_digest").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    return named.join(kept, same, "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return named.join(kept, same, "left_semi").withColumn("_place",
+        F.row_number().over(order)).where("_place = 1").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -25,7 +25,9 @@ from tidemark.llm.common import filtered, labelled, mapped
 #: Labelled rows of each label that training takes, about (chosen by a hash of the id).
 SAMPLE_ROWS = 8000
 SYMBOLS = "#*$%&|<>"
-STATISTICS = ["words", "letters_a_word", "symbols_a_word", "bars_a_word", "shouts_a_word", "capitals", "digits", "beyond_ascii", "stops_a_word", "commas_a_word", "lines", "words_a_line", "repeated_lines", "distinct_words", "commonest_word", "repeated_threes", "short_words", "long_words", "letters", "links"]
+STATISTICS = ["words", "letters_a_word", "symbols_a_word", "bars_a_word", "shouts_a_word", "capitals", "digits", "beyond_ascii",
+    "stops_a_word", "commas_a_word", "lines", "words_a_line", "repeated_lines", "distinct_words", "commonest_word", "repeated_threes",
+    "short_words", "long_words", "letters", "links"]
 _CAPITAL = re.compile("[A-ZÀ-ÖØ-Þ]")
 _DIGIT = re.compile("[0-9]")
 
@@ -43,9 +45,12 @@ def statistics(text: str | None) -> list[float]:
     symbols = sum(map(text.count, SYMBOLS))
     stops, commas, shouts, digits = text.count("."), text.count(","), text.count("!"), len(_DIGIT.findall(text))
     return [
-        np.log1p(len(words)), lengths.mean(), symbols / n, text.count("|") / n, shouts / n, len(_CAPITAL.findall(text)) / size, digits / size, (len(text.encode("utf-8", "replace")) - len(text)) / size,
-        stops / n, commas / n, np.log1p(len(lines)), n / max(1, len(lines)), 1 - len(set(lines)) / max(1, len(lines)), len(counts) / n, max(counts.values(), default=0) / n,
-        sum(c for c in threes.values() if c > 1) / n, float((lengths <= 2).mean()), float((lengths >= 12).mean()), (len(text) - spaces - symbols - stops - commas - shouts - digits) / size, (text.count("http") + text.count("@")) / n,
+        np.log1p(len(words)), lengths.mean(), symbols / n, text.count("|") / n, shouts / n, len(_CAPITAL.findall(text)) / size,
+        digits / size, (len(text.encode("utf-8", "replace")) - len(text)) / size,
+        stops / n, commas / n, np.log1p(len(lines)), n / max(1, len(lines)), 1 - len(set(lines)) / max(1, len(lines)), len(counts) / n,
+        max(counts.values(), default=0) / n,
+        sum(c for c in threes.values() if c > 1) / n, float((lengths <= 2).mean()), float((lengths >= 12).mean()),
+        (len(text) - spaces - symbols - stops - commas - shouts - digits) / size, (text.count("http") + text.count("@")) / n,
     ]
 
 
@@ -79,7 +84,8 @@ class Node:
         self.rows, self.hist, self.depth = rows, hist, depth
 
 
-def grow(x: np.ndarray, y: np.ndarray, *, trees: int = 80, leaves: int = 12, rate: float = 0.15, bins: int = 64, l2: float = 1.0, least_rows: int = 5, least_gain: float = 1e-3) -> Forest:
+def grow(x: np.ndarray, y: np.ndarray, *, trees: int = 80, leaves: int = 12, rate: float = 0.15, bins: int = 64, l2: float = 1.0,
+        least_rows: int = 5, least_gain: float = 1e-3) -> Forest:
     """A forest for labels y in 0, 1 by second-order boosting of the logistic loss."""
     share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 0.5
     base, count = float(np.log(share / (1 - share))), x.shape[1]
@@ -133,7 +139,8 @@ def grow(x: np.ndarray, y: np.ndarray, *, trees: int = 80, leaves: int = 12, rat
         for _, at, node in open_:
             value[at] = -rate * float(node.hist[0, 0].sum() / (node.hist[1, 0].sum() + l2))
             margin[node.rows] += value[at]
-    return Forest(np.array(roots, np.int64), np.array(feature, np.int64), np.array(threshold, float), np.array(left, np.int64), np.array(right, np.int64), np.array(value, float), deepest, base)
+    return Forest(np.array(roots, np.int64), np.array(feature, np.int64), np.array(threshold, float), np.array(left, np.int64),
+        np.array(right, np.int64), np.array(value, float), deepest, base)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

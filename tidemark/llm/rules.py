@@ -121,7 +121,8 @@ def with_features(stats: DataFrame) -> DataFrame:
     return stats.select("*", *(F.expr(e).alias(f"f_{k}") for k, e in FEATURES.items()))
 
 
-def learn(stats: DataFrame, labels: DataFrame, *, label: str = "quality", rules: int = 12, literals: int = 3, least_rows: int = 5, precision: float = 0.95) -> list[Rule]:
+def learn(stats: DataFrame, labels: DataFrame, *, label: str = "quality", rules: int = 12, literals: int = 3, least_rows: int = 5,
+        precision: float = 0.95) -> list[Rule]:
     """An ordered list of rules that reject label 0, from statistics by doc_id and labels.
 
     All labelled rows count. Two thirds of the ids, by hash, grow rules; the others prune them. A
@@ -130,11 +131,15 @@ def learn(stats: DataFrame, labels: DataFrame, *, label: str = "quality", rules:
     """
     marks = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_y"))
     names = [f"f_{k}" for k in FEATURES]
-    rows = with_features(stats).join(marks, "doc_id").select((F.col("_y") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("pruning"), *names)
+    rows = with_features(stats).join(marks, "doc_id").select((F.col("_y") == 0).alias("bad"),
+        (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("pruning"), *names)
     rows = written(rows, "rules-rows")
-    cuts = rows.agg(*(F.percentile_approx(c, F.array(*(F.lit(k / BINS) for k in range(1, BINS))), 10_000).alias(c) for c in names), *(F.min(c).alias(f"{c}_least") for c in names)).first()
+    cuts = rows.agg(*(F.percentile_approx(c, F.array(*(F.lit(k / BINS) for k in range(1, BINS))), 10_000).alias(c) for c in names),
+        *(F.min(c).alias(f"{c}_least") for c in names)).first()
     edges = {c: sorted({v for v in [*(cuts[c] or []), cuts[f"{c}_least"]] if v is not None}) for c in names}
-    binned = rows.select("bad", "pruning", *names, *(F.expr(f"size(filter(array({', '.join(f'{e!r}D' for e in edges[c])}), e -> e < {c}))").alias(f"b{i}") if edges[c] else F.lit(0).alias(f"b{i}") for i, c in enumerate(names)))
+    binned = rows.select("bad", "pruning", *names,
+        *(F.expr(f"size(filter(array({', '.join(f'{e!r}D' for e in edges[c])}), e -> e < {c}))").alias(f"b{i}") if edges[c] else F.lit(0).alias(f"b{i}") for i,
+        c in enumerate(names)))
     binned = written(binned, "rules-bins")
     open_rows, found = F.lit(True), []
     while len(found) < rules:
@@ -157,7 +162,8 @@ def _grown(rows: DataFrame, open_rows: Column, names: list[str], edges: dict[str
     places = F.array(*(F.struct(F.lit(i).alias("j"), F.col(f"b{i}").alias("b"), F.col(c).alias("v")) for i, c in enumerate(names)))
     while len(rule) < literals:
         held = rows.where(" and ".join(x.sql() for x in rule)) if rule else rows
-        counts = held.select("bad", F.explode(places).alias("p")).groupBy("p.j", "p.b").agg(F.sum(F.col("bad").cast("long")).alias("bad"), F.count("*").alias("n"), F.min("p.v").alias("low"), F.max("p.v").alias("high")).collect()
+        counts = held.select("bad", F.explode(places).alias("p")).groupBy("p.j", "p.b").agg(F.sum(F.col("bad").cast("long")).alias("bad"),
+            F.count("*").alias("n"), F.min("p.v").alias("low"), F.max("p.v").alias("high")).collect()
         total = [sum(r["bad"] for r in counts if r["j"] == 0), sum(r["n"] for r in counts if r["j"] == 0)]
         bad, good = total[0], total[1] - total[0]
         if not bad or not good:
@@ -191,7 +197,8 @@ def _pruned(rows: DataFrame, open_rows: Column, rule: list[Literal], least_rows:
     for k in range(1, len(rule) + 1):
         held = F.expr(" and ".join(x.sql() for x in rule[:k]))
         for name, side in (("g", ~F.col("pruning")), ("p", F.col("pruning"))):
-            sums += [F.sum((held & side & F.col("bad")).cast("long")).alias(f"{name}{k}_bad"), F.sum((held & side & ~F.col("bad")).cast("long")).alias(f"{name}{k}_good")]
+            sums += [F.sum((held & side & F.col("bad")).cast("long")).alias(f"{name}{k}_bad"),
+                F.sum((held & side & ~F.col("bad")).cast("long")).alias(f"{name}{k}_good")]
     got = rows.where(open_rows).agg(*sums).first()
     best, worth = None, -2.0
     for k in range(1, len(rule) + 1):

@@ -64,7 +64,8 @@ def _line(text: str) -> str:
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None = None, *, revisit: bool = False) -> bytes:
     """One record as a gzip member; a revisit has the response's headers but no payload."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_line(url or '')}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http;msgtype=response"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {_line(url or '')}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http;msgtype=response"]
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_name(refers_to)}"]
     else:
@@ -87,7 +88,8 @@ def planned(pages: DataFrame, *, least: int = LEAST_BYTES) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     marked = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
     # only payloads that repeat are joined; hot ones are one row here and split by AQE there
-    first = marked.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1 and _first is not null").select("digest", "_first")
+    first = marked.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("_first"),
+        F.count("*").alias("_n")).where("_n > 1 and _first is not null").select("digest", "_first")
     refers = F.when(F.col("page_id").eqNullSafe(F.col("_first")), F.lit(None)).otherwise(F.col("_first"))
     return marked.join(first, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
@@ -113,7 +115,9 @@ def write_archives(pages: DataFrame, *, folder: str | None = None, least: int =
                     out.write(made)
                     rows.append((page, url, f"{folder}/{name}", at, len(made), digest, "response" if refers is None else "revisit"))
                     at += len(made)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], INDEX.replace(" bigint", "").replace(" string", "").split(", "))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c,
+                    t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))],
+                    INDEX.replace(" bigint", "").replace(" string", "").split(", "))
         finally:
             if out:
                 out.close()
@@ -144,13 +148,16 @@ def read_records(index: DataFrame, *, payloads: bool = True) -> DataFrame:
                 data = source.read_at(end - rows[at][1], rows[at][1])
                 found = [_found(zlib.decompress(data[o - rows[at][1] : o - rows[at][1] + n], 31), digest) for _, o, n, digest in rows[at:to]]
                 columns = list(zip(*found))[: 7 if payloads else 6]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if "bigint" in t else pa.binary() if "binary" in t else pa.string()) for c, t in zip(columns, names)], [t.split()[0] for t in names[: len(columns)]])
+                yield pa.RecordBatch.from_arrays([pa.array(c,
+                    pa.int64() if "bigint" in t else pa.binary() if "binary" in t else pa.string()) for c, t in zip(columns, names)],
+                    [t.split()[0] for t in names[: len(columns)]])
                 at = to
         if source:
             source.close()
 
     parts = max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return index.select("archive", "offset", "length", "digest").repartitionByRange(parts, "archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(fetched, schema)
+    return index.select("archive", "offset", "length", "digest").repartitionByRange(parts, "archive",
+        "offset").sortWithinPartitions("archive", "offset").mapInArrow(fetched, schema)
 
 
 def _found(data: bytes, digest: str) -> tuple:
