@@ -20,9 +20,12 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 #: Loops over written tables and the pair projection at this scale have figures of their own.
 HEADLINE = [
-    "video_metrics", "channel_overview", "commenter_activity", "commenter_tiers", "continuity_w4", "continuity_sensitivity", "rolling_retention", "sentiment_summary", "sentiment_by_video", "sentiment_by_theme", "community_sentiment",
-    "community_theme_sentiment", "keyword_sentiment", "theme_labels_long", "theme_summary", "community_theme_affinity", "community_top_themes", "cocommenter_edges", "node_metrics", "community_summary", "thread_metrics", "reply_overview", "theme_conflict",
-    "video_conflict", "external_daily", "event_clusters", "event_windows", "audience_windows", "half_life", "spillover", "aspect_summary", "aspect_daily", "aspect_anomalies", "top_negative_comments", "channel_metrics", "metric_distributions",
+    "video_metrics", "channel_overview", "commenter_activity", "commenter_tiers", "continuity_w4", "continuity_sensitivity",
+    "rolling_retention", "sentiment_summary", "sentiment_by_video", "sentiment_by_theme", "community_sentiment",
+    "community_theme_sentiment", "keyword_sentiment", "theme_labels_long", "theme_summary", "community_theme_affinity",
+    "community_top_themes", "cocommenter_edges", "node_metrics", "community_summary", "thread_metrics", "reply_overview", "theme_conflict",
+    "video_conflict", "external_daily", "event_clusters", "event_windows", "audience_windows", "half_life", "spillover", "aspect_summary",
+    "aspect_daily", "aspect_anomalies", "top_negative_comments", "channel_metrics", "metric_distributions",
     "metric_percentiles", "composite_indices", "leaderboards", "loglog_regression", "completion_report",
 ]
 
@@ -33,7 +36,8 @@ def main() -> None:
     from tidemark.plans.registry import QUERIES
 
     spark = (
-        SparkSession.builder.master(f"local[{CPUS}]").appName("bench").config("spark.driver.memory", "12g").config("spark.sql.shuffle.partitions", CPUS).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        SparkSession.builder.master(f"local[{CPUS}]").appName("bench").config("spark.driver.memory",
+        "12g").config("spark.sql.shuffle.partitions", CPUS).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -47,7 +51,8 @@ def main() -> None:
     for name in HEADLINE:
         first = run(name)
         seconds[name] = run(name) if first < 10 else first
-    print(json.dumps({"metric": "relational set, warm", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": Path(SF_DIR).name.removeprefix("sf")}))
+    print(json.dumps({"metric": "relational set, warm", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
+        "sf": Path(SF_DIR).name.removeprefix("sf")}))
     spark.stop()
 
 

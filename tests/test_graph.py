@@ -86,7 +86,8 @@ def test_places_of_rows(spark):
 
     df = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(50)).alias("k"), "id").repartition(7)
     got = [(r.place, r.k, r.id, r._rows) for r in numbered(df, "k", "id", name="place").collect()]
-    assert sorted((k, i) for _, k, i, _ in got) == [(k, i) for _, k, i, _ in sorted(got)] and sorted(p for p, *_ in got) == list(range(1000)) and {n for *_, n in got} == {1000}
+    assert sorted((k, i) for _, k, i, _ in got) == [(k, i) for _, k, i, _ in sorted(got)] and sorted(p for p,
+        *_ in got) == list(range(1000)) and {n for *_, n in got} == {1000}
     assert numbered(df.limit(0), "k", "id", name="place").count() == 0
 
 

@@ -20,13 +20,17 @@ def post(uid, day, topic, engagement=0.0, source="forum_a", hint=False, semantic
 def test_topics_and_noise(spark):
     texts = ["填問卷 please", "He said an APOLOGY", "新主持", "統戰", "so Cringe", "造假", "求推薦", "nothing", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(events.heuristic_topic(F.col("t"))).collect()]
-    assert got == ["survey_or_spam", "controversy_or_apology", "staff_or_host_change", "political_or_social_controversy", "content_quality_criticism", "content_authenticity_question", "recommendation_or_general_mentions", "general", "general"]
+    assert got == ["survey_or_spam", "controversy_or_apology", "staff_or_host_change", "political_or_social_controversy",
+        "content_quality_criticism", "content_authenticity_question", "recommendation_or_general_mentions", "general", "general"]
     assert [r[0] for r in spark.createDataFrame([("這是表單",), ("x",)], "t string").select(events.noise(F.col("t"))).collect()] == [True, False]
 
 
 def test_enriched_posts(spark):
-    posts = spark.createDataFrame([("a", "道歉", True), ("b", "抽1000", True), ("c", "x", False), ("d", "x", True)], "post_uid string, text string, alias_hit boolean")
-    labels = spark.createDataFrame([("a", "1", "no", "true", " ", "business_or_product", 1), ("d", "yes", "y", "t", "own topic", "other", 1), ("d", "no", "no", "no", "late", "other", 2)], "post_uid string, is_relevant string, is_noise string, is_external_event_candidate string, topic_label string, event_type string, seq int")
+    posts = spark.createDataFrame([("a", "道歉", True), ("b", "抽1000", True), ("c", "x", False), ("d", "x", True)],
+        "post_uid string, text string, alias_hit boolean")
+    labels = spark.createDataFrame([("a", "1", "no", "true", " ", "business_or_product", 1),
+        ("d", "yes", "y", "t", "own topic", "other", 1), ("d", "no", "no", "no", "late", "other", 2)],
+        "post_uid string, is_relevant string, is_noise string, is_external_event_candidate string, topic_label string, event_type string, seq int")
     last = events.semantic_labels(labels, order="seq")
     assert {r.post_uid: r.topic_label for r in last.collect()} == {"a": " ", "d": "late"}
     got = {r.post_uid: (r.relevant, r.noise, r.topic, r.hint, r.semantic) for r in events.enriched(posts, last, require_alias=True).collect()}
@@ -41,8 +45,10 @@ def test_enriched_posts(spark):
 def test_candidate_days(spark):
     """One day for each way to be a candidate, and those that just miss."""
     d = lambda i: DAY(2024, 1, i)
-    rows = [post("h", d(1), "general", hint=True), post("s1", d(2), "general"), post("s2", d(2), "general", source="forum_b"), post("e", d(3), "general", 10.0), post("u", d(4), "general", 9.0)]
-    rows += [post(f"w{i}", d(5), "general") for i in range(3)] + [post(f"x{i}", d(6), "general") for i in range(4)] + [post("y", d(7), "topic")] + [post(f"z{i}", d(8), "topic") for i in range(2)]
+    rows = [post("h", d(1), "general", hint=True), post("s1", d(2), "general"), post("s2", d(2), "general", source="forum_b"),
+        post("e", d(3), "general", 10.0), post("u", d(4), "general", 9.0)]
+    rows += [post(f"w{i}", d(5), "general") for i in range(3)] + [post(f"x{i}", d(6), "general") for i in range(4)] + [post("y", d(7),
+        "topic")] + [post(f"z{i}", d(8), "topic") for i in range(2)]
     rows += [post("n", d(9), "topic", 99.0, noise=True), post("i", d(9), "topic", 99.0, relevant=False)]
     daily = events.daily_posts(spark.createDataFrame(rows, POSTS))
     assert sorted(r.day.day for r in daily.collect()) == [1, 2, 3, 4, 5, 6, 7, 8]
@@ -56,7 +62,8 @@ def test_clusters(spark):
     rows = [post(f"a{i}{k}", d(i), "a") for i in (1, 4, 8) for k in range(2)] + [post(f"b{k}", d(5), "b", 20.0) for k in range(2)] + [post("tie", d(1), "c")]
     posts = spark.createDataFrame(rows, POSTS)
     got = events.event_clusters(posts).orderBy("event_id").collect()
-    assert [(r.event_id, r.event_topic, r.event_start.day, r.event_end.day, r.n_posts) for r in got] == [("external_event_001", "a", 1, 4, 4), ("external_event_002", "b", 5, 5, 2), ("external_event_003", "a", 8, 8, 2)]
+    assert [(r.event_id, r.event_topic, r.event_start.day, r.event_end.day, r.n_posts) for r in got] == [("external_event_001", "a", 1, 4,
+        4), ("external_event_002", "b", 5, 5, 2), ("external_event_003", "a", 8, 8, 2)]
     assert got[0].post_uids == "a10;a11;a40;a41" and got[0].top_titles.startswith("t a10 || t a11")
     one = events.event_clusters(posts, events.Settings(merge_cross_topic=True)).collect()
     assert [(r.event_start.day, r.event_end.day, r.n_posts, r.event_topic) for r in one] == [(1, 8, 9, "b")]
@@ -72,15 +79,19 @@ def test_cluster_with_too_few_posts_of_its_topic(spark):
 
 def test_votes(spark):
     """Weak topics lose to any other, spam has no vote, ties go by priority, unlisted topics stand between."""
-    rows = [("1", "general", 1e6, False, False), ("1", "x", 0.0, False, False), ("2", "politics_or_culture", 0.0, False, False), ("2", "unlisted", 0.0, False, False), ("3", "unlisted", 0.0, False, False), ("3", "zzz", 0.0, False, False)]
-    rows += [("4", "survey_or_spam", 99.0, True, True), ("4", "general", 0.0, False, False), ("5", "x", 1.0, False, False), ("5", "y", 0.0, True, False), ("6", "x", 10.0, False, False), ("6", "y", 0.0, False, True)]
-    got = {r.event_id: (r.topic, r.votes) for r in events.topic_votes(spark.createDataFrame(rows, "event_id string, topic string, engagement double, hint boolean, semantic boolean"), "event_id").collect()}
+    rows = [("1", "general", 1e6, False, False), ("1", "x", 0.0, False, False), ("2", "politics_or_culture", 0.0, False, False),
+        ("2", "unlisted", 0.0, False, False), ("3", "unlisted", 0.0, False, False), ("3", "zzz", 0.0, False, False)]
+    rows += [("4", "survey_or_spam", 99.0, True, True), ("4", "general", 0.0, False, False), ("5", "x", 1.0, False, False),
+        ("5", "y", 0.0, True, False), ("6", "x", 10.0, False, False), ("6", "y", 0.0, False, True)]
+    got = {r.event_id: (r.topic, r.votes) for r in events.topic_votes(spark.createDataFrame(rows,
+        "event_id string, topic string, engagement double, hint boolean, semantic boolean"), "event_id").collect()}
     assert {k: v[0] for k, v in got.items()} == {"1": "x", "2": "politics_or_culture", "3": "zzz", "4": "general", "5": "y", "6": "y"}
     assert got["5"][1] == 26.0 and got["6"][1] == 6.0
 
 
 def comments_of(spark, rows):
-    return spark.createDataFrame([(datetime.datetime.fromisoformat(ts), label, likes, actor, video) for ts, label, likes, actor, video in rows], "ts timestamp, label string, like_count bigint, actor_id bigint, video_id bigint")
+    return spark.createDataFrame([(datetime.datetime.fromisoformat(ts), label, likes, actor, video) for ts, label, likes, actor,
+        video in rows], "ts timestamp, label string, like_count bigint, actor_id bigint, video_id bigint")
 
 
 EVENT = "event_id int, event_start date"
@@ -88,7 +99,8 @@ EVENT = "event_id int, event_start date"
 
 def test_windows_are_half_open(spark):
     """Event of 2024-07-01: the baseline begins 118 days before, pre 28 days before, post ends 28 days after."""
-    at = ["2024-03-04 23:59:59", "2024-03-05 00:00:00", "2024-06-02 23:59:59", "2024-06-03 00:00:00", "2024-06-30 23:59:59", "2024-07-01 00:00:00", "2024-07-28 23:59:59", "2024-07-29 00:00:00", "2024-08-25 23:59:59", "2024-08-26 00:00:00"]
+    at = ["2024-03-04 23:59:59", "2024-03-05 00:00:00", "2024-06-02 23:59:59", "2024-06-03 00:00:00", "2024-06-30 23:59:59",
+        "2024-07-01 00:00:00", "2024-07-28 23:59:59", "2024-07-29 00:00:00", "2024-08-25 23:59:59", "2024-08-26 00:00:00"]
     rows = comments_of(spark, [(t, "negative" if i % 2 else "neutral", i, i, i) for i, t in enumerate(at)])
     event = spark.createDataFrame([(1, DAY(2024, 7, 1)), (2, DAY(2030, 1, 1))], EVENT)
     held = {r.ts.isoformat(" "): r.window for r in events.in_windows(rows, event).collect()}

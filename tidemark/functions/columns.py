@@ -87,7 +87,8 @@ def shown_duration(seconds: Column) -> Column:
 
 
 def shown_range(low: Column, high: Column) -> Column:
-    return F.when(high <= 0, "0m").when(F.abs(high - low) < 1, shown_duration(high)).otherwise(F.concat(shown_duration(low), F.lit(" to "), shown_duration(high)))
+    return F.when(high <= 0, "0m").when(F.abs(high - low) < 1, shown_duration(high)).otherwise(F.concat(shown_duration(low), F.lit(" to "),
+        shown_duration(high)))
 
 
 def truthy(c: Column, words: tuple[str, ...] = ("true", "1", "yes")) -> Column:
@@ -119,7 +120,8 @@ def channel_key(c: Column) -> Column:
     own = F.regexp_extract(path, r"/channel/([^/]+)", 1)
     handle = F.regexp_extract(path, r"(?:^|/)@([^/]+)", 1)
     last = F.regexp_extract(path, r"([^/]+)$", 1)
-    return F.when(own != "", F.concat(F.lit("channel:"), F.lower(own))).when(handle != "", F.concat(F.lit("handle:"), F.lower(handle))).when(last != "", F.concat(F.lit("last:"), F.lower(last))).otherwise("")
+    return F.when(own != "", F.concat(F.lit("channel:"), F.lower(own))).when(handle != "",
+        F.concat(F.lit("handle:"), F.lower(handle))).when(last != "", F.concat(F.lit("last:"), F.lower(last))).otherwise("")
 
 
 def hits(c: Column, words: list[str]) -> Column:

@@ -20,7 +20,8 @@ def match_score(expected: Column, found: Column, verified: Column, subscribers:
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda x: x != ""))
     share = ratio0(F.size(F.array_intersect(words(a), words(b))), F.size(words(a)))
     inside = (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
-    return F.when((a == b) & (a != ""), 100).otherwise(0) + F.when(inside, 45).otherwise(0) + 40 * share + F.when(verified, 15).otherwise(0) + F.when(subscribers > 0, 5).otherwise(0) - rank
+    return F.when((a == b) & (a != ""), 100).otherwise(0) + F.when(inside, 45).otherwise(0) + 40 * share + F.when(verified,
+        15).otherwise(0) + F.when(subscribers > 0, 5).otherwise(0) - rank
 
 
 def best_matches(entries: DataFrame, *, key: str = "candidate_id", least: float = 45.0) -> DataFrame:

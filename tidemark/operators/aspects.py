@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import label_list, pairs_map, places, ratio, ratio0
 
 # The aspects, and the words that point to each.
-ASPECTS = ("pacing_editing", "commercial_sponsorship", "authenticity_fabrication", "host_persona", "guest_collab", "cultural_values_politics", "content_quality_information", "production_quality", "price_value_product", "safety_ethics", "other", "unclear")
+ASPECTS = ("pacing_editing", "commercial_sponsorship", "authenticity_fabrication", "host_persona", "guest_collab",
+    "cultural_values_politics", "content_quality_information", "production_quality", "price_value_product", "safety_ethics", "other", "unclear")
 ASPECT_KEYWORDS = {
     "pacing_editing": ["拖", "太長", "節奏", "剪輯", "廢話", "冗", "慢", "水", "重複", "pacing", "editing"],
     "commercial_sponsorship": ["業配", "廣告", "贊助", "sponsor", "ad", "置入", "工商", "葉配", "商業", "收錢"],
@@ -44,7 +45,8 @@ def comment_units(comments: DataFrame, scope: str, text: str = "text") -> DataFr
         raise ValueError(f"unknown scope {scope!r}; one of {SCOPES}")
     out = comments.withColumn("aspect_keyword_hits", keyword_aspects(F.col(text)))
     label, key = F.col("label"), F.col("aspect_keyword_hits") != ""
-    keep = {"negative": label == "negative", "positive": label == "positive", "keyword": key, "negative_or_keyword": (label == "negative") | key, "all": F.lit(True)}[scope]
+    keep = {"negative": label == "negative", "positive": label == "positive", "keyword": key,
+        "negative_or_keyword": (label == "negative") | key, "all": F.lit(True)}[scope]
     return out.where(F.coalesce(keep, F.lit(False)))
 
 
@@ -52,7 +54,9 @@ def external_units(posts: DataFrame) -> DataFrame:
     """Posts as units: their text columns joined by line breaks, engagement as likes, the stance as label."""
     texts = [F.coalesce(F.col(c), F.lit("")) for c in ("title", "text", "body", "content") if c in posts.columns]
     label = F.coalesce(F.col("stance"), F.lit("")) if "stance" in posts.columns else F.lit("")
-    return posts.select(F.col("post_uid").cast("string").alias("unit_id"), F.lit("external_post").alias("source_type"), "source", F.lit(None).cast("bigint").alias("video_id"), "ts", F.coalesce("engagement", F.lit(0.0)).alias("like_count"), label.alias("label"), F.concat_ws("\n", *texts).alias("text"))
+    return posts.select(F.col("post_uid").cast("string").alias("unit_id"), F.lit("external_post").alias("source_type"), "source",
+        F.lit(None).cast("bigint").alias("video_id"), "ts", F.coalesce("engagement", F.lit(0.0)).alias("like_count"), label.alias("label"),
+        F.concat_ws("\n", *texts).alias("text"))
 
 
 def aspect_rows(units: DataFrame) -> DataFrame:
@@ -63,7 +67,8 @@ def aspect_rows(units: DataFrame) -> DataFrame:
     labels = F.coalesce(label_list(F.col("aspect_labels")), F.array().cast("array<string>"))
     long = maps.withColumn("aspect", F.explode(F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit("unclear")))))
     number = lambda k: F.coalesce(F.expr(f"try_cast(try_element_at(_{k}, aspect) as double)"), F.lit(0.0))
-    out = long.withColumns({"sentiment": F.coalesce(F.try_element_at("_sentiment", F.col("aspect")), F.lit("unclear")), "severity": number("severity"), "confidence": number("confidence")})
+    out = long.withColumns({"sentiment": F.coalesce(F.try_element_at("_sentiment", F.col("aspect")), F.lit("unclear")),
+        "severity": number("severity"), "confidence": number("confidence")})
     return out.drop(*(f"_{k}" for k in lists), *lists.values(), "aspect_labels")
 
 
@@ -83,20 +88,24 @@ def aspect_summary(rows: DataFrame, units: DataFrame, full: DataFrame) -> DataFr
     negative, positive, weight = _sides()
     flag = lambda c: F.max(c.cast("int"))
     heavy = lambda c: F.sum(F.when(c, weight).otherwise(0))
-    one = rows.groupBy("unit_id", "aspect").agg(flag(negative).alias("neg"), flag(positive).alias("pos"), F.sum(weight).alias("w"), heavy(negative).alias("wneg"), heavy(positive).alias("wpos"), F.sum("severity").alias("sev"), F.count("*").alias("n"))
+    one = rows.groupBy("unit_id", "aspect").agg(flag(negative).alias("neg"), flag(positive).alias("pos"), F.sum(weight).alias("w"),
+        heavy(negative).alias("wneg"), heavy(positive).alias("wpos"), F.sum("severity").alias("sev"), F.count("*").alias("n"))
     by_unit = one.groupBy("unit_id").agg(F.max("neg").alias("neg"), F.max("pos").alias("pos"))
     total = by_unit.agg(F.count("*").alias("_units"), F.greatest(F.sum("neg"), F.lit(1)).alias("_neg"), F.greatest(F.sum("pos"), F.lit(1)).alias("_pos"))
     share = lambda x: F.avg((F.col("label") == x).cast("double"))
     scored = units.agg(share("negative").alias("_sneg"), share("positive").alias("_spos"))
     every = full.agg(F.count("*").alias("_full"), share("negative").alias("_fneg"), share("positive").alias("_fpos"))
-    out = one.where("aspect <> 'unclear'").groupBy("aspect").agg(F.count("*").alias("n_units"), F.sum("neg").alias("n_negative"), F.sum("pos").alias("n_positive"), F.sum("w").alias("_w"), F.sum("wneg").alias("_wneg"), F.sum("wpos").alias("_wpos"), F.sum("sev").alias("_sev"), F.sum("n").alias("_n"))
+    out = one.where("aspect <> 'unclear'").groupBy("aspect").agg(F.count("*").alias("n_units"), F.sum("neg").alias("n_negative"),
+        F.sum("pos").alias("n_positive"), F.sum("w").alias("_w"), F.sum("wneg").alias("_wneg"), F.sum("wpos").alias("_wpos"),
+        F.sum("sev").alias("_sev"), F.sum("n").alias("_n"))
     out = out.crossJoin(total).crossJoin(scored).crossJoin(every)  # one row each
     columns = {"mention_rate": ratio(F.col("n_units"), F.col("_units")), "mean_severity": ratio(F.col("_sev"), F.col("_n"))}
     for name, x in (("negative", "neg"), ("positive", "pos")):
         n = F.col(f"n_{name}")
         rate, prevalence = ratio0(n, F.col("n_units")), ratio(n, F.col("_full"))
         columns |= {
-            f"{name}_rate": rate, f"{name}_lift": ratio(rate, F.col(f"_s{x}")), f"{name}_share": ratio(n, F.col(f"_{x}")), f"weighted_{name}_rate": ratio0(F.col(f"_w{x}"), F.col("_w")),
+            f"{name}_rate": rate, f"{name}_lift": ratio(rate, F.col(f"_s{x}")), f"{name}_share": ratio(n, F.col(f"_{x}")),
+            f"weighted_{name}_rate": ratio0(F.col(f"_w{x}"), F.col("_w")),
             f"{name}_prevalence": prevalence, f"{name}_prevalence_lift": ratio(prevalence, F.col(f"_f{x}")),
         }
     return out.select("aspect", "n_units", "n_negative", "n_positive", *(places(c).alias(k) for k, c in columns.items()))
@@ -106,8 +115,10 @@ def aspect_daily(rows: DataFrame, *platform: str) -> DataFrame:
     """Per day and aspect (of each platform): distinct units, negative and positive rows, severity, weight."""
     negative, positive, weight = _sides()
     one = rows.where("aspect <> 'unclear' and ts is not null").groupBy(*platform, F.to_date("ts").alias("day"), "aspect", "unit_id")
-    one = one.agg(F.count_if(negative).alias("neg"), F.count_if(positive).alias("pos"), F.sum("severity").alias("sev"), F.count("*").alias("n"), F.sum(weight).alias("w"))
-    out = one.groupBy(*platform, "day", "aspect").agg(F.count("*").alias("n_units"), F.sum("neg").alias("n_negative"), F.sum("pos").alias("n_positive"), places(ratio(F.sum("sev"), F.sum("n"))).alias("mean_severity"), F.sum("w").alias("weight"))
+    one = one.agg(F.count_if(negative).alias("neg"), F.count_if(positive).alias("pos"), F.sum("severity").alias("sev"),
+        F.count("*").alias("n"), F.sum(weight).alias("w"))
+    out = one.groupBy(*platform, "day", "aspect").agg(F.count("*").alias("n_units"), F.sum("neg").alias("n_negative"),
+        F.sum("pos").alias("n_positive"), places(ratio(F.sum("sev"), F.sum("n"))).alias("mean_severity"), F.sum("w").alias("weight"))
     return out
 
 
@@ -117,7 +128,8 @@ def aspect_anomalies(daily: DataFrame, platform: str, *, least: int = 3, sigmas:
     out = daily.withColumns({"mean": F.avg("n_negative").over(group), "sd": F.stddev_pop("n_negative").over(group)})
     threshold = F.greatest(F.col("mean") + sigmas * F.col("sd"), F.lit(float(least)))
     out = out.where(F.col("n_negative") >= threshold)
-    return out.select(platform, "aspect", "day", "n_negative", places(F.col("mean")).alias("mean"), places(F.col("sd")).alias("sd"), places(ratio(F.col("n_negative") - F.col("mean"), F.col("sd"))).alias("z"), places(threshold).alias("threshold"))
+    return out.select(platform, "aspect", "day", "n_negative", places(F.col("mean")).alias("mean"), places(F.col("sd")).alias("sd"),
+        places(ratio(F.col("n_negative") - F.col("mean"), F.col("sd"))).alias("z"), places(threshold).alias("threshold"))
 
 
 def labelled_aspects(comments: DataFrame, aspects: DataFrame, sentiment: str) -> DataFrame:
@@ -136,7 +148,8 @@ def aspect_shares(rows: DataFrame, *keys: str) -> DataFrame:
 def top_negative(comments: DataFrame, *, k: int = 3) -> DataFrame:
     """The k most liked negative comments of each video."""
     order = Window.partitionBy("video_id").orderBy(F.desc("like_count"), "ts", "thread_id", "line", "actor_id")
-    return comments.where("label = 'negative'").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("video_id", "place", "like_count", "ts", "thread_id", "line")
+    return comments.where("label = 'negative'").withColumn("place",
+        F.row_number().over(order)).where(F.col("place") <= k).select("video_id", "place", "like_count", "ts", "thread_id", "line")
 
 
 def actionable_share(rows: DataFrame, key: str) -> DataFrame:

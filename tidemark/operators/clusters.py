@@ -32,10 +32,12 @@ def cluster_summary(clustered: DataFrame, comments: DataFrame, labels: DataFrame
     """Per cluster: videos, dates, comments, distinct commenters, median commenters of a video, views, and the
     commonest labels and most commented videos. labels: (video_id, label)."""
     own = clustered.groupBy("cluster").agg(
-        F.count("*").alias("n_videos"), F.min("published_at").alias("date_min"), F.max("published_at").alias("date_max"), F.coalesce(F.sum("n_comments"), F.lit(0)).alias("n_comments"),
+        F.count("*").alias("n_videos"), F.min("published_at").alias("date_min"), F.max("published_at").alias("date_max"),
+        F.coalesce(F.sum("n_comments"), F.lit(0)).alias("n_comments"),
         places(F.median("n_commenters")).alias("median_commenters"), F.coalesce(F.sum("view_count"), F.lit(0)).alias("total_views"),
     )
-    actors = comments.join(clustered.select("video_id", "cluster"), "video_id").select("cluster", "actor_id").distinct().groupBy("cluster").agg(F.count("actor_id").alias("n_commenters"))
+    actors = comments.join(clustered.select("video_id", "cluster"), "video_id").select("cluster",
+        "actor_id").distinct().groupBy("cluster").agg(F.count("actor_id").alias("n_commenters"))
     counts = labels.join(clustered.select("video_id", "cluster"), "video_id").groupBy("cluster", "label").agg(F.count("*").alias("n"))
     top_labels = _ranked_text(counts, "cluster", "label", ["n"], "n", k, 10_000).withColumnRenamed("_text", "top_labels")
     top_videos = _ranked_text(clustered, "cluster", "title", ["n_commenters", "n_comments"], "n_commenters", k, 48).withColumnRenamed("_text", "top_videos")
@@ -51,7 +53,8 @@ def theme_affinity(clustered: DataFrame, labels: DataFrame) -> DataFrame:
     total = vc.agg(F.count("*").alias("_all"))  # one row
     out = labeled.groupBy("cluster", "label").agg(F.countDistinct("video_id").alias("n_videos")).join(sizes, "cluster").join(overall, "label").crossJoin(total)
     share, every = ratio(F.col("n_videos"), F.col("cluster_videos")), ratio(F.col("label_videos"), F.col("_all"))
-    return out.select("cluster", "label", "n_videos", "cluster_videos", "label_videos", places(share).alias("cluster_share"), places(every).alias("overall_share"), places(ratio(share, every)).alias("lift"))
+    return out.select("cluster", "label", "n_videos", "cluster_videos", "label_videos", places(share).alias("cluster_share"),
+        places(every).alias("overall_share"), places(ratio(share, every)).alias("lift"))
 
 
 def described_opportunities(found: DataFrame, edges: DataFrame, clustered: DataFrame, actor_videos: DataFrame) -> DataFrame:
@@ -63,8 +66,10 @@ def described_opportunities(found: DataFrame, edges: DataFrame, clustered: DataF
     seen = lambda x: actor_videos.select(F.col("video_id").alias(x), "actor_id")
     shared = pairs.join(seen("a"), "a").join(seen("b"), ["b", "actor_id"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
     ends = both(edges).select("u", "v")
-    mids = pairs.join(ends.select(F.col("u").alias("a"), F.col("v").alias("mid")), "a").join(ends.select(F.col("u").alias("b"), F.col("v").alias("mid")), ["b", "mid"])
-    mids = mids.join(clustered.select(F.col("video_id").alias("mid"), F.coalesce("n_commenters", F.lit(0)).alias("_n"), F.coalesce("title", F.col("video_id").cast("string")).alias("_title")), "mid")
+    mids = pairs.join(ends.select(F.col("u").alias("a"), F.col("v").alias("mid")),
+        "a").join(ends.select(F.col("u").alias("b"), F.col("v").alias("mid")), ["b", "mid"])
+    mids = mids.join(clustered.select(F.col("video_id").alias("mid"), F.coalesce("n_commenters", F.lit(0)).alias("_n"),
+        F.coalesce("title", F.col("video_id").cast("string")).alias("_title")), "mid")
     by_id = F.row_number().over(Window.partitionBy("a", "b").orderBy("mid"))
     by_size = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("_n"), F.desc("_title"), F.desc("mid")))
     mids = mids.withColumns({"_i": by_id, "_j": by_size}).where("_i <= 10 or _j <= 5")
@@ -72,5 +77,6 @@ def described_opportunities(found: DataFrame, edges: DataFrame, clustered: DataF
     titles = F.array_sort(F.collect_list(F.when(F.col("_j") <= 5, F.struct("_j", F.substring("_title", 1, 72).alias("t")))))
     common = mids.groupBy("a", "b").agg(F.array_join(ids["t"], "; ").alias("common_ids"), F.array_join(titles["t"], "; ").alias("common_titles"))
     out = found.join(side("a"), "a").join(side("b"), "b").join(shared, ["a", "b"], "left").join(common, ["a", "b"], "left")
-    out = out.withColumns({"shared": F.coalesce("shared", F.lit(0)), "same_theme": F.coalesce("a_theme", F.lit("")) == F.coalesce("b_theme", F.lit("")), "same_cluster": F.col("a_cluster").eqNullSafe(F.col("b_cluster"))})
+    out = out.withColumns({"shared": F.coalesce("shared", F.lit(0)), "same_theme": F.coalesce("a_theme", F.lit("")) == F.coalesce("b_theme",
+        F.lit("")), "same_cluster": F.col("a_cluster").eqNullSafe(F.col("b_cluster"))})
     return out.withColumn("kind", opportunity_type()).drop("same_theme", "same_cluster")

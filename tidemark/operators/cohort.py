@@ -18,7 +18,8 @@ INDICES = {
     "content_portfolio_linkage": ["video_network_density", "video_network_modularity", "top_bridge_participation_mean"],
 }
 INDEX_POLARITY = {"risk_pressure": "risk_high", "community_concentration": "mixed_high", "content_portfolio_linkage": "mixed_high"}
-LEADERBOARD_METRICS = ("comments_per_1k_views", "high_mid_tier_commenter_share", "continuity_return_rate_w4", "community_hhi", "negative_rate", "like_weighted_negative_rate", "reply_share_all_comments", "max_video_like_weighted_conflict_score")
+LEADERBOARD_METRICS = ("comments_per_1k_views", "high_mid_tier_commenter_share", "continuity_return_rate_w4", "community_hhi",
+    "negative_rate", "like_weighted_negative_rate", "reply_share_all_comments", "max_video_like_weighted_conflict_score")
 
 
 def distributions(metrics: DataFrame) -> DataFrame:
@@ -26,7 +27,9 @@ def distributions(metrics: DataFrame) -> DataFrame:
 
     Values have six places, so middles of two have seven: nine are kept."""
     q = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
-    return metrics.groupBy("metric").agg(F.count("*").alias("n"), places(F.avg("value"), 9).alias("mean"), places(F.stddev_pop("value"), 9).alias("sd"), F.min("value").alias("least"), F.max("value").alias("most"), *(places(F.percentile("value", p), 9).alias(k) for k, p in q.items()))
+    return metrics.groupBy("metric").agg(F.count("*").alias("n"), places(F.avg("value"), 9).alias("mean"),
+        places(F.stddev_pop("value"), 9).alias("sd"), F.min("value").alias("least"), F.max("value").alias("most"),
+        *(places(F.percentile("value", p), 9).alias(k) for k, p in q.items()))
 
 
 def percentiles(metrics: DataFrame) -> DataFrame:
@@ -40,8 +43,10 @@ def percentiles(metrics: DataFrame) -> DataFrame:
 def target_comparison(metrics: DataFrame, target: str) -> DataFrame:
     """The target's metrics against all channels: share at or below, distance from the median."""
     own = metrics.where(F.col("channel") == target).select("metric", F.col("value").alias("target"))
-    out = metrics.join(F.broadcast(own), "metric").groupBy("metric", "target").agg((100 * F.avg((F.col("value") <= F.col("target")).cast("double"))).alias("p"), F.percentile("value", 0.5).alias("m"))
-    return out.select("metric", "target", places(F.col("p")).alias("percentile"), places(F.col("m"), 9).alias("median"), places(F.col("target") - F.col("m"), 9).alias("delta"), places(ratio(F.col("target"), F.col("m")), 9).alias("ratio"))
+    out = metrics.join(F.broadcast(own), "metric").groupBy("metric",
+        "target").agg((100 * F.avg((F.col("value") <= F.col("target")).cast("double"))).alias("p"), F.percentile("value", 0.5).alias("m"))
+    return out.select("metric", "target", places(F.col("p")).alias("percentile"), places(F.col("m"), 9).alias("median"),
+        places(F.col("target") - F.col("m"), 9).alias("delta"), places(ratio(F.col("target"), F.col("m")), 9).alias("ratio"))
 
 
 def composite_indices(ranks: DataFrame) -> DataFrame:
@@ -49,12 +54,14 @@ def composite_indices(ranks: DataFrame) -> DataFrame:
     spec = [(index, m.removeprefix("-"), m.startswith("-")) for index, parts in INDICES.items() for m in parts]
     table = ranks.sparkSession.createDataFrame(spec, "index_name string, metric string, inverted boolean")
     score = F.when(F.col("inverted"), 100 - F.col("percentile")).otherwise(F.col("percentile"))
-    return ranks.join(F.broadcast(table), "metric").groupBy("channel", "index_name").agg(places(F.avg(score), 4).alias("score"), F.count("*").alias("n_components"))
+    return ranks.join(F.broadcast(table), "metric").groupBy("channel", "index_name").agg(places(F.avg(score), 4).alias("score"),
+        F.count("*").alias("n_components"))
 
 
 def score_band(score: Column) -> Column:
     """Which fifth or so of the scale a score lies in (bounds are fixed values)."""
-    return F.when(score.isNull(), "unknown").when(score >= 80, "very_high").when(score >= 65, "high").when(score >= 40, "middle").when(score >= 25, "low").otherwise("very_low")
+    return F.when(score.isNull(), "unknown").when(score >= 80, "very_high").when(score >= 65, "high").when(score >= 40,
+        "middle").when(score >= 25, "low").otherwise("very_low")
 
 
 def index_hints(indices: DataFrame) -> DataFrame:
@@ -72,8 +79,10 @@ def archetypes(indices: DataFrame) -> DataFrame:
     wide = indices.groupBy("channel").agg(*(at(k) for k in INDICES))
     e, s, q, r, c, li = (F.col(k) for k in INDICES)
     rule = (
-        F.when((e >= 65) & (r >= 65), "high_engagement_high_risk").when((e >= 65) & (s >= 60) & (r < 60), "steady_discussion").when((s >= 65) & (c >= 65), "core_circle")
-        .when((li >= 65) & (e >= 50), "expandable_portfolio").when((q >= 65) & (e < 45), "quiet_potential").when((e < 40) & (s < 40), "low_participation").otherwise("balanced")
+        F.when((e >= 65) & (r >= 65), "high_engagement_high_risk").when((e >= 65) & (s >= 60) & (r < 60),
+        "steady_discussion").when((s >= 65) & (c >= 65), "core_circle")
+        .when((li >= 65) & (e >= 50), "expandable_portfolio").when((q >= 65) & (e < 45), "quiet_potential").when((e < 40) & (s < 40),
+        "low_participation").otherwise("balanced")
     )
     return wide.select("channel", rule.alias("archetype"))
 
@@ -84,7 +93,8 @@ def leaderboards(metrics: DataFrame, *, k: int = 5) -> DataFrame:
     top = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("value"), "channel"))
     low = F.row_number().over(Window.partitionBy("metric").orderBy("value", "channel"))
     out = metrics.withColumn("top", top).withColumn("low", low).where((F.col("top") <= k) | (F.col("low") <= k))
-    sides = F.filter(F.array(F.struct(F.lit("top").alias("board"), F.col("top").alias("place")), F.struct(F.lit("bottom").alias("board"), F.col("low").alias("place"))), lambda x: x["place"] <= k)
+    sides = F.filter(F.array(F.struct(F.lit("top").alias("board"), F.col("top").alias("place")),
+        F.struct(F.lit("bottom").alias("board"), F.col("low").alias("place"))), lambda x: x["place"] <= k)
     return out.select("metric", "channel", "value", F.explode(sides).alias("s")).select("metric", "channel", "value", "s.*")
 
 
@@ -93,26 +103,31 @@ def size_bands(sizes: DataFrame, metrics: DataFrame, *, bounds: tuple[int, ...]
     the sample deviation, 0 for one channel."""
     bands = F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("size"))
     held = sizes.select("channel", F.explode(bands).alias("at_least"))
-    return metrics.join(held, "channel").groupBy("at_least", "metric").agg(F.count("*").alias("n"), places(F.avg("value"), 9).alias("mean"), places(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 9).alias("sd"), places(F.percentile("value", 0.5), 9).alias("median"))
+    return metrics.join(held, "channel").groupBy("at_least", "metric").agg(F.count("*").alias("n"), places(F.avg("value"), 9).alias("mean"),
+        places(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 9).alias("sd"), places(F.percentile("value", 0.5), 9).alias("median"))
 
 
 def loglog_regression(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Least squares of log10(y + 1) on log10(x + 1), one row: slope, intercept, R2, n."""
     lx, ly = F.log10(F.col(x) + 1.0), F.log10(F.col(y) + 1.0)
-    return rows.select(lx.alias("lx"), ly.alias("ly")).agg(F.count("*").alias("n"), places(F.regr_slope("ly", "lx"), 5).alias("slope"), places(F.regr_intercept("ly", "lx"), 4).alias("intercept"), places(F.regr_r2("ly", "lx")).alias("r2"))
+    return rows.select(lx.alias("lx"), ly.alias("ly")).agg(F.count("*").alias("n"), places(F.regr_slope("ly", "lx"), 5).alias("slope"),
+        places(F.regr_intercept("ly", "lx"), 4).alias("intercept"), places(F.regr_r2("ly", "lx")).alias("r2"))
 
 
 def theme_contrast(cells: DataFrame, *, least: int = 150, spread: float = 0.0, k: int = 6) -> DataFrame:
     """Themes whose negative rate differs most between communities: (theme, community, n,
     negative_rate) cells of at least `least`, two communities at least."""
-    out = cells.where((F.col("n") >= least) & (F.col("theme") != "other")).groupBy("theme").agg(F.count("*").alias("n_communities"), places(F.max("negative_rate") - F.min("negative_rate")).alias("spread"))
+    out = cells.where((F.col("n") >= least) & (F.col("theme") != "other")).groupBy("theme").agg(F.count("*").alias("n_communities"),
+        places(F.max("negative_rate") - F.min("negative_rate")).alias("spread"))
     return out.where((F.col("n_communities") >= 2) & (F.col("spread") >= spread)).orderBy(F.desc("spread"), "theme").limit(k)
 
 
 def completion(wanted: DataFrame, done: DataFrame, key: str, group: str) -> DataFrame:
     """Per group: rows wanted, done and left."""
-    out = wanted.join(done.select(key).distinct().withColumn("_done", F.lit(1)), key, "left").groupBy(group).agg(F.count("*").alias("wanted"), F.count("_done").alias("done"))
-    return out.select(group, "wanted", "done", (F.col("wanted") - F.col("done")).alias("remaining"), places(ratio(F.col("done"), F.col("wanted"))).alias("completion"))
+    out = wanted.join(done.select(key).distinct().withColumn("_done", F.lit(1)), key,
+        "left").groupBy(group).agg(F.count("*").alias("wanted"), F.count("_done").alias("done"))
+    return out.select(group, "wanted", "done", (F.col("wanted") - F.col("done")).alias("remaining"),
+        places(ratio(F.col("done"), F.col("wanted"))).alias("completion"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
@@ -127,7 +142,9 @@ def membership(cohort: DataFrame, configs: DataFrame) -> DataFrame:
     cohort: (candidate_id, url); configs: (slug, channel_id, handle, name)."""
     from tidemark.functions.columns import channel_key
 
-    keys = configs.select("slug", F.explode(F.array(F.concat(F.lit("channel:"), F.lower("channel_id")), F.concat(F.lit("handle:"), F.lower(F.regexp_replace("handle", "^@", ""))), F.concat(F.lit("last:"), F.lower("name")))).alias("key")).where("key is not null")
+    keys = configs.select("slug", F.explode(F.array(F.concat(F.lit("channel:"), F.lower("channel_id")),
+        F.concat(F.lit("handle:"), F.lower(F.regexp_replace("handle", "^@", ""))),
+        F.concat(F.lit("last:"), F.lower("name")))).alias("key")).where("key is not null")
     first = keys.groupBy("key").agg(F.min("slug").alias("slug"))
     out = cohort.withColumn("key", channel_key(F.col("url"))).join(first, "key", "left")
     return out.withColumn("status", F.when(F.col("slug").isNull(), "missing_config").otherwise("ready"))

@@ -13,14 +13,16 @@ def with_polarity(ranks: DataFrame) -> DataFrame:
     out = ranks.withColumn("polarity", metric_polarity(F.col("metric")))
     p, high, low = F.col("polarity"), F.col("percentile") >= 75, F.col("percentile") <= 25
     outer = p.isin("concentration_high", "mixed_high") & (high | low)
-    reading = F.when((p == "risk_high") & high, "risk").when((p == "risk_high") & low, "opportunity").when((p == "benefit_high") & high, "opportunity").when((p == "benefit_high") & low, "risk").when(outer, "watch").otherwise("context")
+    reading = F.when((p == "risk_high") & high, "risk").when((p == "risk_high") & low, "opportunity").when((p == "benefit_high") & high,
+        "opportunity").when((p == "benefit_high") & low, "risk").when(outer, "watch").otherwise("context")
     return out.withColumn("reading", reading)
 
 
 def metric_catalogue(spread: DataFrame) -> DataFrame:
     """Every metric with its group, unit, polarity and distribution."""
     m = F.col("metric")
-    return spread.withColumns({"metric_group": metric_group(m), "unit": metric_unit(m), "polarity": metric_polarity(m), "iqr": places(F.col("p75") - F.col("p25"), 9)})
+    return spread.withColumns({"metric_group": metric_group(m), "unit": metric_unit(m), "polarity": metric_polarity(m),
+        "iqr": places(F.col("p75") - F.col("p25"), 9)})
 
 
 def takeaways(ranks: DataFrame, *, k: int = 8) -> DataFrame:
@@ -50,37 +52,46 @@ def metric_positions(metrics: DataFrame, spread: DataFrame) -> DataFrame:
     """Each value against its metric's distribution: percentile by interpolation, distance from the
     median in interquartile ranges, and which part of the box it lies in."""
     d = metrics.join(spread.select("metric", "least", "p10", "p25", "median", "p75", "p90", "most"), "metric")
-    points = [(0.0, F.col("least")), (10.0, F.col("p10")), (25.0, F.col("p25")), (50.0, F.col("median")), (75.0, F.col("p75")), (90.0, F.col("p90")), (100.0, F.col("most"))]
+    points = [(0.0, F.col("least")), (10.0, F.col("p10")), (25.0, F.col("p25")), (50.0, F.col("median")), (75.0, F.col("p75")),
+        (90.0, F.col("p90")), (100.0, F.col("most"))]
     v = F.col("value")
     part = F.when(v < F.col("p25"), "below_iqr").when(v > F.col("p75"), "above_iqr").otherwise("inside_iqr")
-    return d.select("channel", "metric", "value", places(value_percentile(v, points), 4).alias("position"), places(ratio(v - F.col("median"), F.col("p75") - F.col("p25")), 4).alias("iqr_distance"), part.alias("part"))
+    return d.select("channel", "metric", "value", places(value_percentile(v, points), 4).alias("position"),
+        places(ratio(v - F.col("median"), F.col("p75") - F.col("p25")), 4).alias("iqr_distance"), part.alias("part"))
 
 
 def engagement_table(videos: DataFrame, *, k: int = 12) -> DataFrame:
     """Videos by comments for a thousand views."""
     rate = places(ratio(1000 * F.col("n_comments"), F.col("view_count")))
-    return videos.select("video_id", "title", "n_comments", "view_count", rate.alias("per_1k_views")).orderBy(F.desc_nulls_last("per_1k_views"), "video_id").limit(k)
+    return videos.select("video_id", "title", "n_comments", "view_count",
+        rate.alias("per_1k_views")).orderBy(F.desc_nulls_last("per_1k_views"), "video_id").limit(k)
 
 
 def risk_videos(blocks: DataFrame, *, least: int = 50, k: int = 6) -> DataFrame:
     """Videos of enough comments by weighted negative rate; all videos where none has enough."""
     enough = F.col("n") >= least
     some = F.max(enough).over(Window.partitionBy())
-    return blocks.withColumn("_some", some).where(enough | ~F.col("_some")).select("video_id", "n", "negative_rate", "weighted_negative_rate").orderBy(F.desc_nulls_last("weighted_negative_rate"), "video_id").limit(k)
+    return blocks.withColumn("_some", some).where(enough | ~F.col("_some")).select("video_id", "n", "negative_rate",
+        "weighted_negative_rate").orderBy(F.desc_nulls_last("weighted_negative_rate"), "video_id").limit(k)
 
 
 def theme_overview(summary: DataFrame, sentiment: DataFrame, conflict: DataFrame, views: DataFrame) -> DataFrame:
     """Themes with their comments, sentiment, conflict, and comments for a thousand views."""
-    out = summary.join(sentiment.select("theme", "negative_rate", "positive_rate"), "theme", "left").join(conflict.select("theme", "conflict_rate_replied", "conflict_score"), "theme", "left").join(views.groupBy("theme").agg(F.sum("view_count").alias("views")), "theme", "left")
+    out = summary.join(sentiment.select("theme", "negative_rate", "positive_rate"), "theme",
+        "left").join(conflict.select("theme", "conflict_rate_replied", "conflict_score"), "theme",
+        "left").join(views.groupBy("theme").agg(F.sum("view_count").alias("views")), "theme", "left")
     return out.withColumn("per_1k_views", places(ratio(1000 * F.col("n_comments"), F.col("views"))))
 
 
 def segment_profiles(blocks: DataFrame, affinities: DataFrame, group: str, label: str, *, k: int = 3) -> DataFrame:
     """Groups with comments for each commenter, their commonest sentiment, and top labels by lift."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("lift"), label))
-    top = affinities.withColumn("_place", place).where(F.col("_place") <= k).groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", label))), lambda x: x[label]), ";").alias("top_labels"))
+    top = affinities.withColumn("_place",
+        place).where(F.col("_place") <= k).groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place",
+        label))), lambda x: x[label]), ";").alias("top_labels"))
     dominant = F.array_max(F.array(*(F.struct(F.col(f"n_{x}").alias("n"), F.lit(x).alias("label")) for x in ("negative", "neutral", "positive"))))["label"]
-    return blocks.select(group, "n", "n_actors", places(ratio(F.col("n"), F.col("n_actors"))).alias("comments_per_commenter"), dominant.alias("dominant")).join(top, group, "left")
+    return blocks.select(group, "n", "n_actors", places(ratio(F.col("n"), F.col("n_actors"))).alias("comments_per_commenter"),
+        dominant.alias("dominant")).join(top, group, "left")
 
 
 def likes_outliers(videos: DataFrame, *, least_views: int = 1000, k: int = 8) -> DataFrame:
@@ -91,26 +102,31 @@ def likes_outliers(videos: DataFrame, *, least_views: int = 1000, k: int = 8) ->
     own = rows.crossJoin(F.broadcast(line)).withColumn("r", F.col("y") - F.col("a") - F.col("b") * F.col("x"))
     spread = own.agg(F.sqrt(F.sum(F.col("r") * F.col("r")) / (F.count("*") - 2)).alias("sd"))
     out = own.crossJoin(F.broadcast(spread)).where(F.col("view_count") >= F.greatest(F.lit(float(least_views)), F.col("p10")))
-    out = out.select("video_id", "view_count", "likes", places(ratio(F.col("r"), F.col("sd")), 4).alias("z"), places(F.pow(F.lit(10.0), F.col("r")), 4).alias("lift"))
+    out = out.select("video_id", "view_count", "likes", places(ratio(F.col("r"), F.col("sd")), 4).alias("z"),
+        places(F.pow(F.lit(10.0), F.col("r")), 4).alias("lift"))
     return out.orderBy(F.desc(F.abs("z")), "video_id").limit(k)
 
 
 def diagnostics(tiers: DataFrame, sensitivity: DataFrame, network: DataFrame, affinities: DataFrame) -> DataFrame:
     """Facts drawn from summaries by thresholds: (fact, value, holds)."""
-    fact = lambda df, name, value, holds: df.select(F.lit(name).alias("fact"), places(value.cast("double")).alias("value"), F.coalesce(holds, F.lit(False)).alias("holds"))
+    fact = lambda df, name, value, holds: df.select(F.lit(name).alias("fact"), places(value.cast("double")).alias("value"),
+        F.coalesce(holds, F.lit(False)).alias("holds"))
     top = tiers.agg(F.max("pct_commenters").alias("v"))
     span = sensitivity.agg((F.max("weighted_return_rate") - F.min("weighted_return_rate")).alias("v"))
     lift = affinities.agg(F.max("lift").alias("v"))
     v = F.col("v")
-    out = fact(top, "one_tier_dominates", v, v >= 80).unionByName(fact(span, "return_rate_is_stable", v, v <= 0.08)).unionByName(fact(lift, "themes_split_communities", v, v >= 1.2))
-    return out.unionByName(fact(network, "communities_are_concentrated", F.col("hhi"), F.col("hhi") >= 0.25)).unionByName(fact(network, "graph_is_dense", F.col("density"), F.col("density") >= 0.1))
+    out = fact(top, "one_tier_dominates", v, v >= 80).unionByName(fact(span, "return_rate_is_stable", v, v <= 0.08)).unionByName(fact(lift,
+        "themes_split_communities", v, v >= 1.2))
+    return out.unionByName(fact(network, "communities_are_concentrated", F.col("hhi"), F.col("hhi") >= 0.25)).unionByName(fact(network,
+        "graph_is_dense", F.col("density"), F.col("density") >= 0.1))
 
 
 def spotlight(metrics: DataFrame, spread: DataFrame, *, k: int = 3) -> DataFrame:
     """Of each metric the k highest and lowest channels beside its median."""
     high = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("value"), "channel"))
     low = F.row_number().over(Window.partitionBy("metric").orderBy("value", "channel"))
-    name = lambda place: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(place) <= k, F.struct(place, "channel")))), lambda x: x["channel"]), ";")
+    name = lambda place: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(place) <= k, F.struct(place, "channel")))),
+        lambda x: x["channel"]), ";")
     out = metrics.withColumn("_high", high).withColumn("_low", low).groupBy("metric").agg(name("_high").alias("highest"), name("_low").alias("lowest"))
     return out.join(spread.select("metric", "n", "median"), "metric")
 
@@ -124,7 +140,8 @@ def story_cards(indices: DataFrame, *, high: float = 65, low: float = 35, k: int
     cards = indices.where((score >= high) | (score <= low)).withColumn("kind", kind)
     cards = cards.withColumn("priority", places(F.when(F.col("kind") == "risk", 60).otherwise(50) + F.abs(score - 50), 4))
     place = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("priority"), "index_name"))
-    return cards.withColumn("place", place).where(F.col("place") <= k).select("channel", "place", "index_name", "kind", "priority", (F.col("place") <= 5).alias("decide"))
+    return cards.withColumn("place", place).where(F.col("place") <= k).select("channel", "place", "index_name", "kind", "priority",
+        (F.col("place") <= 5).alias("decide"))
 
 
 def video_timeline(metrics: DataFrame, blocks: DataFrame, events: DataFrame) -> DataFrame:
@@ -147,9 +164,11 @@ def sentiment_profile(blocks: DataFrame, *keys: str) -> DataFrame:
     """Rates of a block with the dominant label (ties: negative, neutral, positive) and how it reads."""
     neg, neu, pos = (F.col(f"{x}_rate") for x in ("negative", "neutral", "positive"))
     dominant = F.when((neg >= neu) & (neg >= pos), "negative").when(neu >= pos, "neutral").otherwise("positive")
-    reading = F.when((F.col("dominant") == "positive") & (neg < 0.1), "mostly_positive").when(F.col("dominant") == "positive", "positive_but_watch_negative").when(F.col("dominant") == "neutral", "mostly_neutral").otherwise("negative_high")
+    reading = F.when((F.col("dominant") == "positive") & (neg < 0.1), "mostly_positive").when(F.col("dominant") == "positive",
+        "positive_but_watch_negative").when(F.col("dominant") == "neutral", "mostly_neutral").otherwise("negative_high")
     out = blocks.withColumn("dominant", dominant).withColumn("sentiment_reading", reading)
-    return out.select(*keys, "dominant", "sentiment_reading", "negative_rate", "neutral_rate", "positive_rate", "weighted_negative_rate", "weighted_positive_rate")
+    return out.select(*keys, "dominant", "sentiment_reading", "negative_rate", "neutral_rate", "positive_rate", "weighted_negative_rate",
+        "weighted_positive_rate")
 
 
 def shared_audience_reading(conductance: Column) -> Column:
@@ -163,7 +182,8 @@ def video_cluster_profiles(summary: DataFrame, structure: DataFrame, blocks: Dat
     best = affinity.withColumn("_place", place).where(F.col("_place") <= k)
     items = F.array_sort(F.collect_list(F.struct("_place", "label")))
     over = best.groupBy("cluster").agg(F.array_join(items["label"], "; ").alias("over_indexed"))
-    shared = structure.select(F.col("part").alias("cluster"), "internal_edges", "external_edges", "conductance", shared_audience_reading(F.col("conductance")).alias("shared_audience"))
+    shared = structure.select(F.col("part").alias("cluster"), "internal_edges", "external_edges", "conductance",
+        shared_audience_reading(F.col("conductance")).alias("shared_audience"))
     mood = sentiment_profile(blocks.withColumnRenamed("video_cluster", "cluster"), "cluster")
     return summary.join(shared, "cluster", "left").join(mood, "cluster", "left").join(over, "cluster", "left")
 
@@ -179,14 +199,16 @@ def analysis_lenses(indices: DataFrame) -> DataFrame:
     """Per channel and lens: the mean of its indices that there are, and how many."""
     rows = [(lens, i) for lens, names in LENSES.items() for i in names]
     table = indices.sparkSession.createDataFrame(rows, "lens string, index_name string")
-    return indices.join(F.broadcast(table), "index_name").groupBy("channel", "lens").agg(places(F.avg("score"), 4).alias("score"), F.count("*").alias("n_indices"))
+    return indices.join(F.broadcast(table), "index_name").groupBy("channel", "lens").agg(places(F.avg("score"), 4).alias("score"),
+        F.count("*").alias("n_indices"))
 
 
 def channel_documents(metrics: DataFrame, ranks: DataFrame, indices: DataFrame, archetypes: DataFrame, cards: DataFrame) -> DataFrame:
     """One document a channel: its metrics as a map, archetype, best and worst index, readings, and what to
     decide on first. Documents are rows; `to_json` makes them text where a sink wants that."""
     own = metrics.groupBy("channel").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
-    best = indices.groupBy("channel").agg(F.max_by("index_name", F.struct("score", "index_name")).alias("best_index"), F.min_by("index_name", F.struct("score", "index_name")).alias("worst_index"))
+    best = indices.groupBy("channel").agg(F.max_by("index_name", F.struct("score", "index_name")).alias("best_index"),
+        F.min_by("index_name", F.struct("score", "index_name")).alias("worst_index"))
     kinds = ("risk", "opportunity", "watch", "context")
     readings = with_polarity(ranks).groupBy("channel").agg(*(F.count_if(F.col("reading") == x).alias(f"n_{x}") for x in kinds))
     queue = F.array_sort(F.collect_list(F.when(F.col("decide"), F.struct("place", "index_name"))))
@@ -197,7 +219,9 @@ def channel_documents(metrics: DataFrame, ranks: DataFrame, indices: DataFrame,
 def baseline_summary(metrics: DataFrame, ranks: DataFrame) -> DataFrame:
     """One row: channels, metrics and rows of the cohort, and the totals of its videos and comments."""
     total = lambda m: F.coalesce(F.sum(F.when(F.col("metric") == m, F.col("value"))), F.lit(0.0)).cast("bigint")
-    out = metrics.agg(F.countDistinct("channel").alias("n_channels"), F.countDistinct("metric").alias("n_metrics"), F.count("*").alias("n_values"), total("n_videos_in_scope").alias("videos"), total("all_comments").alias("comments"), total("top_level_commenters").alias("commenters"))
+    out = metrics.agg(F.countDistinct("channel").alias("n_channels"), F.countDistinct("metric").alias("n_metrics"),
+        F.count("*").alias("n_values"), total("n_videos_in_scope").alias("videos"), total("all_comments").alias("comments"),
+        total("top_level_commenters").alias("commenters"))
     return out.crossJoin(ranks.agg(F.count("*").alias("n_percentiles")))  # one row each
 
 

@@ -20,7 +20,8 @@ from tidemark.functions.columns import hits, normalized, places, ratio, truthy,
 # Topics that are weak signals, and the order of topics of equal weight.
 LOW_SIGNAL_TOPICS = ("general", "recommendation_or_general_mentions", "survey_or_spam")
 TOPIC_PRIORITY = {
-    "political_or_social_controversy": 90, "content_authenticity_question": 85, "authenticity_or_fabrication": 85, "controversy_or_apology": 80, "controversy_or_criticism": 80,
+    "political_or_social_controversy": 90, "content_authenticity_question": 85, "authenticity_or_fabrication": 85,
+    "controversy_or_apology": 80, "controversy_or_criticism": 80,
     "staff_or_host_change": 70, "content_quality_criticism": 65, "politics_or_culture": 60, "recommendation_or_general_mentions": 20, "general": 10,
 }
 OTHER_PRIORITY = 40
@@ -92,8 +93,10 @@ def enriched(posts: DataFrame, labels: DataFrame | None = None, *, require_alias
     out = out.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items()})
     named = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     return out.withColumns({
-        "semantic": F.col("is_relevant").isNotNull(), "relevant": F.coalesce("is_relevant", "heuristic_relevant"), "noise": F.coalesce("is_noise", "heuristic_noise"),
-        "topic": F.coalesce(named("topic_label"), named("event_type"), F.col("heuristic_topic")), "hint": F.coalesce("is_external_event_candidate", F.lit(False)),
+        "semantic": F.col("is_relevant").isNotNull(), "relevant": F.coalesce("is_relevant", "heuristic_relevant"),
+        "noise": F.coalesce("is_noise", "heuristic_noise"),
+        "topic": F.coalesce(named("topic_label"), named("event_type"), F.col("heuristic_topic")),
+        "hint": F.coalesce("is_external_event_candidate", F.lit(False)),
     })
 
 
@@ -113,7 +116,8 @@ def _listed(rows: DataFrame, by: list[str], column: str, k: int, separator: str)
 def _post_sums() -> list[Column]:
     names = lambda c, sep: F.array_join(F.array_sort(F.collect_set(c)), sep)
     return [
-        F.count("*").alias("n_posts"), places(F.sum("engagement"), 2).alias("engagement"), names("source", ",").alias("sources"), names("topic", ";").alias("topics"),
+        F.count("*").alias("n_posts"), places(F.sum("engagement"), 2).alias("engagement"), names("source", ",").alias("sources"),
+        names("topic", ";").alias("topics"),
         F.count_if("semantic").alias("n_semantic"), F.count_if("hint").alias("n_hints"),
     ]
 
@@ -170,7 +174,8 @@ def event_clusters(posts: DataFrame, settings: Settings = Settings()) -> DataFra
     rows = _eligible(posts)
     runs = day_runs(candidate_days(daily_posts(posts), settings), settings)
     peak = F.struct("n_posts", "engagement", -F.unix_date("day"))
-    frame = runs.groupBy("run").agg(F.min("day").alias("event_start"), F.max("day").alias("event_end"), F.max_by("day", peak).alias("event_date"), F.max_by("top_topic", peak).alias("_topic"), F.sum("n_posts").alias("_posts"))
+    frame = runs.groupBy("run").agg(F.min("day").alias("event_start"), F.max("day").alias("event_end"),
+        F.max_by("day", peak).alias("event_date"), F.max_by("top_topic", peak).alias("_topic"), F.sum("n_posts").alias("_posts"))
     days = frame.select("run", "_topic", "_posts", F.explode(F.sequence("event_start", "event_end")).alias("day"))
     held = rows.join(days, "day")
     if settings.merge_cross_topic:
@@ -189,7 +194,8 @@ def event_clusters(posts: DataFrame, settings: Settings = Settings()) -> DataFra
     out = out.where(_strong("event_topic", max(settings.min_event_posts, settings.min_daily_posts), settings))
     # one row a cluster
     number = F.row_number().over(Window.orderBy("event_start", F.desc("n_posts"), F.desc("engagement"), "run"))
-    return out.select(F.format_string("external_event_%03d", number).alias("event_id"), "event_start", "event_end", "event_date", "event_topic", "sources", "n_posts", "engagement", "n_semantic", "n_hints", "top_titles", "post_uids")
+    return out.select(F.format_string("external_event_%03d", number).alias("event_id"), "event_start", "event_end", "event_date",
+        "event_topic", "sources", "n_posts", "engagement", "n_semantic", "n_hints", "top_titles", "post_uids")
 
 
 def in_windows(facts: DataFrame, events: DataFrame, settings: Settings = Settings(), *, start: str = "event_start") -> DataFrame:
@@ -221,18 +227,23 @@ def event_windows(comments: DataFrame, events: DataFrame, settings: Settings = S
     sums: list[Column] = []
     for w in WINDOWS:
         at = F.col("window") == w
-        sums += [F.count_if(at).alias(f"{w}_n"), F.count_if(at & neg).alias(f"{w}_neg"), F.sum(F.when(at, weight)).alias(f"{w}_w"), F.sum(F.when(at & neg, weight)).alias(f"{w}_wneg")]
+        sums += [F.count_if(at).alias(f"{w}_n"), F.count_if(at & neg).alias(f"{w}_neg"), F.sum(F.when(at, weight)).alias(f"{w}_w"),
+            F.sum(F.when(at & neg, weight)).alias(f"{w}_wneg")]
     out = events.select("event_id").join(held.groupBy("event_id").agg(*sums), "event_id", "left")
     rate = lambda w: ratio(F.col(f"{w}_neg"), F.col(f"{w}_n"))
     heavy = lambda w: ratio(F.coalesce(f"{w}_wneg", F.lit(0)), F.col(f"{w}_w"))
     amp = lambda w: ratio(heavy(w), rate(w))
     lift = ratio(F.col("post_n") / settings.post, F.col("baseline_n") / settings.baseline)
     return out.select(
-        "event_id", *_counts([f"{w}_n" for w in WINDOWS]), *(places(rate(w)).alias(f"{w}_negative_rate") for w in WINDOWS), *(places(heavy(w)).alias(f"{w}_weighted_negative_rate") for w in WINDOWS),
-        places(ratio(F.col("post_n"), F.col("pre_n"))).alias("count_ratio"), places(lift).alias("volume_lift"), places(100 * (rate("post") - rate("pre"))).alias("delta_pre_pp"), places(100 * (rate("post") - rate("baseline"))).alias("delta_pp"),
-        places(100 * (heavy("post") - heavy("pre"))).alias("weighted_delta_pre_pp"), places(100 * (heavy("post") - heavy("baseline"))).alias("weighted_delta_pp"),
+        "event_id", *_counts([f"{w}_n" for w in WINDOWS]), *(places(rate(w)).alias(f"{w}_negative_rate") for w in WINDOWS),
+        *(places(heavy(w)).alias(f"{w}_weighted_negative_rate") for w in WINDOWS),
+        places(ratio(F.col("post_n"), F.col("pre_n"))).alias("count_ratio"), places(lift).alias("volume_lift"),
+        places(100 * (rate("post") - rate("pre"))).alias("delta_pre_pp"), places(100 * (rate("post") - rate("baseline"))).alias("delta_pp"),
+        places(100 * (heavy("post") - heavy("pre"))).alias("weighted_delta_pre_pp"),
+        places(100 * (heavy("post") - heavy("baseline"))).alias("weighted_delta_pp"),
         *_z("pre", "pre", "post", "neg", "n"), *_z("baseline", "baseline", "post", "neg", "n"),
-        places(amp("baseline")).alias("baseline_amplification"), places(amp("post")).alias("amplification"), places(ratio(amp("post"), amp("baseline"))).alias("amplification_lift"),
+        places(amp("baseline")).alias("baseline_amplification"), places(amp("post")).alias("amplification"),
+        places(ratio(amp("post"), amp("baseline"))).alias("amplification_lift"),
     )
 
 
@@ -249,7 +260,8 @@ def half_life(comments: DataFrame, events: DataFrame, settings: Settings = Setti
     daily = daily.withColumn("rolling", ratio(F.sum("neg").over(three), F.sum("n").over(three))).join(events.select("event_id", "event_start"), "event_id")
     at = F.date_diff("day", "event_start")
     early = at < 3
-    first = daily.groupBy("event_id").agg(F.sum(F.when(early, F.col("neg"))).alias("a"), F.sum(F.when(early, F.col("n"))).alias("b"), F.min_by(ratio(F.col("neg"), F.col("n")), "day").alias("c"))
+    first = daily.groupBy("event_id").agg(F.sum(F.when(early, F.col("neg"))).alias("a"), F.sum(F.when(early, F.col("n"))).alias("b"),
+        F.min_by(ratio(F.col("neg"), F.col("n")), "day").alias("c"))
     first = first.select("event_id", F.coalesce(ratio(F.col("a"), F.col("b")), F.col("c")).alias("early"))
     rows = daily.join(base, "event_id").join(first, "event_id").where(F.col("early") > F.col("base"))
     low = F.when(F.col("rolling") <= F.col("base") + (F.col("early") - F.col("base")) / 2, at)
@@ -278,30 +290,36 @@ def spillover(comments: DataFrame, events: DataFrame, videos: DataFrame, setting
     held = in_windows(comments.select("ts", "label", "video_id"), events, settings)
     neg = F.count_if(F.col("label") == "negative")
     base = held.where("window = 'baseline'").groupBy("event_id").agg(ratio(neg, F.count("*")).alias("base"))
-    own = held.where("window = 'post'").groupBy("event_id", "video_id").agg(F.count("*").alias("n"), ratio(neg, F.count("*")).alias("rate")).join(base, "event_id")
+    own = held.where("window = 'post'").groupBy("event_id", "video_id").agg(F.count("*").alias("n"),
+        ratio(neg, F.count("*")).alias("rate")).join(base, "event_id")
     near = _near(videos, events).select("event_id", "video_id", F.lit(True).alias("_near"))
     hit = (F.col("n") >= least) & (F.col("rate") >= F.col("base") + rise)
     flagged = own.join(near, ["event_id", "video_id"], "left")
-    out = flagged.groupBy("event_id").agg(F.count("*").alias("n_videos"), F.count_if(hit).alias("n_affected"), F.count_if(hit & F.col("_near")).alias("n_near"), F.count_if(hit & F.col("_near").isNull()).alias("n_other"))
-    return events.select("event_id").join(out, "event_id", "left").select("event_id", *_counts(["n_videos", "n_affected", "n_near", "n_other"]), places(ratio(F.col("n_other"), F.col("n_near"))).alias("spillover_ratio"))
+    out = flagged.groupBy("event_id").agg(F.count("*").alias("n_videos"), F.count_if(hit).alias("n_affected"),
+        F.count_if(hit & F.col("_near")).alias("n_near"), F.count_if(hit & F.col("_near").isNull()).alias("n_other"))
+    return events.select("event_id").join(out, "event_id", "left").select("event_id",
+        *_counts(["n_videos", "n_affected", "n_near", "n_other"]), places(ratio(F.col("n_other"), F.col("n_near"))).alias("spillover_ratio"))
 
 
 def conflict_windows(threads: DataFrame, events: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Per event and window: threads, replied and conflict threads, their rate, conflicts by their rate,
     pile-ons and parent oppositions. threads: (ts, n_replies, conflict_thread, pile_on, parent_opposition)."""
     held = in_windows(threads.select("ts", "n_replies", "conflict_thread", "pile_on", "parent_opposition"), events, settings).where("window <> 'follow'")
-    sums = held.groupBy("event_id", "window").agg(F.count("*").alias("n_threads"), F.count_if(F.col("n_replies") > 0).alias("n_replied"), F.count_if("conflict_thread").alias("n_conflict"), F.count_if("pile_on").alias("n_pile_on"), F.count_if("parent_opposition").alias("n_opposition"))
+    sums = held.groupBy("event_id", "window").agg(F.count("*").alias("n_threads"), F.count_if(F.col("n_replies") > 0).alias("n_replied"),
+        F.count_if("conflict_thread").alias("n_conflict"), F.count_if("pile_on").alias("n_pile_on"), F.count_if("parent_opposition").alias("n_opposition"))
     every = events.select("event_id", F.explode(F.array(*map(F.lit, WINDOWS))).alias("window"))
     rate = ratio(F.col("n_conflict"), F.col("n_replied"))
     out = every.join(sums, ["event_id", "window"], "left")
-    return out.select("event_id", "window", *_counts(["n_threads", "n_replied", "n_conflict", "n_pile_on", "n_opposition"]), places(rate).alias("conflict_rate"), places(F.coalesce(F.col("n_conflict") * rate, F.lit(0.0))).alias("conflict_score"))
+    return out.select("event_id", "window", *_counts(["n_threads", "n_replied", "n_conflict", "n_pile_on", "n_opposition"]),
+        places(rate).alias("conflict_rate"), places(F.coalesce(F.col("n_conflict") * rate, F.lit(0.0))).alias("conflict_score"))
 
 
 def conflict_lift(windows: DataFrame) -> DataFrame:
     """Per event: conflict scores of baseline and post windows, their difference and ratio, and the pile-ons
     and oppositions after the event; windows: conflict_windows."""
     at = lambda w, c: F.max(F.when(F.col("window") == w, F.col(c)))
-    out = windows.groupBy("event_id").agg(at("baseline", "conflict_score").alias("baseline_conflict"), at("post", "conflict_score").alias("post_conflict"), at("post", "n_pile_on").alias("post_pile_on"), at("post", "n_opposition").alias("post_opposition"))
+    out = windows.groupBy("event_id").agg(at("baseline", "conflict_score").alias("baseline_conflict"),
+        at("post", "conflict_score").alias("post_conflict"), at("post", "n_pile_on").alias("post_pile_on"), at("post", "n_opposition").alias("post_opposition"))
     change = F.col("post_conflict") - F.col("baseline_conflict")
     return out.withColumns({"conflict_delta": places(change), "conflict_lift": places(ratio(F.col("post_conflict"), F.col("baseline_conflict")))})
 
@@ -317,11 +335,13 @@ def audience_windows(comments: DataFrame, events: DataFrame, settings: Settings
     comments = comments.where("actor_id is not null and ts is not null").select("actor_id", "ts")
     held = in_windows(comments, events, settings)
     seen = held.groupBy("event_id", "actor_id").agg(*(F.count_if(F.col("window") == w).alias(w) for w in (*WINDOWS, "follow")))
-    seen = seen.join(_first_seen(comments), "actor_id").join(events.select("event_id", "event_start"), "event_id").withColumn("_at", F.date_diff("_first", "event_start"))
+    seen = seen.join(_first_seen(comments), "actor_id").join(events.select("event_id", "event_start"), "event_id").withColumn("_at",
+        F.date_diff("_first", "event_start"))
     span = {"baseline": (-(settings.baseline + settings.pre), -settings.pre), "pre": (-settings.pre, 0), "post": (0, settings.post)}
     new = {w: (F.col(w) > 0) & (F.col("_at") >= a) & (F.col("_at") < b) for w, (a, b) in span.items()}
     sums = [F.count_if(F.col(w) > 0).alias(f"{w}_active") for w in WINDOWS] + [F.count_if(new[w]).alias(f"{w}_new") for w in WINDOWS]
-    sums += [F.sum("post").alias("_comments"), F.coalesce(F.sum(F.when(new["post"], F.col("post"))), F.lit(0)).alias("new_comments"), F.count_if(new["post"] & (F.col("follow") > 0)).alias("returned")]
+    sums += [F.sum("post").alias("_comments"), F.coalesce(F.sum(F.when(new["post"], F.col("post"))), F.lit(0)).alias("new_comments"),
+        F.count_if(new["post"] & (F.col("follow") > 0)).alias("returned")]
     out = events.select("event_id", "event_start").join(seen.groupBy("event_id").agg(*sums), "event_id", "left")
     last = comments.agg(F.max("ts").alias("_last"))  # one row
     out = out.crossJoin(last)
@@ -333,7 +353,8 @@ def audience_windows(comments: DataFrame, events: DataFrame, settings: Settings
         "event_id", *_counts([f"{w}_{k}" for k in ("active", "new") for w in WINDOWS]), *(places(share(w)).alias(f"{w}_new_share") for w in WINDOWS),
         places(100 * (share("post") - share("pre"))).alias("new_delta_pre_pp"), places(100 * (share("post") - share("baseline"))).alias("new_delta_pp"),
         *_z("new_pre", "pre", "post", "new", "active"), *_z("new", "baseline", "post", "new", "active"),
-        *_counts(["new_comments"]), places(ratio(F.col("new_comments"), F.col("_comments"))).alias("new_comment_share"), *_counts(["returned"]), places(ratio(F.col("returned"), F.col("post_new"))).alias("newcomer_return_rate"),
+        *_counts(["new_comments"]), places(ratio(F.col("new_comments"), F.col("_comments"))).alias("new_comment_share"),
+        *_counts(["returned"]), places(ratio(F.col("returned"), F.col("post_new"))).alias("newcomer_return_rate"),
         F.greatest(F.lit(0), F.ceil(seconds / 86400)).cast("int").alias("follow_days"), (F.col("_last") >= end).alias("follow_complete"),
     )
 
@@ -348,16 +369,20 @@ def newcomer_sentiment(comments: DataFrame, events: DataFrame, settings: Setting
     weight = F.greatest(F.coalesce("like_count", F.lit(0)), F.lit(0)) + 1
     sums = []
     for name, mine in (("new", new), ("old", ~new)):
-        sums += [F.count_if(mine).alias(f"n_{name}"), F.count_if(mine & neg).alias(f"{name}_neg"), F.sum(F.when(mine, weight)).alias(f"{name}_w"), F.coalesce(F.sum(F.when(mine & neg, weight)), F.lit(0)).alias(f"{name}_wneg")]
+        sums += [F.count_if(mine).alias(f"n_{name}"), F.count_if(mine & neg).alias(f"{name}_neg"),
+            F.sum(F.when(mine, weight)).alias(f"{name}_w"), F.coalesce(F.sum(F.when(mine & neg, weight)), F.lit(0)).alias(f"{name}_wneg")]
     out = events.select("event_id").join(held.groupBy("event_id").agg(*sums), "event_id", "left")
     rate = lambda x: ratio(F.col(f"{x}_neg"), F.col(f"n_{x}"))
     heavy = lambda x: ratio(F.col(f"{x}_wneg"), F.col(f"{x}_w"))
-    return out.select("event_id", *_counts(["n_new", "n_old"]), *(places(rate(x)).alias(f"{x}_negative_rate") for x in ("new", "old")), places(100 * (rate("new") - rate("old"))).alias("gap_pp"), *(places(heavy(x)).alias(f"{x}_weighted_negative_rate") for x in ("new", "old")), places(100 * (heavy("new") - heavy("old"))).alias("weighted_gap_pp"))
+    return out.select("event_id", *_counts(["n_new", "n_old"]), *(places(rate(x)).alias(f"{x}_negative_rate") for x in ("new", "old")),
+        places(100 * (rate("new") - rate("old"))).alias("gap_pp"), *(places(heavy(x)).alias(f"{x}_weighted_negative_rate") for x in ("new",
+        "old")), places(100 * (heavy("new") - heavy("old"))).alias("weighted_gap_pp"))
 
 
 # Signals in order and what they are called.
 SIGNALS = {
-    "negative_response": "negative_response_above_baseline", "new_audience": "new_audience_entry_above_baseline", "newcomer_negative": "new_commenters_more_negative",
+    "negative_response": "negative_response_above_baseline", "new_audience": "new_audience_entry_above_baseline",
+    "newcomer_negative": "new_commenters_more_negative",
     "conflict": "reply_conflict_lift", "spillover": "negative_spillover_beyond_event_nearby_videos",
 }
 
@@ -382,7 +407,8 @@ def impact_diagnostics(windows: DataFrame, audience: DataFrame, newcomers: DataF
 
 def external_summary(posts: DataFrame, daily: DataFrame, clusters: DataFrame, *, status: str = "ok", settings: Settings = Settings()) -> DataFrame:
     """One row: posts, relevant, labelled and noise posts, days, candidate days, clusters, windows."""
-    own = posts.agg(F.count("*").alias("n_posts"), F.count_if("relevant").alias("n_relevant"), F.count_if("semantic").alias("n_semantic"), F.count_if("noise").alias("n_noise"), F.countDistinct("day").alias("n_days"))
+    own = posts.agg(F.count("*").alias("n_posts"), F.count_if("relevant").alias("n_relevant"), F.count_if("semantic").alias("n_semantic"),
+        F.count_if("noise").alias("n_noise"), F.countDistinct("day").alias("n_days"))
     out = own.crossJoin(daily.agg(F.count("*").alias("n_candidate_days"))).crossJoin(clusters.agg(F.count("*").alias("n_clusters")))  # one row each
     kind = F.when(F.col("n_semantic") > 0, "external_post_labels").otherwise("heuristic_alias_topic")
     return out.select(F.lit(status).alias("status"), "*", kind.alias("semantics_source"), *(F.lit(v).alias(f"{k}_days") for k, v in settings.days.items()))
@@ -391,4 +417,5 @@ def external_summary(posts: DataFrame, daily: DataFrame, clusters: DataFrame, *,
 def audience_summary(audience: DataFrame) -> DataFrame:
     """One row: events whose share of new actors rose or fell significantly, and the mean change."""
     sure, pp = F.col("new_p") < 0.05, F.col("new_delta_pp")
-    return audience.where("new_p is not null").agg(F.count("*").alias("n_events"), F.count_if(sure & (pp > 0)).alias("n_up"), F.count_if(sure & (pp < 0)).alias("n_down"), places(F.avg(pp), 4).alias("mean_pp"))
+    return audience.where("new_p is not null").agg(F.count("*").alias("n_events"), F.count_if(sure & (pp > 0)).alias("n_up"),
+        F.count_if(sure & (pp < 0)).alias("n_down"), places(F.avg(pp), 4).alias("mean_pp"))

@@ -44,7 +44,8 @@ def projection(pairs: DataFrame, node: str, via: str, *, least_via: int = 2, lea
 
 
 def both(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"), "weight"))
+    return edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").unionByName(edges.select(F.col("b").alias("u"),
+        F.col("a").alias("v"), "weight"))
 
 
 def partitioned(edges: DataFrame, partition: DataFrame) -> DataFrame:
@@ -60,13 +61,17 @@ def node_metrics(edges: DataFrame, partition: DataFrame, cores: DataFrame, betwe
     same = F.col("v_part") == F.col("u_part")
     out = by_part.groupBy(F.col("u").alias("node"), F.col("u_part").alias("part")).agg(
         F.sum("d").alias("degree"), F.sum("w").alias("strength"), F.sum(F.col("w") * F.col("w")).alias("_squares"), F.count("*").alias("n_parts"),
-        F.coalesce(F.sum(F.when(same, F.col("w"))), F.lit(0)).alias("same_weight"), F.coalesce(F.sum(F.when(~same, F.col("w"))), F.lit(0)).alias("cross_weight"),
+        F.coalesce(F.sum(F.when(same, F.col("w"))), F.lit(0)).alias("same_weight"),
+        F.coalesce(F.sum(F.when(~same, F.col("w"))), F.lit(0)).alias("cross_weight"),
     )
-    out = out.withColumn("participation", 1 - ratio(F.col("_squares"), F.col("strength") * F.col("strength"))).withColumn("bridge", F.col("strength") * F.col("participation"))
+    out = out.withColumn("participation", 1 - ratio(F.col("_squares"), F.col("strength") * F.col("strength"))).withColumn("bridge",
+        F.col("strength") * F.col("participation"))
     out = out.join(cores, "node", "left").join(betweenness, "node", "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
     return out.select(
-        "node", "part", "degree", "strength", F.coalesce("core", F.lit(0)).alias("core"), "betweenness", "n_parts", "same_weight", "cross_weight", places(ratio(F.col("cross_weight"), F.col("strength"))).alias("cross_share"),
-        places(F.col("participation")).alias("participation"), places(F.col("bridge"), 4).alias("bridge"), places(F.col("bridge") * (1 + F.col("betweenness")), 4).alias("structural_bridge"),
+        "node", "part", "degree", "strength", F.coalesce("core", F.lit(0)).alias("core"), "betweenness", "n_parts", "same_weight",
+        "cross_weight", places(ratio(F.col("cross_weight"), F.col("strength"))).alias("cross_share"),
+        places(F.col("participation")).alias("participation"), places(F.col("bridge"), 4).alias("bridge"),
+        places(F.col("bridge") * (1 + F.col("betweenness")), 4).alias("structural_bridge"),
     )
 
 
@@ -91,8 +96,10 @@ def community_summary(edges: DataFrame, partition: DataFrame, cores: DataFrame)
     inner = F.col("u_part") == F.col("v_part")
     half = inner & (F.col("u") < F.col("v"))
     weight = lambda c: F.coalesce(F.sum(F.when(c, F.col("weight"))), F.lit(0))
-    out = ends.groupBy(F.col("u_part").alias("part")).agg(F.count_if(half).alias("internal_edges"), F.count_if(~inner).alias("external_edges"), weight(half).alias("internal_weight"), weight(~inner).alias("cut"), F.sum("weight").alias("volume"))
-    own = cores.join(partition, "node").groupBy("part").agg(F.count("*").alias("n_nodes"), places(F.avg("core")).alias("mean_core"), F.max("core").alias("max_core"))
+    out = ends.groupBy(F.col("u_part").alias("part")).agg(F.count_if(half).alias("internal_edges"),
+        F.count_if(~inner).alias("external_edges"), weight(half).alias("internal_weight"), weight(~inner).alias("cut"), F.sum("weight").alias("volume"))
+    own = cores.join(partition, "node").groupBy("part").agg(F.count("*").alias("n_nodes"), places(F.avg("core")).alias("mean_core"),
+        F.max("core").alias("max_core"))
     every = Window.partitionBy()  # one row a community
     rest = F.sum("volume").over(every) - F.col("volume")
     out = out.join(own, "part").withColumn("pct_nodes", places(100 * ratio(F.col("n_nodes"), F.sum("n_nodes").over(every))))
@@ -102,7 +109,8 @@ def community_summary(edges: DataFrame, partition: DataFrame, cores: DataFrame)
 def modularity(edges: DataFrame, partition: DataFrame) -> DataFrame:
     """Weighted modularity of the partition, one row."""
     ends = partitioned(edges, partition)
-    out = ends.groupBy("u_part").agg(F.sum(F.when(F.col("u_part") == F.col("v_part"), F.col("weight")).otherwise(0)).alias("inner"), F.sum("weight").alias("volume"))
+    out = ends.groupBy("u_part").agg(F.sum(F.when(F.col("u_part") == F.col("v_part"), F.col("weight")).otherwise(0)).alias("inner"),
+        F.sum("weight").alias("volume"))
     out = out.withColumn("all", F.sum("volume").over(Window.partitionBy()))
     return out.agg(places(F.sum(ratio(F.col("inner"), F.col("all")) - F.pow(ratio(F.col("volume"), F.col("all")), F.lit(2)))).alias("modularity"))
 
@@ -130,20 +138,25 @@ def network_summary(edges: DataFrame, partition: DataFrame, cores: DataFrame) ->
     """One row: size, density, mean degrees, concentration of the communities, modularity, cores and
     assortativity."""
     d = degrees(edges).join(partition, "node")
-    total = d.agg(F.count("*").alias("n_nodes"), (F.sum("degree") / 2).cast("bigint").alias("n_edges"), places(F.avg("degree")).alias("mean_degree"), places(F.avg("strength")).alias("mean_strength"))
+    total = d.agg(F.count("*").alias("n_nodes"), (F.sum("degree") / 2).cast("bigint").alias("n_edges"),
+        places(F.avg("degree")).alias("mean_degree"), places(F.avg("strength")).alias("mean_strength"))
     every = Window.partitionBy()  # one row a community
     shares = d.groupBy("part").agg(F.count("*").alias("n")).withColumn("share", ratio(F.col("n"), F.sum("n").over(every)))
     shares = shares.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "part")))
-    spread = shares.agg(F.count("*").alias("n_communities"), F.sum(F.col("share") * F.col("share")).alias("hhi"), F.max("share").alias("top1_share"), F.sum(F.when(F.col("place") <= 3, F.col("share"))).alias("top3_share"))
+    spread = shares.agg(F.count("*").alias("n_communities"), F.sum(F.col("share") * F.col("share")).alias("hhi"),
+        F.max("share").alias("top1_share"), F.sum(F.when(F.col("place") <= 3, F.col("share"))).alias("top3_share"))
     by_core = cores.groupBy("core").agg(F.count("*").alias("n"))
-    core = by_core.agg(F.max("core").alias("max_core"), places(ratio(F.max_by("n", "core"), F.sum("n"))).alias("max_core_share"), places(ratio(F.sum(F.col("core") * F.col("n")), F.sum("n"))).alias("mean_core"))
+    core = by_core.agg(F.max("core").alias("max_core"), places(ratio(F.max_by("n", "core"), F.sum("n"))).alias("max_core_share"),
+        places(ratio(F.sum(F.col("core") * F.col("n")), F.sum("n"))).alias("mean_core"))
     out = total
     for one in (spread, modularity(edges, partition), core, degree_assortativity(edges), attribute_assortativity(edges, partition)):
         out = out.crossJoin(one)  # one row each
     density = ratio(2 * F.col("n_edges"), F.col("n_nodes") * (F.col("n_nodes") - 1))
     return out.select(
-        "n_nodes", "n_edges", places(density, 9).alias("density"), "mean_degree", "mean_strength", "n_communities", "modularity", places(F.col("hhi")).alias("hhi"), places(ratio(F.lit(1), F.col("hhi"))).alias("effective_communities"),
-        places(F.col("top1_share")).alias("top1_share"), places(F.col("top3_share")).alias("top3_share"), "max_core", "max_core_share", "mean_core", "degree_assortativity", "attribute_assortativity",
+        "n_nodes", "n_edges", places(density, 9).alias("density"), "mean_degree", "mean_strength", "n_communities", "modularity",
+        places(F.col("hhi")).alias("hhi"), places(ratio(F.lit(1), F.col("hhi"))).alias("effective_communities"),
+        places(F.col("top1_share")).alias("top1_share"), places(F.col("top3_share")).alias("top3_share"), "max_core", "max_core_share",
+        "mean_core", "degree_assortativity", "attribute_assortativity",
     )
 
 
@@ -159,14 +172,16 @@ def link_opportunities(edges: DataFrame, *, top: int = 100) -> DataFrame:
     found = found.join(d.withColumnsRenamed({"node": "a", "degree": "da"}), "a").join(d.withColumnsRenamed({"node": "b", "degree": "db"}), "b")
     jaccard = ratio(F.col("common"), F.col("da") + F.col("db") - F.col("common"))
     score = F.log(1.0 + F.col("common")) + 2 * jaccard + F.col("aa") + F.col("ra")
-    found = found.select("a", "b", "common", places(jaccard).alias("jaccard"), places(F.col("aa")).alias("adamic_adar"), places(F.col("ra")).alias("resource_allocation"), places(score, 4).alias("score"))
+    found = found.select("a", "b", "common", places(jaccard).alias("jaccard"), places(F.col("aa")).alias("adamic_adar"),
+        places(F.col("ra")).alias("resource_allocation"), places(score, 4).alias("score"))
     return found.orderBy(*(F.desc(c) for c in ("score", "adamic_adar", "resource_allocation", "jaccard")), "a", "b").limit(top)
 
 
 def opportunity_type(shared: str = "shared", theme: str = "same_theme", cluster: str = "same_cluster"):
     """The kind of an opportunity: the first rule that holds (fixed values)."""
     s, t, c = F.col(shared), F.col(theme), F.col(cluster)
-    return F.when((s == 0) & ~c, "latent_cross_cluster_bridge").when(~c & ~t, "cross_cluster_theme_bridge").when(c & ~t, "within_cluster_theme_blend").when(~c & t, "same_theme_cross_cluster_bridge").otherwise("underconnected_similar_audience")
+    return F.when((s == 0) & ~c, "latent_cross_cluster_bridge").when(~c & ~t, "cross_cluster_theme_bridge").when(c & ~t,
+        "within_cluster_theme_blend").when(~c & t, "same_theme_cross_cluster_bridge").otherwise("underconnected_similar_audience")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -198,11 +213,13 @@ def label_communities(edges: DataFrame) -> DataFrame:
     while True:
         labels, gained = _moved(ends)
         labels = labels.select("node", "part")
-        parts = labels if parts is None else written(parts.withColumnRenamed("part", "_part").join(labels.withColumnRenamed("node", "_part"), "_part").select("node", "part"), "parts")
+        parts = labels if parts is None else written(parts.withColumnRenamed("part",
+            "_part").join(labels.withColumnRenamed("node", "_part"), "_part").select("node", "part"), "parts")
         if not gained:
             return parts
         side = lambda x: labels.select(F.col("node").alias(x), F.col("part").alias(f"_{x}"))
-        ends = written(ends.join(side("u"), "u").join(side("v"), "v").groupBy(F.col("_u").alias("u"), F.col("_v").alias("v")).agg(F.sum("weight").alias("weight")), "ends")
+        ends = written(ends.join(side("u"), "u").join(side("v"), "v").groupBy(F.col("_u").alias("u"),
+            F.col("_v").alias("v")).agg(F.sum("weight").alias("weight")), "ends")
 
 
 def _moved(ends: DataFrame) -> tuple[DataFrame, bool]:
@@ -223,12 +240,14 @@ def _moved(ends: DataFrame) -> tuple[DataFrame, bool]:
         after = labels
         for colour in range(2):
             volume = after.groupBy("part").agg(F.sum("k").alias("volume"))
-            links = ends.where("u <> v").join(after.select(F.col("node").alias("v"), "part"), "v").groupBy(F.col("u").alias("node"), "part").agg(F.sum("weight").alias("w"))
+            links = ends.where("u <> v").join(after.select(F.col("node").alias("v"), "part"), "v").groupBy(F.col("u").alias("node"),
+                "part").agg(F.sum("weight").alias("w"))
             own = after.select("node", F.col("part").alias("_own"), "k")
             stay = after.select("node", "part", F.lit(0).cast("bigint").alias("w"))
             scored = links.unionByName(stay).groupBy("node", "part").agg(F.max("w").alias("w")).join(volume, "part").join(own, "node")
             gain = F.col("w") - F.col("k") * (F.col("volume") - F.when(F.col("part") == F.col("_own"), F.col("k")).otherwise(0)) / F.lit(total)
-            choice = scored.withColumn("gain", F.round(gain, 9)).groupBy("node").agg(F.min_by("part", F.struct(-F.col("gain"), F.col("part") != F.col("_own"), F.col("part"))).alias("_best"))
+            choice = scored.withColumn("gain", F.round(gain, 9)).groupBy("node").agg(F.min_by("part",
+                F.struct(-F.col("gain"), F.col("part") != F.col("_own"), F.col("part"))).alias("_best"))
             turn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2)) == colour
             after = written(after.join(choice, "node").select("node", F.when(turn, F.col("_best")).otherwise(F.col("part")).alias("part"), "k"), "labels")
         step += 1
@@ -277,7 +296,8 @@ def betweenness(edges: DataFrame, *, pivots: int = 128) -> DataFrame:
     for level in reversed(levels[:-1]):
         lower = below.select("pivot", F.col("node").alias("u"), F.col("paths").alias("_paths"), "delta")
         above = level.select("pivot", F.col("node").alias("v"), "paths")
-        given = lower.join(ends, "u").join(above, ["pivot", "v"]).groupBy("pivot", F.col("v").alias("node")).agg(F.sum(F.col("paths") / F.col("_paths") * (1 + F.col("delta"))).alias("delta"))
+        given = lower.join(ends, "u").join(above, ["pivot", "v"]).groupBy("pivot",
+            F.col("v").alias("node")).agg(F.sum(F.col("paths") / F.col("_paths") * (1 + F.col("delta"))).alias("delta"))
         below = written(level.join(given, ["pivot", "node"], "left").select("pivot", "node", "paths", F.coalesce("delta", F.lit(0.0)).alias("delta")), "delta")
         deltas.append(below)
     done = reduce(DataFrame.unionByName, deltas)

@@ -24,10 +24,15 @@ def block(weight: Column | None = None) -> list[Column]:
     is_ = lambda label: F.col("label") == label
     of = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0))
     return [
-        F.count("*").alias("n"), *(F.count_if(is_(x)).alias(f"n_{x}") for x in ("negative", "neutral", "positive")), F.count_if(~F.col("is_top_level")).alias("n_replies"), F.sum(w).alias("weight"),
-        *(of(is_(x)).alias(f"{x}_weight") for x in ("negative", "positive")), *(places(ratio(F.count_if(is_(x)), F.count("*"))).alias(f"{x}_rate") for x in ("negative", "neutral", "positive")),
-        *(places(ratio(of(is_(x)), F.sum(w))).alias(f"weighted_{x}_rate") for x in ("negative", "positive")), *(places(F.avg(c)).alias(f"mean_{c}") for c in SCORES),
-        places(ratio(F.count_if(~F.col("is_top_level")), F.count("*"))).alias("reply_share"), places(ratio(F.count_if(is_("positive")) - F.count_if(is_("negative")), F.count("*"))).alias("net_rate"), places(F.avg("like_count")).alias("mean_likes"),
+        F.count("*").alias("n"), *(F.count_if(is_(x)).alias(f"n_{x}") for x in ("negative", "neutral", "positive")),
+        F.count_if(~F.col("is_top_level")).alias("n_replies"), F.sum(w).alias("weight"),
+        *(of(is_(x)).alias(f"{x}_weight") for x in ("negative", "positive")),
+        *(places(ratio(F.count_if(is_(x)), F.count("*"))).alias(f"{x}_rate") for x in ("negative", "neutral", "positive")),
+        *(places(ratio(of(is_(x)), F.sum(w))).alias(f"weighted_{x}_rate") for x in ("negative", "positive")),
+        *(places(F.avg(c)).alias(f"mean_{c}") for c in SCORES),
+        places(ratio(F.count_if(~F.col("is_top_level")), F.count("*"))).alias("reply_share"),
+        places(ratio(F.count_if(is_("positive")) - F.count_if(is_("negative")), F.count("*"))).alias("net_rate"),
+        places(F.avg("like_count")).alias("mean_likes"),
     ]
 
 
@@ -52,16 +57,19 @@ def sentiment_by(comments: DataFrame, *keys: str, distinct: tuple[str, ...] = ()
 def sentiment_summary(comments: DataFrame) -> DataFrame:
     """Per label: comments, weight, their shares, mean scores and replies."""
     everything = Window.partitionBy()  # one row a label
-    out = comments.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("like_count") + 1).alias("weight"), F.count_if(~F.col("is_top_level")).alias("n_replies"), *(places(F.avg(c)).alias(f"mean_{c}") for c in SCORES))
+    out = comments.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("like_count") + 1).alias("weight"),
+        F.count_if(~F.col("is_top_level")).alias("n_replies"), *(places(F.avg(c)).alias(f"mean_{c}") for c in SCORES))
     share = lambda c: places(ratio(F.col(c), F.sum(c).over(everything)))
-    return out.select("label", "n", share("n").alias("share"), share("weight").alias("weight_share"), "n_replies", places(ratio(F.col("n_replies"), F.col("n"))).alias("reply_share"), *(f"mean_{c}" for c in SCORES))
+    return out.select("label", "n", share("n").alias("share"), share("weight").alias("weight_share"), "n_replies",
+        places(ratio(F.col("n_replies"), F.col("n"))).alias("reply_share"), *(f"mean_{c}" for c in SCORES))
 
 
 def keyword_sentiment(docs: DataFrame, text: str = "text") -> DataFrame:
     """Labels by words alone, with the scores that such a label stands for."""
     hit = hits(F.col(text), NEGATIVE_WORDS) > 0
     pick = lambda a, b: F.when(hit, a).otherwise(b)
-    return docs.withColumns({"label": pick("negative", "neutral"), "score_neg": pick(0.8, 0.1), "score_neu": pick(0.1, 0.8), "score_pos": F.lit(0.1), "toxicity": pick(0.3, 0.0), "confidence": pick(0.55, 0.35)})
+    return docs.withColumns({"label": pick("negative", "neutral"), "score_neg": pick(0.8, 0.1), "score_neu": pick(0.1, 0.8),
+        "score_pos": F.lit(0.1), "toxicity": pick(0.3, 0.0), "confidence": pick(0.55, 0.35)})
 
 
 def event_keyword_sentiment(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -72,18 +80,21 @@ def event_keyword_sentiment(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def keyword_summary(docs: DataFrame) -> DataFrame:
     """Documents by language and label with mean scores."""
-    return keyword_sentiment(docs).groupBy("lang", "label").agg(F.count("*").alias("n"), places(F.avg("score_neg")).alias("score_neg"), places(F.avg("confidence")).alias("confidence"))
+    return keyword_sentiment(docs).groupBy("lang", "label").agg(F.count("*").alias("n"), places(F.avg("score_neg")).alias("score_neg"),
+        places(F.avg("confidence")).alias("confidence"))
 
 
 def hotspots(comments: DataFrame, videos: DataFrame, *, least: int = 1) -> DataFrame:
     """Videos by weighted negative rate, with their theme."""
     own = sentiment_by(comments, "video_id").where(F.col("n") >= least)
-    return own.join(videos.select("video_id", "title", "theme"), "video_id").select("video_id", "title", "theme", "n", "negative_rate", "weighted_negative_rate")
+    return own.join(videos.select("video_id", "title", "theme"), "video_id").select("video_id", "title", "theme", "n", "negative_rate",
+        "weighted_negative_rate")
 
 
 def source_row(comments: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """One row: comments in scope, those with a label, and the coverage."""
-    out = comments.join(labels.select(key).distinct().withColumn("_has", F.lit(1)), key, "left").agg(F.count("*").alias("n_scope"), F.count("_has").alias("n_labelled"))
+    out = comments.join(labels.select(key).distinct().withColumn("_has", F.lit(1)), key, "left").agg(F.count("*").alias("n_scope"),
+        F.count("_has").alias("n_labelled"))
     return out.withColumn("coverage", places(ratio(F.col("n_labelled"), F.col("n_scope"))))
 
 

@@ -19,7 +19,8 @@ def remaining(wanted: DataFrame, done: DataFrame, key: str, *, error: str | None
 
 def queue_status(queue: DataFrame) -> DataFrame:
     """Rows, videos and errors by status."""
-    return queue.groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("video_id").alias("n_videos"), F.count("last_error").alias("n_errors"), F.max("updated_at").alias("last_update"))
+    return queue.groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("video_id").alias("n_videos"),
+        F.count("last_error").alias("n_errors"), F.max("updated_at").alias("last_update"))
 
 
 def reset_stale(queue: DataFrame, now: str, *, minutes: int = 60, words: tuple[str, ...] = ("quota",)) -> DataFrame:
@@ -28,13 +29,15 @@ def reset_stale(queue: DataFrame, now: str, *, minutes: int = 60, words: tuple[s
     old = (F.col("status") == "resolving") & (F.col("updated_at") < F.lit(now).cast("timestamp") - F.make_dt_interval(mins=F.lit(minutes)))
     out = queue.withColumn("_again", F.coalesce(failed | old, F.lit(False)))
     keep = lambda c, other: F.when(F.col("_again"), other).otherwise(F.col(c))
-    return out.withColumns({"last_error": keep("last_error", F.lit(None)), "updated_at": keep("updated_at", F.lit(now).cast("timestamp")), "status": keep("status", F.lit("queued"))}).drop("_again")
+    return out.withColumns({"last_error": keep("last_error", F.lit(None)), "updated_at": keep("updated_at", F.lit(now).cast("timestamp")),
+        "status": keep("status", F.lit("queued"))}).drop("_again")
 
 
 def completion_by(wanted: DataFrame, done: DataFrame, key: str, *, error: str) -> DataFrame:
     """One row: expected, completed, failed and remaining keys."""
     own = done.groupBy(key).agg(F.max((~truthy(F.col(error))).cast("int")).alias("_good"))
-    out = wanted.select(key).distinct().join(own, key, "left").agg(F.count("*").alias("expected"), F.count_if(F.col("_good") == 1).alias("completed"), F.count_if(F.col("_good") == 0).alias("failed"))
+    out = wanted.select(key).distinct().join(own, key, "left").agg(F.count("*").alias("expected"),
+        F.count_if(F.col("_good") == 1).alias("completed"), F.count_if(F.col("_good") == 0).alias("failed"))
     return out.select("*", (F.col("expected") - F.col("completed")).alias("remaining"), places(ratio(F.col("completed"), F.col("expected"))).alias("share"))
 
 

@@ -32,7 +32,8 @@ def classified(df: DataFrame, text: Column) -> DataFrame:
     found = F.array(*(F.struct(hits(text, words).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, words) in enumerate(THEME_RULES)))
     out = df.withColumn("_found", F.filter(found, lambda x: x["n"] > 0))
     some = F.size("_found") > 0
-    return out.withColumn("primary_theme", F.when(some, F.array_max("_found")["name"]).otherwise("other")).withColumn("theme_labels", F.when(some, F.array_join(F.transform("_found", lambda x: x["name"]), ";")).otherwise("other")).drop("_found")
+    return out.withColumn("primary_theme", F.when(some, F.array_max("_found")["name"]).otherwise("other")).withColumn("theme_labels",
+        F.when(some, F.array_join(F.transform("_found", lambda x: x["name"]), ";")).otherwise("other")).drop("_found")
 
 
 def labels_long(df: DataFrame, column: str, *keys: str) -> DataFrame:
@@ -42,7 +43,8 @@ def labels_long(df: DataFrame, column: str, *keys: str) -> DataFrame:
 
 def theme_summary(comments: DataFrame, videos: DataFrame) -> DataFrame:
     """Comments and commenters of each theme beside its videos; a missing side counts 0."""
-    seen = comments.join(videos.select("video_id", "theme"), "video_id").groupBy("theme").agg(F.count("*").alias("n_comments"), F.countDistinct("actor_id").alias("n_commenters"))
+    seen = comments.join(videos.select("video_id", "theme"), "video_id").groupBy("theme").agg(F.count("*").alias("n_comments"),
+        F.countDistinct("actor_id").alias("n_commenters"))
     own = videos.groupBy("theme").agg(F.count("*").alias("n_videos"))
     return seen.join(own, "theme", "full").select("theme", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_videos", "n_comments", "n_commenters")))
 
@@ -57,14 +59,16 @@ def affinity(pairs: DataFrame, group: str, label: str) -> DataFrame:
     by_group = by_group.withColumn("all_pairs", F.sum("group_pairs").over(everything))
     out = by_both.join(by_group, group).withColumn("label_pairs", F.sum("pairs").over(Window.partitionBy(label)))
     share = ratio(F.col("pairs"), F.col("group_pairs"))
-    return out.select(group, label, "pairs", "group_pairs", "label_pairs", places(share).alias("share"), places(ratio(share, ratio(F.col("label_pairs"), F.col("all_pairs")))).alias("lift"))
+    return out.select(group, label, "pairs", "group_pairs", "label_pairs", places(share).alias("share"),
+        places(ratio(share, ratio(F.col("label_pairs"), F.col("all_pairs")))).alias("lift"))
 
 
 def top_text(df: DataFrame, group: str, label: Column, value: str, k: int = 5) -> DataFrame:
     """(group, top): the k labels of greatest value as `label (value); ...`, labels cut to 48."""
     shown = F.concat(F.substring(label.cast("string"), 1, 48), F.lit(" ("), F.col(value).cast("string"), F.lit(")"))
     ranked = df.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(value), label))).where(F.col("_place") <= k)
-    return ranked.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", shown.alias("t")))), lambda x: x["t"]), "; ").alias("top"))
+    return ranked.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", shown.alias("t")))),
+        lambda x: x["t"]), "; ").alias("top"))
 
 
 THEMES = tuple(name for name, _ in THEME_RULES)
@@ -101,7 +105,8 @@ def model_themes(labels: DataFrame, videos: DataFrame, *, order: str) -> DataFra
 
 def label_videos(videos: DataFrame, text: Column, labels: DataFrame | None = None, *, order: str = "seq") -> DataFrame:
     """Every video with its themes: the model's where it has a label, else those of words in its text."""
-    by_words = classified(videos.withColumn("_text", F.lower(text)), F.col("_text")).withColumn("theme_source", F.lit("keyword")).withColumns({c: F.lit(v) for c, v in LABEL_DEFAULTS.items()})
+    by_words = classified(videos.withColumn("_text", F.lower(text)), F.col("_text")).withColumn("theme_source",
+        F.lit("keyword")).withColumns({c: F.lit(v) for c, v in LABEL_DEFAULTS.items()})
     names = ["video_id", "primary_theme", "theme_labels", "theme_source", *LABEL_DEFAULTS]
     out = by_words.select(*names)
     if labels is not None:
@@ -118,7 +123,8 @@ def community_profiles(comments: DataFrame, videos: DataFrame, summary: DataFram
     """Per community: commenters, comments, videos, the k themes and videos of most commenters as text, and its
     nodes of the graph. comments: with community; summary: (part, n_nodes, pct_nodes)."""
     c = comments.join(videos.select("video_id", "title", "theme"), "video_id", "left")
-    out = c.groupBy("community").agg(F.countDistinct("actor_id").alias("n_commenters"), F.count("*").alias("n_comments"), F.countDistinct("video_id").alias("n_videos"))
+    out = c.groupBy("community").agg(F.countDistinct("actor_id").alias("n_commenters"), F.count("*").alias("n_comments"),
+        F.countDistinct("video_id").alias("n_videos"))
 
     def top(*label: str) -> DataFrame:
         counts = c.groupBy("community", *label).agg(F.count("*").alias("n_comments"), F.countDistinct("actor_id").alias("n"))

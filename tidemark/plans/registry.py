@@ -126,12 +126,14 @@ def _judgements(v):
 
 @query
 def document_sentiment(v):
-    return sentiment.labelled_or_keyword(v.table("documents").select("doc_id", "text"), _judgements(v), "doc_id").select("doc_id", "label", "score_neg", "sentiment_source")
+    return sentiment.labelled_or_keyword(v.table("documents").select("doc_id", "text"), _judgements(v), "doc_id").select("doc_id", "label",
+        "score_neg", "sentiment_source")
 
 
 @query
 def document_sentiment_by_words(v):
-    return sentiment.labelled_or_keyword(v.table("documents").select("doc_id", "text"), None, "doc_id").select("doc_id", "label", "score_neg", "sentiment_source")
+    return sentiment.labelled_or_keyword(v.table("documents").select("doc_id", "text"), None, "doc_id").select("doc_id", "label",
+        "score_neg", "sentiment_source")
 
 
 @query
@@ -161,8 +163,10 @@ def _model_labels(v):
     k = F.col("p_partkey")
     names = F.array(*(F.lit(x) for x in (*themes.THEMES[:6], "no_such_theme", " food_culture ")))
     at = lambda n: F.element_at(names, (F.pmod(n, F.lit(8)) + 1).cast("int"))
-    first = p.where(k % 3 != 0).select(k.alias("video_id"), F.lit(1).alias("seq"), at(k).alias("primary_theme"), F.concat_ws("|", at(k), at(k + 1), at(k)).alias("theme_labels"), F.lit("talk").alias("format"))
-    again = p.where(k % 5 == 0).select(k.alias("video_id"), F.lit(2).alias("seq"), at(k + 3).alias("primary_theme"), at(k + 6).alias("theme_labels"), F.lit("vlog").alias("format"))
+    first = p.where(k % 3 != 0).select(k.alias("video_id"), F.lit(1).alias("seq"), at(k).alias("primary_theme"),
+        F.concat_ws("|", at(k), at(k + 1), at(k)).alias("theme_labels"), F.lit("talk").alias("format"))
+    again = p.where(k % 5 == 0).select(k.alias("video_id"), F.lit(2).alias("seq"), at(k + 3).alias("primary_theme"),
+        at(k + 6).alias("theme_labels"), F.lit("vlog").alias("format"))
     return first.unionByName(again)
 
 
@@ -376,7 +380,8 @@ def _conflicts(v):
 @query
 def impact_diagnostics(v):
     e = _events(v)
-    return events.impact_diagnostics(events.event_windows(v.all_comments, e), events.audience_windows(v.comments, e), events.newcomer_sentiment(v.comments, e), _conflicts(v), events.spillover(v.all_comments, e, v.videos, least=2))
+    return events.impact_diagnostics(events.event_windows(v.all_comments, e), events.audience_windows(v.comments, e),
+        events.newcomer_sentiment(v.comments, e), _conflicts(v), events.spillover(v.all_comments, e, v.videos, least=2))
 
 
 @query
@@ -396,8 +401,11 @@ def _aspects(v):
     half = F.when(F.month("ts") <= 6, "first").when(F.month("ts") == 12, "unclear").otherwise("second")
     theme = lambda value: F.concat(F.col("theme"), F.lit("="), value)
     return units.select(
-        F.xxhash64("thread_id", "line", "actor_id", "video_id", "ts").alias("unit_id"), "ts", "like_count", "label", "video_id", "actor_id", F.when(F.col("supplier_id") % 2 == 0, "forum_a").otherwise("forum_b").alias("platform"), F.col("theme").alias("primary_aspect"),
-        F.concat_ws(";", "theme", half).alias("aspect_labels"), theme(F.when(F.col("line") == 7, "mixed").otherwise(F.col("label"))).alias("aspect_sentiments"), F.concat(theme(F.lit("9;")), theme((F.col("line") % 4).cast("string"))).alias("aspect_severities"),
+        F.xxhash64("thread_id", "line", "actor_id", "video_id", "ts").alias("unit_id"), "ts", "like_count", "label", "video_id", "actor_id",
+        F.when(F.col("supplier_id") % 2 == 0, "forum_a").otherwise("forum_b").alias("platform"), F.col("theme").alias("primary_aspect"),
+        F.concat_ws(";", "theme", half).alias("aspect_labels"), theme(F.when(F.col("line") == 7,
+        "mixed").otherwise(F.col("label"))).alias("aspect_sentiments"),
+        F.concat(theme(F.lit("9;")), theme((F.col("line") % 4).cast("string"))).alias("aspect_severities"),
         theme((F.col("line") / 8).cast("string")).alias("aspect_confidences"),
     )
 
@@ -554,8 +562,11 @@ def scalar_functions(v):
     k = F.get_json_object("props", "$.k")
     e = v.table("events").select("event_id", "event_type", k.cast("int").alias("k"))
     iso = F.concat(F.lit("PT"), (F.col("k") % 3).cast("string"), F.lit("H"), F.col("k").cast("string"), F.lit("M"))
-    url = F.concat(F.lit("https://x.test/"), F.when(F.col("k") % 3 == 0, "@").when(F.col("k") % 3 == 1, "channel/").otherwise(""), F.lit("Name"), F.col("k").cast("string"), F.lit("/?a=1"))
-    return e.select("event_id", fn.duration_seconds(iso).alias("seconds"), fn.duration_seconds(F.concat(F.lit("P1D"), iso)).alias("bad"), fn.channel_key(url).alias("channel"), fn.normalized(F.concat(F.lit("  A  "), F.upper("event_type"))).alias("text"), fn.clamped(F.col("event_type"), ("click", "view"), "other").alias("kind"), fn.truthy(F.col("k") % 2).alias("odd"))
+    url = F.concat(F.lit("https://x.test/"), F.when(F.col("k") % 3 == 0, "@").when(F.col("k") % 3 == 1, "channel/").otherwise(""),
+        F.lit("Name"), F.col("k").cast("string"), F.lit("/?a=1"))
+    return e.select("event_id", fn.duration_seconds(iso).alias("seconds"), fn.duration_seconds(F.concat(F.lit("P1D"), iso)).alias("bad"),
+        fn.channel_key(url).alias("channel"), fn.normalized(F.concat(F.lit("  A  "), F.upper("event_type"))).alias("text"),
+        fn.clamped(F.col("event_type"), ("click", "view"), "other").alias("kind"), fn.truthy(F.col("k") % 2).alias("odd"))
 
 
 @query
@@ -711,7 +722,8 @@ def baseline_summary(v):
 def shown_metrics(v):
     """Metrics as dashboards write them, and which third of the cohort they lie in."""
     r = cohort.percentiles(_metrics(v))
-    return r.select("channel", "metric", fn.shown_number(F.col("value")).alias("number"), fn.shown_decimal(F.col("value")).alias("decimal"), fn.shown_rate(F.col("value")).alias("rate"), fn.rank_band(F.col("percentile")).alias("third"))
+    return r.select("channel", "metric", fn.shown_number(F.col("value")).alias("number"), fn.shown_decimal(F.col("value")).alias("decimal"),
+        fn.shown_rate(F.col("value")).alias("rate"), fn.rank_band(F.col("percentile")).alias("third"))
 
 
 @query
@@ -730,7 +742,9 @@ def ranked_theme_items(v):
 def _queue(v):
     """Orders as a work queue: their state, with an error text for some."""
     status = F.when(F.col("o_orderstatus") == "F", "graphed").when(F.col("o_orderstatus") == "O", "queued").otherwise("failed")
-    return v.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("video_id"), status.alias("status"), F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("Quota "), F.col("o_orderpriority"))).alias("last_error"), F.col("o_orderdate").alias("updated_at"))
+    return v.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("video_id"), status.alias("status"),
+        F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("Quota "), F.col("o_orderpriority"))).alias("last_error"),
+        F.col("o_orderdate").alias("updated_at"))
 
 
 @query
@@ -751,7 +765,8 @@ def remaining_units(v):
 
 @query
 def runtime_estimates(v):
-    counts = v.videos.agg(F.count("*").alias("units")).select(F.lit("video").alias("stage"), "units").unionByName(v.all_comments.agg(F.count("*").alias("units")).select(F.lit("sentiment").alias("stage"), "units"))
+    counts = v.videos.agg(F.count("*").alias("units")).select(F.lit("video").alias("stage"),
+        "units").unionByName(v.all_comments.agg(F.count("*").alias("units")).select(F.lit("sentiment").alias("stage"), "units"))
     return state.runtime_estimates(counts)
 
 
@@ -779,7 +794,8 @@ def posts_followed(v):
 def sentiment_cube(v):
     """An extension: the measures over all subsets of (community, theme)."""
     rows = _in_community(v).join(v.videos.select("video_id", "theme"), "video_id")
-    return rows.cube("community", "theme").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), F.count_if(F.col("label") == "negative").alias("n_negative"))
+    return rows.cube("community", "theme").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"),
+        F.count_if(F.col("label") == "negative").alias("n_negative"))
 
 
 @query
@@ -793,7 +809,8 @@ def comment_gaps(v):
 
 def _clusters(v):
     """Spans of days over the posts: thirds of a month."""
-    spans = ", ".join(f"({i}, date '{a}', date '{b}')" for i, (a, b) in enumerate((("2024-01-01", "2024-01-09"), ("2024-01-10", "2024-01-19"), ("2024-01-20", "2024-01-30"))))
+    spans = ", ".join(f"({i}, date '{a}', date '{b}')" for i, (a, b) in enumerate((("2024-01-01", "2024-01-09"),
+        ("2024-01-10", "2024-01-19"), ("2024-01-20", "2024-01-30"))))
     return v.spark.sql(f"select * from values {spans} as t(event_id, event_start, event_end)")
 
 
@@ -826,7 +843,8 @@ def platform_aspect_shares(v):
 def _texts(v):
     """Documents as comments with a label."""
     docs = v.table("documents").join(v.table("labels"), "doc_id", "left")
-    return docs.select("doc_id", "text", "source", F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral").alias("label"))
+    return docs.select("doc_id", "text", "source", F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1,
+        "positive").otherwise("neutral").alias("label"))
 
 
 @query
@@ -870,4 +888,6 @@ def conversation_turns(v):
     """Reply threads as conversations: turns, roles, and words of parents and replies."""
     words = F.regexp_count("text", F.lit(r"\S+"))
     c = v.table("conversations").withColumn("words", words)
-    return c.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.countDistinct("role").alias("n_roles"), F.coalesce(F.sum(F.when(F.col("turn") == 0, F.col("words"))), F.lit(0)).alias("parent_words"), F.coalesce(F.sum(F.when(F.col("turn") > 0, F.col("words"))), F.lit(0)).alias("reply_words"))
+    return c.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.countDistinct("role").alias("n_roles"),
+        F.coalesce(F.sum(F.when(F.col("turn") == 0, F.col("words"))), F.lit(0)).alias("parent_words"),
+        F.coalesce(F.sum(F.when(F.col("turn") > 0, F.col("words"))), F.lit(0)).alias("reply_words"))

@@ -100,9 +100,11 @@ def load_config(text: str) -> Config:
     if unknown := sorted(set(sources) - set(SOURCES)):
         raise ValueError(f"unknown sources {unknown}; known are {SOURCES}")
     channel = str(raw.get("channel_id") or raw.get("channel_handle") or raw.get("channel_url"))
-    scope = Scope(channel, optional("date_start"), optional("date_end"), bool(raw.get("include_replies")), raw.get("exclude_shorts") is not False, int(raw.get("short_threshold_seconds") or 180))
+    scope = Scope(channel, optional("date_start"), optional("date_end"), bool(raw.get("include_replies")),
+        raw.get("exclude_shorts") is not False, int(raw.get("short_threshold_seconds") or 180))
     named = slug(str((raw.get("outputs") or {}).get("run_slug") or raw["project_name"]))
-    return Config(str(raw["project_name"]), scope, analysis, named, sources, tuple(channel_aliases(*text_list(outside.get("channel_aliases")), raw.get("channel_handle"))))
+    return Config(str(raw["project_name"]), scope, analysis, named, sources,
+        tuple(channel_aliases(*text_list(outside.get("channel_aliases")), raw.get("channel_handle"))))
 
 
 def slug(text: str) -> str:
@@ -151,7 +153,8 @@ def load_sentiment(labels: DataFrame, comments: DataFrame) -> DataFrame:
         raise ValueError(f"label relation lacks {sorted(missing)}")
     good = labels.where(~F.coalesce(F.lower(F.col("sentiment_parse_error").cast("string")).isin("true", "1", "yes"), F.lit(False)))
     own = F.lower(F.trim("sentiment_label"))
-    good = good.select("comment_id", F.when(own.isin("negative", "positive"), own).otherwise("neutral").alias("label"), *(F.expr(f"try_cast({c} as double)").alias(c) for c in ("score_neg", "score_neu", "score_pos") if c in labels.columns))
+    good = good.select("comment_id", F.when(own.isin("negative", "positive"), own).otherwise("neutral").alias("label"),
+        *(F.expr(f"try_cast({c} as double)").alias(c) for c in ("score_neg", "score_neu", "score_pos") if c in labels.columns))
     return good.join(comments, "comment_id").withColumn("weight", F.coalesce("like_count", F.lit(0)) + 1)
 
 
@@ -184,14 +187,17 @@ def with_inferred_dates(posts: DataFrame, *, first: int = 2018, last: int = 2027
     rows = written(posts.repartitionByRange("id").sortWithinPartitions("id").withColumn("_part", F.spark_partition_id()), "posts")
     ranges = rows.groupBy("_part").agg(F.max("ts").alias("_max"), F.min("ts").alias("_min"))
     order = Window.orderBy("_part")  # one row for each range
-    ranges = ranges.select("_part", F.max("_max").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_min").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    ranges = ranges.select("_part", F.max("_max").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.min("_min").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
     own = Window.partitionBy("_part").orderBy("id")
-    rows = rows.withColumns({"_low": F.max("ts").over(own.rangeBetween(Window.unboundedPreceding, -1)), "_high": F.min("ts").over(own.rangeBetween(1, Window.unboundedFollowing))})
+    rows = rows.withColumns({"_low": F.max("ts").over(own.rangeBetween(Window.unboundedPreceding, -1)),
+        "_high": F.min("ts").over(own.rangeBetween(1, Window.unboundedFollowing))})
     days = posts.agg(F.collect_set(F.to_date("ts")).alias("_days"))  # one row, at most the days of the calendar
     rows = rows.join(ranges, "_part").crossJoin(days)
     low, high = F.greatest("_low", "_before"), F.least("_high", "_after")
     years = F.sequence(F.lit(first), F.lit(last))
-    dates = F.filter(F.transform(years, lambda y: F.try_make_timestamp(y, F.col("parts.month"), F.col("parts.day"), F.col("parts.hour"), F.col("parts.minute"), F.lit(0))), lambda t: t.isNotNull())
+    dates = F.filter(F.transform(years, lambda y: F.try_make_timestamp(y, F.col("parts.month"), F.col("parts.day"), F.col("parts.hour"),
+        F.col("parts.minute"), F.lit(0))), lambda t: t.isNotNull())
     inside = F.filter(dates, lambda t: (low.isNull() | (t >= low)) & (high.isNull() | (t <= high)))
     gap = lambda t: F.array_min(F.transform("_days", lambda d: F.abs(F.date_diff(F.to_date(t), d))))
     nearest = F.array_min(F.transform(dates, lambda t: F.struct(gap(t).alias("gap"), t.alias("t"))))["t"]
@@ -221,10 +227,14 @@ def load_posts(first: DataFrame, second: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     key = lambda *ids: F.coalesce(*(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in ids))
     number = lambda c: F.coalesce(F.expr(f"try_cast({c} as bigint)"), F.lit(0))
-    a = first.select(F.lit("forum_a").alias("source"), key("url", "title").alias("post_id"), header_date(F.col("body")).alias("ts"), F.lit("explicit").alias("date_quality"), text("title").alias("title"), F.col("url"), F.concat_ws("\n", "title", "body").alias("text"), (number("comment_count") + number("pushes") + number("boos")).alias("engagement"))
+    a = first.select(F.lit("forum_a").alias("source"), key("url", "title").alias("post_id"), header_date(F.col("body")).alias("ts"),
+        F.lit("explicit").alias("date_quality"), text("title").alias("title"), F.col("url"),
+        F.concat_ws("\n", "title", "body").alias("text"), (number("comment_count") + number("pushes") + number("boos")).alias("engagement"))
     title = F.coalesce(F.nullif(text("title"), F.lit("")), first_line(F.col("content")), F.lit(""))
     b = second.select("*", title.alias("_title"), F.trim(F.concat_ws("\n", title, text("content"))).alias("text"))
-    b = b.select(F.expr("try_cast(id as bigint)").alias("id"), key("id", "url", "title").alias("post_id"), F.coalesce(short_date(F.col("created_at")), short_date(F.col("text"))).alias("ts"), undated(F.col("text")).alias("parts"), F.col("_title").alias("title"), F.col("url"), "text", (number("like_count") + number("comment_count")).alias("engagement"))
+    b = b.select(F.expr("try_cast(id as bigint)").alias("id"), key("id", "url", "title").alias("post_id"),
+        F.coalesce(short_date(F.col("created_at")), short_date(F.col("text"))).alias("ts"), undated(F.col("text")).alias("parts"),
+        F.col("_title").alias("title"), F.col("url"), "text", (number("like_count") + number("comment_count")).alias("engagement"))
     b = with_inferred_dates(b).select(F.lit("forum_b").alias("source"), "post_id", "ts", "date_quality", "title", "url", "text", "engagement")
     dated = a.unionByName(b).where("ts is not null").withColumns({"post_uid": F.concat_ws(":", "source", "post_id"), "day": F.to_date("ts")})
     return keep_last(dated, "post_uid", "ts").select(*(x.split()[0] for x in POST_SCHEMA.split(", ")))

@@ -34,10 +34,12 @@ class Views:
     def all_comments(self) -> DataFrame:
         lines, orders = self.table("lineitem"), self.table("orders").select("o_orderkey", "o_custkey")
         return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-            F.col("l_orderkey").alias("thread_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("video_id"), F.col("o_custkey").alias("actor_id"), F.col("l_suppkey").alias("supplier_id"),
+            F.col("l_orderkey").alias("thread_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("video_id"),
+            F.col("o_custkey").alias("actor_id"), F.col("l_suppkey").alias("supplier_id"),
             (F.col("l_linenumber") == 1).alias("is_top_level"), F.col("l_quantity").cast("bigint").alias("like_count"), F.col("l_shipdate").alias("ts"),
             F.when(F.col("l_returnflag") == "R", "negative").when(F.col("l_returnflag") == "A", "positive").otherwise("neutral").alias("label"),
-            (F.col("l_discount") * 5).alias("score_neg"), (F.col("l_tax") * 5).alias("score_pos"), (1 - F.col("l_discount") * 5).alias("score_neu"), F.when(F.col("l_linenumber") != 5, F.col("l_linenumber") / 8).alias("confidence"),
+            (F.col("l_discount") * 5).alias("score_neg"), (F.col("l_tax") * 5).alias("score_pos"),
+            (1 - F.col("l_discount") * 5).alias("score_neu"), F.when(F.col("l_linenumber") != 5, F.col("l_linenumber") / 8).alias("confidence"),
         )
 
     @cached_property
@@ -48,7 +50,8 @@ class Views:
     @cached_property
     def videos(self) -> DataFrame:
         seen = self.table("lineitem").groupBy(F.col("l_partkey").alias("video_id")).agg(F.min("l_shipdate").alias("published_at"))
-        return self.table("part").select(F.col("p_partkey").alias("video_id"), F.col("p_name").alias("title"), F.col("p_type").alias("theme"), F.col("p_brand").alias("label"), F.floor(F.col("p_retailprice") * 10).alias("view_count")).join(seen, "video_id")
+        return self.table("part").select(F.col("p_partkey").alias("video_id"), F.col("p_name").alias("title"),
+            F.col("p_type").alias("theme"), F.col("p_brand").alias("label"), F.floor(F.col("p_retailprice") * 10).alias("view_count")).join(seen, "video_id")
 
     @cached_property
     def actors(self) -> DataFrame:
@@ -65,7 +68,8 @@ class Views:
         in a hundred are hints."""
         k = F.get_json_object("props", "$.k").cast("int")
         return self.table("events").select(
-            "event_id", F.col("event_id").cast("string").alias("post_uid"), "ts", F.to_date("ts").alias("day"), F.col("event_type").alias("topic"), F.concat_ws(" ", "event_type", "event_id").alias("title"), F.col("value").alias("engagement"),
+            "event_id", F.col("event_id").cast("string").alias("post_uid"), "ts", F.to_date("ts").alias("day"),
+            F.col("event_type").alias("topic"), F.concat_ws(" ", "event_type", "event_id").alias("title"), F.col("value").alias("engagement"),
             F.when(F.col("user_id") % 2 == 0, "forum_a").otherwise("forum_b").alias("source"), F.col("user_id").alias("author"),
             (k >= 97).alias("hint"), (F.col("user_id") % 5 == 0).alias("semantic"), (k != 0).alias("relevant"), (k == 1).alias("noise"),
         )
