@@ -14,8 +14,10 @@ def test_durations(spark):
     assert values(spark, fn.duration_seconds_with_days, items) == [3723, 59, None, 86401, None, None, None, 7200]
 
 
-def test_pairs_map_keeps_the_last(spark):
-    assert values(spark, fn.pairs_map, ["a=1;b=2;a=3", "", "x", " a = u=v ;"]) == [{"a": "3", "b": "2"}, {}, {}, {"a": "u=v"}]
+def test_last_value_of_pairs(spark):
+    texts = ["a=1;b=2;a=3", "", "x", " a = u=v ;", None]
+    last = lambda key: values(spark, lambda c: fn.last_value(fn.pairs_list(c), F.lit(key)), texts)
+    assert last("a") == ["3", None, None, "u=v", None] and last("b") == ["2", None, None, None, None]
 
 
 def test_channel_keys(spark):

@@ -81,6 +81,15 @@ def test_projection_of_hot_keys(spark, monkeypatch):
     assert whole and {tuple(r) for r in graph.projection(df, "n", "v", least_weight=2).collect()} == whole
 
 
+def test_assortativity_of_equal_degrees(spark):
+    """A ring has no variance of degrees, and one part no mixing: both are null, not errors."""
+    ring = table(spark, [(0, 1, 1), (1, 2, 1), (0, 2, 1)])
+    parts = spark.createDataFrame([(i, 0) for i in range(3)], "node int, part int")
+    assert graph.degree_assortativity(ring).first()[0] is None and graph.attribute_assortativity(ring, parts).first()[0] is None
+    row = graph.network_summary(ring, parts, graph.core_numbers(ring)).first()
+    assert (row.n_nodes, row.n_edges, row.density, row.max_core, row.hhi) == (3, 3, 1.0, 2, 1.0)
+
+
 def test_places_of_rows(spark):
     from tidemark.plans.tables import numbered
 

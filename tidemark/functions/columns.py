@@ -106,12 +106,16 @@ def label_list(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
-def pairs_map(c: Column) -> Column:
-    """`k=v;k=v` as a map; of equal keys the last wins."""
-    items = F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x.contains("="))
-    both = F.transform(items, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("key"), F.trim(F.regexp_replace(x, "^[^=]*=", "")).alias("value")))
-    last = F.filter(both, lambda x, i: ~F.exists(F.slice(both, i + 2, F.size(both) + 1), lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(last)
+def pairs_list(c: Column) -> Column:
+    """`k=v;k=v` as an array of (key, value), trimmed, in order."""
+    items = F.filter(F.split(c, ";"), lambda x: x.contains("="))
+    value = lambda x: F.trim(F.substr(x, F.instr(x, "=") + 1))
+    return F.transform(items, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("key"), value(x).alias("value")))
+
+
+def last_value(pairs: Column, key: Column) -> Column:
+    """The value of a key in such an array; of equal keys the last wins, a missing one is null."""
+    return F.try_element_at(F.filter(pairs, lambda x: x["key"] == key), F.lit(-1))["value"]
 
 
 def channel_key(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import label_list, pairs_map, places, ratio, ratio0
+from tidemark.functions.columns import label_list, last_value, pairs_list, places, ratio, ratio0
 
 # The aspects, and the words that point to each.
 ASPECTS = ("pacing_editing", "commercial_sponsorship", "authenticity_fabrication", "host_persona", "guest_collab",
@@ -28,8 +28,7 @@ SCOPES = ("negative", "positive", "keyword", "negative_or_keyword", "all")
 def keyword_aspects(text: Column) -> Column:
     """The aspects one of whose words the text contains in any case, `;`-joined, in order."""
     lower = F.lower(F.coalesce(text, F.lit("")))
-    found = [F.when(_any(lower, words), F.lit(aspect)) for aspect, words in ASPECT_KEYWORDS.items()]
-    return F.array_join(F.filter(F.array(*found), lambda x: x.isNotNull()), ";")
+    return F.concat_ws(";", *(F.when(_any(lower, words), F.lit(aspect)) for aspect, words in ASPECT_KEYWORDS.items()))
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -63,12 +62,14 @@ def aspect_rows(units: DataFrame) -> DataFrame:
     """(unit_id, aspect, sentiment, severity, confidence) from `a;b`, `a=x;b=y`, `a=0..3` and `a=0..1` lists; a
     missing sentiment is `unclear`, missing numbers are 0, and so is a unit without aspects `unclear`."""
     lists = {"sentiment": "aspect_sentiments", "severity": "aspect_severities", "confidence": "aspect_confidences"}
-    maps = units.withColumns({f"_{k}": pairs_map(F.col(c)) for k, c in lists.items()})
+    maps = units.withColumns({f"_{k}": pairs_list(F.col(c)) for k, c in lists.items()})
     labels = F.coalesce(label_list(F.col("aspect_labels")), F.array().cast("array<string>"))
     long = maps.withColumn("aspect", F.explode(F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit("unclear")))))
-    number = lambda k: F.coalesce(F.expr(f"try_cast(try_element_at(_{k}, aspect) as double)"), F.lit(0.0))
-    out = long.withColumns({"sentiment": F.coalesce(F.try_element_at("_sentiment", F.col("aspect")), F.lit("unclear")),
-        "severity": number("severity"), "confidence": number("confidence")})
+    own = {k: last_value(F.col(f"_{k}"), F.col("aspect")) for k in lists}
+    number = lambda k: F.coalesce(own[k].try_cast("double"), F.lit(0.0))
+    out = long.withColumns({
+        "sentiment": F.coalesce(own["sentiment"], F.lit("unclear")), "severity": number("severity"), "confidence": number("confidence"),
+    })
     return out.drop(*(f"_{k}" for k in lists), *lists.values(), "aspect_labels")
 
 

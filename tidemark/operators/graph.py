@@ -120,10 +120,12 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def degree_assortativity(edges: DataFrame) -> DataFrame:
-    """Correlation of the degrees at the ends of all directed edges, one row."""
+    """Correlation of the degrees at the ends of all directed edges, one row; null if they are all equal."""
     d = degrees(edges).select("node", "degree")
     ends = both(edges).join(d.withColumnsRenamed({"node": "u", "degree": "du"}), "u").join(d.withColumnsRenamed({"node": "v", "degree": "dv"}), "v")
-    return ends.agg(places(F.corr(F.col("du").cast("double"), F.col("dv").cast("double"))).alias("degree_assortativity"))
+    x, y = F.col("du").cast("double"), F.col("dv").cast("double")
+    found = ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return ends.agg(places(found).alias("degree_assortativity"))
 
 
 def attribute_assortativity(edges: DataFrame, partition: DataFrame) -> DataFrame:

@@ -29,11 +29,18 @@ THEME_RULES = [
 def classified(df: DataFrame, text: Column) -> DataFrame:
     """df with primary_theme (most words found; ties: the earlier rule) and theme_labels (all
     rules that found one, `;`-joined); `other` where none did."""
-    found = F.array(*(F.struct(hits(text, words).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, words) in enumerate(THEME_RULES)))
-    out = df.withColumn("_found", F.filter(found, lambda x: x["n"] > 0))
+    counted = df.withColumn("_lower", F.lower(F.coalesce(text, F.lit(""))))
+    # counts are columns of their own, so that the text is lowered once and they are compiled
+    counted = counted.withColumns({f"_n{i}": hits(F.col("_lower"), words) for i, (_, words) in enumerate(THEME_RULES)})
+    rules = (F.struct(F.col(f"_n{i}").alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, _) in enumerate(THEME_RULES))
+    out = counted.withColumn("_found", F.filter(F.array(*rules), lambda x: x["n"] > 0))
     some = F.size("_found") > 0
-    return out.withColumn("primary_theme", F.when(some, F.array_max("_found")["name"]).otherwise("other")).withColumn("theme_labels",
-        F.when(some, F.array_join(F.transform("_found", lambda x: x["name"]), ";")).otherwise("other")).drop("_found")
+    labels = F.array_join(F.transform("_found", lambda x: x["name"]), ";")
+    out = out.withColumns({
+        "primary_theme": F.when(some, F.array_max("_found")["name"]).otherwise("other"),
+        "theme_labels": F.when(some, labels).otherwise("other"),
+    })
+    return out.drop("_found", "_lower", *(f"_n{i}" for i in range(len(THEME_RULES))))
 
 
 def labels_long(df: DataFrame, column: str, *keys: str) -> DataFrame:

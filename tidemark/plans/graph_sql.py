@@ -61,7 +61,7 @@ vol AS (SELECT u_part, coalesce(sum(weight) FILTER (u_part = v_part), 0) AS insi
 whole AS (SELECT sum(volume) AS m, sum(all_ends) AS c FROM vol),
 modular AS (SELECT round(sum(inside / m - (volume / m) * (volume / m)), 6) AS modularity,
   round((sum(same_ends / c) - sum((all_ends / c) * (all_ends / c))) / nullif(1 - sum((all_ends / c) * (all_ends / c)), 0), 6) AS attribute_assortativity FROM vol, whole),
-mixing AS (SELECT round(corr(CAST(p.degree AS DOUBLE), CAST(q.degree AS DOUBLE)), 6) AS degree_assortativity FROM ends JOIN deg p ON p.node = u JOIN deg q ON q.node = v)
+mixing AS (SELECT CASE WHEN stddev_pop(p.degree) * stddev_pop(q.degree) > 0 THEN round(corr(CAST(p.degree AS DOUBLE), CAST(q.degree AS DOUBLE)), 6) END AS degree_assortativity FROM ends JOIN deg p ON p.node = u JOIN deg q ON q.node = v)
 """
 NETWORK = """
 dm AS (SELECT * FROM deg JOIN member USING (node)),
