@@ -128,10 +128,14 @@ def channel_key(c: Column) -> Column:
         F.concat(F.lit("handle:"), F.lower(handle))).when(last != "", F.concat(F.lit("last:"), F.lower(last))).otherwise("")
 
 
+def contained(c: Column, words: list[str]) -> Column:
+    """How many of the words the text contains as it is."""
+    return sum((c.contains(w).cast("int") for w in words[1:]), c.contains(words[0]).cast("int"))
+
+
 def hits(c: Column, words: list[str]) -> Column:
     """How many of the words the lower-case text contains."""
-    text = F.lower(F.coalesce(c, F.lit("")))
-    return sum((text.contains(w).cast("int") for w in words[1:]), text.contains(words[0]).cast("int"))
+    return contained(F.lower(F.coalesce(c, F.lit(""))), words)
 
 
 def json_tags(c: Column) -> Column:

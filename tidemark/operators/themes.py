@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import hits, label_list, places, ratio
+from tidemark.functions.columns import contained, label_list, places, ratio
 
 # Themes in order and the words that point to each.
 THEME_RULES = [
@@ -31,7 +31,7 @@ def classified(df: DataFrame, text: Column) -> DataFrame:
     rules that found one, `;`-joined); `other` where none did."""
     counted = df.withColumn("_lower", F.lower(F.coalesce(text, F.lit(""))))
     # counts are columns of their own, so that the text is lowered once and they are compiled
-    counted = counted.withColumns({f"_n{i}": hits(F.col("_lower"), words) for i, (_, words) in enumerate(THEME_RULES)})
+    counted = counted.withColumns({f"_n{i}": contained(F.col("_lower"), words) for i, (_, words) in enumerate(THEME_RULES)})
     rules = (F.struct(F.col(f"_n{i}").alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, _) in enumerate(THEME_RULES))
     out = counted.withColumn("_found", F.filter(F.array(*rules), lambda x: x["n"] > 0))
     some = F.size("_found") > 0
