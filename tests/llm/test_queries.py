@@ -22,7 +22,13 @@ COLUMNS = {
     "op9_simhash_golay": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op10_decision_list": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint",
     "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op11_periodic_runs": {"doc_id": "bigint", "n_runs": "bigint", "start": "bigint", "length": "bigint", "period": "bigint", "exponent_milli": "bigint",
+    "runs_sha256": "string", "collapsed_sha256": "string"},
+    "op12_pstable_vectors": {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op13_centroids": {"vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint", "inertia": "bigint",
+    "centroid_sha256": "string"},
 }
+TABLES = {"op8": ("pages", "page_id"), "op12": ("embeddings", "vec_id"), "op13": ("embeddings", "vec_id")}
 FOLDS = {"op4_language_id": (4, 2), "op5_toxicity_ftrl": (3, 1), "op6_quality_gbt": (3, 1)}
 LEAST = {"op5_toxicity_ftrl": 0.7, "op6_quality_gbt": 0.5}
 
@@ -32,7 +38,7 @@ def test_contract(spark, small, name):
     out = queries.QUERIES[name](spark, small).cache()
     kinds = dict(out.dtypes)
     assert {c: kinds.get(c) for c in COLUMNS[name]} == COLUMNS[name]
-    table, key = ("pages", "page_id") if name.startswith("op8") else ("documents", "doc_id")
+    table, key = TABLES.get(name.split("_")[0], ("documents", "doc_id"))
     rows = out.collect()
     want = [r[0] for r in duckdb.sql(f"SELECT {key} FROM '{small}/{table}.parquet'").fetchall()]
     assert sorted(r[key] for r in rows) == sorted(want)
