@@ -149,6 +149,8 @@ def _solved(unit: pa.Table, least: float) -> list[tuple[np.ndarray, ...]]:
     node, copies = unit.column("node").to_numpy(), unit.column("copies").to_numpy()
     shared = unit.column("shared").to_pylist()
     one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: one block with itself
+    if len(one) < 2 and (side == 2).all() or not len(one) or not len(two):
+        return []
     linked = x[one] @ x[two].T >= least
     if (side == 2).all():
         linked &= ~np.eye(len(one), dtype=bool)
@@ -168,13 +170,31 @@ def _solved(unit: pa.Table, least: float) -> list[tuple[np.ndarray, ...]]:
     return out
 
 
+def _pairs(batch: pa.RecordBatch, at: np.ndarray, least: float) -> list[tuple[np.ndarray, ...]]:
+    """As _solved, for all units of two rows of a batch at once: those that start at `at`."""
+    sizes, near = batch.column("vector").value_lengths().to_numpy(), np.zeros(len(at), bool)
+    for size in np.unique(sizes[at]):
+        some = np.flatnonzero(sizes[at] == size)
+        for s in range(0, len(some), 4096):
+            own = some[s : s + 4096]
+            x, y = (matrix(batch.column("vector").take(pa.array(at[own] + d))) for d in (0, 1))
+            near[own] = np.einsum("ij,ij->i", x, y) >= least
+    node, copies, shared, bucket = (batch.column(c) for c in ("node", "copies", "shared", "bucket"))
+    first = [s for s in at[near].tolist() if min(set(shared[s].as_py()) & set(shared[s + 1].as_py())) == bucket[s].as_py()]
+    if not first:
+        return []
+    a, first = node.to_numpy(), np.array(first)
+    n, none = copies.to_numpy(), np.full(len(first), -1)
+    return [(a[first], none, n[first + 1]), (a[first + 1], none, n[first]), (a[first], a[first + 1], np.zeros(len(first), np.int64))]
+
+
 def _units(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Solves the units of a partition sorted by unit; one unit is held at a time."""
+    """Solves the units of a partition sorted by unit; one unit is held at a time. Most have two rows: those that
+    lie in one batch are solved together."""
     names = ["bucket", "i", "j"]
     held: list[pa.RecordBatch] = []
 
-    def solved() -> Iterator[pa.RecordBatch]:
-        rows = _solved(pa.Table.from_batches(held), least) if sum(b.num_rows for b in held) > 1 else []
+    def solved(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         if rows:
             node, other, n = (np.concatenate(c).astype(np.int64) for c in zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(other, mask=other < 0), pa.array(n)], ["node", "other", "links"])
@@ -184,13 +204,16 @@ def _units(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
             continue
         keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], axis=1)
         edge = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [batch.num_rows]])
-        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        whole = np.zeros(len(edge) - 1, bool)
+        whole[1:-1] = np.diff(edge)[1:-1] == 2
+        yield from solved(_pairs(batch, edge[:-1][whole], least))
+        for s, e in zip(edge[:-1][~whole].tolist(), edge[1:][~whole].tolist()):
             if held and tuple(held[-1].column(c)[0].as_py() for c in names) != tuple(keys[s].tolist()):
-                yield from solved()
+                yield from solved(_solved(pa.Table.from_batches(held), least))
                 held = []
             held.append(batch.slice(s, e - s))
     if held:
-        yield from solved()
+        yield from solved(_solved(pa.Table.from_batches(held), least))
 
 
 def counted(nodes: DataFrame, crowded: DataFrame, least: float) -> DataFrame:
