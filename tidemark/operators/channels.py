@@ -1,8 +1,8 @@
 """The metrics of every channel, all channels in one job: scope, engagement, tiers, retention, the graph of
 commenters, the graph of videos, sentiment, replies and conflict.
 
-Rows of comments carry `channel`. Graphs of all channels are one graph whose nodes are (channel, id) in
-a string, so that the projection and its measures are those of one channel's graph each.
+Rows of comments carry `channel`. Graphs of all channels are one graph whose nodes are structs (channel, id), so
+that the projection and its measures are those of one channel's graph each. Rows without an id are in no graph.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import places, ratio
 from tidemark.operators import activity, graph, threads
 
-# The metrics by group, and those whose polarity their name does not tell.
+# The metrics by group.
 GROUPS = {
     "scale": ["n_videos_in_scope", "top_level_comments", "top_level_commenters", "all_comments"],
     "engagement": ["comments_per_video", "commenters_per_video", "comments_per_1k_views"],
@@ -34,7 +34,38 @@ GROUPS = {
         "max_theme_like_weighted_conflict_score",
     ],
 }
-BENEFITS = ("comments_per_video", "commenters_per_video", "comments_per_1k_views", "high_mid_tier_commenter_share")
+
+# The unit of each metric, and which end of it is good news.
+READINGS = {
+    ("count", "mixed_high"): ["reply_share_all_comments"],
+    ("count", "scale"): ["all_comments", "n_videos_in_scope", "top_level_commenters", "top_level_comments"],
+    ("density", "mixed_high"): ["commenter_network_density", "video_network_density"],
+    ("per_1k_views", "benefit_high"): ["comments_per_1k_views"],
+    ("per_video", "benefit_high"): ["commenters_per_video", "comments_per_video"],
+    ("rate", "benefit_high"): [
+        "continuity_return_rate_w4", "high_mid_tier_commenter_share", "like_weighted_positive_rate", "positive_rate",
+        "returning_tier_commenter_share", "rolling_return_rate_latest", "rolling_return_rate_mean",
+    ],
+    ("rate", "concentration_high"): ["largest_community_share", "top3_community_share"],
+    ("rate", "mixed_high"): [
+        "core_regular_tier_comment_share", "core_regular_tier_commenter_share", "core_tier_commenter_share", "high_mid_tier_comment_share",
+        "high_tier_commenter_share", "low_tier_commenter_share", "mid_tier_commenter_share", "one_time_tier_commenter_share",
+        "pct_threads_with_replies", "regular_tier_commenter_share",
+    ],
+    ("rate", "risk_high"): [
+        "like_weighted_negative_rate", "max_community_negative_rate", "max_video_conflict_thread_rate_replied",
+        "max_video_like_weighted_negative_rate", "max_video_negative_rate", "negative_rate", "reply_negative_rate",
+        "top5_hotspot_negative_rate_mean",
+    ],
+    ("score", "benefit_high"): ["top_bridge_participation_mean"],
+    ("score", "concentration_high"): ["community_hhi"],
+    ("score", "mixed_high"): ["commenter_network_modularity", "video_network_modularity"],
+    ("score", "risk_high"): [
+        "max_theme_conflict_score", "max_theme_like_weighted_conflict_score", "max_theme_reply_count_weighted_conflict_score",
+        "max_video_conflict_score", "max_video_like_weighted_conflict_score", "max_video_reply_count_weighted_conflict_score",
+    ],
+    ("value", "mixed_high"): ["commenter_network_communities", "video_network_clusters"],
+}
 
 
 class Settings(NamedTuple):
@@ -62,39 +93,37 @@ def metric_group(metric: Column) -> Column:
     return out
 
 
+def _reading(metric: Column, place: int, other: str) -> Column:
+    out = F.lit(other)
+    for reading, names in READINGS.items():
+        out = F.when(metric.isin(*names), reading[place]).otherwise(out)
+    return out
+
+
 def metric_unit(metric: Column) -> Column:
-    """The unit that a metric's name tells."""
-    has = lambda *words: reduce(lambda a, b: a | b, (metric.contains(w) for w in words))
-    count = metric.startswith("n_") | metric.endswith("_comments") | metric.endswith("_commenters")
-    score = has("score", "modularity") | metric.endswith("_hhi") | metric.isin("top_bridge_participation_mean")
-    return F.when(count, "count").when(has("rate", "share", "pct"), "rate").when(has("density"), "density").when(score,
-        "score").when(has("per_video"), "per_video").when(has("per_1k_views"), "per_1k_views").otherwise("value")
+    """The unit of a metric; `value` for one that is not known."""
+    return _reading(metric, 0, "value")
 
 
 def metric_polarity(metric: Column) -> Column:
-    """Which end of a metric is good news."""
-    has = lambda *words: reduce(lambda a, b: a | b, (metric.contains(w) for w in words))
-    scale = metric.startswith("n_") | metric.isin("top_level_comments", "top_level_commenters", "all_comments")
-    return (
-        F.when(metric.isin(*BENEFITS), "benefit_high").when(metric == "high_mid_tier_comment_share",
-        "mixed_high").when(has("negative", "conflict"), "risk_high").when(has("positive", "return", "bridge"), "benefit_high")
-        .when(has("largest_community", "top3_community", "community_hhi"), "concentration_high").when(scale, "scale").otherwise("mixed_high")
-    )
+    """Which end of a metric is good news; `mixed_high` for one that is not known."""
+    return _reading(metric, 1, "mixed_high")
 
 
-def _id(*columns: str) -> Column:
-    return F.concat_ws("|", *(F.col(c).cast("string") for c in columns))
+def _id(channel: str, own: str) -> Column:
+    """A node of the graph of all channels; null where its own id is."""
+    return F.when(F.col(own).isNotNull(), F.struct(F.col(channel).alias("channel"), F.col(own).alias("id")))
 
 
 def _network(edges: DataFrame, partition: DataFrame, prefix: str, count: str) -> DataFrame:
     """(channel, density, modularity, communities) of a graph over (channel, id) nodes."""
-    channel = F.substring_index("node", "|", 1)
+    channel = F.col("node.channel")
     d = graph.degrees(edges)
     size = d.groupBy(channel.alias("channel")).agg(F.count("*").alias("n"), (F.sum("degree") / 2).alias("m"))
     ends = graph.partitioned(edges, partition)
     parts = ends.groupBy("u_part").agg(F.sum(F.when(F.col("u_part") == F.col("v_part"), F.col("weight")).otherwise(0)).alias("inner"),
         F.sum("weight").alias("volume"))
-    parts = parts.withColumn("channel", F.substring_index("u_part", "|", 1)).withColumn("all", F.sum("volume").over(Window.partitionBy("channel")))
+    parts = parts.withColumn("channel", F.col("u_part.channel")).withColumn("all", F.sum("volume").over(Window.partitionBy("channel")))
     mod = parts.groupBy("channel").agg(F.sum(ratio(F.col("inner"), F.col("all")) - F.pow(ratio(F.col("volume"), F.col("all")),
         F.lit(2))).alias(f"{prefix}_modularity"), F.count("*").alias(count))
     density = ratio(2 * F.col("m"), F.col("n") * (F.col("n") - 1)).alias(f"{prefix}_density")
@@ -102,13 +131,13 @@ def _network(edges: DataFrame, partition: DataFrame, prefix: str, count: str) ->
 
 
 def _commenter_network(comments: DataFrame, communities: DataFrame, settings: Settings) -> DataFrame:
-    pairs = comments.select(_id("channel", "actor_id").alias("node"), _id("channel", "video_id").alias("via")).distinct()
+    pairs = comments.select(_id("channel", "actor_id").alias("node"), _id("channel", "video_id").alias("via")).dropna().distinct()
     edges = graph.projection(pairs, "node", "via", least_via=settings.least_actor_videos, least_weight=settings.least_shared_videos)
     member = comments.select("channel", "actor_id").distinct().join(communities, "actor_id")
     partition = member.select(_id("channel", "actor_id").alias("node"), _id("channel", "community").alias("part"))
     out = _network(edges, partition, "commenter_network", "commenter_network_communities")
     shares = graph.degrees(edges).select("node").join(partition, "node").groupBy("part").agg(F.count("*").alias("n")).withColumn("channel",
-        F.substring_index("part", "|", 1))
+        F.col("part.channel"))
     by = Window.partitionBy("channel")
     shares = shares.withColumn("share", ratio(F.col("n"), F.sum("n").over(by))).withColumn("place", F.row_number().over(by.orderBy(F.desc("n"), "part")))
     spread = shares.groupBy("channel").agg(F.max("share").alias("largest_community_share"),
@@ -116,7 +145,7 @@ def _commenter_network(comments: DataFrame, communities: DataFrame, settings: Se
     # bridges by the plain score: strength times participation
     ends = graph.partitioned(edges, partition).groupBy("u", "v_part").agg(F.sum("weight").alias("w"))
     nodes = ends.groupBy("u").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q")).withColumn("channel",
-        F.substring_index("u", "|", 1)).withColumn("p", 1 - ratio(F.col("q"), F.col("s") * F.col("s")))
+        F.col("u.channel")).withColumn("p", 1 - ratio(F.col("q"), F.col("s") * F.col("s")))
     place = F.row_number().over(by.orderBy(F.desc(F.round(F.col("s") * F.col("p"), 6)), F.desc(F.round("p", 6)), "u"))
     bridges = nodes.withColumn("place",
         place).where(F.col("place") <= settings.bridges).groupBy("channel").agg(F.avg("p").alias("top_bridge_participation_mean"))
@@ -124,7 +153,7 @@ def _commenter_network(comments: DataFrame, communities: DataFrame, settings: Se
 
 
 def _video_network(comments: DataFrame, clusters: DataFrame, settings: Settings) -> DataFrame:
-    pairs = comments.select(_id("channel", "video_id").alias("node"), _id("channel", "actor_id").alias("via")).distinct()
+    pairs = comments.select(_id("channel", "video_id").alias("node"), _id("channel", "actor_id").alias("via")).dropna().distinct()
     edges = graph.projection(pairs, "node", "via", least_via=settings.least_video_actors, least_weight=settings.least_shared_actors)
     member = comments.select("channel", "video_id").distinct().join(clusters, "video_id")
     partition = member.select(_id("channel", "video_id").alias("node"), _id("channel", "cluster").alias("part"))

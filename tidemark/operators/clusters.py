@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import places, ratio
+from tidemark.functions.columns import places
 from tidemark.operators.graph import both, opportunity_type
+from tidemark.operators.themes import affinity
 
 
 def clustered_videos(partition: DataFrame, videos: DataFrame, comments: DataFrame) -> DataFrame:
@@ -44,17 +45,12 @@ def cluster_summary(clustered: DataFrame, comments: DataFrame, labels: DataFrame
     return own.join(actors, "cluster", "left").join(top_labels, "cluster", "left").join(top_videos, "cluster", "left")
 
 
-def theme_affinity(clustered: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per cluster and label: videos, the cluster's share of them, that of all videos, and the lift."""
-    vc = clustered.select("video_id", "cluster").distinct()
-    sizes = vc.groupBy("cluster").agg(F.count("*").alias("cluster_videos"))
-    labeled = vc.join(labels.select("video_id", "label"), "video_id")
-    overall = labeled.groupBy("label").agg(F.count("*").alias("label_videos"))
-    total = vc.agg(F.count("*").alias("_all"))  # one row
-    out = labeled.groupBy("cluster", "label").agg(F.countDistinct("video_id").alias("n_videos")).join(sizes, "cluster").join(overall, "label").crossJoin(total)
-    share, every = ratio(F.col("n_videos"), F.col("cluster_videos")), ratio(F.col("label_videos"), F.col("_all"))
-    return out.select("cluster", "label", "n_videos", "cluster_videos", "label_videos", places(share).alias("cluster_share"),
-        places(every).alias("overall_share"), places(ratio(share, every)).alias("lift"))
+def cluster_affinity(clustered: DataFrame, labels: DataFrame) -> DataFrame:
+    """The affinity of clusters for labels over their videos, with labels or without."""
+    units = clustered.select("cluster", F.col("video_id").alias("_pair"))
+    pairs = units.join(labels.select(F.col("video_id").alias("_pair"), "label"), "_pair")
+    names = {"pairs": "n_videos", "group_pairs": "cluster_videos", "label_pairs": "label_videos", "share": "cluster_share"}
+    return affinity(pairs, "cluster", "label", units).withColumnsRenamed(names)
 
 
 def described_opportunities(found: DataFrame, edges: DataFrame, clustered: DataFrame, actor_videos: DataFrame) -> DataFrame:

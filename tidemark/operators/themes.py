@@ -56,18 +56,19 @@ def theme_summary(comments: DataFrame, videos: DataFrame) -> DataFrame:
     return seen.join(own, "theme", "full").select("theme", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_videos", "n_comments", "n_commenters")))
 
 
-def affinity(pairs: DataFrame, group: str, label: str) -> DataFrame:
+def affinity(pairs: DataFrame, group: str, label: str, units: DataFrame | None = None) -> DataFrame:
     """lift of each (group, label) over distinct pairs: the label's share in the group over its
-    share in all. A pair counts once for each of its labels; `_pair` names it."""
-    total = pairs.select(group, "_pair").distinct()
+    share in all. A pair counts once for each of its labels; `_pair` names it. Shares are of the pairs
+    that have labels, or of those of `units` (group, _pair) where it is given."""
+    total = (pairs if units is None else units).select(group, "_pair").distinct()
     by_group = total.groupBy(group).agg(F.count("*").alias("group_pairs"))
     by_both = pairs.select(group, label, "_pair").distinct().groupBy(group, label).agg(F.count("*").alias("pairs"))
     everything = Window.partitionBy()
     by_group = by_group.withColumn("all_pairs", F.sum("group_pairs").over(everything))
     out = by_both.join(by_group, group).withColumn("label_pairs", F.sum("pairs").over(Window.partitionBy(label)))
-    share = ratio(F.col("pairs"), F.col("group_pairs"))
-    return out.select(group, label, "pairs", "group_pairs", "label_pairs", places(share).alias("share"),
-        places(ratio(share, ratio(F.col("label_pairs"), F.col("all_pairs")))).alias("lift"))
+    share, overall = ratio(F.col("pairs"), F.col("group_pairs")), ratio(F.col("label_pairs"), F.col("all_pairs"))
+    return out.select(group, label, "pairs", "group_pairs", "label_pairs", places(share).alias("share"), places(overall).alias("overall_share"),
+        places(ratio(share, overall)).alias("lift"))
 
 
 def top_text(df: DataFrame, group: str, label: Column, value: str, k: int = 5) -> DataFrame:

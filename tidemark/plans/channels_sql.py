@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.operators.channels import READINGS
+
 INDICES = """
 spec(index_name, metric, inverted) AS (VALUES
   ('engagement_conversion', 'comments_per_1k_views', false), ('engagement_conversion', 'comments_per_video', false), ('engagement_conversion', 'commenters_per_video', false),
@@ -23,13 +25,9 @@ ranks AS (
   value) - 1) / 2) / count(*) OVER (PARTITION BY metric), 6) AS percentile, count(*) OVER (PARTITION BY metric) AS cohort_n
   FROM metrics)
 """
-#: Polarity by the words of a metric's name, as rules in order.
-POLARITY_RULE = """CASE
-  WHEN metric IN ('comments_per_video', 'commenters_per_video', 'comments_per_1k_views', 'high_mid_tier_commenter_share') THEN 'benefit_high'
-  WHEN metric = 'high_mid_tier_comment_share' THEN 'mixed_high'
-  WHEN metric LIKE '%negative%' OR metric LIKE '%conflict%' THEN 'risk_high' WHEN metric LIKE '%positive%' OR metric LIKE '%return%' OR metric LIKE '%bridge%' THEN 'benefit_high'
-  WHEN metric LIKE '%largest$_community%' ESCAPE '$' OR metric LIKE '%top3$_community%' ESCAPE '$' OR metric LIKE '%community$_hhi%' ESCAPE '$' THEN 'concentration_high'
-  WHEN metric LIKE 'n$_%' ESCAPE '$' OR metric IN ('top_level_comments', 'top_level_commenters', 'all_comments') THEN 'scale' ELSE 'mixed_high' END"""
+#: Polarity by the fixed values of the metrics.
+POLARITY_RULE = "CASE " + " ".join(f"WHEN metric IN ({', '.join(repr(n) for n in names)}) THEN '{polarity}'"
+    for (_, polarity), names in READINGS.items()) + " ELSE 'mixed_high' END"
 POLARITY = f"""
 readings AS (
   SELECT *, abs(percentile - 50) AS x, CASE WHEN polarity = 'risk_high' AND percentile >= 75 THEN 'risk' WHEN polarity = 'risk_high' AND percentile <= 25 THEN 'opportunity'

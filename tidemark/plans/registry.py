@@ -214,7 +214,7 @@ def _pairs(v):
 
 @query
 def community_theme_affinity(v):
-    return themes.affinity(_pairs(v), "community", "theme")
+    return themes.affinity(_pairs(v), "community", "theme").drop("overall_share")
 
 
 @query
@@ -671,7 +671,7 @@ def video_cluster_summary(v):
 
 @query
 def video_cluster_theme_affinity(v):
-    return clusters.theme_affinity(written(_clustered(v, _video_edges(v)), "clusters"), _video_labels(v))
+    return clusters.cluster_affinity(written(_clustered(v, _video_edges(v)), "clusters"), _video_labels(v))
 
 
 @query
