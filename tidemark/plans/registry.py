@@ -891,3 +891,6 @@ def conversation_turns(v):
     return c.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.countDistinct("role").alias("n_roles"),
         F.coalesce(F.sum(F.when(F.col("turn") == 0, F.col("words"))), F.lit(0)).alias("parent_words"),
         F.coalesce(F.sum(F.when(F.col("turn") > 0, F.col("words"))), F.lit(0)).alias("reply_words"))
+
+
+from tidemark.plans import work  # noqa: E402, F401  (adds its relations)

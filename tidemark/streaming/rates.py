@@ -31,16 +31,17 @@ def deduplicated(posts: DataFrame, *, late: str = "2 days") -> DataFrame:
     return watermarked(posts, late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def upsert_sink(path: str, key: str, order: str):
-    """A foreachBatch function that keeps the last row of each key in a table; a batch that is
-    run again gives the same table."""
+def upsert_sink(path: str, key: str, order: str, *, buckets: int = 32):
+    """A foreachBatch function that keeps the last row of each key in a keyed table; a batch rewrites the
+    buckets that it touches, and one that is run again changes nothing."""
 
     def put(batch: DataFrame, epoch: int) -> None:
-        from tidemark.operators.cohort import upsert
+        from tidemark.sources.keyed import KeyedTable, keep_last
 
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/{epoch - 1}") if epoch else batch.limit(0)
-        upsert(old, batch, key, order).write.mode("overwrite").parquet(f"{path}/{epoch}")
+        table = KeyedTable(batch.sparkSession, path)
+        if not table.versions():
+            table.create(batch.limit(0), key, buckets=buckets)
+        table.merge(batch, keep_last(order), epoch=epoch, order=order)
 
     return put
 
