@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import places, ratio
 from tidemark.operators import activity, graph, threads
+from tidemark.plans.tables import written
 
 # The metrics by group.
 GROUPS = {
@@ -115,78 +116,75 @@ def _id(channel: str, own: str) -> Column:
     return F.when(F.col(own).isNotNull(), F.struct(F.col(channel).alias("channel"), F.col(own).alias("id")))
 
 
-def _network(edges: DataFrame, partition: DataFrame, prefix: str, count: str) -> DataFrame:
+def _network(edges: DataFrame, partition: DataFrame) -> DataFrame:
     """(channel, density, modularity, communities) of a graph over (channel, id) nodes."""
-    channel = F.col("node.channel")
     d = graph.degrees(edges)
-    size = d.groupBy(channel.alias("channel")).agg(F.count("*").alias("n"), (F.sum("degree") / 2).alias("m"))
+    size = d.groupBy(F.col("node.channel").alias("channel")).agg(F.count("*").alias("n"), (F.sum("degree") / 2).alias("m"))
     ends = graph.partitioned(edges, partition)
     parts = ends.groupBy("u_part").agg(F.sum(F.when(F.col("u_part") == F.col("v_part"), F.col("weight")).otherwise(0)).alias("inner"),
         F.sum("weight").alias("volume"))
     parts = parts.withColumn("channel", F.col("u_part.channel")).withColumn("all", F.sum("volume").over(Window.partitionBy("channel")))
     mod = parts.groupBy("channel").agg(F.sum(ratio(F.col("inner"), F.col("all")) - F.pow(ratio(F.col("volume"), F.col("all")),
-        F.lit(2))).alias(f"{prefix}_modularity"), F.count("*").alias(count))
-    density = ratio(2 * F.col("m"), F.col("n") * (F.col("n") - 1)).alias(f"{prefix}_density")
+        F.lit(2))).alias("modularity"), F.count("*").alias("communities"))
+    density = ratio(2 * F.col("m"), F.col("n") * (F.col("n") - 1)).alias("density")
     return size.select("channel", density).join(mod, "channel")
 
 
-def _commenter_network(comments: DataFrame, communities: DataFrame, settings: Settings) -> DataFrame:
+def _commenter_network(comments: DataFrame, communities: DataFrame, settings: Settings) -> dict[str, DataFrame]:
     pairs = comments.select(_id("channel", "actor_id").alias("node"), _id("channel", "video_id").alias("via")).dropna().distinct()
-    edges = graph.projection(pairs, "node", "via", least_via=settings.least_actor_videos, least_weight=settings.least_shared_videos)
+    edges = written(graph.projection(pairs, "node", "via", least_via=settings.least_actor_videos, least_weight=settings.least_shared_videos), "edges")
     member = comments.select("channel", "actor_id").distinct().join(communities, "actor_id")
     partition = member.select(_id("channel", "actor_id").alias("node"), _id("channel", "community").alias("part"))
-    out = _network(edges, partition, "commenter_network", "commenter_network_communities")
-    shares = graph.degrees(edges).select("node").join(partition, "node").groupBy("part").agg(F.count("*").alias("n")).withColumn("channel",
-        F.col("part.channel"))
+    sizes = graph.degrees(edges).select("node").join(partition, "node").groupBy("part").agg(F.count("*").alias("n")).withColumn("channel", F.col("part.channel"))
     by = Window.partitionBy("channel")
-    shares = shares.withColumn("share", ratio(F.col("n"), F.sum("n").over(by))).withColumn("place", F.row_number().over(by.orderBy(F.desc("n"), "part")))
-    spread = shares.groupBy("channel").agg(F.max("share").alias("largest_community_share"),
-        F.sum(F.when(F.col("place") <= 3, F.col("share"))).alias("top3_community_share"), F.sum(F.col("share") * F.col("share")).alias("community_hhi"))
+    shares = sizes.select("channel", "n", "part", ratio(F.col("n"), F.sum("n").over(by)).alias("share"))
     # bridges by the plain score: strength times participation
     ends = graph.partitioned(edges, partition).groupBy("u", "v_part").agg(F.sum("weight").alias("w"))
     nodes = ends.groupBy("u").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q")).withColumn("channel",
         F.col("u.channel")).withColumn("p", 1 - ratio(F.col("q"), F.col("s") * F.col("s")))
     place = F.row_number().over(by.orderBy(F.desc(F.round(F.col("s") * F.col("p"), 6)), F.desc(F.round("p", 6)), "u"))
-    bridges = nodes.withColumn("place",
-        place).where(F.col("place") <= settings.bridges).groupBy("channel").agg(F.avg("p").alias("top_bridge_participation_mean"))
-    return out.join(spread, "channel", "left").join(bridges, "channel", "left")
+    bridges = nodes.withColumn("place", place).where(F.col("place") <= settings.bridges).select("channel", "place", F.col("p").alias("participation"))
+    return {"network": _network(edges, partition), "communities": shares, "bridges": bridges}
 
 
 def _video_network(comments: DataFrame, clusters: DataFrame, settings: Settings) -> DataFrame:
     pairs = comments.select(_id("channel", "video_id").alias("node"), _id("channel", "actor_id").alias("via")).dropna().distinct()
-    edges = graph.projection(pairs, "node", "via", least_via=settings.least_video_actors, least_weight=settings.least_shared_actors)
+    edges = written(graph.projection(pairs, "node", "via", least_via=settings.least_video_actors, least_weight=settings.least_shared_actors), "edges")
     member = comments.select("channel", "video_id").distinct().join(clusters, "video_id")
-    partition = member.select(_id("channel", "video_id").alias("node"), _id("channel", "cluster").alias("part"))
-    return _network(edges, partition, "video_network", "video_network_clusters")
+    return _network(edges, member.select(_id("channel", "video_id").alias("node"), _id("channel", "cluster").alias("part")))
 
 
-def _sentiment(comments: DataFrame, communities: DataFrame) -> DataFrame:
+def _sentiment(comments: DataFrame, communities: DataFrame) -> dict[str, DataFrame]:
     neg, pos, w = F.col("label") == "negative", F.col("label") == "positive", F.col("like_count") + 1
     heavy = lambda c: ratio(F.sum(F.when(c, w).otherwise(0)), F.sum(w))
     rate = ratio(F.count_if(neg), F.count("*"))
     own = comments.groupBy("channel").agg(F.count("*").alias("all_comments"), rate.alias("negative_rate"),
         ratio(F.count_if(pos), F.count("*")).alias("positive_rate"), heavy(neg).alias("like_weighted_negative_rate"),
         heavy(pos).alias("like_weighted_positive_rate"))
-    spots = comments.groupBy("channel", "video_id").agg(rate.alias("rate"), heavy(neg).alias("heavy"))
-    place = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("rate"), "video_id"))
-    top5 = spots.withColumn("place", place).where("place <= 5").groupBy("channel").agg(F.avg("rate").alias("top5_hotspot_negative_rate_mean"))
-    most = spots.groupBy("channel").agg(F.max("rate").alias("max_video_negative_rate"), F.max("heavy").alias("max_video_like_weighted_negative_rate"))
-    groups = comments.join(communities, "actor_id").groupBy("channel",
-        "community").agg(rate.alias("rate")).groupBy("channel").agg(F.max("rate").alias("max_community_negative_rate"))
-    return own.join(most, "channel").join(top5, "channel").join(groups, "channel", "left")
+    spots = comments.groupBy("channel", "video_id").agg(rate.alias("negative_rate"), heavy(neg).alias("like_weighted_negative_rate"))
+    groups = comments.join(communities, "actor_id").groupBy("channel", "community").agg(rate.alias("negative_rate"))
+    return {"sentiment": own, "hotspots": spots, "community_sentiment": groups}
 
 
-def _conflict(comments: DataFrame, videos: DataFrame) -> DataFrame:
-    found = threads.thread_metrics(comments, "channel").join(videos.select("video_id", "theme"), "video_id", "left")
-    by_video, by_theme = threads.conflict_by(found, "channel", "video_id"), threads.conflict_by(found, "channel", "theme")
-    measures = {"conflict_score": "conflict_score", "reply_conflict_score": "reply_count_weighted_conflict_score",
-        "weighted_conflict_score": "like_weighted_conflict_score"}
-    most = lambda rows, of, extra: rows.groupBy("channel").agg(*(F.max(c).alias(f"max_{of}_{name}") for c, name in {**measures, **extra}.items()))
-    return most(by_video, "video", {"conflict_rate_replied": "conflict_thread_rate_replied"}).join(most(by_theme, "theme", {}), "channel")
+#: Measures of conflict by video and theme, and their names in metrics and reports.
+CONFLICT = {"conflict_score": "conflict_score", "reply_conflict_score": "reply_count_weighted_conflict_score",
+    "weighted_conflict_score": "like_weighted_conflict_score", "conflict_rate_replied": "conflict_thread_rate_replied"}
 
 
-def channel_metrics(comments: DataFrame, videos: DataFrame, communities: DataFrame, clusters: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(channel, metric, value) of all 49 metrics; undefined ones are left out.
+def _tiers(comments: DataFrame, scope: DataFrame, settings: Settings) -> DataFrame:
+    by_actor = comments.groupBy("channel", "actor_id").agg(F.count("*").alias("n_comments"), F.countDistinct("video_id").alias("n_videos")).join(scope, "channel")
+    coverage = ratio(F.col("n_videos"), F.col("n_videos_in_scope"))
+    tier = F.when(F.col("n_videos") <= 1, "one_time").when((coverage >= settings.core) & (F.col("n_videos") >= settings.core_videos),
+        "core").when(coverage >= settings.regular, "regular").otherwise("returning")
+    return by_actor.groupBy("channel", tier.alias("tier")).agg(F.count("*").alias("n_commenters"), F.sum("n_comments").alias("total_comments"))
+
+
+SECTIONS = ("scope", "tiers", "continuity", "rolling", "network", "communities", "bridges", "video_network", "sentiment", "hotspots",
+    "community_sentiment", "replies", "conflict_videos", "conflict_themes")
+
+
+def sections(comments: DataFrame, videos: DataFrame, communities: DataFrame, clusters: DataFrame, settings: Settings = Settings()) -> dict[str, DataFrame]:
+    """What reports hold of every channel, by section; each has `channel`.
 
     comments: all comments with channel; structure in time (tiers, retention) is measured on top-level ones.
     communities: (actor_id, community); clusters: (video_id, cluster). A video is a channel's if it has
@@ -194,35 +192,68 @@ def channel_metrics(comments: DataFrame, videos: DataFrame, communities: DataFra
     """
     top = comments.where("is_top_level")
     own_videos = comments.select("channel", "video_id").distinct().join(videos.select("video_id", "published_at", "view_count"), "video_id")
-    scope = own_videos.groupBy("channel").agg(F.count("*").alias("n_videos_in_scope"), F.sum("view_count").alias("_views"))
-    by_actor = top.groupBy("channel", "actor_id").agg(F.count("*").alias("n_comments"), F.countDistinct("video_id").alias("n_videos")).join(scope, "channel")
-    coverage = ratio(F.col("n_videos"), F.col("n_videos_in_scope"))
-    tier = F.when(F.col("n_videos") <= 1, "one_time").when((coverage >= settings.core) & (F.col("n_videos") >= settings.core_videos),
-        "core").when(coverage >= settings.regular, "regular").otherwise("returning")
-    by_actor = by_actor.withColumn("tier", tier)
-    engaged = F.col("tier").isin("core", "regular")
-    part = lambda t: ratio(F.count_if(F.col("tier") == t), F.count("*")).alias(f"{t}_tier_commenter_share")
-    tiers = by_actor.groupBy("channel").agg(F.count("*").alias("top_level_commenters"), F.sum("n_comments").alias("top_level_comments"),
-        *map(part, activity.TIERS), ratio(F.count_if(engaged), F.count("*")).alias("core_regular_tier_commenter_share"),
-        ratio(F.sum(F.when(engaged, F.col("n_comments")).otherwise(0)), F.sum("n_comments")).alias("core_regular_tier_comment_share"))
+    scope = own_videos.groupBy("channel").agg(F.count("*").alias("n_videos_in_scope"), F.sum("view_count").alias("total_views"))
     pairs = top.select("channel", "actor_id", "video_id").distinct()
-    kept = activity.continuity(pairs, own_videos, settings.windows, by=("channel",)).groupBy("channel").agg(ratio(F.sum("n_returned"),
-        F.sum("n_base")).alias("continuity_return_rate_w4"))
+    kept = activity.continuity(pairs, own_videos, settings.windows, by=("channel",)).groupBy("channel", "n_windows").agg(ratio(F.sum("n_returned"),
+        F.sum("n_base")).alias("weighted_return_rate"))
     rolling = activity.rolling_retention(pairs, own_videos, pre=settings.pre, post=settings.post, step=settings.step, by=("channel",))
-    rolling = rolling.groupBy("channel").agg(F.avg("return_rate").alias("rolling_return_rate_mean"),
-        F.max_by("return_rate", "cutoff").alias("rolling_return_rate_latest"))
+    found = threads.thread_metrics(comments, "channel").join(videos.select("video_id", "theme"), "video_id", "left")
     replies = threads.reply_overview(comments, "channel").select("channel", F.col("reply_share").alias("reply_share_all_comments"),
         F.col("replied_thread_share").alias("pct_threads_with_replies"), "reply_negative_rate")
-    rest = [tiers, kept, rolling, _commenter_network(comments, communities, settings), _video_network(comments, clusters, settings),
-        _sentiment(comments, communities), replies, _conflict(comments, videos)]
-    wide = reduce(lambda a, b: a.join(b, "channel", "left"), rest, scope)
+    conflict = lambda by: threads.conflict_by(found, "channel", by).select("channel", by, *(F.col(c).alias(n) for c, n in CONFLICT.items()))
+    return {
+        "scope": scope, "tiers": _tiers(top, scope, settings), "continuity": kept,
+        "rolling": rolling.select("channel", "cutoff", "return_rate"), **_commenter_network(comments, communities, settings),
+        "video_network": _video_network(comments, clusters, settings), **_sentiment(comments, communities), "replies": replies,
+        "conflict_videos": conflict("video_id"), "conflict_themes": conflict("theme"),
+    }
+
+
+def metrics_of(found: dict[str, DataFrame]) -> DataFrame:
+    """(channel, metric, value) of all 49 metrics from the sections; undefined ones are left out."""
+    by = Window.partitionBy("channel")
+    engaged = F.col("tier").isin("core", "regular")
+    n, total = F.sum("n_commenters"), F.sum("total_comments")
+    part = lambda t: ratio(F.sum(F.when(F.col("tier") == t, F.col("n_commenters")).otherwise(0)), n).alias(f"{t}_tier_commenter_share")
+    tiers = found["tiers"].groupBy("channel").agg(n.alias("top_level_commenters"), total.alias("top_level_comments"), *map(part, activity.TIERS),
+        ratio(F.sum(F.when(engaged, F.col("n_commenters")).otherwise(0)), n).alias("core_regular_tier_commenter_share"),
+        ratio(F.sum(F.when(engaged, F.col("total_comments")).otherwise(0)), total).alias("core_regular_tier_comment_share"))
+    rolling = found["rolling"].groupBy("channel").agg(F.avg("return_rate").alias("rolling_return_rate_mean"),
+        F.max_by("return_rate", "cutoff").alias("rolling_return_rate_latest"))
+    shares = found["communities"].withColumn("place", F.row_number().over(by.orderBy(F.desc("n"), "part")))
+    spread = shares.groupBy("channel").agg(F.max("share").alias("largest_community_share"),
+        F.sum(F.when(F.col("place") <= 3, F.col("share"))).alias("top3_community_share"), F.sum(F.col("share") * F.col("share")).alias("community_hhi"))
+    bridges = found["bridges"].groupBy("channel").agg(F.avg("participation").alias("top_bridge_participation_mean"))
+    network = lambda name, prefix, count: found[name].select("channel", F.col("density").alias(f"{prefix}_network_density"),
+        F.col("modularity").alias(f"{prefix}_network_modularity"), F.col("communities").alias(f"{prefix}_network_{count}"))
+    spots = found["hotspots"].withColumn("place", F.row_number().over(by.orderBy(F.desc("negative_rate"), "video_id")))
+    spots = spots.groupBy("channel").agg(F.max("negative_rate").alias("max_video_negative_rate"),
+        F.max("like_weighted_negative_rate").alias("max_video_like_weighted_negative_rate"),
+        F.avg(F.when(F.col("place") <= 5, F.col("negative_rate"))).alias("top5_hotspot_negative_rate_mean"))
+    groups = found["community_sentiment"].groupBy("channel").agg(F.max("negative_rate").alias("max_community_negative_rate"))
+    most = lambda name, of, names: found[name].groupBy("channel").agg(*(F.max(c).alias(f"max_{of}_{c}") for c in names))
+    measures = list(CONFLICT.values())
+    conflict = most("conflict_videos", "video", measures).join(most("conflict_themes", "theme", measures[:3]), "channel")
+    kept = found["continuity"].select("channel", F.col("weighted_return_rate").alias("continuity_return_rate_w4"))
+    rest = [tiers, kept, rolling, network("network", "commenter", "communities"), spread, bridges, network("video_network", "video", "clusters"),
+        found["sentiment"], spots, groups, found["replies"], conflict]
+    wide = reduce(lambda a, b: a.join(b, "channel", "left"), rest, found["scope"])
     n, c, a = F.col("n_videos_in_scope"), F.col("top_level_comments"), F.col("top_level_commenters")
     copies = {"high_tier_commenter_share": "core_tier_commenter_share", "mid_tier_commenter_share": "regular_tier_commenter_share",
         "high_mid_tier_commenter_share": "core_regular_tier_commenter_share", "high_mid_tier_comment_share": "core_regular_tier_comment_share"}
     wide = wide.withColumns({"comments_per_video": ratio(c, n), "commenters_per_video": ratio(a, n),
-        "comments_per_1k_views": ratio(1000 * c, F.col("_views")),
+        "comments_per_1k_views": ratio(1000 * c, F.col("total_views")),
         "low_tier_commenter_share": F.col("returning_tier_commenter_share") + F.col("one_time_tier_commenter_share"),
         **{k: F.col(v) for k, v in copies.items()}})
-    names = [x for x in wide.columns if x not in ("channel", "_views")]
+    return long_metrics(wide, [x for x in wide.columns if x not in ("channel", "total_views")])
+
+
+def long_metrics(wide: DataFrame, names: list[str], key: str = "channel") -> DataFrame:
+    """(key, metric, value), rounded; undefined ones are left out."""
     items = F.array(*(F.struct(F.lit(x).alias("metric"), places(F.col(x).cast("double")).alias("value")) for x in names))
-    return wide.select("channel", F.explode(items).alias("m")).select("channel", "m.*").where("value is not null")
+    return wide.select(key, F.explode(items).alias("m")).select(key, "m.*").where("value is not null and not isnan(value)")
+
+
+def channel_metrics(comments: DataFrame, videos: DataFrame, communities: DataFrame, clusters: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(channel, metric, value) of all 49 metrics from facts."""
+    return metrics_of(sections(comments, videos, communities, clusters, settings))

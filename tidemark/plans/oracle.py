@@ -351,6 +351,10 @@ SELECT platform, aspect, day, n_negative, round(m, 6) AS mean, round(s, 6) AS sd
 SELECT video_id, CAST(k AS INT) AS place, like_count, ts, thread_id, line FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY like_count DESC, ts, thread_id, line,
   actor_id) AS k FROM all_comments WHERE label = 'negative') WHERE k <= 3"""),
         "channel_metrics": _with(_metrics(), body=" SELECT * FROM metrics"),
+        "report_metrics": _with(_metrics(), body=" SELECT * FROM metrics"),
+        "report_documents": _with(body="""
+, nat AS (SELECT s_suppkey AS supplier_id, n_name AS channel FROM supplier JOIN nation ON s_nationkey = n_nationkey), c AS (SELECT * FROM in_community JOIN nat USING (supplier_id))
+SELECT channel, count(DISTINCT c.video_id) AS n_videos, count(DISTINCT community) AS n_communities, count(*) AS n_comments FROM c GROUP BY channel"""),
         "metric_distributions": _with(_metrics(), body="""
 SELECT metric, count(*) AS n, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS sd, min(value) AS least, max(value) AS most, round(quantile_cont(value, 0.1), 9) AS p10,
   round(quantile_cont(value, 0.25), 9) AS p25, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.75), 9) AS p75,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fn
-from tidemark.operators import activity, aspects, channels, clusters, cohort, dashboard, events, graph, sentiment, state, themes, threads
+from tidemark.operators import activity, aspects, channels, clusters, cohort, dashboard, events, graph, reports, sentiment, state, themes, threads
 from tidemark.plans.tables import written
 from tidemark.sources.views import Views
 from tidemark.streaming import rates
@@ -462,12 +462,34 @@ def top_negative_comments(v):
     return aspects.top_negative(v.all_comments)
 
 
-def _metrics(v):
+def _sections(v):
     """With graph cuts and tiers that suit the few comments of a channel in the test tables."""
-    comments = v.all_comments.join(v.channels, "supplier_id")
     settings = channels.Settings(core=0.01, regular=0.004, core_videos=3, least_shared_videos=1, least_video_actors=2, least_shared_actors=1)
     communities, clusters_ = v.actors.select("actor_id", "community"), v.videos.select("video_id", F.col("label").alias("cluster"))
-    return _shared(v, "channel-metrics", lambda: channels.channel_metrics(comments, v.videos, communities, clusters_, settings))
+    comments = _shared(v, "channel-comments", lambda: v.all_comments.join(v.channels, "supplier_id"))
+    made = (v.spark.sparkContext.applicationId, v.folder, "section-scope") in _SHARED
+    found = dict.fromkeys(channels.SECTIONS) if made else channels.sections(comments, v.videos, communities, clusters_, settings)
+    return {name: _shared(v, f"section-{name}", lambda part=part: part) for name, part in found.items()}
+
+
+def _metrics(v):
+    return _shared(v, "channel-metrics", lambda: channels.metrics_of(_sections(v)))
+
+
+@query
+def report_documents(v):
+    """What the channels' reports hold of videos, communities and themes."""
+    docs = reports.report_documents(_sections(v))
+    size = lambda path: F.json_array_length(F.get_json_object("report", path)).cast("bigint")
+    return docs.select("channel", F.get_json_object("report", "$.channel_overview[0].n_videos_in_scope").cast("bigint").alias("n_videos"),
+        size("$.community_sentiment_summary").alias("n_communities"),
+        F.get_json_object("report", "$.sentiment_source_summary[0].n_scope_comments").cast("bigint").alias("n_comments"))
+
+
+@query
+def report_metrics(v):
+    """The channels' metrics, read out of their stored reports."""
+    return reports.report_metrics(reports.report_documents(_sections(v)))
 
 
 @query
