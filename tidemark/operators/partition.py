@@ -7,7 +7,8 @@ of every community, and the weight from a node to each community next to it, are
 Moves are made by many nodes at once, so they may not add up. Therefore a step is kept only if the quality of
 the whole partition rose. Half of the nodes (by a hash, another one each step) move first; where that gains
 nothing, only moves that share no community do, whose gains of modularity add up exactly; and, for a
-quality whose gains do not, the single best one. So quality never falls, and a search ends when no move gains.
+quality whose gains do not, the single best one. So quality never falls. A level ends when no move gains, or a
+step gains less than LEAST_STEP.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.graph import both, connected_components, label_communities
 from tidemark.plans.tables import removed, written
 
-#: Gains below this are rounding.
-LEAST_GAIN = 1e-10
+#: Gains below LEAST_GAIN are rounding; a level ends when a step gains less than LEAST_STEP.
+LEAST_GAIN, LEAST_STEP = 1e-10, 1e-3
 
 
 def _level(ends: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -143,7 +144,7 @@ def _state(level: DataFrame, measure) -> tuple[float, float, bool, bool]:
     return float(row.q or 0.0), float(row.cut or 0) / measure.total, bool(row.moved), bool(row.waits)
 
 
-def optimised(level: DataFrame, measure, trace: list | None = None) -> tuple[DataFrame, bool]:
+def optimised(level: DataFrame, measure, trace: list | None = None, least: float = LEAST_STEP) -> tuple[DataFrame, bool]:
     """The level after moves until none gains, and whether any was kept. `trace` is told each quality."""
     best, exits, _, _ = _state(level, measure)
     kept, mode, step = False, 0, 0
@@ -158,9 +159,12 @@ def optimised(level: DataFrame, measure, trace: list | None = None) -> tuple[Dat
         step += 1
         if moved and now > best + LEAST_GAIN:
             removed(level)
-            level, best, exits, kept, mode = after, now, out, True, 0
+            gained, level, best, exits, kept = now - best, after, now, out, True
             if trace is not None:
                 trace.append(now)
+            if gained < least:
+                return level, kept
+            mode = 0 if mode < 2 else mode
             continue
         removed(after)
         if not moved and not waits:
@@ -220,7 +224,7 @@ def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("node", F.min("node").over(Window.partitionBy("part")).alias("part"))
 
 
-def _whole(edges: DataFrame, partition: DataFrame) -> DataFrame:
+def whole(edges: DataFrame, partition: DataFrame) -> DataFrame:
     """The partition with parts that are not connected taken apart, which never lowers modularity."""
     side = lambda x: partition.select(F.col("node").alias(x), F.col("part").alias(f"p{x}"))
     inside = edges.join(side("a"), "a").join(side("b"), "b").where("pa = pb").select("a", "b", "weight")
@@ -255,7 +259,7 @@ def leiden(edges: DataFrame, *, trace: list | None = None) -> DataFrame:
     """(node, part): communities of high modularity, every one of them connected. After the moves of a level its
     communities are refined, and the refined groups are the nodes of the next one, which begins with the
     communities."""
-    return _whole(edges, written(_searched(edges, Modularity, True, trace), "parts"))
+    return whole(edges, written(_searched(edges, Modularity, True, trace), "parts"))
 
 
 def map_equation(edges: DataFrame, *, trace: list | None = None) -> DataFrame:

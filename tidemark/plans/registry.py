@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fn
-from tidemark.operators import activity, aspects, channels, clusters, cohort, dashboard, events, graph, reports, sentiment, state, themes, threads
+from tidemark.operators import activity, aspects, channels, clusters, cohort, dashboard, events, graph, partition, reports, sentiment, state, themes, threads
 from tidemark.plans.tables import written
 from tidemark.sources.views import Views
 from tidemark.streaming import rates
@@ -686,6 +686,42 @@ def video_clusters(v):
     return _clustered(v, _video_edges(v))
 
 
+def _found(v, algorithm):
+    return _shared(v, f"video-{algorithm}", lambda: partition.detected(_video_edges(v), algorithm)[0])
+
+
+@query
+def video_communities(v):
+    """Clusters of videos by the first choice of the search: moves with refinement."""
+    return _found(v, "auto")
+
+
+@query
+def video_modules(v):
+    """Clusters of videos that a random walk stays in."""
+    return _found(v, "infomap")
+
+
+@query
+def video_communities_greedy(v):
+    return _found(v, "greedy")
+
+
+@query
+def video_partition_checks(v):
+    """Of each partition: its nodes, whether all of its parts are connected, and whether its modularity is above that
+    of the labels and that of each node alone."""
+    edges, out = _video_edges(v), None
+    labels = graph.modularity(edges, _video_partition(v)).first()[0] or 0.0
+    for name in ("auto", "infomap", "greedy"):
+        found = _found(v, name)
+        whole = partition.whole(edges, found).agg(F.countDistinct("part")).first()[0]
+        row = found.agg(F.lit(name).alias("algorithm"), F.count("*").alias("n_nodes"), (F.countDistinct("part") == whole).alias("connected"))
+        row = row.crossJoin(graph.modularity(edges, found).select((F.coalesce("modularity", F.lit(0.0)) >= max(labels, 0.0)).alias("better")))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query
 def video_cluster_summary(v):
     return clusters.cluster_summary(written(_clustered(v, _video_edges(v)), "clusters"), v.all_comments, _video_labels(v))
