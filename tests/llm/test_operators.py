@@ -506,3 +506,18 @@ def test_decision_list(spark, hard, none, marks):
         rows, _ = rules.filtered(d, marks)
         assert rows.count() == d.count() and rows.where("base_failed and kept").count() == 0
     assert rules.learn(rules.text_statistics(none), marks) == []
+
+
+def test_equal_texts_are_neighbours(spark):
+    """Of groups of equal texts with other metadata, only those that a cut goes through lie in two shards."""
+    rng = random.Random(4)
+    rows = [(i, f"text {rng.randrange(60)}" if i % 3 else f"own {i}", rng.choice("abcdefgh"), rng.choice(["en", "de", None])) for i in range(900)]
+    rows += [(None, "text 1", "z", "en"), (2000, None, "a", "en"), (2001, None, "h", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(4)
+    out = hilbert.shard_documents(docs, 10).collect()
+    texts = {r[0]: r[1] for r in rows}
+    places = collections.defaultdict(set)
+    for r in out:
+        places[texts[r.doc_id]].add(r.shard)
+    assert sorted(collections.Counter(r.shard for r in out).values()) == sorted([len(rows) // 10 + (i < len(rows) % 10) for i in range(10)])
+    assert sum(len(s) > 1 for s in places.values()) <= 9 and all(max(s) - min(s) < 2 for s in places.values())

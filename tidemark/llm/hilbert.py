@@ -122,11 +122,18 @@ def shard_by_curve(df: DataFrame, codes: dict[str, Column], shards: int, *, dige
 
 
 def shard_documents(docs: DataFrame, shards: int, *, bits: int = BITS) -> DataFrame:
-    """(doc_id, size, text_crc32, curve, shard, slot): documents along source, language and size."""
+    """(doc_id, size, text_crc32, curve, shard, slot): documents along source, language and size, where equal texts
+    have the source and language of the one with the smallest id (a null id last), and so are neighbours."""
     bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     digest = F.xxhash64("text").alias("_digest")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
     narrow = docs.select("doc_id", (bytes_ + 16).alias("size"), crc, F.col("source").alias("_source"), F.col("lang").alias("_lang"), digest)
+    # equal texts lie where that of the smallest id does, so that only a cut through them parts them
+    narrow = written(narrow, "hilbert-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_source", "_lang")).alias("_first")
+    groups = narrow.groupBy("_digest").agg(F.count("*").alias("_n"), first).where("_n > 1")
+    own = lambda c: F.when(F.col("_n").isNull(), F.col(c)).otherwise(F.col(f"_first.{c}")).alias(c)
+    narrow = narrow.join(groups, "_digest", "left").select("doc_id", "size", "text_crc32", own("_source"), own("_lang"), "_digest")
     dimensions = {"source": F.col("_source"), "lang": F.col("_lang"), "size": F.col("size")}
     out = shard_by_curve(narrow, dimensions, shards, digest=F.col("_digest"), bits=bits)
     return out.drop("_source", "_lang", "_digest")
