@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -135,7 +136,12 @@ def contained(c: Column, words: list[str]) -> Column:
 
 def hits(c: Column, words: list[str]) -> Column:
     """How many of the words the lower-case text contains."""
-    return contained(F.lower(F.coalesce(c, F.lit(""))), words)
+    return lowered(c, lambda text: contained(text, words))
+
+
+def lowered(c: Column, found: Callable[[Column], Column]) -> Column:
+    """What `found` makes of the lower-case text (empty for null), which is made once however often it is used."""
+    return F.get(F.transform(F.array(F.lower(F.coalesce(c, F.lit("")))), found), F.lit(0))
 
 
 def json_tags(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import label_list, last_value, pairs_list, places, ratio, ratio0
+from tidemark.functions.columns import label_list, last_value, lowered, pairs_list, places, ratio, ratio0
 
 # The aspects, and the words that point to each.
 ASPECTS = ("pacing_editing", "commercial_sponsorship", "authenticity_fabrication", "host_persona", "guest_collab",
@@ -27,8 +27,7 @@ SCOPES = ("negative", "positive", "keyword", "negative_or_keyword", "all")
 
 def keyword_aspects(text: Column) -> Column:
     """The aspects one of whose words the text contains in any case, `;`-joined, in order."""
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    return F.concat_ws(";", *(F.when(_any(lower, words), F.lit(aspect)) for aspect, words in ASPECT_KEYWORDS.items()))
+    return lowered(text, lambda t: F.concat_ws(";", *(F.when(_any(t, words), F.lit(aspect)) for aspect, words in ASPECT_KEYWORDS.items())))
 
 
 def _any(text: Column, words: list[str]) -> Column:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import state
+from tidemark.operators import lookup, state
 from tidemark.plans.registry import query
 from tidemark.plans.tables import shared_dir
 from tidemark.sources.keyed import KeyedTable
@@ -89,3 +89,20 @@ def remaining_units_stored(v):
     done = v.table("labels").where("quality <> 0").select("doc_id")
     wanted = state.stored_by_key(v.table("documents").select("doc_id", "source"), f"wanted_{name}", "doc_id", path=f"{at}/wanted-{name}", buckets=8)
     return state.remaining(wanted, state.stored_by_key(done, f"done_{name}", "doc_id", path=f"{at}/done-{name}", buckets=8), "doc_id")
+
+
+@query
+def benchmark_phrases(v):
+    """Which documents hold the first words of a benchmark item."""
+    phrases = v.table("benchmark").select(F.substring("text", 1, 30).alias("word"))
+    return lookup.found_words(v.table("documents"), phrases)
+
+
+@query
+def best_titles(v):
+    """Of the names of parts with their brand, the kinds and names of parts that match best."""
+    part = v.table("part")
+    names = part.select(F.concat_ws(" - ", "p_name", "p_brand").alias("name")).distinct().select(F.col("name").alias("candidate_id"), "name")
+    entries = part.groupBy(F.concat_ws(" ", "p_type", "p_name").alias("title")).agg((F.max("p_size") > 48).alias("verified"),
+        (F.min("p_size") - 2).cast("bigint").alias("subscribers"), (F.min("p_partkey") % 17).cast("int").alias("rank"))
+    return lookup.best_titles(names, entries).drop("candidate_id")

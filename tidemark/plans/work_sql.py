@@ -44,4 +44,14 @@ SELECT before, after, count(*) AS n FROM (SELECT lag(event) OVER (PARTITION BY i
         "queue_after_requeue": _after("true"),
         "queue_after_requeue_of_failed": _after("q.status IN ('failed', 'graphed')"),
         "remaining_units_stored": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality <> 0)",
+        "benchmark_phrases": "SELECT DISTINCT doc_id, substr(b.text, 1, 30) AS word FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 30)) WHERE b.text <> ''",
+        "best_titles": """
+WITH n AS (SELECT DISTINCT p_name || ' - ' || p_brand AS name FROM part),
+e AS (SELECT p_type || ' ' || p_name AS title, max(p_size) > 48 AS verified, min(p_size) - 2 AS subscribers, CAST(min(p_partkey) % 17 AS INT) AS rank FROM part GROUP BY 1),
+a AS (SELECT *, trim(regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS a FROM n),
+b AS (SELECT *, trim(regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS b FROM e),
+s AS (SELECT name, title, rank, round(CASE WHEN a = b AND a <> '' THEN 100 ELSE 0 END + CASE WHEN a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a)) THEN 45 ELSE 0 END
+  + 40 * len(list_intersect(list_distinct(string_split(a, ' ')), list_distinct(string_split(b, ' ')))) / len(list_distinct(string_split(a, ' ')))
+  + CASE WHEN verified THEN 15 ELSE 0 END + CASE WHEN subscribers > 0 THEN 5 ELSE 0 END - rank, 6) AS score FROM a, b)
+SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, rank, title) = 1""",
     }
