@@ -24,7 +24,8 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 LOOPS = [
     "connected_components", "core_numbers", "betweenness", "communities", "node_metrics", "bridge_actors", "network_actor_metrics", "bridge_profiles",
     "community_summary", "network_summary", "community_profiles", "diagnostics", "video_network_summary", "video_network_metrics",
-    "video_community_summary", "video_cluster_profiles",
+    "video_community_summary", "video_cluster_profiles", "video_communities", "video_modules", "video_communities_greedy", "video_partition_checks",
+    "best_titles",
 ]
 
 
