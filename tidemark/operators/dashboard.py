@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,12 +69,18 @@ def engagement_table(videos: DataFrame, *, k: int = 12) -> DataFrame:
         rate.alias("per_1k_views")).orderBy(F.desc_nulls_last("per_1k_views"), "video_id").limit(k)
 
 
-def risk_videos(blocks: DataFrame, *, least: int = 50, k: int = 6) -> DataFrame:
-    """Videos of enough comments by weighted negative rate; all videos where none has enough."""
-    enough = F.col("n") >= least
-    some = F.max(enough).over(Window.partitionBy())
-    return blocks.withColumn("_some", some).where(enough | ~F.col("_some")).select("video_id", "n", "negative_rate",
-        "weighted_negative_rate").orderBy(F.desc_nulls_last("weighted_negative_rate"), "video_id").limit(k)
+def risk_videos(blocks: DataFrame, actionable: DataFrame | None = None, *, least: int = 50, k: int = 6) -> DataFrame:
+    """Videos of enough comments (all where none has enough) by the negative rate, weighted where that is not 0, times the
+    share of their negative comments on aspects that can be acted on. actionable: (video_id, actionable); a video without
+    a share counts whole."""
+    some = blocks.agg(F.coalesce(F.max(F.col("n") >= least), F.lit(False)).alias("_some"))  # one row
+    out = blocks.crossJoin(F.broadcast(some)).where((F.col("n") >= least) | ~F.col("_some"))
+    share = F.lit(None).cast("double").alias("actionable")
+    out = out.select("*", share) if actionable is None else out.join(actionable.select("video_id", "actionable"), "video_id", "left")
+    rate = F.coalesce(F.nullif("weighted_negative_rate", F.lit(0.0)), "negative_rate", F.lit(0.0))
+    out = out.select("video_id", "n", "negative_rate", "weighted_negative_rate", "actionable", places(rate * F.coalesce("actionable",
+        F.lit(1.0))).alias("score"))
+    return out.orderBy(F.desc("score"), "video_id").limit(k)
 
 
 def theme_overview(summary: DataFrame, sentiment: DataFrame, conflict: DataFrame, views: DataFrame) -> DataFrame:
@@ -107,18 +115,52 @@ def likes_outliers(videos: DataFrame, *, least_views: int = 1000, k: int = 8) ->
     return out.orderBy(F.desc(F.abs("z")), "video_id").limit(k)
 
 
-def diagnostics(tiers: DataFrame, sensitivity: DataFrame, network: DataFrame, affinities: DataFrame) -> DataFrame:
-    """Facts drawn from summaries by thresholds: (fact, value, holds)."""
-    fact = lambda df, name, value, holds: df.select(F.lit(name).alias("fact"), places(value.cast("double")).alias("value"),
-        F.coalesce(holds, F.lit(False)).alias("holds"))
-    top = tiers.agg(F.max("pct_commenters").alias("v"))
-    span = sensitivity.agg((F.max("weighted_return_rate") - F.min("weighted_return_rate")).alias("v"))
-    lift = affinities.agg(F.max("lift").alias("v"))
-    v = F.col("v")
-    out = fact(top, "one_tier_dominates", v, v >= 80).unionByName(fact(span, "return_rate_is_stable", v, v <= 0.08)).unionByName(fact(lift,
-        "themes_split_communities", v, v >= 1.2))
-    return out.unionByName(fact(network, "communities_are_concentrated", F.col("hhi"), F.col("hhi") >= 0.25)).unionByName(fact(network,
-        "graph_is_dense", F.col("density"), F.col("density") >= 0.1))
+def top_major_affinity(affinities: DataFrame, group: str, label: str, *, size: str, least: float = 1.2, part: float = 0.25) -> DataFrame:
+    """The greatest lift, from `least` up, of a label other than `other` in a group of at least `part` of the largest group's
+    size, as (subject, value); ties: the larger group, then by name. No row where there is none."""
+    most = affinities.agg(F.max(size).alias("_most"))  # one row
+    major = affinities.crossJoin(F.broadcast(most)).where((F.col(size) >= part * F.col("_most")) & (F.col("_most") > 0))
+    major = major.where((F.col(label) != "other") & (F.col("lift") >= least)).orderBy(F.desc("lift"), F.desc(size), group, label).limit(1)
+    return major.select(F.concat_ws(":", group, label).alias("subject"), F.col("lift").alias("value"))
+
+
+def diagnostics(overview: DataFrame, tiers: DataFrame, sensitivity: DataFrame, rolling: DataFrame, network: DataFrame, communities: DataFrame,
+        affinities: DataFrame, video_network: DataFrame, clusters: DataFrame, cluster_affinities: DataFrame, *, low: str = "one_time", high: str = "core",
+        casual: float = 80, steady: float = 0.08) -> DataFrame:
+    """Ten findings of a report: (area, metric, subject, value, most, reading). `most` is the upper end of a range, or what
+    belongs to the value: the share of the largest part, or the effective number of communities. A finding whose tables
+    are empty has no row."""
+
+    def finding(df, area, metric, value, most=None, reading="", subject=None):
+        number = lambda c: places(c.cast("double")) if c is not None else F.lit(None).cast("double")
+        return df.select(F.lit(area).alias("area"), F.lit(metric).alias("metric"), (F.lit(None).cast("string") if subject is None else subject).alias("subject"),
+            number(value).alias("value"), number(most).alias("most"), (F.lit(reading) if isinstance(reading, str) else reading).alias("reading"))
+
+    c = F.col
+    span = lambda df, rate: df.agg(F.min(rate).alias("low"), F.max(rate).alias("high")).where("high is not null")
+    windows, turns = span(sensitivity, "weighted_return_rate"), span(rolling, "return_rate")
+    net = network.crossJoin(communities.agg(F.max_by("pct_nodes", "n_nodes").alias("largest"))).where("largest is not null")  # one row each
+    held = clusters.agg(F.max("n_videos").alias("largest")).where("largest is not null")
+    videos = video_network.crossJoin(held).crossJoin(overview.select(c("n_videos").alias("n_scope")))  # one row each
+    audience = "audience_structure"
+    rows = [
+        finding(tiers.where(c("tier") == low), "audience_mix", "low_tier_share", c("pct_commenters"),
+            reading=F.when(c("pct_commenters") >= casual, "casual_heavy").otherwise("repeat_base")),
+        finding(tiers.where(c("tier") == high), "audience_mix", "high_tier_commenters", c("n_commenters"), reading="measurable_core"),
+        finding(windows, "retention", "window_sensitivity_return_range", c("low"), c("high"),
+            F.when(places(c("high") - c("low")) <= steady, "stable").otherwise("depends_on_windows")),
+        finding(turns, "retention", "rolling_return_range", c("low"), c("high"), "over_time"),
+        finding(net, audience, "audience_communities", c("n_communities"), c("largest"), "largest_share"),
+        finding(net, audience, "community_concentration_hhi", c("hhi"), c("effective_communities"), "effective_communities"),
+        finding(net, audience, "max_k_core", c("max_core"), reading="embeddedness"),
+        finding(top_major_affinity(affinities, "community", "theme", size="group_pairs"), audience, "top_audience_affinity", c("value"),
+            reading="over_indexes", subject=c("subject")),
+        finding(videos, "content_portfolio", "video_shared_audience_clusters", c("n_communities"), 100 * ratio(c("largest"), c("n_scope")),
+            "largest_share"),
+        finding(top_major_affinity(cluster_affinities, "cluster", "label", size="cluster_videos"), "content_portfolio", "top_video_cluster_affinity",
+            c("value"), reading="over_indexes", subject=c("subject")),
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def spotlight(metrics: DataFrame, spread: DataFrame, *, k: int = 3) -> DataFrame:

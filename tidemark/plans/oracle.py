@@ -246,11 +246,35 @@ def _metrics() -> str:
     return c.metrics(found, by_video, by_theme) + "," + c.RANKS + "," + c.INDICES
 
 
+def _diagnostics(found: dict[str, str]) -> str:
+    """Ten findings over the SQL of the tables that they are drawn from."""
+    tables = ("channel_overview", "commenter_tiers", "continuity_sensitivity", "rolling_retention", "network_summary", "community_summary",
+        "community_theme_affinity", "video_network_summary", "video_cluster_summary", "video_cluster_theme_affinity")
+    held = ", ".join(f"{t}_ AS ({found[t]})" for t in tables)
+    top = lambda t, name, size: f"(SELECT {name} AS subject, lift FROM {t}_ WHERE {size} >= (SELECT max({size}) FROM {t}_) / 4 AND lift >= 1.2 ORDER BY lift DESC, {size} DESC, {name} LIMIT 1)"
+    return f"""
+WITH {held},
+f(area, metric, subject, value, most, reading) AS (
+  SELECT 'audience_mix', 'low_tier_share', NULL, pct_commenters, NULL, CASE WHEN pct_commenters >= 80 THEN 'casual_heavy' ELSE 'repeat_base' END FROM commenter_tiers_ WHERE tier = 'one_time'
+  UNION ALL SELECT 'audience_mix', 'high_tier_commenters', NULL, n_commenters, NULL, 'measurable_core' FROM commenter_tiers_ WHERE tier = 'core'
+  UNION ALL SELECT 'retention', 'window_sensitivity_return_range', NULL, min(weighted_return_rate), max(weighted_return_rate),
+    CASE WHEN round(max(weighted_return_rate) - min(weighted_return_rate), 6) <= 0.08 THEN 'stable' ELSE 'depends_on_windows' END FROM continuity_sensitivity_ HAVING count(weighted_return_rate) > 0
+  UNION ALL SELECT 'retention', 'rolling_return_range', NULL, min(return_rate), max(return_rate), 'over_time' FROM rolling_retention_ HAVING count(return_rate) > 0
+  UNION ALL SELECT 'audience_structure', 'audience_communities', NULL, n_communities, (SELECT pct_nodes FROM community_summary_ ORDER BY n_nodes DESC LIMIT 1), 'largest_share' FROM network_summary_
+  UNION ALL SELECT 'audience_structure', 'community_concentration_hhi', NULL, hhi, effective_communities, 'effective_communities' FROM network_summary_
+  UNION ALL SELECT 'audience_structure', 'max_k_core', NULL, max_core, NULL, 'embeddedness' FROM network_summary_
+  UNION ALL SELECT 'audience_structure', 'top_audience_affinity', subject, lift, NULL, 'over_indexes' FROM {top("community_theme_affinity", "community || ':' || theme", "group_pairs")}
+  UNION ALL SELECT 'content_portfolio', 'video_shared_audience_clusters', NULL, n_communities, round(100 * ((SELECT max(n_videos) FROM video_cluster_summary_) / (SELECT n_videos FROM channel_overview_)), 6),
+    'largest_share' FROM video_network_summary_
+  UNION ALL SELECT 'content_portfolio', 'top_video_cluster_affinity', subject, lift, NULL, 'over_indexes' FROM {top("video_cluster_theme_affinity", "cluster || ':' || label", "cluster_videos")})
+SELECT area, metric, subject, CAST(value AS DOUBLE) AS value, CAST(most AS DOUBLE) AS most, reading FROM f WHERE value IS NOT NULL"""
+
+
 def oracle() -> dict[str, str]:
     from tidemark.operators.sentiment import EVENT_NEGATIVE_WORDS, EVENT_POSITIVE_WORDS, NEGATIVE_WORDS
     from tidemark.plans import channels_sql, graph_sql, outside_sql, work_sql
 
-    return work_sql.sql() | outside_sql.sql(_VIEWS, _THREADS) | graph_sql.sql(_VIEWS, _edges(3), _VIDEO_EDGES) | {
+    found = work_sql.sql() | outside_sql.sql(_VIEWS, _THREADS) | graph_sql.sql(_VIEWS, _edges(3), _VIDEO_EDGES) | {
         "video_metrics": _with(body="""
 SELECT v.video_id, title, theme, published_at, strftime(published_at, '%Y-%m') AS month, view_count, coalesce(n, 0) AS n_comments, coalesce(a, 0) AS n_commenters,
   coalesce(l, 0) AS likes, last AS last_comment_at
@@ -461,9 +485,12 @@ SELECT channel, metric, value, round(CASE WHEN k = 1 THEN 0 WHEN k = 8 THEN 100
         "engagement_table": _with(body="""
 SELECT video_id, title, coalesce(n, 0) AS n_comments, view_count, round(1000 * coalesce(n, 0) / nullif(view_count, 0), 6) AS per_1k_views FROM videos LEFT JOIN (SELECT video_id,
   count(*) AS n FROM all_comments GROUP BY 1) USING (video_id) ORDER BY per_1k_views DESC NULLS LAST, video_id LIMIT 12"""),
-        "risk_videos": _with(body=f"""
-, b AS (SELECT video_id, {_BLOCK} FROM all_comments GROUP BY 1)
-SELECT video_id, n, negative_rate, weighted_negative_rate FROM b WHERE n >= 25 OR (SELECT max(n) FROM b) < 25 ORDER BY weighted_negative_rate DESC, video_id LIMIT 6"""),
+        "risk_videos": _with(_ASPECTS, body=f"""
+, b AS (SELECT video_id, {_BLOCK} FROM all_comments GROUP BY 1),
+x AS (SELECT video_id, round(count(*) FILTER (aspect NOT IN ('other', 'unclear')) / count(*), 6) AS actionable FROM aspect_rows WHERE sentiment = 'negative' GROUP BY 1)
+SELECT video_id, n, negative_rate, weighted_negative_rate, actionable,
+  round(CASE WHEN weighted_negative_rate > 0 THEN weighted_negative_rate ELSE negative_rate END * coalesce(actionable, 1), 6) AS score FROM b LEFT JOIN x USING (video_id)
+WHERE n >= 25 OR (SELECT max(n) FROM b) < 25 ORDER BY score DESC, video_id LIMIT 6"""),
         "theme_overview": _with(_THREADS, body=f"""
 , x AS (SELECT theme, count(*) AS n_comments, count(DISTINCT actor_id) AS n_commenters FROM comments JOIN videos USING (video_id) GROUP BY 1), y AS (SELECT theme,
   count(*) AS n_videos, CAST(sum(view_count) AS BIGINT) AS views FROM videos GROUP BY 1),
@@ -542,23 +569,10 @@ SELECT 'positive' AS side, p AS place, video_id, n, positive_rate AS rate FROM r
 WITH c AS (SELECT conv_id, turn, role, CASE WHEN text IS NULL THEN NULL ELSE len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) END AS words FROM conversations)
 SELECT conv_id, count(*) AS n_turns, count(DISTINCT role) AS n_roles, CAST(coalesce(sum(words) FILTER (turn = 0), 0) AS BIGINT) AS parent_words,
   CAST(coalesce(sum(words) FILTER (turn > 0), 0) AS BIGINT) AS reply_words FROM c GROUP BY 1""",
-        "diagnostics": _with(_edges(3), *map(_continuity, (3, 4, 6, 8)), body="""
-, act AS (SELECT actor_id, count(DISTINCT video_id) AS nv FROM all_comments GROUP BY 1), t AS (SELECT nv, nv / (SELECT count(*) FROM videos) AS cov FROM act),
-tier AS (SELECT round(100 * (count(*) / sum(count(*)) OVER ()), 6) AS pct FROM t GROUP BY CASE WHEN nv <= 1 THEN 'one_time' WHEN cov >= 0.01 AND nv >= 3 THEN 'core'
-  WHEN cov >= 0.005 THEN 'regular' ELSE 'returning' END),
-every AS (SELECT * FROM cont3 UNION ALL SELECT * FROM cont4 UNION ALL SELECT * FROM cont6 UNION ALL SELECT * FROM cont8),
-  sens AS (SELECT round(sum(n_returned) / sum(n_base), 6) AS w FROM every GROUP BY n_windows),
-g AS (SELECT community, theme, count(*) AS pairs FROM actor_videos JOIN actors USING (actor_id) JOIN videos USING (video_id) GROUP BY 1, 2),
-l AS (SELECT round((pairs / sum(pairs) OVER (PARTITION BY community)) / (sum(pairs) OVER (PARTITION BY theme) / sum(pairs) OVER ()), 6) AS lift FROM g),
-n AS (SELECT count(*) AS n, sum(degree) / 2 AS m FROM deg JOIN actors ON node = actor_id), sh AS (SELECT count(*) / sum(count(*)) OVER () AS share FROM deg
-  JOIN actors ON node = actor_id GROUP BY community),
-v(fact, value, least) AS (SELECT 'one_tier_dominates', max(pct), 80 FROM tier UNION ALL SELECT 'themes_split_communities', max(lift), 1.2
-  FROM l UNION ALL SELECT 'communities_are_concentrated', round(sum(share * share), 6), 0.25 FROM sh UNION ALL SELECT 'graph_is_dense', round(round(2 * m / (n * (n - 1)), 9), 6), 0.1 FROM n)
-SELECT fact, CAST(value AS DOUBLE) AS value, coalesce(value >= least, false) AS holds FROM v UNION ALL SELECT 'return_rate_is_stable', round(max(w) - min(w), 6),
-  coalesce(max(w) - min(w) <= 0.08, false) FROM sens"""),
         "scalar_functions": """
 WITH e AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)
 SELECT event_id, (k % 3) * 3600 + k * 60 AS seconds, -1 AS bad, CASE k % 3 WHEN 0 THEN 'handle:name'
   WHEN 1 THEN 'channel:name' ELSE 'last:name' END || k AS channel, 'a ' || event_type AS text, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'other' END AS kind,
   k % 2 = 1 AS odd FROM e""",
     }
+    return found | {"diagnostics": _diagnostics(found)}

@@ -614,7 +614,7 @@ def engagement_table(v):
 
 @query
 def risk_videos(v):
-    return dashboard.risk_videos(sentiment_by_video(v), least=25)
+    return dashboard.risk_videos(sentiment_by_video(v), video_actionable_share(v), least=25)
 
 
 @query
@@ -634,7 +634,8 @@ def likes_outliers(v):
 
 @query
 def diagnostics(v):
-    return dashboard.diagnostics(commenter_tiers(v), continuity_sensitivity(v), network_summary(v), community_theme_affinity(v))
+    return dashboard.diagnostics(channel_overview(v), commenter_tiers(v), continuity_sensitivity(v), rolling_retention(v), network_summary(v),
+        community_summary(v), community_theme_affinity(v), video_network_summary(v), video_cluster_summary(v), video_cluster_theme_affinity(v))
 
 
 def _video_edges(v):
