@@ -143,3 +143,47 @@ def test_config_and_files(spark, tmp_path):
     assert loaders.read_reports(spark, str(tmp_path / "*" / "report.json")).select("channel.channel_id",
         F.col("path").endswith("one/report.json")).first() == ("c", True)
     assert activity.parse_windows("3; 4,1,x,3") == (3, 4)
+
+
+@pytest.mark.parametrize("text, wanted", [
+    ('{"a": "x, [", "b": [1, {"c": "d', '{"a": "x, [", "b": [1, {"c": "d"}]}'), ('{"a": "\\\\", "b":', '{"a": "\\\\"}'), ('{"a": "q\\"', '{"a": "q\\""}'),
+    ('{"a": 1, "b": "x\\', '{"a": 1}'), ("[1, 2", None), ('{"a"', None), ("{", "{}"), ('text {"a": {"b": 1}, "c": tru', '{"a": {"b": 1}}'),
+])
+def test_cut_objects(text, wanted):
+    assert model_output.repaired(text) == wanted
+
+
+def test_imports_that_keep_what_is_there(spark):
+    old = spark.createDataFrame([(1, 5, "a"), (2, None, "b")], "k int, at int, x string")
+    new = spark.createDataFrame([(1, 9, "c"), (2, 1, "d"), (3, 2, "f"), (3, 1, "e"), (3, None, "g")], "k int, at int, x string")
+    got = lambda **how: sorted((r.k, r.x) for r in cohort.upsert(old, new, "k", "at", **how).collect())
+    assert got() == [(1, "c"), (2, "d"), (3, "f")]
+    assert got(prefer_old=True) == [(1, "a"), (2, "b"), (3, "e")]
+
+
+def test_tiers_made_again(spark):
+    stored = spark.createDataFrame([("r", 1, 4, 1, 0), ("r", 2, 9, 3, 5), ("r", 3, 2, 2, 1), ("s", 1, 2, 2, None)],
+        "run string, actor_id long, n_comments long, n_videos long, likes long")
+    sizes = spark.createDataFrame([("r", 60), ("t", 3)], "run string, n_total long")
+    got = {(r.run, r.tier): (r.n_commenters, r.pct_commenters) for r in activity.retiered(stored, sizes).collect()}
+    assert got == {("r", "one_time"): (1, 33.333333), ("r", "core"): (1, 33.333333), ("r", "regular"): (1, 33.333333), ("s", "returning"): (1, 100.0)}
+
+
+def test_first_known(spark):
+    rows = spark.createDataFrame([(1, 2, "b"), (1, 1, None), (1, 3, "c"), (2, 1, None)], "k int, at int, x string")
+    assert sorted((r.k, r.x) for r in activity.first_known(rows, "k", ["at"], "x").collect()) == [(1, "b"), (2, None)]
+
+
+def test_major_affinities(spark):
+    rows = spark.createDataFrame([("a", "other", 9.0, 100), ("a", "x", 1.3, 100), ("b", "y", 5.0, 24), ("c", "z", 1.5, 25), ("c", "w", 1.1, 25)],
+        "g string, t string, lift double, size long")
+    assert [tuple(r) for r in dashboard.top_major_affinity(rows, "g", "t", size="size").collect()] == [("c:z", 1.5)]
+    assert dashboard.top_major_affinity(rows.where("lift < 1.2"), "g", "t", size="size").count() == 0
+
+
+def test_risk_videos_without_enough_comments(spark):
+    blocks = spark.createDataFrame([(1, 5, 0.5, 0.0), (2, 6, 0.4, 0.9)], "video_id long, n long, negative_rate double, weighted_negative_rate double")
+    share = spark.createDataFrame([(2, 0.1)], "video_id long, actionable double")
+    assert [(r.video_id, r.score) for r in dashboard.risk_videos(blocks, share).collect()] == [(1, 0.5), (2, 0.09)]
+    assert [r.video_id for r in dashboard.risk_videos(blocks, least=6).collect()] == [2]
+    assert dashboard.risk_videos(blocks.limit(0)).count() == 0

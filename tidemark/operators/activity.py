@@ -44,6 +44,22 @@ def with_tiers(activity: DataFrame, videos: DataFrame, *, core: float = 0.05, re
     return out.withColumn("tier", tier)
 
 
+def first_known(rows: DataFrame, by: str, order: list[str], *columns: str) -> DataFrame:
+    """(by, columns): of each column its first value, by order, that is not null; null where there is none."""
+    return rows.groupBy(by).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in columns))
+
+
+def retiered(stored: DataFrame, sizes: DataFrame, run: str = "run", *, core: float = 0.05, regular: float = 0.02, core_videos: int = 3) -> DataFrame:
+    """Tiers of stored runs made again from what they hold: activity (run, actor_id, n_comments, n_videos, likes) and sizes
+    (run, n_total). A run without videos has coverage 0."""
+    cover = F.coalesce(ratio(F.col("n_videos"), F.col("n_total")), F.lit(0.0))
+    tier = F.when(F.col("n_videos") <= 1, "one_time").when((cover >= core) & (F.col("n_videos") >= core_videos), "core").when(cover >= regular,
+        "regular").otherwise("returning")
+    out = stored.join(sizes, run, "left").groupBy(run, tier.alias("tier")).agg(F.count("*").alias("n_commenters"), places(F.avg("n_videos")).alias("mean_videos"),
+        F.percentile("n_videos", 0.5).alias("median_videos"), F.sum("n_comments").alias("comments"), F.sum("likes").alias("likes"))
+    return out.withColumn("pct_commenters", places(100 * ratio(F.col("n_commenters"), F.sum("n_commenters").over(Window.partitionBy(run)))))
+
+
 def commenter_tiers(tiered: DataFrame) -> DataFrame:
     out = tiered.groupBy("tier").agg(F.count("*").alias("n_commenters"), F.avg("n_comments").alias("mean_comments"),
         F.percentile("n_videos", 0.5).alias("median_videos"), F.sum("n_comments").alias("comments"), F.sum("likes").alias("likes"))

@@ -130,10 +130,12 @@ def completion(wanted: DataFrame, done: DataFrame, key: str, group: str) -> Data
         places(ratio(F.col("done"), F.col("wanted"))).alias("completion"))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows by key, the last by `order` wins; of equals the new one."""
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str, *, prefer_old: bool = False) -> DataFrame:
+    """Rows by key, the last by `order` wins; of equals the new one. With prefer_old a key of old rows keeps its first
+    one, and a key of new rows alone its first."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(order), F.desc("_new")))
+    by = [F.asc("_new"), F.asc_nulls_last(order)] if prefer_old else [F.desc_nulls_last(order), F.desc("_new")]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*by))
     return both.withColumn("_place", place).where("_place = 1").drop("_place", "_new")
 
 

@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import hits, normalized, places, ratio, truthy, two_proportion_z, two_sided_p
+from tidemark.functions.columns import contained, hits, lowered, normalized, places, ratio, truthy, two_proportion_z, two_sided_p
 
 # Topics that are weak signals, and the order of topics of equal weight.
 LOW_SIGNAL_TOPICS = ("general", "recommendation_or_general_mentions", "survey_or_spam")
@@ -57,13 +57,16 @@ class Settings(NamedTuple):
         return {"baseline": self.baseline, "pre": self.pre, "post": self.post}
 
 
+def _topic(t: Column) -> Column:
+    out = F.when(contained(t, TOPIC_RULES[0][1]) > 0, TOPIC_RULES[0][0])
+    for topic, words in TOPIC_RULES[1:]:
+        out = out.when(contained(t, words) > 0, topic)
+    return out.otherwise("general")
+
+
 def heuristic_topic(text: Column) -> Column:
     """The first topic one of whose words the normalised text contains."""
-    out = None
-    for topic, words in TOPIC_RULES:
-        found = hits(normalized(text), words) > 0
-        out = F.when(found, topic) if out is None else out.when(found, topic)
-    return out.otherwise("general")
+    return lowered(normalized(text), _topic)
 
 
 def noise(text: Column) -> Column:
@@ -83,7 +86,9 @@ def semantic_labels(labels: DataFrame, *, order: str | None = None) -> DataFrame
 def enriched(posts: DataFrame, labels: DataFrame | None = None, *, require_alias: bool = False) -> DataFrame:
     """posts (with text and alias_hit) with heuristic and, where there are any, semantic judgements:
     relevant, noise, topic, hint and semantic (whether the post has a label)."""
-    out = posts.withColumns({"heuristic_topic": heuristic_topic(F.col("text")), "heuristic_noise": noise(F.col("text"))})
+    both = lambda t: F.struct(_topic(t).alias("topic"), (contained(t, NOISE_WORDS) > 0).alias("noise"))
+    out = posts.withColumn("_read", lowered(normalized(F.col("text")), both))  # the text is normalised once
+    out = out.withColumns({"heuristic_topic": F.col("_read.topic"), "heuristic_noise": F.col("_read.noise")}).drop("_read")
     out = out.withColumn("heuristic_relevant", ~F.col("heuristic_noise") & (F.col("alias_hit") if require_alias else F.lit(True)))
     kinds = {"is_relevant": "boolean", "is_noise": "boolean", "is_external_event_candidate": "boolean", "topic_label": "string", "event_type": "string"}
     if labels is not None:

@@ -272,9 +272,9 @@ SELECT area, metric, subject, CAST(value AS DOUBLE) AS value, CAST(most AS DOUBL
 
 def oracle() -> dict[str, str]:
     from tidemark.operators.sentiment import EVENT_NEGATIVE_WORDS, EVENT_POSITIVE_WORDS, NEGATIVE_WORDS
-    from tidemark.plans import channels_sql, graph_sql, outside_sql, work_sql
+    from tidemark.plans import channels_sql, graph_sql, labels_sql, outside_sql, work_sql
 
-    found = work_sql.sql() | outside_sql.sql(_VIEWS, _THREADS) | graph_sql.sql(_VIEWS, _edges(3), _VIDEO_EDGES) | {
+    found = work_sql.sql() | labels_sql.sql(_VIEWS) | outside_sql.sql(_VIEWS, _THREADS) | graph_sql.sql(_VIEWS, _edges(3), _VIDEO_EDGES) | {
         "video_metrics": _with(body="""
 SELECT v.video_id, title, theme, published_at, strftime(published_at, '%Y-%m') AS month, view_count, coalesce(n, 0) AS n_comments, coalesce(a, 0) AS n_commenters,
   coalesce(l, 0) AS likes, last AS last_comment_at

@@ -20,6 +20,8 @@ titled AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts, source, ti
 titles AS (SELECT day, string_agg(title, ' || ' ORDER BY r) AS top_titles FROM titled WHERE r <= 4 GROUP BY 1),
 daily AS (SELECT d.*, m.topic AS top_topic, top_titles FROM (SELECT day, {SUMS} FROM good GROUP BY 1) d JOIN mode m ON m.day = d.day AND m.r = 1 JOIN titles t ON t.day = d.day)
 """
+#: The CTE that every relation of posts begins with, but for its source.
+GOOD = "good AS (SELECT * FROM posts WHERE relevant AND NOT noise)"
 WEAK = "('general', 'recommendation_or_general_mentions', 'survey_or_spam')"
 
 
@@ -176,6 +178,11 @@ spill AS (
 """
 
 
+def clusters_of(posts: str) -> str:
+    """SQL of the clusters of other posts; posts: CTEs, the last of which is called so."""
+    return "WITH " + ", ".join(p.strip() for p in (posts, GOOD, DAILY, CANDIDATES, _clusters(False))) + f" SELECT {_CLUSTER_COLUMNS} FROM numbered"
+
+
 def sql(views: str, threads: str) -> dict[str, str]:
     """SQL by query name; views: the CTEs of comments and videos; threads: those of the threads."""
     posts = lambda *parts, body: "WITH " + ", ".join(p.strip() for p in (POSTS, *parts)) + body

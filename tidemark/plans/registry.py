@@ -952,4 +952,4 @@ def conversation_turns(v):
         F.coalesce(F.sum(F.when(F.col("turn") > 0, F.col("words"))), F.lit(0)).alias("reply_words"))
 
 
-from tidemark.plans import work  # noqa: E402, F401  (adds its relations)
+from tidemark.plans import labels, work  # noqa: E402, F401  (add their relations)

@@ -300,12 +300,10 @@ def verify_checksum(path: str, wanted: str | None) -> None:
 
 def aliased(posts: DataFrame, aliases: list[str]) -> DataFrame:
     """Posts with alias_hit: any normalised alias within title and text."""
-    from tidemark.functions.columns import normalized
+    from tidemark.functions.columns import hits, normalized
 
-    body = normalized(F.concat_ws(" ", "title", "text"))
-    hit = F.lit(False)
-    for a in aliases:
-        hit = hit | F.contains(body, F.lit(" ".join(a.lower().split())))
+    words = [w for w in (" ".join(a.lower().split()) for a in aliases) if w]
+    hit = hits(normalized(F.concat_ws(" ", "title", "text")), words) > 0 if words else F.lit(False)
     return posts.withColumn("alias_hit", hit)
 
 
