@@ -59,11 +59,15 @@ def external_units(posts: DataFrame) -> DataFrame:
 
 def aspect_rows(units: DataFrame) -> DataFrame:
     """(unit_id, aspect, sentiment, severity, confidence) from `a;b`, `a=x;b=y`, `a=0..3` and `a=0..1` lists; a
-    missing sentiment is `unclear`, missing numbers are 0, and so is a unit without aspects `unclear`."""
+    missing sentiment is `unclear`, missing numbers are 0, and so is a unit without aspects `unclear`. A unit's first row
+    (`leads`) tells whether any of them is negative or positive (`unit_negative`, `unit_positive`)."""
     lists = {"sentiment": "aspect_sentiments", "severity": "aspect_severities", "confidence": "aspect_confidences"}
     maps = units.withColumns({f"_{k}": pairs_list(F.col(c)) for k, c in lists.items()})
     labels = F.coalesce(label_list(F.col("aspect_labels")), F.array().cast("array<string>"))
-    long = maps.withColumn("aspect", F.explode(F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit("unclear")))))
+    maps = maps.withColumn("_labels", F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit("unclear"))))
+    felt = lambda x: F.coalesce(F.exists("_labels", lambda a: last_value(F.col("_sentiment"), a).isin(x, "mixed")), F.lit(False))
+    maps = maps.withColumns({"unit_negative": felt("negative"), "unit_positive": felt("positive")})
+    long = maps.select("*", F.posexplode("_labels").alias("_place", "aspect")).withColumn("leads", F.col("_place") == 0).drop("_labels", "_place")
     own = {k: last_value(F.col(f"_{k}"), F.col("aspect")) for k in lists}
     number = lambda k: F.coalesce(own[k].try_cast("double"), F.lit(0.0))
     out = long.withColumns({
@@ -78,19 +82,26 @@ def _sides() -> tuple[Column, Column, Column]:
     return side("negative"), side("positive"), F.coalesce(F.col("like_count"), F.lit(0)) + 1
 
 
-def aspect_summary(rows: DataFrame, units: DataFrame, full: DataFrame) -> DataFrame:
+def aspect_summary(rows: DataFrame, units: DataFrame, full: DataFrame, *, unique: bool = False) -> DataFrame:
     """Per aspect: distinct units, negative and positive ones, their rates, lifts and shares, plain and weighted
     by likes, and mean severity. units: the scored ones with their own label; full: all comments with
     theirs, the denominator of prevalence.
 
-    Rows are added up by unit and aspect first; distinct units are then plain counts.
+    Rows are added up by unit and aspect first; distinct units are then plain counts. Where unit_id is a key of units
+    (`unique`), each row of aspect_rows is one already, and nothing is shuffled but sums.
     """
     negative, positive, weight = _sides()
     flag = lambda c: F.max(c.cast("int"))
     heavy = lambda c: F.sum(F.when(c, weight).otherwise(0))
-    one = rows.groupBy("unit_id", "aspect").agg(flag(negative).alias("neg"), flag(positive).alias("pos"), F.sum(weight).alias("w"),
-        heavy(negative).alias("wneg"), heavy(positive).alias("wpos"), F.sum("severity").alias("sev"), F.count("*").alias("n"))
-    by_unit = one.groupBy("unit_id").agg(F.max("neg").alias("neg"), F.max("pos").alias("pos"))
+    if unique:
+        zero = lambda c: F.when(c, weight).otherwise(0)
+        one = rows.select("aspect", negative.cast("int").alias("neg"), positive.cast("int").alias("pos"), weight.alias("w"), zero(negative).alias("wneg"),
+            zero(positive).alias("wpos"), F.col("severity").alias("sev"), F.lit(1).alias("n"))
+        by_unit = rows.where("leads").select(F.col("unit_negative").cast("int").alias("neg"), F.col("unit_positive").cast("int").alias("pos"))
+    else:
+        one = rows.groupBy("unit_id", "aspect").agg(flag(negative).alias("neg"), flag(positive).alias("pos"), F.sum(weight).alias("w"),
+            heavy(negative).alias("wneg"), heavy(positive).alias("wpos"), F.sum("severity").alias("sev"), F.count("*").alias("n"))
+        by_unit = one.groupBy("unit_id").agg(F.max("neg").alias("neg"), F.max("pos").alias("pos"))
     total = by_unit.agg(F.count("*").alias("_units"), F.greatest(F.sum("neg"), F.lit(1)).alias("_neg"), F.greatest(F.sum("pos"), F.lit(1)).alias("_pos"))
     share = lambda x: F.avg((F.col("label") == x).cast("double"))
     scored = units.agg(share("negative").alias("_sneg"), share("positive").alias("_spos"))
@@ -111,15 +122,20 @@ def aspect_summary(rows: DataFrame, units: DataFrame, full: DataFrame) -> DataFr
     return out.select("aspect", "n_units", "n_negative", "n_positive", *(places(c).alias(k) for k, c in columns.items()))
 
 
-def aspect_daily(rows: DataFrame, *platform: str) -> DataFrame:
-    """Per day and aspect (of each platform): distinct units, negative and positive rows, severity, weight."""
+def aspect_daily(rows: DataFrame, *platform: str, unique: bool = False) -> DataFrame:
+    """Per day and aspect (of each platform): distinct units, negative and positive rows, severity, weight. unique:
+    as in aspect_summary."""
     negative, positive, weight = _sides()
-    one = rows.where("aspect <> 'unclear' and ts is not null").groupBy(*platform, F.to_date("ts").alias("day"), "aspect", "unit_id")
-    one = one.agg(F.count_if(negative).alias("neg"), F.count_if(positive).alias("pos"), F.sum("severity").alias("sev"),
-        F.count("*").alias("n"), F.sum(weight).alias("w"))
-    out = one.groupBy(*platform, "day", "aspect").agg(F.count("*").alias("n_units"), F.sum("neg").alias("n_negative"),
-        F.sum("pos").alias("n_positive"), places(ratio(F.sum("sev"), F.sum("n"))).alias("mean_severity"), F.sum("w").alias("weight"))
-    return out
+    rows = rows.where("aspect <> 'unclear' and ts is not null").withColumn("day", F.to_date("ts"))
+    sums = {"neg": F.count_if(negative), "pos": F.count_if(positive), "sev": F.sum("severity"), "n": F.count("*"), "w": F.sum(weight)}
+    columns = [c.alias(k) for k, c in sums.items()]
+    if unique:
+        one = rows.groupBy(*platform, "day", "aspect").agg(F.count("*").alias("n_units"), *columns)
+    else:
+        one = rows.groupBy(*platform, "day", "aspect", "unit_id").agg(*columns).groupBy(*platform, "day", "aspect").agg(F.count("*").alias("n_units"),
+            *(F.sum(k).alias(k) for k in sums))
+    return one.select(*platform, "day", "aspect", "n_units", F.col("neg").alias("n_negative"), F.col("pos").alias("n_positive"),
+        places(ratio(F.col("sev"), F.col("n"))).alias("mean_severity"), F.col("w").alias("weight"))
 
 
 def aspect_anomalies(daily: DataFrame, platform: str, *, least: int = 3, sigmas: float = 2.0) -> DataFrame:

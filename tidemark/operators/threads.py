@@ -18,15 +18,17 @@ def thread_metrics(comments: DataFrame, *by: str) -> DataFrame:
     is_, reply = lambda x: F.col("label") == x, F.expr(REPLY)
     w = F.col("like_count") + 1
     heavy = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0))
-    parent = F.min(F.when(F.col("is_top_level"), F.struct("ts", "line", "label")))
-    out = comments.groupBy(*by, "thread_id").agg(
-        F.min("video_id").alias("video_id"), F.count("*").alias("n"), F.count_if(F.expr(REPLY)).alias("n_replies"),
-        F.countDistinct("actor_id").alias("n_actors"), F.countDistinct(F.when(reply, F.col("actor_id"))).alias("n_reply_actors"),
-        F.sum("like_count").alias("likes"), F.sum(w).alias("weight"), heavy(reply).alias("reply_weight"), F.min("ts").alias("first_at"),
-        F.max("ts").alias("last_at"),
-        *(F.count_if(is_(x)).alias(f"n_{x[:3]}") for x in _RATES), *(F.count_if(reply & is_(x)).alias(f"r_{x[:3]}") for x in _RATES),
-        *(heavy(is_(x)).alias(f"w_{x[:3]}") for x in _RATES), parent["label"].alias("parent_label"),
-    )
+    first = {"video_id": F.min("video_id"), "first_at": F.min("ts"), "last_at": F.max("ts"),
+        "_parent": F.min(F.when(F.col("is_top_level"), F.struct("ts", "line", "label")))}
+    counts = {"n": F.count("*"), "n_replies": F.count_if(reply), "likes": F.sum("like_count"), "weight": F.sum(w), "reply_weight": heavy(reply)}
+    counts |= {f"n_{x[:3]}": F.count_if(is_(x)) for x in _RATES} | {f"r_{x[:3]}": F.count_if(reply & is_(x)) for x in _RATES}
+    counts |= {f"w_{x[:3]}": heavy(is_(x)) for x in _RATES}
+    # a row for each thread and actor first, so that distinct actors are plain counts
+    one = comments.groupBy(*by, "thread_id", "actor_id").agg(*(c.alias(k) for k, c in (first | counts).items()))
+    again = {"video_id": F.min("video_id"), "first_at": F.min("first_at"), "last_at": F.max("last_at"), "_parent": F.min("_parent")}
+    out = one.groupBy(*by, "thread_id").agg(*(c.alias(k) for k, c in again.items()), *(F.sum(k).alias(k) for k in counts),
+        F.count("actor_id").alias("n_actors"), F.count_if(F.col("actor_id").isNotNull() & (F.col("n_replies") > 0)).alias("n_reply_actors"))
+    out = out.withColumn("parent_label", F.col("_parent.label")).drop("_parent")
     pos, neg = ratio0(F.col("n_pos"), F.col("n")), ratio0(F.col("n_neg"), F.col("n"))
     rpos, rneg = ratio0(F.col("r_pos"), F.col("n_replies")), ratio0(F.col("r_neg"), F.col("n_replies"))
     out = out.withColumns({"pos": pos, "neg": neg, "rpos": rpos, "rneg": rneg})

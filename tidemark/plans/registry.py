@@ -410,25 +410,36 @@ def _aspects(v):
     )
 
 
+_KEYED: dict[tuple[str, str], bool] = {}
+
+
+def _keyed(v) -> bool:
+    """Whether unit_id is a key of the units, found once a session and folder."""
+    key = (v.spark.sparkContext.applicationId, v.folder)
+    if key not in _KEYED:
+        _KEYED[key] = _aspects(v).select("unit_id").groupBy("unit_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return _KEYED[key]
+
+
 @query
 def aspect_summary(v):
     units = _aspects(v)
-    return aspects.aspect_summary(aspects.aspect_rows(units), units, v.all_comments)
+    return aspects.aspect_summary(aspects.aspect_rows(units), units, v.all_comments, unique=_keyed(v))
 
 
 @query
 def aspect_daily(v):
-    return aspects.aspect_daily(aspects.aspect_rows(_aspects(v)), "platform")
+    return aspects.aspect_daily(aspects.aspect_rows(_aspects(v)), "platform", unique=_keyed(v))
 
 
 @query
 def aspect_days(v):
-    return aspects.aspect_daily(aspects.aspect_rows(_aspects(v)))
+    return aspects.aspect_daily(aspects.aspect_rows(_aspects(v)), unique=_keyed(v))
 
 
 @query
 def aspect_anomalies(v):
-    return aspects.aspect_anomalies(aspects.aspect_daily(aspects.aspect_rows(_aspects(v)), "platform"), "platform")
+    return aspects.aspect_anomalies(aspects.aspect_daily(aspects.aspect_rows(_aspects(v)), "platform", unique=_keyed(v)), "platform")
 
 
 def _judged(v, sentiment):
