@@ -521,3 +521,65 @@ def test_equal_texts_are_neighbours(spark):
         places[texts[r.doc_id]].add(r.shard)
     assert sorted(collections.Counter(r.shard for r in out).values()) == sorted([len(rows) // 10 + (i < len(rows) % 10) for i in range(10)])
     assert sum(len(s) > 1 for s in places.values()) <= 9 and all(max(s) - min(s) < 2 for s in places.values())
+
+
+def test_toxicity_steps_against_scalars():
+    """FTRL-proximal, coordinate by coordinate in plain floats."""
+    import math
+
+    import pyarrow as pa
+
+    rng, size = np.random.default_rng(5), toxicity.BUCKETS
+    model = toxicity.Ftrl(alpha=0.7, beta=1.5, l1=0.6, l2=0.2)
+    z, n = {}, {}
+
+    def weight(i):
+        have, strength = z.get(i, 0.0), 0.0 if i == size else 0.6
+        if abs(have) <= strength:
+            return 0.0
+        return -(have - math.copysign(strength, have)) / ((1.5 + math.sqrt(n.get(i, 0.0))) / 0.7 + 0.2)
+
+    for _ in range(300):
+        y, at = int(rng.integers(2)), rng.choice(40, int(rng.integers(0, 8)), replace=False)
+        at = np.unique(at + 40 * y * (rng.random(len(at)) < 0.5)).astype(np.int32)
+        own = [*at.tolist(), size]
+        p = 1 / (1 + math.exp(-sum(map(weight, own))))
+        for i, w in [(i, weight(i)) for i in own]:
+            old = n.get(i, 0.0)
+            z[i] = z.get(i, 0.0) + (p - y) - (math.sqrt(old + (p - y) ** 2) - math.sqrt(old)) / 0.7 * w
+            n[i] = old + (p - y) ** 2
+        model.learn(at, y)
+    kept = model.kept()
+    wanted = {i: weight(i) for i in range(80) if weight(i)}
+    assert 0 < len(wanted) < 80 and kept.at.tolist() == sorted(wanted)
+    assert kept.weight == pytest.approx([wanted[i] for i in sorted(wanted)]) and kept.bias == pytest.approx(weight(size))
+
+    words = ["the cat sat on it", None, "", "the the dog"]
+    own = [set(at.tolist()) for at in toxicity._distinct(*toxicity.features(pa.array(words)), len(words))]
+    some = toxicity.Weights(np.array(sorted(own[0] | own[3]), np.int32)[::2], rng.normal(size=len((own[0] | own[3]))).astype(float)[: (len(own[0] | own[3]) + 1) // 2], -0.4)
+    table = dict(zip(some.at.tolist(), some.weight.tolist()))
+    plain = [1 / (1 + math.exp(0.4 - sum(table.get(i, 0.0) for i in have))) for have in own]
+    assert toxicity.scores(pa.array(words), some) == pytest.approx(plain)
+
+
+def test_first_split_against_all_splits():
+    """The root of a tree against every split of every statistic, in loops."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 20, (200, 3)).astype(float)
+    y = ((x[:, 1] > 11) | (rng.random(200) < 0.1)).astype(float)
+    forest = quality.grow(x, y, trees=1, leaves=2, bins=64)
+    share = y.mean()
+    g, h = share - y, np.full(200, share * (1 - share))
+    best = (-1.0, 0, 0.0)
+    for j in range(3):
+        for cut in np.unique(x[:, j])[:-1]:
+            low = x[:, j] <= cut
+            if min(low.sum(), (~low).sum()) >= 5:
+                gain = sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (low, ~low)) - g.sum() ** 2 / (h.sum() + 1)
+                best = max(best, (gain, j, cut))
+    root = forest.roots[0]
+    assert forest.feature[root] == best[1]
+    low = x[:, best[1]] <= best[2]
+    assert ((x[:, best[1]] <= forest.threshold[root]) == low).all()
+    for rows, node in ((low, forest.left[root]), (~low, forest.right[root])):
+        assert forest.value[node] == pytest.approx(-0.15 * g[rows].sum() / (h[rows].sum() + 1))
