@@ -7,7 +7,7 @@ texts, and reports of an older kind have three tiers. What cannot be read is und
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import ratio
@@ -130,11 +130,22 @@ def _listed(section: DataFrame, name: str, fields: dict[str, Column], order: Col
     return section.groupBy("channel").agg(items.alias(name))
 
 
-def report_documents(found: dict[str, DataFrame], *, spots: int = 100) -> DataFrame:
-    """(channel, report): the sections of each channel as one JSON document; hotspots are the `spots` of the highest
-    rates. A document is as long as its channel has videos."""
-    from pyspark.sql import Window
+def _highest(section: DataFrame, measures: list[str], spots: int) -> DataFrame:
+    """The `spots` videos of each channel of highest first measure, and those that hold the highest of the others, with
+    their place `_i`; ties: the smaller id. Places are limited one by one, which Spark does before it shuffles."""
+    out = None
+    for at, measure in enumerate(measures):
+        place = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc_nulls_last(measure), "video_id"))
+        best = section.withColumn("_i", place).where(F.col("_i") <= (1 if at else spots)).withColumn("_i", F.col("_i") + (F.lit(spots + at) if at else 0))
+        out = best if out is None else out.unionByName(best)
+    rest = [x for x in section.columns if x not in ("channel", "video_id")]
+    return out.groupBy("channel", "video_id").agg(F.min("_i").alias("_i"), *(F.first(x).alias(x) for x in rest))
+
 
+def report_documents(found: dict[str, DataFrame], *, spots: int = 100) -> DataFrame:
+    """(channel, report): the sections of each channel as one JSON document. Lists of videos are the `spots` of the
+    highest rate or score, and those that hold the highest of another measure: a document does not grow with the
+    videos of its channel, but for one rate in 25 of them."""
     c = F.col
     totals = found["tiers"].groupBy("channel").agg(F.sum("n_commenters").alias("_n"), F.sum("total_comments").alias("_c"))
     tiers = found["tiers"].join(totals, "channel")
@@ -147,9 +158,8 @@ def report_documents(found: dict[str, DataFrame], *, spots: int = 100) -> DataFr
         labels.alias("sentiment_summary"), one(reply_share_all_comments=c("reply_share_all_comments"),
         pct_threads_with_replies=c("pct_threads_with_replies")).alias("reply_thread_overview"),
         one(is_top_level_label=F.lit("reply"), negative_rate=c("reply_negative_rate")).alias("reply_sentiment_summary"))
-    place = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("negative_rate"), "video_id"))
-    heavy = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc_nulls_last("like_weighted_negative_rate"), "video_id"))
-    hot = found["hotspots"].withColumns({"_i": place, "_j": heavy}).where((c("_i") <= spots) | (c("_j") == 1))
+    hot = _highest(found["hotspots"], ["negative_rate", "like_weighted_negative_rate"], spots)
+    fierce = _highest(found["conflict_videos"], list(CONFLICT.values()), spots)
     clash = {name: c(name) for name in CONFLICT.values()}
     parts = [
         _listed(tiers, "commenter_tiers", {"activity_tier": c("tier"), "pct_commenters": 100 * ratio(c("n_commenters"), c("_n")),
@@ -163,7 +173,7 @@ def report_documents(found: dict[str, DataFrame], *, spots: int = 100) -> DataFr
         _listed(found["bridges"], "bridge_actors", {"participation_coefficient": c("participation")}, c("place")),
         _listed(hot, "sentiment_hotspots", {"negative_rate": c("negative_rate"), "like_weighted_negative_rate": c("like_weighted_negative_rate")}, c("_i")),
         _listed(found["community_sentiment"], "community_sentiment_summary", {"negative_rate": c("negative_rate")}, c("community")),
-        _listed(found["conflict_videos"], "reply_conflict_video_summary", clash, c("video_id")),
+        _listed(fierce, "reply_conflict_video_summary", clash, c("_i")),
         _listed(found["conflict_themes"], "reply_conflict_theme_summary", clash, c("theme")),
     ]
     out = base
