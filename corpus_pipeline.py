@@ -36,9 +36,9 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near copies (five-word shingles, similarity 0.8 or
-    more), that of the smallest id, a null id last; of rows that share an id the text's hash decides. Null and
-    empty texts are one component."""
+    """Keeps one document of each component of SimHash links (three-word shingles, at most 3 differing bits) and of
+    near copies (five-word shingles, similarity 0.8 or more) together, that of the smallest id, a null id last; of
+    rows that share an id the text's hash decides. Null and empty texts are one component."""
     return neardup.deduplicated_copies(docs)
 
 

@@ -46,3 +46,34 @@ def test_queries_match_sql(spark, small):
 def test_reruns_agree(spark, small):
     first = rows_of_query(queries.QUERIES["op1_entropy_mix"](spark, small))
     assert first == rows_of_query(queries.QUERIES["op1_entropy_mix"](spark, small))
+
+
+def test_near_duplicates_are_those_of_simhash_and_of_near_copies(spark, small):
+    """No two kept documents are in one component of SimHash, and each component of both relations keeps its smallest id."""
+    from pyspark.sql import functions as F
+    from tidemark.llm import neardup
+
+    words = [f"w{i}" for i in range(5000)]
+    long = lambda a, n: " ".join(words[a : a + n])
+    # 2 is a near copy of 1; 4 and 5 are equal; 6 and 7 have no words
+    texts = {1: long(0, 200), 2: long(0, 190), 3: long(1000, 200), 4: "a b", 5: "a b", 6: None, 7: "", 8: long(2000, 3000), 9: long(2000, 2990) + " x y z"}
+    # texts whose fingerprints link and whose sets of five words do not
+    texts |= {10: "the same three words " * 40, 11: "same three words the " * 40 + "same three words"}
+    texts |= {20 + i: "one two three " * 50 + f"end{i}" for i in range(6)}
+    docs = spark.createDataFrame([(k, v) for k, v in texts.items()], "doc_id long, text string")
+    prints = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    copies = {r.doc_id: r.component_id for r in neardup.near_copies(docs).collect()}
+    root = {k: k for k in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for part in (prints, copies):
+        for k, c in part.items():
+            x, y = sorted((find(k), find(c)))
+            root[y] = x
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, small).select(F.col("doc_id")).collect()]
+    assert sorted(kept) == sorted({find(k) for k in texts})
+    assert any(prints[k] != k and copies[k] == k for k in texts), "SimHash links more than near copies do"

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SLICE_BYTES, filtered, mapped, mixed, written
+from tidemark.llm.common import filtered, mapped, mixed, written
 
 #: Labelled documents of each language that training takes, about (chosen by a hash of the id).
 SAMPLE_DOCS = 4000
@@ -34,6 +34,8 @@ LEAST = 2e-5
 CONTRAST = 0.2
 #: Bits for each n-gram and language, and positions of each n-gram.
 BITS, PROBES = 10, 3
+#: Bytes of text that are held as arrays at a time: an n-gram takes about 50 bytes on its way.
+RUN_BYTES = 1 << 18
 _GAP = 0x20
 
 
@@ -91,7 +93,7 @@ def _ngrams(points: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray
     return mixed(code[starts] * np.uint64(8) + np.uint64(n)), np.searchsorted(starts, offsets)
 
 
-def _pieces(texts: list[str | None], limit: int = SLICE_BYTES) -> tuple[list[str], np.ndarray]:
+def _pieces(texts: list[str | None], limit: int = RUN_BYTES) -> tuple[list[str], np.ndarray]:
     """Texts cut at `limit` characters, which loses no n-gram inside a word, and each piece's row."""
     out, rows = [], []
     for i, t in enumerate(texts):
@@ -209,7 +211,7 @@ def predict(docs: DataFrame, filters: Filters, *, key: str = "doc_id", unknown:
         return [part.column(key), names[np.where(known, best, len(names) - 1)], score]
 
     kind = docs.schema[key].dataType.simpleString()
-    return mapped(docs.select(key, "text"), predicted, f"{key} {kind}, lang_pred string, score double")
+    return mapped(docs.select(key, "text"), predicted, f"{key} {kind}, lang_pred string, score double", limit=RUN_BYTES)
 
 
 def accepted(docs: DataFrame, filters: Filters, *, least: float = 0.0) -> DataFrame:
@@ -224,4 +226,4 @@ def accepted(docs: DataFrame, filters: Filters, *, least: float = 0.0) -> DataFr
         total, found = hits(Filters(*shared.value), part.column("text").to_pylist(), held[0])
         return (total > 0) & (found.max(axis=1, initial=0) >= least * total)
 
-    return filtered(docs, keep)
+    return filtered(docs, keep, limit=RUN_BYTES)

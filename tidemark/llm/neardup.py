@@ -14,7 +14,7 @@ there a search over the ones not yet reached yields a spanning forest of the exa
 group of n near copies gives n - 1 rows, not n squared. Components come from the forests by
 repeated hooking to the smallest neighbour, in tables.
 
-Near copies (the pipeline's stage) are another relation: pairs of texts whose sets of 5-word shingles
+Near copies, which the pipeline's stage links as well, are another relation: pairs of texts whose sets of 5-word shingles
 have a Jaccard similarity of at least 0.8, which differ in about 10 of 64 SimHash bits, beyond what
 Golay keys reach. Their candidates share a MinHash key; each is verified on the whole sets.
 
@@ -515,9 +515,20 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", words: int = COPY_WORDS
 
 
 def deduplicated_copies(docs: DataFrame, *, words: int = COPY_WORDS, least: float = LEAST_ALIKE) -> DataFrame:
-    """docs with one row of each component of near_copies, as deduplicated."""
+    """docs with one row of each component, as deduplicated, over the links of SimHash (near_duplicates) and of
+    near_copies together."""
+    prints = written(with_fingerprints(docs), "fingerprints")
     found = written(with_sketches(docs, words=words), "found")
-    return _one_of_each(docs, _groups(found, lambda _: copy_links(docs, found, least, words), "doc_id"))
+
+    def stars(rows: DataFrame, edges: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """(a, b): of each component of one relation its smallest digest with each digest."""
+        held = rows.select("digest", "fp").distinct().join(_groups(rows, edges, "doc_id").select("fp", "root"), "fp")
+        held = written(held.select("digest", "root"), "held")
+        return held.join(held.groupBy("root").agg(F.min("digest").alias("a")), "root").select("a", F.col("digest").alias("b"))
+
+    both = stars(prints, links).unionByName(stars(found, lambda _: copy_links(docs, found, least, words)))
+    texts = prints.select("doc_id", "digest", F.col("digest").alias("fp"))
+    return _one_of_each(docs, _groups(texts, lambda _: both, "doc_id"))
 
 
 def deduplicated(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
