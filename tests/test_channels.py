@@ -25,3 +25,13 @@ def test_names_with_separators_and_null_ids(spark, small):
     got = metrics(comments.unionByName(lost).withColumn("channel", name), v)
     networks = lambda found: {k: x for k, x in found.items() if "network" in k[1] or "community" in k[1]}
     assert networks(got) == networks({(odd[c], m): x for (c, m), x in want.items()})
+
+
+def test_shares_of_replies_from_threads_made_once(spark, small):
+    from tidemark.operators import threads
+
+    comments = Views(spark, small).all_comments.withColumn("channel", F.col("supplier_id") % 3)
+    names = ["channel", "reply_share", "replied_thread_share", "reply_negative_rate"]
+    want = threads.reply_overview(comments, "channel").select(*names).collect()
+    got = threads.reply_shares(threads.thread_metrics(comments, "channel", actors=False), "channel").select(*names).collect()
+    assert want and sorted(got) == sorted(want)

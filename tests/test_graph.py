@@ -115,3 +115,11 @@ def test_registered_loops_run_on_the_edges_of_the_other_relations(spark, small,
         registry.QUERIES[name](spark, small)
     want = set(registry.QUERIES["cocommenter_edges"](spark, small).collect())
     assert len(edges) == 4 and want and all(set(e.collect()) == want for e in edges)
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """A task's pairs do not grow with the rows: there are as many tasks as the pairs ask for."""
+    monkeypatch.setattr(graph, "PAIRS", 50)
+    rows = spark.createDataFrame([(n, v) for v in range(20) for n in range(10)], "node int, via int")
+    out = graph._within(rows, "via")
+    assert out.rdd.getNumPartitions() == 18 and out.count() == 900
