@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import graph
 from tidemark.plans import registry
+from tidemark.sources.views import Views
 
 
 def table(spark, edges):
@@ -123,3 +124,27 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     rows = spark.createDataFrame([(n, v) for v in range(20) for n in range(10)], "node int, via int")
     out = graph._within(rows, "via")
     assert out.rdd.getNumPartitions() == 18 and out.count() == 900
+
+
+def test_pairs_are_made_in_as_many_tasks_as_their_number_asks_for(spark, monkeypatch):
+    """A task that writes pairs has no more of them on larger tables; nodes with few pairs meet their lists, others their pairs."""
+    rows = spark.createDataFrame([(n, v) for v in range(20) for n in range(v, v + 10)], "node int, via int")
+    want = sorted((v, a, b) for v in range(20) for a in range(v, v + 10) for b in range(a + 1, v + 10))
+    ran = spark.sparkContext.statusTracker()
+    for pairs, made in ((100, 1), (20, 2)):  # no node has more than 90 pairs
+        monkeypatch.setattr(graph, "PAIRS", pairs)
+        monkeypatch.setattr(graph, "MADE", made, raising=False)
+        spark.sparkContext.setJobGroup(f"pairs-{pairs}", "")
+        got = sorted(tuple(r) for r in graph._within(rows, "via").select("via", "a", "b").collect())
+        stages = [s for j in ran.getJobIdsForGroup(f"pairs-{pairs}") for s in ran.getJobInfo(j).stageIds]
+        sizes = {info.numTasks for s in stages if (info := ran.getStageInfo(s))}
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert got == want and {-(-900 // pairs), -(-900 // (pairs * made))} <= sizes
+
+
+def test_lists_are_gathered_in_as_many_tasks_as_rows_ask_for(spark, small, monkeypatch):
+    monkeypatch.setattr(registry, "_SHARED", {})
+    monkeypatch.setattr(graph, "ROWS", 500, raising=False)
+    seen = registry._actor_videos(Views(spark, small))
+    n = -(-Views(spark, small).table("lineitem").count() // 500)
+    assert len(seen.inputFiles()) == n and sorted(seen.collect()) == sorted(Views(spark, small).actor_videos.collect())
