@@ -148,3 +148,14 @@ def test_lists_are_gathered_in_as_many_tasks_as_rows_ask_for(spark, small, monke
     seen = registry._actor_videos(Views(spark, small))
     n = -(-Views(spark, small).table("lineitem").count() // 500)
     assert len(seen.inputFiles()) == n and sorted(seen.collect()) == sorted(Views(spark, small).actor_videos.collect())
+
+
+def test_only_commenters_of_clustered_videos_are_counted(spark, small):
+    from tidemark.operators import clusters
+
+    v = Views(spark, small)
+    part = spark.createDataFrame([(1, "x"), (2, "x"), (-1, "y")], "video_id long, cluster string")
+    out = clusters.clustered_videos(part, v.videos, v.all_comments)
+    want = {r.video_id: (r.n, r.m) for r in v.all_comments.groupBy("video_id").agg(F.count("*").alias("n"), F.countDistinct("actor_id").alias("m")).collect()}
+    assert {r.video_id: (r.n_comments, r.n_commenters) for r in out.collect()} == {k: want.get(k, (None, None)) for k in (1, 2, -1)}
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
