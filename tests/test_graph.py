@@ -159,3 +159,11 @@ def test_only_commenters_of_clustered_videos_are_counted(spark, small):
     want = {r.video_id: (r.n, r.m) for r in v.all_comments.groupBy("video_id").agg(F.count("*").alias("n"), F.countDistinct("actor_id").alias("m")).collect()}
     assert {r.video_id: (r.n_comments, r.n_commenters) for r in out.collect()} == {k: want.get(k, (None, None)) for k in (1, 2, -1)}
     assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clusters_of_videos_are_made_once(spark, small, monkeypatch):
+    made, real = [], registry._clustered
+    monkeypatch.setattr(registry, "_SHARED", {})
+    monkeypatch.setattr(registry, "_clustered", lambda v, edges: made.append(1) or real(v, edges))
+    registry.QUERIES["video_cluster_profiles"](spark, small)
+    assert len(made) == 1
